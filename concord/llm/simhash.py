@@ -24,8 +24,8 @@ from .common import materialise, words_of
 from .components import components
 
 BITS = 64
-#: Rows of a count sketch; its squared norm estimates the number of equal pairs.
-SKETCH = 4096
+#: Count sketches of 64 sums for each mask; the mean of their squared norms estimates the number of equal pairs.
+SKETCHES = 4
 
 
 # ---- fingerprints -------------------------------------------------------------------------------
@@ -76,31 +76,31 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _tallied(fps: DataFrame, tally) -> DataFrame:
-    """(k, v): sum over all fingerprints of what ``tally(array) -> {key: value}`` finds; the number of keys is fixed."""
+def _tallied(fps: DataFrame, tally) -> dict[int, np.ndarray]:
+    """Sum over all fingerprints of what ``tally(array) -> rows of 64 numbers`` finds: the same few rows from each task, whatever its size."""
 
     def run(batches):
-        total: dict[int, int] = {}
+        total = None
         for b in batches:
-            for key, value in tally(b.column(0).to_numpy(zero_copy_only=False).view("<u8")).items():
-                total[key] = total.get(key, 0) + value
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["k", "v"])
+            found = tally(b.column(0).to_numpy(zero_copy_only=False).view("<u8"))
+            total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.int64()))], ["k", "v"])
 
-    return fps.select("fp").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v"))
+    summed = fps.select("fp").mapInArrow(run, "k int, v array<long>").groupBy("k").agg(*[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(BITS)])
+    return {r.k: np.array(r[1:], float) for r in summed.collect()}
 
 
 def bit_correlations(fps: DataFrame) -> tuple[int, np.ndarray]:
     """How many fingerprints there are, and the absolute correlations of their bits (64 x 64)."""
 
-    def tally(x: np.ndarray) -> dict[int, int]:
+    def tally(x: np.ndarray) -> np.ndarray:
         bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-        both = np.rint(bits.T @ bits).astype(np.int64)
-        return {-1: len(x)} | {i * BITS + j: int(both[i, j]) for i in range(BITS) for j in range(BITS)}
+        return np.vstack([np.rint(bits.T @ bits), np.full(BITS, len(x))]).astype(np.int64)
 
-    found = dict(_tallied(fps, tally).collect())
-    n = found.get(-1, 0)
-    both = np.array([found.get(i, 0) for i in range(BITS * BITS)], float).reshape(BITS, BITS) / max(n, 1)
+    found = _tallied(fps, tally)
+    n = int(found[BITS][0]) if found else 0
+    both = np.array([found[i] for i in range(BITS)] if found else np.zeros((BITS, BITS))) / max(n, 1)
     p = np.diag(both)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     return n, np.abs((both - np.outer(p, p)) / np.outer(spread, spread))
@@ -125,20 +125,18 @@ def _mask(bits) -> int:
 
 
 def equal_pairs(fps: DataFrame, masks: list[int]) -> list[float]:
-    """For each mask, about how many ordered pairs of fingerprints agree on it: a count sketch over all of them."""
-    held = [np.uint64(m) for m in masks]
-
-    def tally(x: np.ndarray) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for i, m in enumerate(held):
-            h = _mixed((x & m) + np.uint64(i + 1))
-            sums = np.bincount((h % np.uint64(SKETCH)).astype(np.int64), weights=1.0 - 2.0 * ((h >> np.uint64(63)).astype(float)), minlength=SKETCH)
-            out |= {i * SKETCH + int(b): int(sums[b]) for b in np.flatnonzero(sums)}
+    """For each mask, about how many ordered pairs of fingerprints agree on it: count sketches over all of them."""
+    held = [(np.uint64(m), np.uint64(i * SKETCHES + r + 1)) for i, m in enumerate(masks) for r in range(SKETCHES)]
+
+    def tally(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(held), BITS), np.int64)
+        for row, (m, salt) in zip(out, held):
+            h = _mixed(_mixed(x & m) + salt)
+            row += np.rint(np.bincount((h % np.uint64(BITS)).astype(np.int64), weights=1.0 - 2.0 * (h >> np.uint64(63)), minlength=BITS)).astype(np.int64)
         return out
 
-    summed = _tallied(fps, tally)
-    norms = dict(summed.groupBy(F.expr(f"k div {SKETCH}").alias("i")).agg(F.sum(F.col("v").cast("double") * F.col("v"))).collect())
-    return [float(norms.get(i, 0.0)) for i in range(len(masks))]
+    found = _tallied(fps, tally)
+    return [float(np.mean([(found[i * SKETCHES + r] ** 2).sum() for r in range(SKETCHES)])) if found else 0.0 for i in range(len(masks))]
 
 
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
