@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, mixing, quality, secrets, simhash, toxicity, vectors
+from . import decontaminate, language_model, licenses, lines, mixing, quality, secrets, simhash, toxicity, vectors
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -52,7 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_decontamination, op4_toxicity, op5_quality, op6_line_dedup, op7_licenses, op9_embeddings, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_decontamination, op4_toxicity, op5_quality, op6_line_dedup, op7_licenses, op8_language_model, op9_embeddings, op10_secrets)}
 
 ORACLE: dict[str, str] = {
     "op6_line_dedup": r"""
