@@ -283,6 +283,24 @@ def name_keys(spark, sf_dir):
     )
 
 
+@query("SELECT p_partkey, 'brand:' || p_brand || ';type:' || p_type AS spec, CAST(CAST(p_size AS DECIMAL(38,6)) * 1000000 AS DECIMAL(38,6)) AS micros, 'V' || p_size || '.1' AS version, CASE WHEN p_size = 7 THEN 'exact' ELSE 'excluded' END AS match7, 3 AS n_notes, lower(replace(p_name, ' ', '')) AS plain, string_split(lower(p_name), ' ')[1] || ',' || string_split(lower(p_name), ' ')[2] AS tokens, CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 3 = 1 THEN false END AS required FROM part")
+def text_helpers(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    spec = F.to_json(F.array(F.struct(F.lit("brand").alias("name"), F.col("p_brand").alias("value")), F.struct(F.lit("type").alias("name"), F.col("p_type").alias("value"))))
+    version = F.concat(F.lit(" v"), F.col("p_size"), F.lit(".1"))
+    return p.select(
+        "p_partkey",
+        N.spec_to_text(spec).alias("spec"),
+        N.scaled(F.col("p_size"), 1_000_000).cast("decimal(38,6)").alias("micros"),
+        N.norm_version(version).alias("version"),
+        N.version_match(F.col("p_size").cast("string"), "7").alias("match7"),
+        F.size(N.split_notes(F.concat(F.lit("Costs "), F.col("p_size"), F.lit(".5 a piece. Second; third。")))).alias("n_notes"),
+        N.norm_text(F.col("p_name")).alias("plain"),
+        F.array_join(N.token_set(F.initcap("p_name")), ",").alias("tokens"),
+        N.required_flag(F.when(F.col("p_size") % 3 == 0, "Yes").when(F.col("p_size") % 3 == 1, "optional").otherwise("?")).alias("required"),
+    )
+
+
 _SECRET_SQL = "SELECT doc_id, '{0}' AS finding FROM documents WHERE regexp_matches(text, '{1}')"
 
 
