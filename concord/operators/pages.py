@@ -57,14 +57,14 @@ def _nodes(page_id: int, html: str | None):
     tree.feed(html or "")
     tree.close()
     rows = tree.rows
-    pieces: list[list[tuple[int, str]]] = [[] for _ in rows]
+    pieces: list[list[tuple[float, str]]] = [[] for _ in rows]
     for i in range(len(rows) - 1, -1, -1):
         parent, tag, _, texts, hidden = rows[i]
         own = [] if tag in SILENT else [(at, t) for at, t in texts]
         pieces[i] = sorted(pieces[i] + own, key=lambda x: x[0])
         if parent >= 0 and tag not in SILENT:
             joined = "".join(t for _, t in pieces[i])
-            pieces[parent].append((i, f" {joined} " if tag in BLOCK else joined))
+            pieces[parent].append((i + 0.5, f" {joined} " if tag in BLOCK else joined))  # text before it has place i
     paths: list[list[int]] = []
     for i, (parent, tag, attrs, texts, hidden) in enumerate(rows):
         paths.append([*(paths[parent] if parent >= 0 else []), i])
