@@ -30,36 +30,33 @@ class Canon:
     """Template words of texts, by a table of the raw words seen; the table restarts when it is full."""
 
     def __init__(self, most: int = 400_000):
-        self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.hashes, self.kinds, self.titles, self.ends = [], [], [], []
-        self.arrays = None
+        self.most, self.at = most, {}
+        self.arrays = [np.zeros(1024, t) for t in (np.uint64, np.int8, bool, bool)]
 
     def _add(self, raw: bytes) -> None:
-        core = raw.strip(_EDGE)
-        low = core.lower()
-        self.at[raw] = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(low, 3))
-        self.kinds.append(NUMBER if _NUMBER.match(core) else UNIT if low in UNITS else LITERAL)
-        self.titles.append(len(core) > 1 and core[:1].isupper() and core[1:2].islower())
-        self.ends.append(raw.rstrip(b"\"')]}")[-1:] in b".!?:" if raw.rstrip(b"\"')]}") else False)
-        self.arrays = None
+        core, n = raw.strip(_EDGE), len(self.at)
+        low, tail = core.lower(), raw.rstrip(b"\"')]}")[-1:]
+        if n == len(self.arrays[0]):
+            self.arrays = [np.concatenate([a, np.zeros_like(a)]) for a in self.arrays]
+        self.at[raw] = n
+        hashes, kinds, titles, ends = self.arrays
+        hashes[n] = xxhash.xxh64_intdigest(low, 3)
+        kinds[n] = NUMBER if _NUMBER.match(core) else UNIT if low in UNITS else LITERAL
+        titles[n] = len(core) > 1 and core[:1].isupper() and core[1:2].islower()
+        ends[n] = tail != b"" and tail in b".!?:"
 
     def template(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(template hashes, value hashes, is a slot) of the words. A name is a capitalised word inside a sentence."""
         words = (text or b"").split()
         if len(self.at) > self.most:
-            self._clear()
-        at = self.at
-        for w in words:
-            if w not in at:
-                self._add(w)
-        if self.arrays is None:
-            self.arrays = np.array(self.hashes, np.uint64), np.array(self.kinds, np.int8), np.array(self.titles, bool), np.array(self.ends, bool)
-        i = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+            self.at = {}
+        places = list(map(self.at.get, words))
+        if None in places:
+            for w in words:
+                if w not in self.at:
+                    self._add(w)
+            places = list(map(self.at.get, words))
+        i = np.array(places, np.int64)
         values, kind, title, end = (a[i] for a in self.arrays)
         begins = np.concatenate([[True], end[:-1]])[: len(i)]
         number = kind == NUMBER
