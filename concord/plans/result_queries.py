@@ -501,3 +501,56 @@ def load_suites(spark, sf_dir):
     k = F.col("suite_id") % 4
     content = F.when(k == 0, F.concat(F.lit('{"cases": '), case, F.lit("}"))).when(k == 1, F.concat(F.lit('{"items": '), case, F.lit("}"))).when(k == 2, case).otherwise("broken{")
     return tables.load_suites(s, s.select("suite_id", content.alias("content"))).select("suite_id", "reason", "id")
+
+
+# ---- catalogue helpers --------------------------------------------------------------------------------
+
+def _keyed_catalog(spark, sf_dir):
+    """The catalogue with keys and defaults set by rule: key columns are primary, dates default to now, names must be given."""
+    c = _catalog(spark, sf_dir)
+    name = F.col("column_name")
+    return c.withColumn("is_primary", F.col("ordinal_position") == 0).withColumn("column_default", F.when(name.contains("date"), "CURRENT_TIMESTAMP")).withColumn("is_nullable", ~name.contains("name"))
+
+
+@query(f"SELECT table_name, column_name, 'full' AS mode {_COLUMNS} AND ordinal_position > 1 AND NOT contains(column_name, 'date') UNION ALL SELECT table_name, column_name, 'minimal' {_COLUMNS} AND ordinal_position > 1 AND contains(column_name, 'name') UNION ALL SELECT table_name, column_name, 'custom' {_COLUMNS} AND column_name = 'o_orderkey'")
+def insert_columns(spark, sf_dir):
+    c = _keyed_catalog(spark, sf_dir)
+    pick = lambda mode, named=(): datagen.insert_columns(c, mode, list(named)).select("table_name", "column_name", F.lit(mode).alias("mode"))
+    return pick("full").union(pick("minimal")).union(pick("custom", ["o_orderkey"]))
+
+
+@query(f"SELECT table_name, column_name, CASE data_type WHEN 'VARCHAR' THEN substr('TEST_' || upper(column_name) || '_' || ordinal_position, 1, 12) WHEN 'DOUBLE' THEN ordinal_position || '.00' WHEN 'TIMESTAMP' THEN '2024-01-01 00:00:00' ELSE CAST(ordinal_position AS VARCHAR) END AS value {_COLUMNS}")
+def fallback_value(spark, sf_dir):
+    c = _catalog(spark, sf_dir)
+    value = datagen.fallback_value(F.col("data_type"), F.col("column_name"), F.col("ordinal_position"), F.lit(12))
+    return c.select("table_name", "column_name", value.alias("value"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '$.lines[*].' || p_brand ELSE '$.' || p_brand END AS json_path, CASE WHEN p_partkey % 3 = 0 THEN '$.' || p_brand END AS relative_path FROM part")
+def scope_fields(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    f = p.select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "$.lines[*].").otherwise("$."), F.col("p_brand")).alias("json_path"))
+    head, detail = schema_match.scope_fields(f, "$.lines")
+    return head.withColumn("relative_path", F.lit(None).cast("string")).unionByName(detail)
+
+
+@query("SELECT table_name, regexp_replace(column_name, '^[a-z]_', '') AS column_name FROM information_schema.columns WHERE (table_name = 'customer' AND column_name = 'c_custkey') OR (table_name = 'supplier' AND column_name = 's_nationkey')")
+def infer_keys(spark, sf_dir):
+    drafted = schema_match.draft_mappings(_matched(spark, sf_dir))
+    return schema_match.infer_keys(drafted, ("custkey", "suppkey", "nationkey")).select("table_name", "column_name")
+
+
+@query("SELECT 'supplier' AS table_name, 'f:' || regexp_replace(column_name, '^c_', '') AS what FROM information_schema.columns WHERE table_name = 'customer' AND column_name = 'c_mktsegment'")
+def unmatched_fields(spark, sf_dir):
+    best = _matched(spark, sf_dir).where("table_name = 'supplier'")
+    fields = _matched(spark, sf_dir).where("table_name = 'customer'").select("json_path").distinct()
+    _, left = schema_match.unmatched(best, fields)
+    return left.select(F.lit("supplier").alias("table_name"), F.concat(F.lit("f:"), F.substring("json_path", 3, 99)).alias("what"))
+
+
+@query("SELECT event_id, '<redacted>' AS token, '3' AS token_count, event_type AS kind FROM events")
+def redact_map(spark, sf_dir):
+    from ..functions.redact import redact_map as redacted
+
+    m = redacted(F.create_map(F.lit("access_token"), F.lit("abc"), F.lit("token_count"), F.lit("3"), F.lit("kind"), F.col("event_type")))
+    return table(spark, sf_dir, "events").withColumn("m", m).select("event_id", F.col("m")["access_token"].alias("token"), F.col("m")["token_count"].alias("token_count"), F.col("m")["kind"].alias("kind"))

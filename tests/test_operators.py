@@ -125,3 +125,37 @@ def test_write_and_read_back(spark, tmp_path):
     for kind in ("parquet", "json"):
         tables.write_result(df, str(tmp_path / kind), kind, by=["category"])
         assert sorted(r.id for r in tables.read_source(spark, tables.SourceSpec(kind, str(tmp_path / kind), id_column="id")).collect()) == [1, 2]
+
+
+def test_append_rows(spark):
+    rows = datagen.generate_rows(spark, 5, {"a": {"type": "sequence", "prefix": "T"}})
+    spark.sql("DROP TABLE IF EXISTS appended_rows")
+    tables.write_rows(rows, "appended_rows")
+    tables.write_rows(rows, "appended_rows")
+    assert spark.table("appended_rows").count() == 10
+    spark.sql("DROP TABLE appended_rows")
+
+
+def test_jdbc_options_take_the_password_from_the_environment(monkeypatch):
+    monkeypatch.setenv("DB_PASSWORD", "pw")
+    o = tables.jdbc_options("jdbc:postgresql://h/db", "t", "u", "DB_PASSWORD", "id", 0, 1000, 8)
+    assert o["password"] == "pw" and o["driver"] == "org.postgresql.Driver" and o["numPartitions"] == "8"
+
+
+def test_repeated_source_columns_are_taken_once(spark, sf):
+    spec = tables.SourceSpec("parquet", f"{sf}/nation.parquet", id_column="n_nationkey", extra=(("n_name", "name"), ("n_regionkey", "NAME")), order_by=("n_nationkey",), limit=3)
+    assert [tuple(r) for r in tables.read_source(spark, spec).collect()] == [(0, "NATION_0"), (1, "NATION_1"), (2, "NATION_2")]
+
+
+def test_entry_imports_without_the_llm_folder(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copytree(root / "concord", tmp_path / "concord", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    n, pipeline, known = out.stdout.split()
+    assert int(n) > 100 and pipeline == "False" and known == "True", out.stderr
