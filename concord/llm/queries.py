@@ -75,4 +75,13 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op9_embeddings": """
+        WITH RECURSIVE p AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.93
+        ), r(u, v) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u
+        ), n AS (SELECT u, count(*) AS n FROM p GROUP BY u), c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u)
+        SELECT c.u AS vec_id, coalesce(n, 0) AS n_links, component_id, c.u = component_id AS kept FROM c LEFT JOIN n USING (u)
+    """,
 }
