@@ -12,13 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, sigmoid
+from .common import crc_mod, materialise, sigmoid, words_of
 from .labelled import labelled_sample
+from .simhash import shingle_hashes
 
 _SENTENCE = re.compile(rb"[^.!?\n]+")
+#: Pull of the weights to where they start. Where several words of a document tell its label, noisy-or needs but one; this keeps the others.
+PULL = 1e-4
 _PUNCT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -31,8 +34,8 @@ class ToxicityModel:
 
 
 def features(word: bytes) -> tuple[bytes, ...]:
-    """The word, and its first four to six bytes where it is longer."""
-    return (word, *(b"^" + word[:n] for n in (4, 5, 6) if len(word) > n))
+    """The word, and its first four to six bytes as far as it has them."""
+    return (word, *(b"^" + word[:n] for n in (4, 5, 6) if len(word) >= n))
 
 
 def sentences(text: bytes) -> list[tuple[int, int, set[bytes]]]:
@@ -40,8 +43,32 @@ def sentences(text: bytes) -> list[tuple[int, int, set[bytes]]]:
     return [(m.start(), m.end(), set(words)) for m in _SENTENCE.finditer(text.lower()) if (words := m[0].translate(_PUNCT).split())]
 
 
-def _vocabulary(sample: DataFrame, size: int) -> list[bytes]:
-    """The ``size`` features most tied to the label by chi-squared over document counts."""
+def _without_copies(sample: DataFrame, k: int = 3, views: int = 4) -> DataFrame:
+    """One row of those that share a min-wise key: the rare words of a much copied document would pass for signs of its label.
+
+    Where that would leave less than a tenth of the sample, its texts are alike by nature, and all of them stay.
+    """
+
+    def run(batches):
+        for b in batches:
+            keys = []
+            for t in b.column(1).to_pylist():
+                hashes = shingle_hashes(words_of(t), k)
+                keys.append([int((hashes * np.uint64(2 * v + 1) + (hashes >> np.uint64(17 + v))).min().view(np.int64)) if len(hashes) else v for v in range(views)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text", "label", "keys"])
+
+    rows = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, text string, label int, keys array<long>")
+    for v in range(views):
+        rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(F.col("keys")[v]).orderBy("doc_id"))).where("at = 1")
+    different = materialise(rows.select("doc_id", "text", "label"), "different")
+    return different if 10 * different.count() >= sample.count() else sample
+
+
+def _vocabulary(sample: DataFrame, size: int) -> dict[bytes, float]:
+    """The ``size`` features most tied to the label by chi-squared over document counts, each with the weight it starts from.
+
+    That is the smoothed log odds of the label, less where few documents speak for it, and less for a part of a word.
+    """
 
     def run(batches):
         counts: dict[bytes, list[int]] = {}
@@ -55,16 +82,19 @@ def _vocabulary(sample: DataFrame, size: int) -> list[bytes]:
     t0, t1 = (sample.where(c).count() for c in ("label <= 0", "label > 0"))
     n, seen = t0 + t1, F.col("n0") + F.col("n1")
     tie = F.pow(F.col("n1") * (t0 - F.col("n0")) - F.col("n0") * (t1 - F.col("n1")), 2) * n / (seen * (n - seen + 1) * max(t0, 1) * max(t1, 1))
-    return [bytes(r.f) for r in per.where(seen >= 3).orderBy(tie.desc(), "f").limit(size).select("f").collect()]
+    top = per.where(seen >= 3).orderBy(tie.desc(), "f").limit(size).collect()
+    odds = lambda r: np.log((r.n1 + 0.5) / (t1 + 1)) - np.log((r.n0 + 0.5) / (t0 + 1))
+    return {bytes(r.f): float(max(odds(r), 0) * min(1, r.n1 / 8) * (0.4 if r.f[:1] == b"^" else 1)) for r in top}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int = 3, held: int = 1, most: int = 12_000, size: int = 4096, rounds: int = 300, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int = 3, held: int = 1, most: int = 12_000, size: int = 1024, rounds: int = 500, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Fit on at most ``most`` labelled documents and ``size`` features; labels with crc32 mod ``parts`` = ``held`` are not read.
 
     Without positive or negative labels every sentence gets the same small probability.
     """
-    sample = labelled_sample(docs, labels, label_col, parts, held, most, id_col, text_col)
-    place = {f: i for i, f in enumerate(_vocabulary(sample, size))}
+    sample = _without_copies(labelled_sample(docs, labels, label_col, parts, held, most, id_col, text_col))
+    start = _vocabulary(sample, size)
+    place = {f: i for i, f in enumerate(start)}
 
     def run(batches):
         for b in batches:
@@ -91,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int
     doc = np.repeat(np.arange(len(rows)), [len(r.ends) for r in rows])
     row = np.repeat(np.arange(len(sizes)), sizes)
     empty = np.array([r.empty for r in rows], float)
-    w, bias = np.zeros(len(place)), -4.0
+    w0 = np.array([*start.values()], float)
+    w, bias = w0.copy(), -7.0
     m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
     for step in range(1, rounds + 1):
         p = sigmoid(np.bincount(row, w[ids], len(sizes)) + bias)
@@ -101,9 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int
         pull = (1 - y) - y * (1 - whole) / whole  # d loss / d(-log survive)
         per = pull[doc] * p
         grad = np.append(np.bincount(ids, per[row], len(place)), per.sum() + (pull * empty).sum() * p0) / len(rows)
-        grad[:-1] += 1e-5 * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        grad[:-1] += PULL * (w - w0)
+        m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
+        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-7)
         w, bias = w - move[:-1], bias - move[-1]
     return ToxicityModel({f: float(w[i]) for f, i in place.items() if abs(w[i]) > 1e-6}, float(bias))
 
