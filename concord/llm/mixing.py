@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict, deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -135,20 +135,15 @@ def _chosen(rows: DataFrame, rest: dict[int, int], bins: int = 1024, rounds: int
     width = 1 << 32
     while width > 1 and low:
         step = max(1, width // bins)
-        edge = spark.createDataFrame([(p, low[p], low[p] + width) for p in low], "p int, a long, b long")
-        sums = rows.join(F.broadcast(edge), "p").where("u >= a and u < b").groupBy("p", F.floor((F.col("u") - F.col("a")) / step).alias("bin")).agg(F.sum(F.col("size") * F.col("n")).alias("t"))
-        by = defaultdict(dict)
-        for r in sums.collect():
-            by[r.p][int(r.bin)] = int(r.t)
+        edge = spark.createDataFrame([(p, low[p], low[p] + width, left[p]) for p in low], "p int, a long, b long, gap long")
+        inside = rows.join(F.broadcast(edge), "p").where("u >= a and u < b").groupBy("p", "gap", F.floor((F.col("u") - F.col("a")) / step).alias("bin")).agg(F.sum(F.col("size") * F.col("n")).alias("t"))
+        summed = inside.withColumn("upto", F.sum("t").over(Window.partitionBy("p").orderBy("bin")))
+        cut = summed.groupBy("p").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.col("bin"))).alias("bin"), F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("used"))
+        at = {r.p: r for r in cut.collect()}
         for p in low:
-            here = 0
-            for b in sorted(by[p]):
-                if by[p][b] > left[p]:
-                    here = b
-                    break
-                left[p] -= by[p][b]
-                here = b + 1
-            low[p] += min(here, -(-width // step)) * step
+            r = at.get(p)
+            left[p] -= int(r.used or 0) if r else 0
+            low[p] += step * (int(r.bin) if r and r.bin is not None else -(-width // step))
         width = step
     cut = spark.createDataFrame([(p, low[p]) for p in low], "p int, a long")
     taken = rows.join(F.broadcast(cut), "p").where("u < a").select("p", "id", "u", "size")
