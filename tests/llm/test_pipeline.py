@@ -67,3 +67,16 @@ def test_similar_texts_awkward_rows(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in out.collect()) == [(False, 3), (False, 4), (False, 6), (False, 7), (False, 10), (True, None)]
     assert similar_texts.keep_one(df.limit(0)).count() == 0
+
+
+def test_similar_texts_alike_only_through_the_base(spark):
+    base = [f"w{i}" for i in range(1000)]
+    rows = [(1000, " ".join(base))]
+    for c in range(150):
+        words = list(base)
+        for j in range(16):
+            words[10 + j * 61 + (c * 7 + j * j) % 53] = f"x{c}.{j}"
+        rows.append((c, " ".join(words)))
+    assert [len(g) for g in groups(rows)] == [151]
+    out = similar_texts.keep_one(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert [r.doc_id for r in out.collect()] == [0]
