@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, in the benchmark and in the documents alike. Windows of k template words are
 joined by hash; a document holds an item if it has enough of the item's windows and the values in the placeholders' slots map
-consistently from the item to the document, so that a question asked again with other numbers or names is caught as well.
+consistently from the item to the document, so that a question asked again with other numbers or names is caught as well. Both are
+taken for each occurrence of the item, so that one occurrence does not spoil another.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -107,9 +108,9 @@ def item_windows(items: DataFrame, k: int, literal: int = 2, id_col: str = "item
 
 
 def document_windows(docs: DataFrame, k: int, wanted, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, h, values) of the windows of the documents whose hash is in ``wanted`` (a broadcast sorted array), or of all where it is None.
+    """(uid, doc_id, at, h, values) of the windows of the documents whose hash is in ``wanted`` (a broadcast sorted array), or of all where it is None.
 
-    ``values`` are the hashes of all words of the window, for the slots that the item has there.
+    ``at`` is the first word. ``values`` are the hashes of all words of the window, for the slots that the item has there.
     """
 
     def run(batches):
@@ -119,7 +120,7 @@ def document_windows(docs: DataFrame, k: int, wanted, id_col: str, text_col: str
             coarse = np.zeros(1 << 16, bool)
             coarse[(held.view(np.uint64) >> np.uint64(48)).astype(np.int64)] = True
         for b in batches:
-            uid, ids, hs, vals = [], [], [], []
+            uid, ids, ats, hs, vals = [], [], [], [], []
             for u, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 hashes, values, _ = canon.template(t)
                 own = windows(hashes, k)
@@ -134,12 +135,13 @@ def document_windows(docs: DataFrame, k: int, wanted, id_col: str, text_col: str
                 for p in at.tolist():
                     uid.append(u)
                     ids.append(i)
+                    ats.append(p)
                     hs.append(int(signed[p]))
                     vals.append(values[p : p + k].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(vals, pa.list_(pa.int64()))], ["uid", "doc_id", "h", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(hs, pa.int64()), pa.array(vals, pa.list_(pa.int64()))], ["uid", "doc_id", "at", "h", "values"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary"))
-    return rows.mapInArrow(run, "uid long, doc_id long, h long, values array<long>")
+    return rows.mapInArrow(run, "uid long, doc_id long, at int, h long, values array<long>")
 
 
 def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, consistent: float = 0.8, max_broadcast: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -148,7 +150,8 @@ def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, cons
     ``coverage``: share of the item's windows that stand in the document. ``consistency``: of the slot values of the item seen in
     those windows, the share of sightings that agree with the value's main counterpart in the document; 1 without slots.
     ``changed``: some main counterpart is another value, as in a question asked with new numbers. ``contaminated``: consistency is
-    ``consistent`` or more. Null and blank texts and items match nothing. Repeated rows of a document give repeated rows. An item
+    ``consistent`` or more. All are those of the best occurrence: hits at one distance between document and item, those at
+    neighbouring distances, or, for a passage torn apart, all hits of the document. Null and blank texts and items match nothing. Repeated rows of a document give repeated rows. An item
     of under k words is one window, met by a document of just those words. Other columns are ignored.
 
     Up to ``max_broadcast`` windows of the benchmark are sent to the tasks, which emit their hits only; beyond that all windows of
@@ -165,14 +168,22 @@ def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, cons
     hits = document_windows(docs, k, wanted, id_col, text_col)
     met = hits.join(F.broadcast(own) if wanted is not None else own, "h")
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")), lambda x: x["a"] != 0)
-    met = materialise(met.select("uid", "doc_id", "item_id", "place", "n_windows", pairs.alias("pairs")), "met")
     by = ["uid", "doc_id", "item_id"]
-    cover = met.groupBy(*by).agg((F.count_distinct("place") / F.max("n_windows")).alias("coverage")).where(F.col("coverage") >= least)
-    seen = met.select(*by, F.explode("pairs").alias("x")).groupBy(*by, "x.a", "x.b").agg(F.count("*").alias("n"))
-    main = seen.groupBy(*by, "a").agg(F.sum("n").alias("n"), F.max(F.struct("n", (F.col("a") == F.col("b")).alias("same"))).alias("top"))
-    slots = main.groupBy(*by).agg((F.sum("top.n") / F.sum("n")).alias("consistency"), F.max(~F.col("top.same")).alias("changed"))
-    out = cover.join(slots, by, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    return out.select("doc_id", "item_id", "coverage", "consistency", F.coalesce("changed", F.lit(False)).alias("changed"), (F.col("consistency") >= consistent).alias("contaminated"))
+    met = materialise(met.select(*by, "place", "n_windows", (F.col("at") - F.col("place")).alias("shift"), pairs.alias("pairs")), "met")
+    last = Window.partitionBy("uid", "item_id").orderBy("shift")
+    apart = F.coalesce(F.col("shift") - F.lag("shift").over(last) > F.col("n_windows") / 2 + 1, F.lit(False))
+    runs = met.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(last))
+    level = lambda n, x: F.struct(F.lit(n).alias("level"), x.cast("long").alias("nth"))
+    met = materialise(runs.select(*by, "place", "n_windows", "pairs", F.explode(F.array(level(0, F.lit(0)), level(1, F.col("run")), level(2, F.col("shift")))).alias("part")), "parts")
+    one = [*by, "part"]
+    cover = met.groupBy(*one).agg((F.count_distinct("place") / F.max("n_windows")).alias("coverage")).where(F.col("coverage") >= least)
+    seen = met.select(*one, F.explode("pairs").alias("x")).groupBy(*one, "x.a", "x.b").agg(F.count("*").alias("n"))
+    main = seen.groupBy(*one, "a").agg(F.sum("n").alias("n"), F.max(F.struct("n", (F.col("a") == F.col("b")).alias("same"))).alias("top"))
+    slots = main.groupBy(*one).agg((F.sum("top.n") / F.sum("n")).alias("consistency"), F.max(~F.col("top.same")).alias("changed")).drop("doc_id")
+    out = cover.join(slots, ["uid", "item_id", "part"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).withColumn("changed", F.coalesce("changed", F.lit(False)))
+    rank = F.struct((F.col("consistency") >= consistent).alias("contaminated"), "coverage", "consistency", (~F.col("changed")).alias("same"))
+    best = out.groupBy(*by).agg(F.max(rank).alias("x"))
+    return best.select("doc_id", "item_id", "x.coverage", "x.consistency", (~F.col("x.same")).alias("changed"), "x.contaminated")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

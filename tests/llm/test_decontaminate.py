@@ -32,3 +32,16 @@ def test_query_finds_whole_passages_only(spark, sf):
     assert whole and whole <= got
     words = lambda t: {tuple(w[j : j + 5]) for w in [[x.lower().strip(".,") for x in t.split()]] for j in range(len(w) - 4)}
     assert all(len(words(docs[d]) & words(items[i])) >= 0.5 * len(words(items[i])) for d, i in got)
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_occurrences_do_not_spoil_each_other(spark, most):
+    third = "Once Sam has 33 apples and gives 8 kg of them to Cleo before Sam walks 6 miles home in the rain with nobody else around"
+    torn = f"{ITEM[:62]} {'some words between them ' * 30} {ITEM[62:]}"
+    docs = spark.createDataFrame([(1, f"{ITEM} {OTHER}"), (2, f"Well. {OTHER} and {third}"), (3, f"{BROKEN} {BROKEN}"), (4, torn), (None, f"{OTHER} {third}")], "doc_id int, text string")
+    items = spark.createDataFrame([(10, ITEM), (11, OTHER)], "item_id int, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find(docs, items, max_broadcast=most).collect()}
+    assert all(got[d, i].contaminated for d in (1, 2, None) for i in (10, 11))
+    assert not got[1, 10].changed and not got[1, 11].changed and got[2, 10].changed
+    assert got[3, 10].consistency < 1
+    assert set(decontaminate.drop_contaminated(docs, items, max_broadcast=most).select("doc_id").toPandas()["doc_id"].dropna()) <= {3, 4}
