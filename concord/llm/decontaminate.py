@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, in the benchmark and in the documents alike. Windows of k template words are
 joined by hash; a document holds an item if it has enough of the item's windows and the values in the placeholders' slots map
 consistently from the item to the document, so that a question asked again with other numbers or names is caught as well. Both are
-taken for each occurrence of the item, so that one occurrence does not spoil another.
+taken for each occurrence of the item, so that one occurrence does not spoil another. Windows of the plain words, without regard
+to case, are joined beside the template windows, as names are told by their capitals.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in b"%
 LITERAL, NUMBER, UNIT = 0, 1, 2
 _MARK = {n: np.uint64(xxhash.xxh64_intdigest(b"\0" + n.encode(), 3)) for n in ("number", "name", "unit")}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Marks windows of under k words inside longer documents.
+_INSIDE = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Canon:
@@ -86,7 +89,7 @@ def _slots(values: np.ndarray, slot: np.ndarray, at: int, k: int) -> list[int]:
 
 
 def item_windows(items: DataFrame, k: int, literal: int = 2, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, place, h, slots, n_windows) of each benchmark item. Windows with under ``literal`` plain words say too little and are left out,
+    """(item_id, place, h, slots, n_windows) of each benchmark item, with the template and the plain hash of each window. Windows with under ``literal`` plain words say too little and are left out,
     unless the item has no other; blank items have none."""
 
     def run(batches):
@@ -97,9 +100,14 @@ def item_windows(items: DataFrame, k: int, literal: int = 2, id_col: str = "item
                 hashes, values, slot = canon.template(t)
                 hs = windows(hashes, k)
                 own = min(k, len(hashes))
+                exact = windows(values, k)
                 plain = [own - int(slot[p : p + own].sum()) for p in range(len(hs))]
                 places = [p for p in range(len(hs)) if plain[p] >= literal] or [*range(len(hs))]
-                out += [(i, p, int(hs[p].view(np.int64)), _slots(values, slot, p, own), len(places)) for p in places]
+                for p in places:
+                    keys = {hs[p], exact[p]}
+                    if own < k:
+                        keys |= {exact[p] ^ _INSIDE} | ({hs[p] ^ _INSIDE} if plain[p] >= literal else set())
+                    out += [(i, p, int(h.view(np.int64)), _slots(values, slot, p, own), len(places)) for h in keys]
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32()))], ["item_id", "place", "h", "slots", "n_windows"])
 
@@ -107,10 +115,10 @@ def item_windows(items: DataFrame, k: int, literal: int = 2, id_col: str = "item
     return rows.mapInArrow(run, "item_id long, place int, h long, slots array<long>, n_windows int")
 
 
-def document_windows(docs: DataFrame, k: int, wanted, id_col: str, text_col: str) -> DataFrame:
+def document_windows(docs: DataFrame, k: int, wanted, short: list[int], id_col: str, text_col: str) -> DataFrame:
     """(uid, doc_id, at, h, values) of the windows of the documents whose hash is in ``wanted`` (a broadcast sorted array), or of all where it is None.
 
-    ``at`` is the first word. ``values`` are the hashes of all words of the window, for the slots that the item has there.
+    ``short``: the lengths of items of under ``k`` words. ``at`` is the first word. ``values`` are the hashes of all words of the window, for the slots that the item has there.
     """
 
     def run(batches):
@@ -119,25 +127,30 @@ def document_windows(docs: DataFrame, k: int, wanted, id_col: str, text_col: str
             held = wanted.value
             coarse = np.zeros(1 << 16, bool)
             coarse[(held.view(np.uint64) >> np.uint64(48)).astype(np.int64)] = True
+
+        def sought(own, other):
+            at = np.arange(len(own)) if held is None else np.flatnonzero(coarse[(own >> np.uint64(48)).astype(np.int64)])
+            if other is not None:
+                at = at[own[at] != other[at]]
+            if held is not None and len(at):
+                signed = own[at].view(np.int64)
+                at = at[held[np.minimum(np.searchsorted(held, signed), len(held) - 1)] == signed]
+            return at
+
         for b in batches:
             uid, ids, ats, hs, vals = [], [], [], [], []
             for u, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                hashes, values, _ = canon.template(t)
-                own = windows(hashes, k)
-                signed = own.view(np.int64)
-                if held is None:
-                    at = np.arange(len(own))
-                else:
-                    at = np.flatnonzero(coarse[(own >> np.uint64(48)).astype(np.int64)])
-                    if len(at):
-                        near = np.minimum(np.searchsorted(held, signed[at]), len(held) - 1)
-                        at = at[held[near] == signed[at]]
-                for p in at.tolist():
-                    uid.append(u)
-                    ids.append(i)
-                    ats.append(p)
-                    hs.append(int(signed[p]))
-                    vals.append(values[p : p + k].view(np.int64).tolist())
+                hashes, values, slot = canon.template(t)
+                for size in (k, *(m for m in short if m <= len(hashes))):
+                    mark = np.uint64(0) if size == k else _INSIDE
+                    own, exact = windows(hashes, size) ^ mark, windows(values, size) ^ mark
+                    for found, only in ((own, None), (exact, own)) if slot.any() else ((own, None),):
+                        for p in sought(found, only).tolist():
+                            uid.append(u)
+                            ids.append(i)
+                            ats.append(p)
+                            hs.append(int(found[p].view(np.int64)))
+                            vals.append(values[p : p + size].view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(hs, pa.int64()), pa.array(vals, pa.list_(pa.int64()))], ["uid", "doc_id", "at", "h", "values"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary"))
@@ -152,7 +165,8 @@ def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, cons
     ``changed``: some main counterpart is another value, as in a question asked with new numbers. ``contaminated``: consistency is
     ``consistent`` or more. All are those of the best occurrence: hits at one distance between document and item, those at
     neighbouring distances, or, for a passage torn apart, all hits of the document. Null and blank texts and items match nothing. Repeated rows of a document give repeated rows. An item
-    of under k words is one window, met by a document of just those words. Other columns are ignored.
+    of under k words is one window, met wherever its words stand; as a template only with two plain words, or where the document
+    has no others. Other columns are ignored.
 
     Up to ``max_broadcast`` windows of the benchmark are sent to the tasks, which emit their hits only; beyond that all windows of
     the documents are shuffled to those of the benchmark.
@@ -165,11 +179,12 @@ def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, cons
         if not len(held):
             held = np.zeros(1, np.int64)
         wanted = docs.sparkSession.sparkContext.broadcast(held)
-    hits = document_windows(docs, k, wanted, id_col, text_col)
+    short = [r.m for r in own.select(F.size("slots").alias("m")).where(F.col("m") < k).distinct().collect()]
+    hits = document_windows(docs, k, wanted, short, id_col, text_col)
     met = hits.join(F.broadcast(own) if wanted is not None else own, "h")
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")), lambda x: x["a"] != 0)
     by = ["uid", "doc_id", "item_id"]
-    met = materialise(met.select(*by, "place", "n_windows", (F.col("at") - F.col("place")).alias("shift"), pairs.alias("pairs")), "met")
+    met = materialise(met.select(*by, "place", "n_windows", (F.col("at") - F.col("place")).alias("shift"), pairs.alias("pairs")).dropDuplicates(["uid", "item_id", "place", "shift"]), "met")
     last = Window.partitionBy("uid", "item_id").orderBy("shift")
     apart = F.coalesce(F.col("shift") - F.lag("shift").over(last) > F.col("n_windows") / 2 + 1, F.lit(False))
     runs = met.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(last))

@@ -45,3 +45,13 @@ def test_occurrences_do_not_spoil_each_other(spark, most):
     assert not got[1, 10].changed and not got[1, 11].changed and got[2, 10].changed
     assert got[3, 10].consistency < 1
     assert set(decontaminate.drop_contaminated(docs, items, max_broadcast=most).select("doc_id").toPandas()["doc_id"].dropna()) <= {3, 4}
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_case_and_short_items(spark, most):
+    docs = spark.createDataFrame([(1, f"intro {ITEM.lower()} more"), (2, ITEM.upper()), (3, ITEM.title()), (4, "Well, there are ONLY four words here to see"), (5, "he paid 7 kg and left the house"), (6, "a sack of 5 kg stood there")], "doc_id int, text string")
+    items = spark.createDataFrame([(10, ITEM), (13, "only four words here"), (14, "5 kg")], "item_id int, text string")
+    out = decontaminate.find(docs, items, max_broadcast=most).where("contaminated").collect()
+    got = {(r.doc_id, r.item_id): r for r in out}
+    assert {(1, 10), (2, 10), (3, 10), (4, 13), (6, 14)} <= set(got) and (5, 14) not in got
+    assert all(got[d, 10].coverage == 1 and not got[d, 10].changed for d in (1, 2, 3))
