@@ -80,3 +80,17 @@ def test_similar_texts_alike_only_through_the_base(spark):
     assert [len(g) for g in groups(rows)] == [151]
     out = similar_texts.keep_one(spark.createDataFrame(rows, "doc_id int, text string"))
     assert [r.doc_id for r in out.collect()] == [0]
+
+
+def test_similar_texts_near_the_threshold(spark):
+    rows = []
+    for c in range(40):
+        words = [f"w{c}.{j}" for j in range(1500)]
+        edits = 33 if c % 2 else 34
+        changed = list(words)
+        for j in range(edits):
+            changed[20 + j * 40] = "x"
+        rows += [(2 * c, " ".join(words)), (2 * c + 1, " ".join(changed))]
+    want = [min(g) for g in groups(rows)]
+    assert len(want) == 60
+    assert sorted(r.doc_id for r in similar_texts.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect()) == want
