@@ -95,8 +95,17 @@ def orphans(detail: DataFrame, header: DataFrame, foreign_key: str, key: str, li
     return found if limit is None else found.limit(limit)
 
 
-def json_paths(df: DataFrame, json_col: str, depth: int = 4) -> DataFrame:
-    """(path, kind, n): every path of the documents with the kinds of its values; array elements are ``[*]``. ``depth`` bounds the nesting."""
+def json_depth(text):
+    """Column: how deep the objects and arrays of a JSON text are nested."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"', ""), r"[^\[\]{}]", "")
+    step = lambda acc, c: F.struct((acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("now"), F.greatest(acc["most"], acc["now"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("most"))
+    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+
+
+def json_paths(df: DataFrame, json_col: str, depth: int | None = None) -> DataFrame:
+    """(path, kind, n): every path of the documents with the kinds of its values; array elements are ``[*]``. ``depth`` bounds the levels, by default nothing does."""
+    if depth is None:
+        depth = 1 + (df.where(parse_json(F.col(json_col)).isNotNull()).agg(F.max(json_depth(F.col(json_col)))).first()[0] or 0)
     level = df.select(F.lit("$").alias("path"), parse_json(F.col(json_col)).alias("v")).where("v is not null")
     out = None
     for _ in range(depth):

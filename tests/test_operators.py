@@ -159,3 +159,10 @@ def test_entry_imports_without_the_llm_folder(tmp_path):
     out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     n, pipeline, known = out.stdout.split()
     assert int(n) > 100 and pipeline == "False" and known == "True", out.stderr
+
+
+def test_json_paths_go_to_the_bottom(spark):
+    df = spark.createDataFrame([('{"a": {"b": {"c": {"d": [{"e": 1}]}}}, "s": "[[\\\\\\"[{{{{{{{{"}',), ("[1]",), ("{{{{{{{{",), (None,)], "doc string")
+    got = {(r.path, r.kind): r.n for r in ingestion.json_paths(df, "doc").collect()}
+    assert got["$.a.b.c.d[*].e", "BIGINT"] == 1 and got["$.s", "STRING"] == 1 and got["$[*]", "BIGINT"] == 1 and len(got) == 10
+    assert ingestion.json_paths(df.limit(0), "doc").count() == 0
