@@ -29,9 +29,11 @@ BASE = (
 MORE = (
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
     ("prefixed", re.compile(r"\b(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza)[A-Za-z0-9_-]{16,}", re.A), 0),
-    ("url", re.compile(r"://[^\s:/@]{1,64}:([^\s:/@]{6,64})@"), 1),
-    ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])"), 0),
+    ("url", re.compile(r"://[^\s:/@]+:([^\s:/@]{6,})@"), 1),
+    ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"), 0),
 )
+#: What a random token has to hold.
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 ORDER = [k for k, *_ in BASE] + [k for k, *_ in MORE]
 
 
@@ -51,6 +53,8 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int, str]], list[tuple[
     for kind, pattern, group in MORE:
         for m in pattern.finditer(text):
             s, e = m.span(group)
+            if kind == "random" and not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
+                continue
             if all(e <= a or b <= s for a, b in taken):
                 taken.append((s, e))
                 more.append((kind, s, e, m[group]))

@@ -46,3 +46,11 @@ def test_ownership_and_awkward_rows(spark):
     by = {r.doc_id: r.spans for r in out}
     assert by[3] == "random:6:30" and all(by[10 + i] == "" for i in range(5))
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_long_values_are_candidates():
+    letters, digits = "aBcDe-fGhIj_" * 12, "1234567890-" * 14
+    for token in (letters + "7" + letters, digits + "x", "k9" * 100 + "=="):
+        assert secrets.find(f"use {token} now")[1] == [("random", 4, 4 + len(token), token)]
+    assert secrets.find(f"use {letters} {digits} now")[1] == []
+    assert ("url", 108, 188, "p" * 80) in secrets.find("https://" + "u" * 99 + ":" + "p" * 80 + "@host")[1]
