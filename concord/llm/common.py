@@ -1,10 +1,9 @@
-"""Helpers that the operators of this subpackage share: words, row keys and tables in the shared folder."""
+"""Helpers that the operators of this subpackage share: words, row keys, hot keys and tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +34,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the folders of tables from ``materialise`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "__dict__", {}).get("_shared_path"):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_split(rows: DataFrame, side: DataFrame, keys: list[str], n_col: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which holds each key once with ``n_col``, its number of rows.
+
+    Keys with at least one in ``share`` of all rows are ``share`` at most, so their part of ``side`` is broadcast and their rows
+    stay where they are; the others are joined by a shuffle. ``rows`` is read twice.
+    """
+    total = side.agg(F.sum(n_col)).first()[0] or 0
+    hot = F.col(n_col) * share >= total
+    few = F.broadcast(side.where(hot))
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(side.where(~hot), keys))
+
+
+def pieces(batches, rows: int = 512):
+    """The batches in slices of at most ``rows`` rows, so that what Python makes of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def digest_of(text_col: str):
+    """Column: 128-bit digest of a text; null and empty texts share one."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
+
+
 def words_of(text: str | bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8."""
     if not text:
@@ -54,9 +87,5 @@ def crc_mod(doc_id, n: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
-def crc_mod_py(doc_id, n: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % n
-
-
 def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """``pairs(u, v)`` with ``m``, the least of u and its v. The minimum is pre-aggregated, so a hub costs no large group."""
+    """``pairs(u, v)`` with ``m``, the least of u and its v. The minimum is pre-aggregated; the join back has one row a node on one side, so adaptive execution splits a hub's edges."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return pairs.join(least, "u")
 
@@ -38,7 +38,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        edges = materialise(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, materialise(_small_star(_large_star(edges)), "edges")
+        release(before)
         n, digest = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, digest) == seen:
             break

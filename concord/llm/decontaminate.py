@@ -5,6 +5,10 @@ joined by hash; a document holds an item if it has enough of the item's windows
 consistently from the item to the document, so that a question asked again with other numbers or names is caught as well. Both are
 taken for each occurrence of the item, so that one occurrence does not spoil another. Windows of the plain words, without regard
 to case, are joined beside the template windows, as names are told by their capitals.
+
+An item's windows are ordered by the number of items that have them, and a document that holds enough of them holds one of the
+rarest few. So only those propose items to a document; windows that many items and many documents share are counted afterwards,
+for the proposed pairs alone.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import digest_of, materialise, pieces, release
 
 #: Units that count as such after a number.
 UNITS = frozenset(b"% mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year dollars dollar cents cent euros euro pounds pound usd eur gbp meters metres miles feet inches grams liters litres degrees percent kwh w kw v a hz mb gb".split())
@@ -94,7 +98,7 @@ def item_windows(items: DataFrame, k: int, literal: int = 2, id_col: str = "item
 
     def run(batches):
         canon = Canon()
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 hashes, values, slot = canon.template(t)
@@ -115,8 +119,8 @@ def item_windows(items: DataFrame, k: int, literal: int = 2, id_col: str = "item
     return rows.mapInArrow(run, "item_id long, place int, h long, slots array<long>, n_windows int")
 
 
-def document_windows(docs: DataFrame, k: int, wanted, short: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, at, h, values) of the windows of the documents whose hash is in ``wanted`` (a broadcast sorted array), or of all where it is None.
+def document_windows(texts: DataFrame, k: int, wanted, short: list[int]) -> DataFrame:
+    """(key, at, h, values) of the windows of ``texts(key, text)`` whose hash is in ``wanted`` (a broadcast sorted array), or of all where it is None.
 
     ``short``: the lengths of items of under ``k`` words. ``at`` is the first word. ``values`` are the hashes of all words of the window, for the slots that the item has there.
     """
@@ -137,55 +141,53 @@ def document_windows(docs: DataFrame, k: int, wanted, short: list[int], id_col:
                 at = at[held[np.minimum(np.searchsorted(held, signed), len(held) - 1)] == signed]
             return at
 
-        for b in batches:
-            uid, ids, ats, hs, vals = [], [], [], [], []
-            for u, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for b in pieces(batches):
+            keys, ats, hs, vals = [], [], [], []
+            for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 hashes, values, slot = canon.template(t)
                 for size in (k, *(m for m in short if m <= len(hashes))):
                     mark = np.uint64(0) if size == k else _INSIDE
                     own, exact = windows(hashes, size) ^ mark, windows(values, size) ^ mark
                     for found, only in ((own, None), (exact, own)) if slot.any() else ((own, None),):
                         for p in sought(found, only).tolist():
-                            uid.append(u)
-                            ids.append(i)
+                            keys.append(u)
                             ats.append(p)
                             hs.append(int(found[p].view(np.int64)))
                             vals.append(values[p : p + size].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(hs, pa.int64()), pa.array(vals, pa.list_(pa.int64()))], ["uid", "doc_id", "at", "h", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ats, pa.int32()), pa.array(hs, pa.int64()), pa.array(vals, pa.list_(pa.int64()))], ["key", "at", "h", "values"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary"))
-    return rows.mapInArrow(run, "uid long, doc_id long, at int, h long, values array<long>")
+    return texts.mapInArrow(run, "key binary, at int, h long, values array<long>")
 
 
-def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, consistent: float = 0.8, max_broadcast: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, coverage, consistency, changed, contaminated) for document and item pairs that share ``least`` of the item's windows.
+def proposing(own: DataFrame, least: float) -> DataFrame:
+    """(h, item_id): the keys of the rarest windows of each item, one of which every document has that holds ``least`` of its windows."""
+    spread = own.groupBy("h").agg(F.count_distinct("item_id").alias("items"))
+    places = own.join(spread, "h").groupBy("item_id", "place", "n_windows").agg(F.max("items").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("items", "place"))
+    first = places.withColumn("rank", rank).where(F.col("rank") <= F.col("n_windows") - F.ceil(F.lit(least) * F.col("n_windows") - 1e-9) + 1)
+    return own.join(first.select("item_id", "place"), ["item_id", "place"]).select("h", "item_id").distinct()
 
-    ``coverage``: share of the item's windows that stand in the document. ``consistency``: of the slot values of the item seen in
-    those windows, the share of sightings that agree with the value's main counterpart in the document; 1 without slots.
-    ``changed``: some main counterpart is another value, as in a question asked with new numbers. ``contaminated``: consistency is
-    ``consistent`` or more. All are those of the best occurrence: hits at one distance between document and item, those at
-    neighbouring distances, or, for a passage torn apart, all hits of the document. Null and blank texts and items match nothing. Repeated rows of a document give repeated rows. An item
-    of under k words is one window, met wherever its words stand; as a template only with two plain words, or where the document
-    has no others. Other columns are ignored.
 
-    Up to ``max_broadcast`` windows of the benchmark are sent to the tasks, which emit their hits only; beyond that all windows of
-    the documents are shuffled to those of the benchmark.
-    """
+def matches(texts: DataFrame, items: DataFrame, k: int, least: float, consistent: float, max_broadcast: int, item_id_col: str, item_text_col: str) -> DataFrame:
+    """(key, item_id, coverage, consistency, changed, contaminated) for ``texts(key, text)``; see ``find``. Rows of one key have one text."""
     own = materialise(item_windows(items, k, id_col=item_id_col, text_col=item_text_col), "windows")
-    keys = own.select("h").distinct()
+    small = own.limit(max_broadcast + 1).count() <= max_broadcast
     wanted = None
-    if keys.limit(max_broadcast + 1).count() <= max_broadcast:
-        held = np.sort(np.array([r.h for r in keys.toLocalIterator()], np.int64))
-        if not len(held):
-            held = np.zeros(1, np.int64)
-        wanted = docs.sparkSession.sparkContext.broadcast(held)
+    if small:
+        held = np.unique(np.array([r.h for r in own.select("h").distinct().toLocalIterator()], np.int64))
+        wanted = texts.sparkSession.sparkContext.broadcast(held if len(held) else np.zeros(1, np.int64))
+    sent = F.broadcast if small else lambda x: x
     short = [r.m for r in own.select(F.size("slots").alias("m")).where(F.col("m") < k).distinct().collect()]
-    hits = document_windows(docs, k, wanted, short, id_col, text_col)
-    met = hits.join(F.broadcast(own) if wanted is not None else own, "h")
+    hits = materialise(document_windows(texts, k, wanted, short), "hits")
+    proposed = hits.select("key", "h").distinct().join(sent(proposing(own, least)), "h").select("key", "item_id").distinct()
+    both = proposed.join(sent(own), "item_id")
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")), lambda x: x["a"] != 0)
-    by = ["uid", "doc_id", "item_id"]
-    met = materialise(met.select(*by, "place", "n_windows", (F.col("at") - F.col("place")).alias("shift"), pairs.alias("pairs")).dropDuplicates(["uid", "item_id", "place", "shift"]), "met")
-    last = Window.partitionBy("uid", "item_id").orderBy("shift")
+    by = ["key", "item_id"]
+    once = hits.join(proposed.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "at", "h"])
+    met = once.join(both, ["key", "h"]).select(*by, "place", "n_windows", (F.col("at") - F.col("place")).alias("shift"), pairs.alias("pairs"))
+    met = materialise(met.dropDuplicates([*by, "place", "shift"]), "met")
+    release(hits)
+    last = Window.partitionBy(*by).orderBy("shift")
     apart = F.coalesce(F.col("shift") - F.lag("shift").over(last) > F.col("n_windows") / 2 + 1, F.lit(False))
     runs = met.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(last))
     level = lambda n, x: F.struct(F.lit(n).alias("level"), x.cast("long").alias("nth"))
@@ -194,14 +196,34 @@ def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, cons
     cover = met.groupBy(*one).agg((F.count_distinct("place") / F.max("n_windows")).alias("coverage")).where(F.col("coverage") >= least)
     seen = met.select(*one, F.explode("pairs").alias("x")).groupBy(*one, "x.a", "x.b").agg(F.count("*").alias("n"))
     main = seen.groupBy(*one, "a").agg(F.sum("n").alias("n"), F.max(F.struct("n", (F.col("a") == F.col("b")).alias("same"))).alias("top"))
-    slots = main.groupBy(*one).agg((F.sum("top.n") / F.sum("n")).alias("consistency"), F.max(~F.col("top.same")).alias("changed")).drop("doc_id")
-    out = cover.join(slots, ["uid", "item_id", "part"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).withColumn("changed", F.coalesce("changed", F.lit(False)))
+    slots = main.groupBy(*one).agg((F.sum("top.n") / F.sum("n")).alias("consistency"), F.max(~F.col("top.same")).alias("changed"))
+    out = cover.join(slots, one, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0))).withColumn("changed", F.coalesce("changed", F.lit(False)))
     rank = F.struct((F.col("consistency") >= consistent).alias("contaminated"), "coverage", "consistency", (~F.col("changed")).alias("same"))
     best = out.groupBy(*by).agg(F.max(rank).alias("x"))
-    return best.select("doc_id", "item_id", "x.coverage", "x.consistency", (~F.col("x.same")).alias("changed"), "x.contaminated")
+    return materialise(best.select(*by, "x.coverage", "x.consistency", (~F.col("x.same")).alias("changed"), "x.contaminated"), "matches")
+
+
+def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, consistent: float = 0.8, max_broadcast: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, coverage, consistency, changed, contaminated) for document and item pairs that share ``least`` of the item's windows.
+
+    ``coverage``: share of the item's windows that stand in the document. ``consistency``: of the slot values of the item seen in
+    those windows, the share of sightings that agree with the value's main counterpart in the document; 1 without slots.
+    ``changed``: some main counterpart is another value, as in a question asked with new numbers. ``contaminated``: consistency is
+    ``consistent`` or more. All are those of the best occurrence: hits at one distance between document and item, those at
+    neighbouring distances, or, for a passage torn apart, all hits of the document. Null and blank texts and items match nothing. Repeated rows of a document give repeated rows. An item
+    of under k words is one window, met wherever its words stand; as a template only with two plain words, or where the document
+    has no others. Null ids are reported as such. Other columns are ignored; an empty table on either side gives an empty result.
+
+    Up to ``max_broadcast`` windows of the benchmark are sent to the tasks, which emit their hits only; beyond that all windows of
+    the documents are shuffled to those of the benchmark.
+    """
+    keyed = docs.select(digest_of(text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    found = matches(keyed.select("key", "text"), items, k, least, consistent, max_broadcast, item_id_col, item_text_col)
+    return keyed.select("key", "doc_id").join(found, "key").drop("key")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id holds no benchmark item, all columns unchanged; rows with a null id stay."""
-    bad = find(docs, items, id_col=id_col, **how).where("contaminated").select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_leaked"], "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, consistent: float = 0.8, max_broadcast: int = 2_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, all columns unchanged. Rows go by their own text, whatever their ids; null and blank texts stay."""
+    texts = docs.select(digest_of(text_col).alias("key"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    bad = matches(texts, items, k, least, consistent, max_broadcast, item_id_col, item_text_col).where("contaminated").select(F.col("key").alias("_leaked")).distinct()
+    return docs.join(bad, digest_of(text_col) == bad["_leaked"], "left_anti")

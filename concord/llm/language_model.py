@@ -1,9 +1,14 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
-The probability of a word is that of its class times that of the word in its class. Classes are predicted from hashed features
-of the two words before: each alone (the second as a skip feature) and both together, with a softmax over the classes. The
-feature weights are trained by distributed gradient updates: in each round the tasks run stochastic gradient steps from the
-shared weights over their part of the corpus, and their weighted mean is the next model. Every training document is used.
+The probability of a word is that of its class times that of the word in its class, and both follow from hashed features of the
+two words before. The class is chosen by a softmax over the classes, with features of the word before, of the one before that (the
+skip feature) and of both together. Within its class a word is reached along a Huffman tree of the class's words by softmaxes over
+the two sides of each node, with the n-gram and the skip feature of that node and a bias from the corpus counts. So without trained
+weights a word has its corpus share of the class, and all words of a class always sum to one.
+
+The weights are trained by distributed gradient updates: in each round the tasks run stochastic gradient steps from the shared
+weights over their part of the corpus, and each weight moves by the mean of the tasks that moved it. Every training document is
+used. Counts, vocabulary, tree, and the number of weights follow the corpus.
 
 Word counts come from the whole corpus by a shuffle. The most frequent words (a fixed number, sent to the tasks) get classes by
 spelling; all others form one class, and their counts reach the documents through a join, so nothing that grows with the
@@ -20,29 +25,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise, words_of
+from .common import crc_mod, materialise, pieces, words_of
 
 #: Stands for the end of a document among the words; white space cannot occur in a word.
 END = b"\n"
 #: Classes of their own: a word that repeats the one before, and all words beyond the head.
 REPEAT, REST = 0, 1
+#: Codes of words beyond the head: one, and one that repeats the word before. The word at place p of the head has code p + HEAD.
+BEYOND, AGAIN, HEAD = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The head of the vocabulary: place of each word, its class and log10 count + 1 and log10 share of the class; corpus totals."""
+    """The head of the vocabulary: place of each word, its class and log10 count + 1; the trees of the classes; corpus totals.
+
+    Nodes of the trees are the places of the words and, from ``len(place)`` on, the inner ones; ``parent`` is -1 at a root, ``side``
+    tells on which side of its parent a node is, and ``bias`` is the log odds of side 1 by the corpus counts, for inner nodes.
+    """
 
     place: dict[bytes, int]
     classes: np.ndarray
     counts: np.ndarray
-    within: np.ndarray
+    parent: np.ndarray
+    side: np.ndarray
+    bias: np.ndarray
     n_classes: int
     tokens: int
     types: int
     rest_log: float
 
 
-def word_counts(docs: DataFrame, parts: int, held: int, flush: int = 400_000) -> DataFrame:
+def word_counts(docs: DataFrame, parts: int, held: int, flush: int = 800_000) -> DataFrame:
     """(w, c): how often each word and the end stand in the training documents. Tasks count first, so frequent words are few rows."""
 
     def table(counts: Counter) -> pa.RecordBatch:
@@ -50,7 +63,7 @@ def word_counts(docs: DataFrame, parts: int, held: int, flush: int = 400_000) ->
 
     def run(batches):
         counts: Counter = Counter()
-        for b in batches:
+        for b in pieces(batches):
             for t in b.column(0).to_pylist():
                 counts.update(words_of(t))
                 counts[END] += 1
@@ -95,6 +108,32 @@ def word_classes(words: list[bytes], counts: np.ndarray, n_classes: int, own: in
     return out
 
 
+def class_trees(counts: np.ndarray, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parent, side, bias) of a Huffman tree for the words of each class; ``counts`` are in falling order."""
+    n = len(counts)
+    parent, side, bias = np.full(2 * n, -1, np.int32), np.zeros(2 * n, np.int8), np.zeros(n, np.float32)
+    new = n
+    for c in range(REST + 1, n_classes):
+        own = np.flatnonzero(classes == c)[::-1]
+        leaves, inner, i, j = [*zip(counts[own].tolist(), own.tolist())], [], 0, 0
+        for _ in range(len(leaves) - 1):
+            pair = []
+            for _ in range(2):
+                if j == len(inner) or (i < len(leaves) and leaves[i][0] <= inner[j][0]):
+                    pair.append(leaves[i])
+                    i += 1
+                else:
+                    pair.append(inner[j])
+                    j += 1
+            (less, a), (more, b) = pair
+            parent[a] = parent[b] = new
+            side[b] = 1
+            bias[new - n] = np.log(more / less)
+            inner.append((less + more, new))
+            new += 1
+    return parent[:new], side[:new], bias[: new - n]
+
+
 def vocabulary(counts: DataFrame, head: int, n_classes: int, own: int) -> Vocabulary:
     """From the counts of all words: the most frequent, at most ``head``, are those above a count found from a table of counts."""
     tokens, types = counts.agg(F.sum("c"), F.count("*")).first()
@@ -106,42 +145,8 @@ def vocabulary(counts: DataFrame, head: int, n_classes: int, own: int) -> Vocabu
     words, c = top["w"].to_pylist(), top["c"].to_numpy().astype(np.int64)
     classes = word_classes(words, c, n_classes, own)
     n_classes = max(2, int(classes.max(initial=1)) + 1)
-    totals = np.bincount(classes, c, n_classes)
     rest_tokens, rest_types = (tokens or 0) - int(c.sum()), types - len(words)
-    return Vocabulary({w: i for i, w in enumerate(words)}, classes, np.log10(c + 1.0), np.log10(c / totals[classes]) if len(c) else np.zeros(0), n_classes, int(tokens or 0), int(types), float(-np.log10(rest_tokens + rest_types + 1)))
-
-
-class Encoder:
-    """Documents as places in the head (-1: beyond), outcome classes and feature rows.
-
-    A feature row is a hash of the word before, in the first quarter of the buckets, of the word before that (the skip feature),
-    in the second, or of both, in the other half. Row 0 is the bias.
-    """
-
-    def __init__(self, vocab: Vocabulary, buckets: int):
-        self.vocab, self.part = vocab, buckets // 4
-        ids = np.arange(len(vocab.place) + 2, dtype=np.uint64) + np.uint64(1)  # the last two: no word, beyond the head
-        self.one, self.two, self.left, self.right = ((_scrambled(ids * np.uint64(2 * i + 1) + np.uint64(i << 40)) >> np.uint64(20)).astype(np.int32) for i in range(4))
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocab.place.get, words, (-1,) * len(words)), np.int32, len(words))
-
-    def encode(self, words: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(outcome classes, feature rows n x 3), words with the end last."""
-        n = len(words)
-        same = np.zeros(n, bool)
-        same[1:] = at[1:] == at[:-1]
-        beyond = np.flatnonzero(same & (at < 0))
-        same[beyond] = [words[i] == words[i - 1] for i in beyond.tolist()]
-        outcome = np.where(at < 0, REST, self.vocab.classes[at] if len(self.vocab.classes) else REST)
-        outcome[same] = REPEAT
-        before = np.concatenate([np.array([-2, -2], np.int32), at])
-        one, two = before[1 : n + 1], before[:n]
-        rows = np.empty((n, 3), np.int32)
-        rows[:, 0] = 1 + self.one[one] % (self.part - 1)
-        rows[:, 1] = self.part + self.two[two] % self.part
-        rows[:, 2] = 2 * self.part + (self.left[one] ^ self.right[two]) % (2 * self.part)
-        return outcome, rows
+    return Vocabulary({w: i for i, w in enumerate(words)}, classes, np.log10(c + 1.0), *class_trees(c, classes, n_classes), n_classes, int(tokens or 0), int(types), float(-np.log10(rest_tokens + rest_types + 1)))
 
 
 def _scrambled(h: np.ndarray) -> np.ndarray:
@@ -150,25 +155,106 @@ def _scrambled(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) >> np.uint64(13)
 
 
-#: Bound of a weight.
-LIMIT = 20.0
 
+def _power(x: float, low: int, high: int) -> int:
+    """The power of two at or under x, within bounds that are powers of two."""
+    return min(max(1 << max(int(x), 1).bit_length() - 1, low), high)
 
-def _exponents(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the weights of each row's features; row 0 of the weights is the bias. Weights are within LIMIT, so exponents stay finite."""
-    z = weights.take(rows[:, 0], axis=0)
-    for j in range(1, rows.shape[1]):
-        z += weights.take(rows[:, j], axis=0)
-    z += weights[0]
-    return z
 
+class Model:
+    """Weights of the class softmax (``buckets`` x classes) and of the tree nodes (``buckets`` x ``SPAN`` slots), in one vector.
 
-def log10_outcomes(weights: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> np.ndarray:
-    """log10 probability of each outcome class given its row of features."""
-    z = _exponents(weights, rows)
-    own = z[np.arange(len(z)), outcome]
-    np.exp(z, out=z)
-    return (own - np.log(z.sum(1))) / np.float32(np.log(10))
+    A row of the class weights is a hash of the word before, in the first quarter of the buckets, of the word before that (the skip
+    feature), in the second, or of both, in the other half; row 0 is the bias. A slot of the tree weights is a hash of a node with
+    the word before or with the one before that.
+    """
+
+    #: Bound of a weight.
+    LIMIT = 20.0
+    SPAN = 32
+
+    def __init__(self, vocab: Vocabulary, buckets: int, weights: np.ndarray | None = None):
+        self.vocab, self.buckets, n, c = vocab, buckets, len(vocab.place), vocab.n_classes
+        cut = buckets * c
+        self.weights = np.zeros(cut + buckets * self.SPAN, np.float32) if weights is None else weights
+        self.top, self.slots = self.weights[:cut].reshape(buckets, c), self.weights[cut:]
+        self.mask = buckets * self.SPAN - 1
+        # Codes, and last the lack of a word; both codes beyond the head are one word.
+        ids = np.arange(n + HEAD + 1, dtype=np.uint64) + np.uint64(1)
+        ids[AGAIN] = ids[BEYOND]
+        h = [(_scrambled(ids * np.uint64(2 * i + 1) + np.uint64(i << 40)) >> np.uint64(11)).astype(np.int64) for i in range(6)]
+        part = buckets // 4
+        self.one, self.two = (1 + h[0] % (part - 1)).astype(np.int32), (part + h[1] % part).astype(np.int32)
+        self.left, self.right = h[2].astype(np.int32), h[3].astype(np.int32)
+        self.near, self.skip = h[4], h[5]
+        nodes = np.arange(len(vocab.bias), dtype=np.uint64) + np.uint64(1)
+        self.node = (_scrambled(nodes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.int64)
+        self.outcome = np.concatenate([[REST, REPEAT], vocab.classes]).astype(np.int64)
+        self.parent, self.side = vocab.parent.astype(np.int64), vocab.side.astype(np.float32)
+
+    def contexts(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(outcome classes, codes of the word before, codes of the one before that) for documents laid end to end."""
+        none = len(self.vocab.place) + HEAD
+        one, two = np.full((2, len(codes)), none, np.int64)
+        one[1:] = codes[:-1]
+        one[starts] = none
+        two[1:] = one[:-1]
+        two[starts] = none
+        outcome = self.outcome.take(codes)
+        outcome[(codes >= HEAD) & (codes == one)] = REPEAT
+        return outcome, one, two
+
+    def rows(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+        """The feature rows of the class softmax."""
+        half = self.buckets // 2
+        return [self.one.take(one), self.two.take(two), half + ((self.left.take(one) ^ self.right.take(two)) & (half - 1))]
+
+    def exponents(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Sums of the class weights of each row's features and the bias. Weights are within LIMIT, so exponents stay finite."""
+        z = self.top.take(rows[0], axis=0)
+        for r in rows[1:]:
+            z += self.top.take(r, axis=0)
+        z += self.top[0]
+        return z
+
+    def class_logs(self, outcome: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural log probability of each outcome class."""
+        z = self.exponents(self.rows(one, two))
+        own = z[np.arange(len(z)), outcome]
+        np.exp(z, out=z)
+        return own - np.log(z.sum(1))
+
+    def climb(self, leaves: np.ndarray, one: np.ndarray, two: np.ndarray):
+        """(which words, slots of both features, exponent of side 1, side) of the nodes over each word, from the bottom up."""
+        n, at = len(self.vocab.place), np.arange(len(leaves))
+        leaves = leaves.astype(np.int64)
+        near, skip = self.near.take(one), self.skip.take(two)
+        while True:
+            up = self.parent.take(leaves)
+            live = np.flatnonzero(up >= 0)
+            if not len(live):
+                return
+            if len(live) < len(up):
+                leaves, up, near, skip, at = leaves.take(live), up.take(live), near.take(live), skip.take(live), at.take(live)
+            b = self.node.take(up - n)
+            i, j = (near ^ b) & self.mask, (skip ^ b) & self.mask
+            z = self.vocab.bias.take(up - n)
+            z += self.slots.take(i)
+            z += self.slots.take(j)
+            yield at, i, j, z, self.side.take(leaves)
+            leaves = up
+
+    def token_logs(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(outcome classes, log10 probability of class and word); for words beyond the head that of the class and ``rest_log``."""
+        outcome, one, two = self.contexts(codes, starts)
+        logs = self.class_logs(outcome, one, two).astype(np.float64)
+        inside = np.flatnonzero(outcome > REST)
+        for at, _, _, z, side in self.climb(codes[inside] - HEAD, one[inside], two[inside]):
+            z *= 1 - 2 * side
+            logs[inside[at]] -= np.log1p(np.exp(np.minimum(z, 60)))
+        logs /= np.log(10)
+        logs[outcome == REST] += self.vocab.rest_log
+        return outcome, logs
 
 
 def _grouped_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, few: int = 12) -> np.ndarray:
@@ -186,146 +272,199 @@ def _grouped_sums(values: np.ndarray, order: np.ndarray, first: np.ndarray, few:
 
 
 class Trainer:
-    """Mini-batch gradient steps with a step size for each feature row that falls with its gradients (Adagrad)."""
+    """Mini-batch gradient steps, with step sizes that fall with the gradients a row or slot has seen (Adagrad)."""
 
-    def __init__(self, weights: np.ndarray, rate: float):
-        self.w, self.rate, self.squares, self.seen = weights.copy(), rate, np.full(len(weights), 1e-2, np.float32), 0
+    def __init__(self, model: Model, rate: float):
+        self.m, self.rate, self.seen = model, np.float32(rate), 0
+        self.row_squares, self.slot_squares = (np.full(len(x), 1e-2, np.float32) for x in (model.top, model.slots))
 
     def _move(self, names: np.ndarray, grad: np.ndarray) -> None:
-        self.squares[names] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
-        grad *= (-self.rate / np.sqrt(self.squares[names]))[:, None]
-        grad += self.w[names]
-        self.w[names] = np.clip(grad, -LIMIT, LIMIT, out=grad)
-
-    def step(self, outcome: np.ndarray, rows: np.ndarray) -> None:
-        pull = _exponents(self.w, rows)
+        self.row_squares[names] += np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        grad *= (-self.rate / np.sqrt(self.row_squares[names]))[:, None]
+        grad += self.m.top[names]
+        self.m.top[names] = np.clip(grad, -Model.LIMIT, Model.LIMIT, out=grad)
+
+    def classes(self, outcome: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        rows = self.m.rows(one, two)
+        pull = self.m.exponents(rows)
         np.exp(pull, out=pull)
         pull /= pull.sum(1, keepdims=True)
         pull[np.arange(len(pull)), outcome] -= 1
         self._move(np.zeros(1, np.int64), pull.sum(0, keepdims=True))
-        for j in range(rows.shape[1]):
-            order = np.argsort(rows[:, j].astype(np.uint16) if len(self.w) <= 1 << 16 else rows[:, j], kind="stable")
-            sorted_rows = rows[order, j]
-            first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-            self._move(sorted_rows[first], _grouped_sums(pull, order, first))
-        self.seen += len(pull)
+        for r in rows:
+            order = np.argsort(r.astype(np.uint16) if self.m.buckets <= 1 << 16 else r, kind="stable")
+            ordered = r[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            self._move(ordered[first], _grouped_sums(pull, order, first))
+
+    def words(self, leaves: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        for _, i, j, z, side in self.m.climb(leaves, one, two):
+            np.clip(z, -30, 30, out=z)
+            np.exp(np.negative(z, out=z), out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            z -= side
+            squares = z * z
+            z *= -self.rate
+            for slot in (i, j):
+                np.add.at(self.slot_squares, slot, squares)
+                np.add.at(self.m.slots, slot, z / np.sqrt(self.slot_squares.take(slot)))
+
+    def step(self, codes: np.ndarray, starts: np.ndarray, size: int = 8192) -> None:
+        outcome, one, two = self.m.contexts(codes, starts)
+        for i in range(0, len(codes), size):
+            self.classes(outcome[i : i + size], one[i : i + size], two[i : i + size])
+        inside = np.flatnonzero(outcome > REST)
+        self.words(codes[inside] - HEAD, one[inside], two[inside])
+        self.seen += len(codes)
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes as their low two bytes and then the third, which is mostly zero."""
+    return codes.astype(np.uint16).tobytes() + (codes >> 16).astype(np.uint8).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    n = len(packed) // 3
+    return np.frombuffer(packed, np.uint16, n).astype(np.int32) | (np.frombuffer(packed, np.uint8, n, 2 * n).astype(np.int32) << 16)
+
+
+def encoded(rows: DataFrame, held) -> DataFrame:
+    """(uid, doc_id, codes, n_tokens, n_known, base, rare) of each row: codes of its words and the end, what the head knows of them,
+    and each word beyond the head with its number and the number of times it does not repeat the word before. ``held``: the broadcast vocabulary."""
 
+    def run(batches):
+        vocab = held.value
+        place = vocab.place.get
+        for b in pieces(batches):
+            out, words_, n_, m_, offsets = [], [], [], [], [0]
+            for t in b.column(2).to_pylist():
+                words = words_of(t)
+                words.append(END)
+                codes = np.fromiter(map(place, words, (-HEAD,) * len(words)), np.int32, len(words))
+                beyond = np.flatnonzero(codes == -HEAD).tolist()
+                codes += HEAD
+                again = [i for i in beyond if i and words[i] == words[i - 1]]
+                codes[again] = AGAIN
+                rare = Counter(words[i] for i in beyond)
+                twice = Counter(words[i] for i in again)
+                known = codes[codes >= HEAD] - HEAD
+                out.append((_packed(codes), len(words), len(known), float(vocab.counts[known].sum()) if len(known) else 0.0))
+                words_ += rare
+                n_ += rare.values()
+                m_ += [n - twice[w] for w, n in rare.items()]
+                offsets.append(len(words_))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64())
+            rare = pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(n_, pa.int32()), pa.array(m_, pa.int32())], ["w", "n", "m"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(zip(*out), kinds)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)], ["uid", "doc_id", "codes", "n_tokens", "n_known", "base", "rare"])
 
-#: Feature rows that travel together.
-CHUNK = 256
+    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    return numbered.mapInArrow(run, "uid long, doc_id long, codes binary, n_tokens long, n_known long, base double, rare array<struct<w binary, n int, m int>>")
 
 
-def _in_batches(encoder: Encoder, texts, size: int):
-    """(outcomes, feature rows, documents) of whole documents, about ``size`` tokens at a time; a document is (words, places)."""
+def _in_batches(packed, size: int):
+    """(codes, starts, ends) of whole documents laid end to end, about ``size`` tokens at a time."""
     docs, n = [], 0
-    for t in texts:
-        words = words_of(t)
-        words.append(END)
-        docs.append((words, encoder.places(words)))
-        n += len(words)
+    for x in packed:
+        docs.append(_unpacked(x))
+        n += len(docs[-1])
         if n >= size:
-            yield docs
+            ends = np.cumsum([len(d) for d in docs])
+            yield np.concatenate(docs), np.concatenate([[0], ends[:-1]]), ends
             docs, n = [], 0
     if docs:
-        yield docs
+        ends = np.cumsum([len(d) for d in docs])
+        yield np.concatenate(docs), np.concatenate([[0], ends[:-1]]), ends
+
 
+#: Weights that travel together, and how many tasks' moves are added up at once.
+CHUNK, FAN_IN = 1 << 16, 16
+MOVES = "chunk int, part int, total binary, moved binary"
 
-def _weighted_mean(t: pa.Table) -> pa.Table:
-    seen = t["seen"].to_numpy()
-    total = np.zeros(len(t["w"][0].as_py()) // 4, np.float64)
-    for n, w in zip(seen.tolist(), t["w"]):
-        total += np.frombuffer(w.as_py(), np.float32) * float(n)
-    return pa.table({"chunk": t["chunk"][:1], "seen": pa.array([int(seen.sum())]), "w": pa.array([(total / max(seen.sum(), 1)).astype(np.float32).tobytes()], pa.binary())})
 
+def _added(t: pa.Table) -> pa.Table:
+    """Moves of up to FAN_IN tasks or groups of them: their total, and for each weight the number of tasks that moved it."""
+    total, moved = None, None
+    for s, n in zip(t["total"].to_pylist(), t["moved"].to_pylist()):
+        own = np.frombuffer(s, np.float16 if n is None else np.float32).astype(np.float32)
+        times = (own != 0).astype(np.uint32) if n is None else np.frombuffer(n, np.uint32)
+        total, moved = (own, times) if total is None else (total + own, moved + times)
+    return pa.table({"chunk": t["chunk"][:1], "part": pa.array([t["part"][0].as_py() // FAN_IN], pa.int32()), "total": pa.array([total.tobytes()], pa.binary()), "moved": pa.array([moved.tobytes()], pa.binary())})
 
-def train(docs: DataFrame, vocab: Vocabulary, parts: int, held: int, buckets: int, rounds: int, rate: float, batch: int = 8192, tokens_per_task: int = 1_000_000) -> np.ndarray:
-    """Weights (buckets x classes), by one pass over all training documents in ``rounds`` disjoint rounds.
 
-    Each round deals its documents to tasks of about ``tokens_per_task`` tokens or more, which start from the round's weights and
-    return theirs in chunks; chunks are averaged by tokens in two steps, so no task reads more than a bounded share of them.
+def train(docs: DataFrame, held, buckets: int, rounds: int, rate: float, batch: int = 65_536, least_tokens: int = 1_000_000) -> np.ndarray:
+    """Weights after one pass over all of ``docs(doc_id, codes)`` in ``rounds`` disjoint rounds; ``held`` is the broadcast vocabulary.
+
+    Each round deals its documents to tasks of as many tokens as there are weights of a kind, twice, or more; so what they return is
+    a bounded part of what they read. They start from the round's weights and return their moves in chunks, which are added up in a
+    tree: no group holds more than FAN_IN of them, whatever the number of tasks.
     """
     spark = docs.sparkSession
-    weights = np.zeros((buckets, vocab.n_classes), np.float32)
-    held_vocab = spark.sparkContext.broadcast(vocab)
-    tasks = max(1, vocab.tokens // (rounds * tokens_per_task))
-    schema = "chunk int, salt int, seen long, w binary"
+    weights = Model(held.value, buckets).weights
+    tasks = max(1, held.value.tokens // (rounds * max(least_tokens, 2 * buckets * Model.SPAN)))
     for r in range(rounds):
         start = spark.sparkContext.broadcast(weights)
 
         def run(batches, start=start):
             from pyspark import TaskContext
 
-            encoder, trainer = Encoder(held_vocab.value, buckets), Trainer(start.value, rate)
+            trainer = Trainer(Model(held.value, buckets, start.value.copy()), rate)
             for b in batches:
-                for own in _in_batches(encoder, b.column(0).to_pylist(), 8 * batch):
-                    pairs = [encoder.encode(words, at) for words, at in own]
-                    outcome, rows = (np.concatenate(z) for z in zip(*pairs))
-                    for i in range(0, len(outcome), batch):
-                        trainer.step(outcome[i : i + batch], rows[i : i + batch])
+                for codes, starts, _ in _in_batches(b.column(0).to_pylist(), batch):
+                    trainer.step(codes, starts)
             if trainer.seen:
-                cut = [trainer.w[i : i + CHUNK].tobytes() for i in range(0, buckets, CHUNK)]
-                salt = TaskContext.get().partitionId() % 16
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([salt] * len(cut), pa.int32()), pa.array([trainer.seen] * len(cut), pa.int64()), pa.array(cut, pa.binary())], ["chunk", "salt", "seen", "w"])
-
-        own = docs.where((crc_mod("doc_id", parts) != held) & (F.pmod(F.xxhash64(F.lit(r), "doc_id"), F.lit(rounds)) == r) if rounds > 1 else crc_mod("doc_id", parts) != held)
-        found = own.select("text").coalesce(tasks).mapInArrow(run, schema)
-        mean = found.groupBy("chunk", "salt").applyInArrow(_weighted_mean, "chunk int, seen long, w binary").groupBy("chunk").applyInArrow(_weighted_mean, "chunk int, seen long, w binary")
-        for x in mean.collect():
-            weights[x.chunk * CHUNK : (x.chunk + 1) * CHUNK] = np.frombuffer(x.w, np.float32).reshape(-1, vocab.n_classes)
+                moves = (trainer.m.weights - start.value).astype(np.float16)
+                cut = [(c, moves[i : i + CHUNK]) for c, i in enumerate(range(0, len(moves), CHUNK))]
+                cut = [(c, x.tobytes()) for c, x in cut if x.any()]
+                part = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in cut], pa.int32()), pa.array([part] * len(cut), pa.int32()), pa.array([x for _, x in cut], pa.binary()), pa.nulls(len(cut), pa.binary())], ["chunk", "part", "total", "moved"])
+
+        own = docs.where(F.pmod(F.xxhash64(F.lit(r), "doc_id"), F.lit(rounds)) == r) if rounds > 1 else docs
+        found = own.select("codes").coalesce(tasks).mapInArrow(run, MOVES)
+        last = tasks - 1
+        while True:
+            found = found.groupBy("chunk", F.floor(F.col("part") / FAN_IN)).applyInArrow(_added, MOVES)
+            last //= FAN_IN
+            if not last:
+                break
+        weights = weights.copy()
+        for x in found.toLocalIterator():
+            at = slice(x.chunk * CHUNK, (x.chunk + 1) * CHUNK)
+            weights[at] += np.frombuffer(x.total, np.float32) / np.maximum(np.frombuffer(x.moved, np.uint32), 1)
         start.unpersist()
     return weights
 
 
-def score(docs: DataFrame, parts: int = 7, held: int = 2, head: int = 262_144, n_classes: int = 64, own: int = 24, buckets: int = 16_384, rounds: int = 2, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, parts: int = 7, held: int = 2, head: int = 262_144, n_classes: int = 32, own: int = 12, buckets: int | None = None, max_buckets: int = 1 << 17, rounds: int = 2, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Trained on the rows whose crc32(doc_id as text) mod ``parts`` is not ``held``; rows with a null id are neither trained on nor
     held out. ``base_score`` is the add-one unigram log10 probability of the words and the end. ``score`` is the model's: a word
     that repeats the one before is a class of its own, so the probabilities of the next word sum to at most 1. Null and blank
     texts are the end alone. Repeated rows are trained on and scored as often as they stand. An empty table gives none.
+
+    ``buckets``: rows of class weights, and a 32nd of the tree's slots; by default a 128th of the number of different training
+    words, from 4,096 to ``max_buckets``, which bounds what each task holds (33 MB).
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     counts = materialise(word_counts(rows, parts, held), "counts")
     vocab = vocabulary(counts, head, n_classes, own)
-    weights = train(rows, vocab, parts, held, buckets, rounds, rate)
-    model = docs.sparkSession.sparkContext.broadcast((vocab, weights))
+    buckets = buckets or _power(vocab.types / 128, 1 << 12, max_buckets)
+    spark = docs.sparkSession
+    words = spark.sparkContext.broadcast(vocab)
+    coded = materialise(encoded(rows, words), "coded")
+    sent = spark.sparkContext.broadcast(train(coded.where(crc_mod("doc_id", parts) != held).select("doc_id", "codes"), words, buckets, rounds, rate))
 
     def run(batches):
-        vocab, weights = model.value
-        encoder = Encoder(vocab, buckets)
+        model = Model(words.value, buckets, sent.value)
         for b in batches:
-            out, offsets, rare_words, rare_n, rare_m = [], [0], [], [], []
-            for own_docs in _in_batches(encoder, b.column(2).to_pylist(), 8192):
-                pairs = [encoder.encode(words, at) for words, at in own_docs]
-                outcome, feats = (np.concatenate(z) for z in zip(*pairs))
-                step = 16_384
-                logs = np.concatenate([log10_outcomes(weights, feats[i : i + step], outcome[i : i + step]) for i in range(0, len(outcome), step)]).astype(float)
-                at = np.concatenate([a for _, a in own_docs])
-                in_head = at >= 0
-                logs[outcome > REST] += vocab.within[at[outcome > REST]]
-                logs[outcome == REST] += vocab.rest_log
-                known = np.where(in_head, vocab.counts[at], 0.0) if len(vocab.counts) else np.zeros(len(at))
-                ends = np.cumsum([len(a) for _, a in own_docs])
-                first = np.concatenate([[0], ends[:-1]])
-                sums = [np.add.reduceat(z, first) for z in (logs, known, in_head.astype(np.int64))]
-                for j, (words, a) in enumerate(own_docs):
-                    beyond = np.flatnonzero(a < 0).tolist()
-                    rare = Counter(words[i] for i in beyond)
-                    once = Counter(words[i] for i in beyond if outcome[first[j] + i] == REST)
-                    out.append((len(words), int(sums[2][j]), float(sums[1][j]), float(sums[0][j])))
-                    rare_words += rare
-                    rare_n += rare.values()
-                    rare_m += [once[w] for w in rare]
-                    offsets.append(len(rare_words))
-            cols = list(zip(*out)) if out else [()] * 4
-            held = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_n, pa.int32()), pa.array(rare_m, pa.int32())], ["w", "n", "m"])
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), held)], ["uid", "doc_id", "n_tokens", "n_known", "base", "score", "rare"])
-
-    numbered = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
-    scored = materialise(numbered.mapInArrow(run, "uid long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<w binary, n int, m int>>"), "scored")
-    met = scored.select("uid", F.inline("rare")).join(counts, "w")
-    more = met.groupBy("uid").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base_more"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("score_more"))
-    full = scored.drop("rare").join(more, "uid", "left")
-    base = F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(vocab.tokens + vocab.types + 1)))
-    return full.select("doc_id", (crc_mod("doc_id", parts) == held).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("score_more", F.lit(0.0))).alias("score"))
+            sums = [np.add.reduceat(model.token_logs(codes, starts)[1], starts) for codes, starts, _ in _in_batches(b.column(5).to_pylist(), 32_768)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.concatenate(sums) if sums else np.zeros(0))], ["uid", "doc_id", "n_tokens", "n_known", "base", "score"])
+
+    scored = coded.select("uid", "doc_id", "n_tokens", "n_known", "base", "codes").mapInArrow(run, "uid long, doc_id long, n_tokens long, n_known long, base double, score double")
+    met = coded.select("uid", F.inline("rare")).join(counts, "w").withColumn("log", F.log10(F.col("c") + 1))
+    more = met.groupBy("uid").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.col("log")).alias("base_more"), F.sum(F.col("m") * F.col("log")).alias("score_more"))
+    full = scored.join(more, "uid", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    base = F.col("base") + zero("base_more") - F.col("n_tokens") * F.log10(F.lit(float(vocab.tokens + vocab.types + 1)))
+    return full.select("doc_id", (crc_mod("doc_id", parts) == held).alias("held_out"), "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + zero("score_more")).alias("score"))

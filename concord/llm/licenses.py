@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialise
+from .common import materialise, pieces
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -42,9 +42,18 @@ TEMPLATES = {
     "cc-by-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "cc-by-nc-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "cc-by-sa-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
+    "lgpl-3.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."],
+    "agpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "bsl-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"],
+    "epl-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
     "public-domain": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Template k-grams that are sent to every task at most.
+MAX_BROADCAST = 1_000_000
+
 #: ASCII letters lower-cased; other ASCII but digits and letters becomes a blank. Bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -94,7 +103,7 @@ def scan_words(docs: DataFrame, templates: list[list[bytes]], k: int, base: dict
     probe = re.compile(b"|".join(re.escape(p.split()[0].encode()) for p in base)) if base else None
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for t in b.column(2).to_pylist():
                 words = license_words(t)
@@ -122,8 +131,10 @@ def vote(grams: DataFrame, templates: DataFrame, k: int, gap: int = 4, near: int
 
     Votes are counted by (document, template, diagonal). Diagonals at most ``gap`` apart whose places are at most ``near`` words
     apart are merged; a span stands if its votes cover ``least`` of the template's k-grams, each template place counted once.
+    Up to ``MAX_BROADCAST`` k-grams of templates are broadcast, more are joined by a shuffle.
     """
-    votes = grams.join(F.broadcast(templates), "gram").withColumn("diagonal", F.col("at") - F.col("place"))
+    small = templates.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    votes = grams.join(F.broadcast(templates) if small else templates, "gram").withColumn("diagonal", F.col("at") - F.col("place"))
     lanes = votes.groupBy("uid", "label", "template", "words", "diagonal").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.collect_set("place").alias("places"))
     by = Window.partitionBy("uid", "template").orderBy("diagonal", "start")
     apart = (F.col("diagonal") - F.lag("diagonal").over(by) > gap) | (F.col("start") - F.lag("end").over(by) > near + F.col("words")) | F.lag("diagonal").over(by).isNull()
@@ -138,7 +149,8 @@ def scan(docs: DataFrame, k: int = 3, least: float = 0.6, templates: dict[str, l
 
     ``labels`` joins the base labels and those of verified template spans, distinct and sorted. ``score`` is the best coverage of
     a template, 1 where a base phrase stands, else 0. ``spans`` is an array of (label, start, end, coverage), in words.
-    Null and empty texts have no words, no places and empty labels. Repeated rows are kept one to one. Other columns are ignored.
+    Null and empty texts have no words, no places and empty labels. Repeated rows and rows with a null id are kept one to one. Other
+    columns are ignored; an empty table gives an empty result.
     """
     templates, base = TEMPLATES if templates is None else templates, BASE if base is None else base
     rows_of = template_grams(templates, k)

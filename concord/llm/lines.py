@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialise
+from .common import WHITE, digest_of, materialise, pieces
 
 _WHITE = WHITE.encode()
 
@@ -32,20 +32,22 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, id_col: str =
     """(h): hashes of the keys of at least ``min_chars`` code points that stand in ``min_docs`` or more different documents.
 
     Keys are made unique in each document first, and the count of distinct documents is pre-aggregated: a line that a third of
-    all documents share is a few partial counts. Rows with the same id are one document; rows with a null id are one, too.
+    all documents share is a few partial counts. Rows with the same id are one document; rows with a null id are one, too, apart
+    from all others.
     """
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             ids, hashes = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = {key_hash(k) for k in set(line_keys(t)[1]) if len(k) >= min_chars and _chars(k) >= min_chars}
-                ids += [-1 if i is None else i] * len(own)
+                ids += [i] * len(own)
                 hashes += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], ["doc", "h"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    counts = rows.mapInArrow(run, "doc long, h binary").groupBy("h").agg(F.count_distinct("doc").alias("n"))
+    unnamed = F.max(F.col("doc").isNull().cast("long"))
+    counts = rows.mapInArrow(run, "doc long, h binary").groupBy("h").agg((F.count_distinct("doc") + unnamed).alias("n"))
     return counts.where(F.col("n") >= min_docs).select("h")
 
 
@@ -56,25 +58,28 @@ def _cut(text: bytes | None, drop) -> tuple[bytes, int, int]:
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_broadcast: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the frequent lines cut from ``text_col`` and two more columns, ``n_lines`` (before) and ``n_dropped``.
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, max_broadcast: int = 1_000_000, counts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the frequent lines cut from ``text_col`` and, with ``counts``, two more columns, ``n_lines`` (before) and ``n_dropped``.
 
-    All other columns stay as they are; where ``docs`` has columns of those two names they are replaced. A null text becomes an
-    empty one (one empty line, none dropped); a text that loses all its lines becomes empty. Rows are neither added nor removed.
+    All other columns stay as they are; where ``docs`` has columns of those two names they are replaced with ``counts`` and stay
+    without. A null text becomes an empty one (one empty line, none dropped); a text that loses all its lines becomes empty. Rows
+    are neither added nor removed; an empty table gives an empty result.
 
     The frequent keys are few beside the text. Up to ``max_broadcast`` of them (16 bytes each) are sent to all tasks and the text
     never moves; beyond that they are joined by key to the lines' hashes, and only each document's own hits meet its text.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop("n_lines", "n_dropped") if counts else docs
     frequent = materialise(frequent_lines(docs, min_docs, min_chars, id_col, text_col), "lines")
     names = [f.name for f in docs.schema.fields]
-    schema = docs.select(*[F.col(f"`{n}`") for n in names], F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
+    more = ["n_lines", "n_dropped"] if counts else []
+    schema = docs.select(*[F.col(f"`{n}`") for n in names], *[F.lit(0).cast("long").alias(n) for n in more]).schema
     at = names.index(text_col)
 
     def rebuilt(b: pa.RecordBatch, drops) -> pa.RecordBatch:
         cut = [_cut(t, d) for t, d in zip(pc.cast(b.column(at), pa.binary()).to_pylist(), drops)]
         text = pa.array([x[0].decode() for x in cut], pa.string())
-        return pa.RecordBatch.from_arrays([*[text if i == at else b.column(i) for i in range(len(names))], pa.array([x[1] for x in cut], pa.int64()), pa.array([x[2] for x in cut], pa.int64())], [*names, "n_lines", "n_dropped"])
+        numbers = [pa.array([x[j] for x in cut], pa.int64()) for j in range(1, 1 + len(more))]
+        return pa.RecordBatch.from_arrays([*[text if i == at else b.column(i) for i in range(len(names))], *numbers], [*names, *more])
 
     if frequent.limit(max_broadcast + 1).count() <= max_broadcast:
         held = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.h) for r in frequent.toLocalIterator()))
@@ -89,13 +94,13 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
                     cache[k] = len(k) >= min_chars and _chars(k) >= min_chars and key_hash(k) in hits
                 return cache[k]
 
-            for b in batches:
+            for b in pieces(batches):
                 yield rebuilt(b, [drop] * b.num_rows)
 
         return docs.mapInArrow(run, schema)
 
     def own_keys(batches):
-        for b in batches:
+        for b in pieces(batches):
             hs, ts = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = {key_hash(k) for k in set(line_keys(t)[1])}
@@ -104,13 +109,13 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
             yield pa.RecordBatch.from_arrays([pa.array(ts, pa.binary()), pa.array(hs, pa.binary())], ["_t", "h"])
 
     # A document's hits are found by the hash of its text, which repeated rows share.
-    digest = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary")
+    digest = digest_of(text_col)
     own = docs.select(digest.alias("_t"), F.col(f"`{text_col}`").cast("binary")).mapInArrow(own_keys, "_t binary, h binary").distinct()
     hits = own.join(frequent, "h", "left_semi").groupBy("_t").agg(F.collect_set("h").alias("_hits"))
     joined = docs.withColumn("_t", digest).join(hits, "_t", "left").select(*[F.col(f"`{n}`") for n in names], "_hits")
 
     def run_joined(batches):
-        for b in batches:
+        for b in pieces(batches):
             sets = [frozenset(x or ()) for x in b.column(len(names)).to_pylist()]
             yield rebuilt(b, [lambda k, s=s: bool(s) and len(k) >= min_chars and _chars(k) >= min_chars and key_hash(k) in s for s in sets])
 

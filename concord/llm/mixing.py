@@ -2,18 +2,20 @@
 
 A document may belong to several sources. Documents are aggregated by membership pattern; the patterns' tokens are routed to the
 sources' quotas, where a second and third pass over the same tokens cost more each (convex repetition costs); then seeded
-documents fill each pattern's routed amount. Only one row for each pattern and each source reaches the driver, never documents.
+documents fill each pattern's routed amount. Only one row for each pattern and each source reaches the driver, never documents;
+what it decides is a seeded cut for each pattern, by which every row finds its own number of copies without moving.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict, deque
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 #: Words by the contract.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,8 +124,17 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
 NO_ID = -(1 << 62)
 
 
-def _chosen(rows: DataFrame, rest: dict[int, int], bins: int = 1024, rounds: int = 4) -> DataFrame:
-    """(id, u, size, p) of the distinct rows that get one pass more, with sizes near ``rest[p]`` for each pattern.
+@dataclass(frozen=True)
+class Plan:
+    """``patterns(m, p, passes, cut)``: rows below the seeded cut get a pass more, as do those of ``more(p, id, u, size)``. Both are bounded by the number of patterns."""
+
+    patterns: DataFrame
+    more: DataFrame
+    sources: DataFrame
+
+
+def _cuts(rows: DataFrame, rest: dict[int, int], bins: int = 1024, rounds: int = 4) -> tuple[dict[int, int], list[tuple]]:
+    """The cut of each pattern p below which sizes sum to at most ``rest[p]``, and the rows that are taken beyond it.
 
     ``rows`` has one row for each (p, id, u, size) and its number of copies n, all taken or none but at the edge. The cut in the
     seeded order is found by sums over ever finer bins (pre-aggregated), so no pattern's documents meet in one task; the gap that
@@ -145,43 +156,45 @@ def _chosen(rows: DataFrame, rest: dict[int, int], bins: int = 1024, rounds: int
             left[p] -= int(r.used or 0) if r else 0
             low[p] += step * (int(r.bin) if r and r.bin is not None else -(-width // step))
         width = step
-    cut = spark.createDataFrame([(p, low[p]) for p in low], "p int, a long")
-    taken = rows.join(F.broadcast(cut), "p").where("u < a").select("p", "id", "u", "size")
     more: list[tuple] = []
     for _ in range(rounds):
         gaps = spark.createDataFrame([(p, low[p], left[p]) for p in low if left[p] > 0] or [(-1, 0, 0)], "p int, a long, gap long")
         fits = rows.join(F.broadcast(gaps), "p").where("u >= a and size > 0 and size * n < 2 * gap")
         if more:
-            fits = fits.join(F.broadcast(spark.createDataFrame(more, "p int, id long, u long, size long")), ["p", "id", "u", "size"], "left_anti")
+            fits = fits.join(F.broadcast(spark.createDataFrame(more, MORE)), ["p", "id", "u", "size"], "left_anti")
         best = fits.groupBy("p").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size") * F.col("n")), "u", "id", "size", (F.col("size") * F.col("n")).alias("all"))).alias("x")).collect()
         for r in best:
             left[r.p] -= r.x["all"]
             more.append((r.p, r.x["id"], r.x["u"], r.x["size"]))
         if not best:
             break
-    if more:
-        taken = taken.union(spark.createDataFrame(more, "p int, id long, u long, size long"))
-    return taken
+    return low, more
 
 
-def mix(docs: DataFrame, weights=None, most: int = 3, seed: int = 17, max_patterns: int = 200_000, id_col: str = "doc_id", text_col: str = "text", member_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, size, sources, copies) for every row of ``docs``, and (name, source_size, target) for every source.
+MORE = "p int, id long, u long, size long"
 
-    A document gives ``copies`` x ``size`` words to the mix. ``member_col`` is a source name or an array of them; null is a source
-    of its own, last in order; an empty array belongs to no source and is never taken. ``weights(names) -> list`` weighs the
-    sources in code point order (default: 1, 2, 3, repeating). Targets share the whole size by weight, at most ``most`` times the
-    size of a source. Rows of equal id, sources and size are chosen together. Empty texts have size 0; what happens to them
-    changes no sum. An empty table gives empty results. Other columns are ignored. Reruns agree, by ``seed``.
-    More than ``max_patterns`` membership patterns raise an error, as the flow over patterns runs on the driver.
-    """
-    spark = docs.sparkSession
+
+def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, member_col: str):
+    """Columns (id, size, m, u) of a row: its id, words, sorted sources and place in the seeded order."""
     member = F.col(f"`{member_col}`")
     if docs.schema[member_col].dataType.typeName() != "array":
         member = F.array(member.cast("string"))
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     sources = F.array_sort(F.array_distinct(F.coalesce(member, F.array(F.lit(None).cast("string")))))
-    rows = materialise(docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), size.alias("size"), sources.alias("m")), "sizes")
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    return key, size, sources, lambda i, n: F.pmod(F.xxhash64(F.lit(seed), i, n), F.lit(1 << 32))
+
 
+def _with_copies(rows: DataFrame, plan: Plan) -> DataFrame:
+    """``rows(id, size, m, u, ..)`` with ``copies``: both sides of the plan are broadcast, so no row moves."""
+    own = rows.join(F.broadcast(plan.patterns), "m").join(F.broadcast(plan.more.withColumn("more", F.lit(1))), ["p", "id", "u", "size"], "left")
+    extra = F.when((F.col("u") < F.col("cut")) | F.col("more").isNotNull(), 1).otherwise(0)
+    return own.withColumn("copies", (F.col("passes") + extra).cast("int")).drop("p", "passes", "cut", "more")
+
+
+def _plan(rows: DataFrame, weights, most: int, max_patterns: int) -> Plan:
+    """The plan for ``rows(id, size, m, u)``."""
+    spark = rows.sparkSession
     found = rows.groupBy("m").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than max_patterns={max_patterns} membership patterns")
@@ -196,15 +209,44 @@ def mix(docs: DataFrame, weights=None, most: int = 3, seed: int = 17, max_patter
     targets = fill_targets(held, list(weights(names)) if weights else [1 + i % 3 for i in range(len(names))], most, sum(r.size for r in found))
     routed = route([(tuple(place[x] for x in r.m), r.size) for r in found], [round(t) for t in targets], most)
     sent = [sum(x.values()) for x in routed]
-
-    plan = spark.createDataFrame([(i, r.m, sent[i] // r.size if r.size else 1) for i, r in enumerate(found)], "p int, m array<string>, passes int")
     rest = {i: sent[i] % r.size for i, r in enumerate(found) if r.size and sent[i] % r.size}
-    planned = rows.join(F.broadcast(plan), "m").withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(1 << 32)))
-    copies = F.col("passes")
+    low, more = {}, []
     if rest:
-        distinct = materialise(planned.where(F.col("p").isin(*rest)).groupBy("p", "id", "u", "size").agg(F.count("*").alias("n")), "distinct")
-        extra = materialise(_chosen(distinct, rest), "chosen")
-        planned = planned.join(extra.withColumn("more", F.lit(1)), ["p", "id", "u", "size"], "left")
-        copies = copies + F.coalesce("more", F.lit(0))
-    chosen = planned.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "size", F.col("m").alias("sources"), copies.cast("int").alias("copies"))
-    return chosen, spark.createDataFrame([(x, held[i], targets[i]) for x, i in place.items()], "name string, source_size long, target double")
+        open_ = spark.createDataFrame([(i, found[i].m) for i in rest], "p int, m array<string>")
+        distinct = materialise(rows.join(F.broadcast(open_), "m").groupBy("p", "id", "u", "size").agg(F.count("*").alias("n")), "distinct")
+        low, more = _cuts(distinct, rest)
+        release(distinct)
+    patterns = spark.createDataFrame([(r.m, i, sent[i] // r.size if r.size else 1, low.get(i, 0)) for i, r in enumerate(found)], "m array<string>, p int, passes int, cut long")
+    return Plan(patterns, spark.createDataFrame(more, MORE), spark.createDataFrame([(x, held[i], targets[i]) for x, i in place.items()], "name string, source_size long, target double"))
+
+
+def mix(docs: DataFrame, weights=None, most: int = 3, seed: int = 17, max_patterns: int = 200_000, id_col: str = "doc_id", text_col: str = "text", member_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, size, sources, copies) for every row of ``docs``, and (name, source_size, target) for every source.
+
+    A document gives ``copies`` x ``size`` words to the mix. ``member_col`` is a source name or an array of them; null is a source
+    of its own, last in order; an empty array belongs to no source and is never taken. ``weights(names) -> list`` weighs the
+    sources in code point order (default: 1, 2, 3, repeating). Targets share the whole size by weight, at most ``most`` times the
+    size of a source. Rows of equal id, sources and size are chosen together, rows that differ in one of them apart. Empty texts
+    have size 0; what happens to them changes no sum. An empty table gives empty results. Other columns are ignored. Reruns
+    agree, by ``seed``.
+    More than ``max_patterns`` membership patterns raise an error, as the flow over patterns runs on the driver.
+    """
+    key, size, sources, order = _keyed(docs, seed, id_col, text_col, member_col)
+    rows = materialise(docs.select(key.alias("id"), size.alias("size"), sources.alias("m")).withColumn("u", order("id", "size")), "sizes")
+    plan = _plan(rows, weights, most, max_patterns)
+    chosen = _with_copies(rows, plan)
+    return chosen.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "size", F.col("m").alias("sources"), "copies"), plan.sources
+
+
+def take(docs: DataFrame, weights=None, most: int = 3, seed: int = 17, max_patterns: int = 200_000, id_col: str = "doc_id", text_col: str = "text", member_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``mix`` takes, with ``copies``, the number of times each is repeated; a column of that name is replaced.
+
+    Each row carries its own decision: rows that repeat an id with another text or source are decided apart.
+    """
+    key, size, sources, order = _keyed(docs, seed, id_col, text_col, member_col)
+    rows = materialise(docs.select(key.alias("id"), size.alias("size"), sources.alias("m")).withColumn("u", order("id", "size")), "sizes")
+    plan = _plan(rows, weights, most, max_patterns)
+    release(rows)
+    docs = docs.drop("copies")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"), size.alias("size"), sources.alias("m")).withColumn("u", order("id", "size"))
+    return _with_copies(packed, plan).where("copies > 0").select("row.*", "copies")

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, sigmoid
+from .common import crc_mod, pieces, sigmoid
 from .labelled import labelled_sample
 
 
@@ -53,7 +53,7 @@ def _blocks(sample: DataFrame, where: str, block: int, most: int) -> list[bytes]
     """At most ``most`` blocks of the sample's texts, in the order of a hash."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             cut = [t[at : at + block] for t in b.column(0).to_pylist() for at in range(0, len(t), block)]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["x"])
 
@@ -79,8 +79,9 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", parts: int = 4, held: int = 2, most: int = 12_000, block: int = 2048, blocks: int = 4000, dictionary: int = 32_768, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fit on at most ``most`` labelled documents and ``blocks`` blocks of each class; labels with crc32 mod ``parts`` = ``held`` are not read.
 
-    One half of the sample builds the dictionaries and the other the curve. A class without text gives no dictionary; without
-    both classes the score is their smoothed rate.
+    One half of the sample builds the dictionaries and the other the curve. Where a class has too little text for zstandard to
+    train on, its blocks themselves are the dictionary, up to ``dictionary`` bytes; a class without text gives none. Without both
+    classes the score is their smoothed rate. Empty tables give a model that scores every text alike, 0.5.
     """
     sample = labelled_sample(docs, labels, label_col, parts, held, most, id_col, text_col).withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)))
     dicts = []
@@ -97,18 +98,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", parts: i
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([own.difference(t) for t in b.column(0).to_pylist()], pa.float64())], ["label", "x"])
 
-    rows = sample.where("half = 1").select(F.col("text").cast("binary"), "label").mapInArrow(run, "label int, x double").orderBy("x", "label").collect()
-    slope, offset = logistic(np.array([r.x for r in rows]), np.array([float(r.label > 0) for r in rows]))
+    rows = sample.where("half = 1").select(F.col("text").cast("binary"), "label").mapInArrow(run, "label int, x double").collect()
+    x, y = np.array([r.x for r in rows], float), np.array([r.label > 0 for r in rows], float)
+    order = np.lexsort((y, x))  # sums that do not depend on the order of the tasks
+    slope, offset = logistic(x[order], y[order])
     return QualityModel(*dicts, block, level, slope, offset)
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, difference, score) for every row; null and empty texts have difference 0. Other columns are ignored."""
+    """(doc_id, difference, score) for every row; null and empty texts have difference 0.
+
+    Long texts are compressed whole, block by block, and the difference is a mean over their bytes. Repeated rows and rows with a
+    null id are scored like any other. Other columns are ignored; an empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = Compressors(held.value)
-        for b in batches:
+        for b in pieces(batches):
             x = np.array([own.difference(t) for t in b.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x), pa.array(sigmoid(own.model.slope * x + own.model.offset))], ["doc_id", "difference", "score"])
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_split, materialise, pieces
 
 #: Base patterns. A match counts if its value has the least length given.
 BASE = (
@@ -27,7 +28,7 @@ BASE = (
 )
 #: Further candidates, which count only if ownership says that they are live.
 MORE = (
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0),
     ("prefixed", re.compile(r"\b(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza)[A-Za-z0-9_-]{16,}", re.A), 0),
     ("url", re.compile(r"://[^\s:/@]+:([^\s:/@]{6,})@"), 1),
     ("random", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"), 0),
@@ -42,22 +43,48 @@ def entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values()) if s else 0.0
 
 
+class Taken:
+    """Disjoint spans in order; a span is looked up by bisection."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        at = bisect_right(self.ends, s)
+        return at < len(self.starts) and self.starts[at] < e
+
+    def spans(self):
+        return zip(self.starts, self.ends)
+
+
 def find(text: str | None) -> tuple[list[tuple[str, int, int, str]], list[tuple[str, int, int, str]]]:
-    """Base matches and further candidates of a text: (kind, start, end, value), offsets in code points, end exclusive."""
+    """Base matches and further candidates of a text: (kind, start, end, value), offsets in code points, end exclusive.
+
+    Further candidates do not overlap base matches or those of the kinds before theirs.
+    """
     base, more = [], []
     if not text:
         return base, more
     for kind, pattern, group, least in BASE:
         base += [(kind, m.start(), m.end(), m[group]) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    taken = [(s, e) for _, s, e, _ in base]
+    taken = Taken((s, e) for _, s, e, _ in base)
     for kind, pattern, group in MORE:
+        own = []
         for m in pattern.finditer(text):
             s, e = m.span(group)
             if kind == "random" and not (_DIGIT.search(m[0]) and _LETTER.search(m[0])):
                 continue
-            if all(e <= a or b <= s for a, b in taken):
-                taken.append((s, e))
-                more.append((kind, s, e, m[group]))
+            if not taken.meets(s, e):
+                own.append((kind, s, e, m[group]))
+        if own:
+            more += own
+            taken = Taken([*taken.spans(), *((s, e) for _, s, e, _ in own)])
     return base, more
 
 
@@ -68,7 +95,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             bases, found = [], []
             for t in b.column(3).to_pylist():
                 base, more = find(t)
@@ -82,15 +109,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return materialise(rows.mapInArrow(run, f"uid long, doc_id long, owner string, base array<struct<{span}>>, found array<struct<{span}, h binary, bits double>>"), "secrets")
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(h, n_owners, n_repos): distinct owners and repositories of each candidate value; a null owner counts as one.
+def ownership(flat: DataFrame) -> DataFrame:
+    """(h, n, n_owners, n_repos) from ``flat(h, owner, doc_id, uid)``: how often each candidate value stands, and its distinct owners and repositories.
 
-    A document stands for a repository of its owner. Pairs are made distinct before they are counted, so a value that a third of
-    all documents hold arrives as partial counts.
+    A document stands for a repository of its owner, a row with a null id for one of its own; a null owner counts as one. Rows are
+    counted by (value, owner, repository) first, so a value that a third of all documents hold arrives as partial counts.
     """
-    flat = found.select("doc_id", F.coalesce("owner", F.lit("\0")).alias("owner"), F.explode("found.h").alias("h"))
-    owners = flat.groupBy("h").agg(F.count_distinct("owner").alias("n_owners"))
-    return owners.join(flat.groupBy("h").agg(F.count_distinct("doc_id").alias("n_repos")), "h")
+    repo = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("uid")).alias("uid"))
+    per = flat.groupBy("h", "owner", repo.alias("repo")).agg(F.count("*").alias("n"))
+    owners = per.groupBy("h", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("repos"))
+    return owners.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
 def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 3, min_bits: float = 3.0, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
@@ -98,12 +126,13 @@ def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 3, min_bits: flo
 
     ``spans`` is an array of (kind, start, end, base, live, n_owners, n_repos). ``live``: at most ``max_owners`` owners and
     ``max_repos`` repositories hold the value, and its entropy is ``min_bits`` or more a character. Candidates that are neither
-    base nor live are left out. A null or empty text has no spans. Rows are kept one to one, repeated ids included; other
-    columns are ignored. An empty table gives an empty result.
+    base nor live are left out. A null or empty text has no spans. Rows are kept one to one, repeated and null ids included; each
+    row with a null id is a repository of its own. Other columns are ignored. An empty table gives an empty result.
     """
     rows = candidates(docs, id_col, text_col, owner_col)
-    flat = rows.select("uid", F.size("base").alias("n_base"), F.posexplode("found")).select("uid", (F.col("pos") < F.col("n_base")).alias("base"), "col.*")
-    held = flat.join(ownership(rows), "h")
+    flat = rows.select("uid", "doc_id", "owner", F.size("base").alias("n_base"), F.posexplode("found")).select("uid", "doc_id", "owner", (F.col("pos") < F.col("n_base")).alias("base"), "col.*")
+    owned = materialise(ownership(flat.select("h", "owner", "doc_id", "uid")), "owners")
+    held = join_split(flat.drop("doc_id", "owner"), owned, ["h"], "n").drop("n")
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos) & (F.col("bits") >= min_bits)
     kept = held.withColumn("live", live).where("base or live")
     spans = kept.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "end", "base", "live", "n_owners", "n_repos")).alias("spans"))

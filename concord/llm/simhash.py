@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import join_split, materialise, pieces, words_of
 from .components import components
 
 BITS = 64
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col:
     """(doc_id, fp): one row per document. Null and blank texts get fingerprint 0; other columns are ignored."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             fps = [majority(shingle_hashes(words_of(t), k)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, "<u8").view("<i8"))], ["doc_id", "fp"])
 
@@ -256,14 +256,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, pairwise: int
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the smallest doc_id reachable, itself included.
     Null or blank texts have fingerprint 0 and are linked like any other. Repeated rows are kept, each with the component of its
-    text. An empty table gives an empty result. Rows with a null id are kept; they take part but name no component.
+    text. An empty table gives an empty result. Rows with a null id are kept; they take part but name no component, so a group
+    of such rows alone has a null one. A fingerprint that many rows share is joined to them by broadcast.
     """
     rows = materialise(fingerprints(docs, k, id_col, text_col), "fingerprints")
-    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     roots = components(links(fps, radius, pairwise))
     fps = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = fps.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(fps.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = materialise(fps.join(names, "root").select("fp", "n", "component_id"), "named")
+    return join_split(rows, named, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):

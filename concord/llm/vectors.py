@@ -4,16 +4,21 @@ Vectors are dealt into shards of bounded size by label and hash. Each shard buil
 shard of its label by beam search, in blocks of queries that advance together in numpy. An audit compares a sample of each
 shard with exact search and widens the beam until it passes. Found pairs are verified in double precision; each task returns
 link counts and a spanning forest of its links, and the forests are united by distributed components.
+
+A task holds one graph and lets the queries stream by, sorted behind it, so a label of any size needs the memory of a shard. A
+graph travels once for ``block_size`` queries.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_split, materialise, release
 from .components import components
 
 #: Links of a node in the graph of a layer, and how many times fewer nodes the next layer has.
@@ -200,7 +205,8 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-GRAPH = "label long, dim int, shard int, blocks int, pos int, rep long, n long, v array<double>, width int, links array<array<int>>"
+GROUP = ["lab", "dim", "shard"]
+GRAPH = "lab string, dim int, shard int, blocks int, pos int, node long, n long, v array<double>, width int, links array<array<int>>"
 
 
 def _build_group(recall: float, least: float):
@@ -211,63 +217,93 @@ def _build_group(recall: float, least: float):
         width = audited_width(x, layers, least, recall)
         links = [[layer[i].tolist() for layer in layers if i < len(layer)] for i in range(len(x))]
         n = len(x)
-        return pa.table({"label": t["label"], "dim": t["dim"], "shard": t["shard"], "blocks": t["blocks"], "pos": pa.array(range(n), pa.int32()), "rep": t["rep"], "n": t["n"], "v": t["v"], "width": pa.array([width] * n, pa.int32()), "links": pa.array(links, pa.list_(pa.list_(pa.int32())))})
+        return pa.table({**{c: t[c] for c in (*GROUP, "blocks")}, "pos": pa.array(range(n), pa.int32()), "node": t["node"], "n": t["n"], "v": t["v"], "width": pa.array([width] * n, pa.int32()), "links": pa.array(links, pa.list_(pa.list_(pa.int32())))})
 
     return run
 
 
-def _query_group(least: float):
-    def run(graph: pa.Table, block: pa.Table) -> pa.Table:
-        none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        if not graph.num_rows or not block.num_rows:
-            return none
-        graph = graph.take(pa.array(np.argsort(graph["pos"].to_numpy(), kind="stable")))
-        whole, reps, weight = _matrix(graph["v"]), graph["rep"].to_numpy(), graph["n"].to_numpy()
-        held = graph["links"].to_pylist()
-        layers = [np.array([x[layer] for x in held if len(x) > layer], np.int64) for layer in range(len(held[0]))]
-        mine, names = _matrix(block["v"]), block["rep"].to_numpy()
-        q, node = range_search(_unit(whole), layers, _unit(mine), least - 1e-4, graph["width"][0].as_py())
-        if not len(q):
-            return none
+class Shard:
+    """A graph read back from its rows, in the order of ``pos``."""
+
+    def __init__(self, t: pa.Table):
+        self.whole, self.nodes, self.weight, self.width = _matrix(t["v"]), t["node"].to_numpy(), t["n"].to_numpy(), t["width"][0].as_py()
+        held = t["links"].to_pylist()
+        self.layers = [np.array([x[layer] for x in held if len(x) > layer], np.int64) for layer in range(len(held[0]))]
+        self.x = _unit(self.whole)
+
+    def links(self, block: pa.Table, least: float) -> pa.RecordBatch | None:
+        """(u, v, n): link counts of the queries (v null), and a spanning forest of the links found (n 0)."""
+        mine, names = _matrix(block["v"]), block["node"].to_numpy()
+        q, node = range_search(self.x, self.layers, _unit(mine), least - 1e-4, self.width)
         exact = np.empty(len(q))
         for at in range(0, len(q), 65536):
-            a, b = mine[q[at : at + 65536]], whole[node[at : at + 65536]]
+            a, b = mine[q[at : at + 65536]], self.whole[node[at : at + 65536]]
             exact[at : at + 65536] = np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
-        ok = (exact >= least) & (names[q] != reps[node])
+        ok = (exact >= least) & (names[q] != self.nodes[node])
         q, node = q[ok], node[ok]
-        counts = np.bincount(q, weight[node], len(names)).astype(np.int64)
-        u, v = _forest(names[q], reps[node])
+        if not len(q):
+            return None
+        counts = np.bincount(q, self.weight[node], len(names)).astype(np.int64)
+        u, v = _forest(names[q], self.nodes[node])
         linked = np.flatnonzero(counts)
-        return pa.table({"u": pa.array(np.concatenate([names[linked], u])), "v": pa.array(np.concatenate([np.zeros(len(linked), np.int64), v]), mask=np.arange(len(linked) + len(u)) < len(linked)), "n": pa.array(np.concatenate([counts[linked], np.zeros(len(u), np.int64)]))})
+        none = np.arange(len(linked) + len(u)) < len(linked)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[linked], u])), pa.array(np.concatenate([np.zeros(len(linked), np.int64), v]), mask=none), pa.array(np.concatenate([counts[linked], np.zeros(len(u), np.int64)]))], ["u", "v", "n"])
+
+
+def _queried(least: float):
+    """For rows sorted by group, the graph (kind 0) before its queries (kind 1)."""
+
+    def run(batches):
+        group, held, shard = None, [], None
+        for b in batches:
+            keys = list(zip(*(b[c].to_pylist() for c in (*GROUP, "block", "kind"))))
+            at = 0
+            for key, own in groupby(keys):
+                size = sum(1 for _ in own)
+                part, at = b.slice(at, size), at + size
+                if key[:-1] != group:
+                    group, held, shard = key[:-1], [], None
+                if key[-1] == 0:
+                    held.append(part)
+                    continue
+                if held:
+                    shard, held = Shard(pa.Table.from_batches(held)), []
+                if shard is not None and (found := shard.links(pa.Table.from_batches([part]), least)):
+                    yield found
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, shard_size: int = 8192, block_size: int = 4096, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, shard_size: int = 8192, block_size: int = 65_536, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Rows are compared if their labels are equal and not null and their vectors equally long. ``n_links``: other rows within
-    ``least`` cosine, in double precision. ``component_id``: the smallest vec_id reachable by links, itself included.
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Equal vectors are collapsed
-    first, with their number, so groups of copies cost nothing. Links are never false; the audit keeps those missed under
-    1 - ``recall``. Repeated rows count as rows. Other columns are ignored; an empty table gives an empty result.
+    Rows are compared if their labels (of any type, by their text) are equal and not null and their vectors equally long.
+    ``n_links``: other rows within ``least`` cosine, in double precision. ``component_id``: the smallest vec_id reachable by links,
+    itself included. Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Equal vectors of a
+    label are collapsed first, with their number, so groups of copies cost nothing. Links are never false; the audit keeps those
+    missed under 1 - ``recall``. Every row counts for itself: rows that share an id and differ in vector have their own links. Rows
+    with a null id take part and name no component. Other columns are ignored; an empty table gives an empty result.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("long").alias("label"), v.alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("lab"), v.alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite, F.lit(False))
-    keyed = rows.select("vec_id", "label", F.when(usable, F.xxhash64("label", "v")).alias("k1"), F.when(usable, F.xxhash64(F.lit(1), "v", "label")).alias("k2"), F.when(usable, F.col("v")).alias("v"))
-    reps = materialise(keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
-    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"), F.ceil(F.count("*") / block_size).cast("int").alias("blocks"))
-    dealt = reps.join(sizes, ["label", "dim"]).withColumn("spot", F.xxhash64(F.lit(2), "k1")).select("label", "dim", F.pmod("spot", "shards").cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(3), "k2"), "blocks").cast("int").alias("block"), "shards", "blocks", "spot", "rep", "n", "v")
-    graphs = materialise(dealt.groupBy("label", "dim", "shard").applyInArrow(_build_group(recall, least), GRAPH), "graphs")
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = dealt.select("label", "dim", "block", "rep", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    by = ["label", "dim", "shard", "block"]
-    found = materialise(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_query_group(least), "u long, v long, n long"), "found")
-    roots = components(found.where("v is not null").select("u", "v"))
-    counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("others"))
-    known = reps.select("k1", "k2", "rep", "n").join(counts.withColumnRenamed("u", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    out = keyed.drop("v", "label").join(known, ["k1", "k2"], "left")
-    root = F.coalesce("root", "rep", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("n") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), (F.col("vec_id") == root).alias("kept"))
+    usable = F.coalesce(F.col("lab").isNotNull() & (F.size("v") > 0) & finite, F.lit(False))
+    keyed = rows.where(usable).select("vec_id", "lab", F.xxhash64("lab", "v").alias("k1"), F.xxhash64(F.lit(1), "v", "lab").alias("k2"), "v")
+    collapsed = keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("lab").alias("lab"), F.first("v").alias("v"))
+    reps = materialise(collapsed.select("*", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("node")), "vectors")
+    sizes = reps.groupBy("lab", "dim").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"), F.ceil(F.count("*") / block_size).cast("int").alias("blocks"))
+    dealt = reps.join(sizes, ["lab", "dim"]).withColumn("spot", F.xxhash64(F.lit(2), "k1")).select("lab", "dim", F.pmod("spot", "shards").cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(3), "k2"), "blocks").cast("int").alias("block"), "shards", "blocks", "spot", "node", "n", "v")
+    graphs = materialise(dealt.groupBy(*GROUP).applyInArrow(_build_group(recall, least), GRAPH), "graphs")
+    held = graphs.select(*GROUP, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "pos", "node", "n", "v", "width", "links")
+    asked = dealt.select("lab", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "block", F.lit(1).alias("kind"), F.lit(0).alias("pos"), "node", "n", "v", F.lit(None).cast("int").alias("width"), F.lit(None).cast("array<array<int>>").alias("links"))
+    sorted_ = held.unionByName(asked).repartition(*GROUP, "block").sortWithinPartitions(*GROUP, "block", "kind", "pos")
+    found = materialise(sorted_.mapInArrow(_queried(least), "u long, v long, n long"), "found")
+    release(graphs)
+    roots = components(found.where("v is not null").select("u", "v")).withColumnRenamed("u", "node")
+    counts = found.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
+    named = reps.select("k1", "k2", "node", "n", "first_id").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    known = materialise(named.join(names, "root").select("k1", "k2", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), "component_id"), "named")
+    linked = join_split(keyed.select("vec_id", "k1", "k2"), known, ["k1", "k2"], "n").select("vec_id", "n_links", "component_id")
+    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

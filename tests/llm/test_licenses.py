@@ -48,3 +48,47 @@ def test_awkward_rows_and_diagonals(spark):
     assert by[6].labels == "mit" and by[6].spans[0].start == 2 and by[6].score > 0.8
     assert by[7].labels == "" and by[5].n_base == 30_000
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def plain_spans(t, k=3, least=0.6, gap=4, near=8):
+    """Verified spans of every template by loops over all places."""
+    words, out, n = licenses.license_words(t), set(), 0
+    for label in sorted(licenses.TEMPLATES):
+        for text in licenses.TEMPLATES[label]:
+            own = licenses.license_words(text)
+            lanes = {}
+            for i in range(len(words) - k + 1):
+                for j in range(len(own) - k + 1):
+                    if words[i : i + k] == own[j : j + k]:
+                        lanes.setdefault(i - j, []).append((i, j))
+            spans = []
+            for d in sorted(lanes, key=lambda d: (d, min(lanes[d]))):
+                lo, hi, places = min(i for i, _ in lanes[d]), max(i for i, _ in lanes[d]), {j for _, j in lanes[d]}
+                if spans and d - spans[-1][0] <= gap and lo - spans[-1][4] <= near + len(own):
+                    last = spans[-1]
+                    spans[-1] = (d, min(lo, last[1]), max(hi, last[2]), places | last[3], hi)
+                else:
+                    spans.append((d, lo, hi, places, hi))
+            out |= {(label, lo, hi + k, round(len(p) / (len(own) - k + 1), 9)) for _, lo, hi, p, _ in spans if len(p) / (len(own) - k + 1) >= least}
+            n += 1
+    return out
+
+
+def test_votes_match_plain_loops(spark, sf):
+    rng = __import__("random").Random(2)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text and "icense" in r.text and len(r.text) < 20_000][:15]
+    for n, texts in enumerate(licenses.TEMPLATES.values()):
+        words = [w for w in " ".join([*texts, "between them", *texts]).split() if rng.random() > 0.06]
+        docs += [(1000 + n, "before it " + " ".join(w if rng.random() > 0.05 else "edited" for w in words) + " after"), (None, " ".join(words))]
+    out = licenses.scan(spark.createDataFrame(docs, "doc_id int, text string"))
+    got = sorted(([r.doc_id, sorted((s.label, s.start, s.end, round(s.coverage, 9)) for s in r.spans)] for r in out.collect()), key=str)
+    assert got == sorted(([i, sorted(plain_spans(t))] for i, t in docs), key=str) and sum(len(s) for _, s in got) > 15
+
+
+def test_large_template_sets_are_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x " + licenses.TEMPLATES["mit"][0]), (None, "y")], "doc_id int, text string")
+    both = []
+    for most in (licenses.MAX_BROADCAST, 0):
+        monkeypatch.setattr(licenses, "MAX_BROADCAST", most)
+        both.append(sorted(licenses.scan(docs).select("doc_id", "labels", "score").collect(), key=str))
+    assert both[0] == both[1] and both[0][0].labels == "mit"

@@ -38,3 +38,12 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = {(i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, d in brute(rows, 10)}
     assert {(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in op6_line_dedup(spark, sf).collect()} == want
+
+
+def test_rows_without_an_id_are_a_document_apart(spark):
+    rows = [(None, "same"), (None, "same"), (-1, "same"), (3, "other\nsame")]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_lines int")
+    for least, left in ((3, 0), (4, 4)):
+        out = lines.drop_frequent_lines(df, min_docs=least, counts=False)
+        assert out.columns == df.columns and {r.n_lines for r in out.collect()} == {7}
+        assert sum("same" in r.text for r in out.collect()) == left

@@ -69,3 +69,28 @@ def test_overlap_and_awkward_rows(spark):
     assert abs(sum(r.size * r.copies for r in out) - total) < 0.2 * total
     none, _ = mixing.mix(df.limit(0))
     assert none.count() == 0
+
+
+def test_too_many_patterns_raise(spark):
+    import pytest
+
+    df = spark.createDataFrame([(i, "a b", [f"s{i}"]) for i in range(5)], "doc_id int, text string, source array<string>")
+    with pytest.raises(ValueError, match="max_patterns=4"):
+        mixing.mix(df, max_patterns=4)
+    assert mixing.mix(df, max_patterns=5)[0].count() == 5
+
+
+def test_rows_carry_their_own_copies(spark):
+    rows = [(7, f"word {'w ' * n}", s) for n in range(1, 40) for s in ("a", "b", None)] + [(None, "x " * n, "b") for n in range(1, 9)] + [(1, None, "a"), (1, "", "c"), (2, "long " * 50_000, "b")]
+    df = spark.createDataFrame([(i, t, s, 99, "p") for i, t, s in rows], "doc_id int, text string, source string, copies int, p string")
+    chosen = {(r.doc_id, r.size, r.sources[0]): r.copies for r in mixing.mix(df)[0].collect()}
+    taken = mixing.take(df)
+    assert taken.columns == ["doc_id", "text", "source", "p", "copies"]
+    got = {(r.doc_id, len((r.text or "").split()), r.source): r.copies for r in taken.collect()}
+    assert got == {k: c for k, c in chosen.items() if c} and len(set(chosen.values())) > 1
+    assert mixing.take(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_are_counted_whole(spark):
+    df = spark.createDataFrame([(1, "w\t" * 300_000, "a"), (2, "a b", "a")], "doc_id int, text string, source string")
+    assert sorted(r.size for r in mixing.mix(df)[0].collect()) == [2, 300_000]

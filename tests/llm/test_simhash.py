@@ -62,3 +62,19 @@ def test_large_groups_take_ball_keys(spark):
 def test_thresholds_sum_and_cost():
     cost, picks = simhash.allocate([[0, 5, 50], [0, 1, 2], [0, 9, 90]], 0)
     assert (cost, picks) == (7, [0, 1, -1])
+
+
+def test_rows_without_an_id_take_part(spark):
+    rows = [(None, "a b c d"), (5, "a b c d"), (4, "A b c d"), (None, "z y x"), (None, ""), (8, None)]
+    out = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()), key=str)
+    assert out == sorted([(None, 4), (5, 4), (4, 4), (None, None), (None, 8), (8, 8)], key=str)
+
+
+def test_hot_keys_join_like_others(spark):
+    from concord.llm.common import join_split
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 0, id) as k")
+    side = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    for share in (2, 1000, 100_000):
+        out = join_split(rows, side.selectExpr("k", "n", "k * 2 as v"), ["k"], "n", share)
+        assert out.count() == 5000 and out.where("v <> 2 * k").count() == 0
