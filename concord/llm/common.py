@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 _OWN: dict[str, str] = {}
+#: Rows with whole texts travel to Python in batches of so many, unless the session has another number than Spark's own.
+BATCH_ROWS = {"10000": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage for good."""
     spark = df.sparkSession
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS.get(size, size))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -63,7 +67,7 @@ def join_split(rows: DataFrame, side: DataFrame, keys: list[str], n_col: str, sh
     return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(side.where(~hot), keys))
 
 
-def pieces(batches, rows: int = 512):
+def pieces(batches, rows: int = 256):
     """The batches in slices of at most ``rows`` rows, so that what Python makes of one stays small."""
     for b in batches:
         for at in range(0, b.num_rows, rows):

@@ -37,7 +37,7 @@ _INSIDE = np.uint64(0xD6E8FEB86659FD93)
 class Canon:
     """Template words of texts, by a table of the raw words seen; the table restarts when it is full."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.at = most, {}
         self.arrays = [np.zeros(1024, t) for t in (np.uint64, np.int8, bool, bool)]
 

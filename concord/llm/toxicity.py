@@ -11,11 +11,11 @@ sentences without a known feature are, together count for less than one sentence
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +65,13 @@ def copy_weights(sample: DataFrame, k: int = 3, views: int = 4) -> dict[int, flo
                 keys.append([int((hashes * np.uint64(2 * v + 1) + (hashes >> np.uint64(17 + v))).min().view(np.int64)) if len(hashes) else v for v in range(views)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
 
-    rows = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>").collect()
-    seen = Counter((v, x) for r in rows for v, x in enumerate(r["keys"]))
-    return {r.doc_id: 1.0 / max(seen[v, x] for v, x in enumerate(r["keys"])) for r in rows}
+    rows = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>").toArrow()
+    keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(-1, views) if rows.num_rows else np.empty((0, views), np.int64)
+    most = np.ones(len(keys), np.int64)
+    for column in keys.T:
+        _, at, n = np.unique(column, return_inverse=True, return_counts=True)
+        most = np.maximum(most, n[at])
+    return dict(zip(rows["doc_id"].to_pylist(), (1.0 / most).tolist()))
 
 
 def _vocabulary(sample: DataFrame, weights, size: int) -> dict[bytes, float]:
@@ -123,25 +127,24 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int
 
     def run(batches):
         for b in pieces(batches):
-            ids, ends, plain = [], [], []
+            ids, sizes, plain = [], [], []
             for t in b.column(2).to_pylist():
                 all_sets = [tuple(sorted({place[f] for w in ws for f in features(w) if f in place})) for _, _, ws in sentences(t.encode())]
                 sets = sorted({*all_sets} - {()})
                 plain.append(all_sets.count(()))
                 ids.append([x for own in sets for x in own])
-                ends.append(np.cumsum([len(own) for own in sets], dtype=int).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(plain, pa.int64())], ["doc_id", "label", "ids", "ends", "plain"])
+                sizes.append([len(own) for own in sets])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), pa.array(plain, pa.int64())], ["doc_id", "label", "ids", "sizes", "plain"])
 
-    rows = sorted(sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids array<int>, ends array<int>, plain long").collect(), key=lambda r: r.doc_id)
-    y = np.array([r.label > 0 for r in rows], float)
+    rows = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids array<int>, sizes array<int>, plain long").toArrow().sort_by("doc_id")
+    y = (rows["label"].to_numpy() > 0).astype(float)
     if not 0 < y.sum() < len(y):
         return ToxicityModel({}, -12.0)
-    ids = np.concatenate([np.array(r.ids, np.int64) for r in rows])
-    sizes = np.concatenate([np.diff([0, *r.ends]) for r in rows]).astype(np.int64)
-    doc = np.repeat(np.arange(len(rows)), [len(r.ends) for r in rows])
+    ids, sizes = (rows[c].combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("ids", "sizes"))
+    doc = np.repeat(np.arange(len(y)), pc.list_value_length(rows["sizes"]).to_numpy())
     row = np.repeat(np.arange(len(sizes)), sizes)
-    plain = np.array([r.plain for r in rows], float)
-    share = np.array([weights[r.doc_id] for r in rows])
+    plain = rows["plain"].to_numpy().astype(float)
+    share = np.array([weights[i] for i in rows["doc_id"].to_pylist()])
     share /= share.sum()
     w0 = np.array([*start.values()], float)
     w, bias = w0.copy(), -7.0
@@ -164,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int
 class Scorer:
     """Sentence and document probabilities under a model; keeps the weights of words it has seen."""
 
-    def __init__(self, model: ToxicityModel, most: int = 300_000):
+    def __init__(self, model: ToxicityModel, most: int = 100_000):
         self.model, self.most, self.seen = model, most, {}
 
     def _hits(self, word: bytes) -> tuple[bytes, ...]:

@@ -107,9 +107,9 @@ def test_length_does_not_make_a_text_toxic(spark, fitted):
 
 def test_copies_share_one_weight(spark):
     copy = "one text that was copied a lot with the rare word zyzzyva in it"
-    rows = [(i, copy) for i in range(90)] + [(100 + i, f"text {i} of its own kind, number {i * 7} of the series") for i in range(10)]
+    rows = [(i, copy) for i in range(90)] + [(100 + i, f"u{i} v{i} w{i} x{i} y{i}") for i in range(10)]
     w = toxicity.copy_weights(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert all(abs(w[i] - 1 / 90) < 1e-12 for i in range(90)) and all(w[100 + i] > 0.3 for i in range(10))
+    assert all(abs(w[i] - 1 / 90) < 1e-12 for i in range(90)) and all(w[100 + i] == 1 for i in range(10))
 
 
 def test_too_little_text_for_training_is_its_own_dictionary(spark):
