@@ -91,12 +91,46 @@ TRANSFORMS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Transforms that make null of a value by intent. Null from any other named transform means that it could not read the value.
+NULLING = ("empty_to_null", "zero_to_null")
+
+
 def transform_chain(c: Column, names) -> Column:
     return reduce(lambda x, n: (TRANSFORMS[n] if isinstance(n, str) else n)(x), names, c)
 
 
+def transform_failed(c: Column, names) -> Column:
+    """Some named transform of the chain could not read its value."""
+    failed = F.lit(False)
+    for n in names:
+        after = transform_chain(c, (n,))
+        if isinstance(n, str) and n not in NULLING:
+            failed = failed | (c.isNotNull() & after.isNull())
+        c = after
+    return failed
+
+
+#: The computed fields that mapping files know by name, over the parsed document ``v`` and the source row.
+COMPUTED: dict[str, Callable[[Column], Column]] = {
+    "zero_order_amount": lambda v: ~truthy_number(json_text(v, "$.order_amount")),
+    "pre_sale_type_nonzero": lambda v: truthy_number(json_text(v, "$.pre_sale_type")),
+    "source_id": lambda v: F.col("source_id"),
+}
+
+
+def map_values(df: DataFrame, col: str, mapping: DataFrame, max_broadcast: int = 1_000_000) -> DataFrame:
+    """``df`` with ``col`` mapped by ``mapping(from_value, to_value)``, its first row for each value; unmapped values pass through.
+
+    Maps of up to ``max_broadcast`` values are broadcast, larger ones are joined by a shuffle.
+    """
+    pairs = mapping.select(F.col("from_value").cast("string").alias("_from"), "to_value").groupBy("_from").agg(F.min("to_value").alias("_to"))
+    small = pairs.limit(max_broadcast + 1).count() <= max_broadcast
+    joined = df.join(F.broadcast(pairs) if small else pairs, F.col(col).cast("string") == F.col("_from"), "left")
+    return joined.withColumn(col, F.coalesce("_to", F.col(col).cast("string"))).drop("_from", "_to")
+
+
 def value_map(c: Column, mapping: dict[str, str]) -> Column:
-    """Mapped values by their text; unmapped ones pass through."""
+    """Mapped values by their text; unmapped ones pass through. For maps that do not fit an expression see ``map_values``."""
     if not mapping:
         return c.cast("string")
     pairs = F.create_map(*[F.lit(str(x)) for kv in mapping.items() for x in kv])
@@ -260,6 +294,11 @@ def content_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(bare, r"[\s\p{Punct}，。；：、（）]+", ""))
 
 
+def empty_side_range(df: DataFrame, by: list[str], source: str, target: str) -> DataFrame:
+    """(by, side, n, first_key, last_key): how many rows of each group have which side empty, with the least and greatest ``key``."""
+    return df.groupBy(*by, empty_side(F.col(source), F.col(target)).alias("side")).agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
 def empty_side(source: Column, target: Column) -> Column:
     blank = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
     return F.when(blank(source) & blank(target), "both_empty").when(blank(target), "target_empty").when(blank(source), "source_empty").when(source.cast("string") != target.cast("string"), "both_set_different").otherwise("same")
@@ -279,7 +318,7 @@ class FieldRule:
     fallback_paths: tuple[str, ...] = ()
     source_column: str | None = None
     constant: object = MISSING
-    computed: Column | None = None
+    computed: Column | str | None = None
     kind: str = "string"
     scale: int = 2
     source_transforms: tuple = ()
@@ -294,38 +333,67 @@ class FieldRule:
     scale_factor: float | None = None
     category: str = "business"
 
-    def missing(self, v: Column | None) -> Column:
+    def missing(self, v: Column | None, side: str = "source") -> Column:
         """The source says nothing of this field: no path of it exists. Null is something said."""
-        if self.constant is not MISSING or self.computed is not None or self.source_column or not self.json_path:
+        if side == "target" or self.constant is not MISSING or self.computed is not None or self.source_column or not self.json_path:
             return F.lit(False)
-        return ~reduce(lambda a, b: a | b, [json_exists(v, p) for p in (self.json_path, *self.fallback_paths)])
+        return ~F.coalesce(reduce(lambda a, b: a | b, [json_exists(v, p) for p in (self.json_path, *self.fallback_paths)]), F.lit(False))
 
-    def raw(self, v: Column | None = None, qualify: str = "") -> Column:
-        """The value before normalising: constant, else computed, else source column, else the first path that exists, else the default."""
+    def raw(self, v: Column | None = None, side: str = "source") -> Column:
+        """The value before normalising. Of the target that is its column; of the source the constant, else computed, else source
+        column, else the first path that exists, else the default."""
+        if side == "target":
+            return F.col(f"`{self.column}`").cast("string")
         if self.constant is not MISSING:
             return F.lit(self.constant).cast("string")
         if self.computed is not None:
-            return self.computed.cast("string")
+            return (COMPUTED[self.computed](v) if isinstance(self.computed, str) else self.computed).cast("string")
         if self.source_column or not self.json_path:
-            return F.col(f"{qualify}`{self.source_column or self.column}`").cast("string")
+            return F.col(f"`{self.source_column or self.column}`").cast("string")
         out = F.lit(None if self.default is MISSING else self.default).cast("string")
         for p in reversed((self.json_path, *self.fallback_paths)):
             out = F.when(json_exists(v, p), json_text(v, p)).otherwise(out)
         return out
 
-    def normal(self, raw: Column, side: str) -> Column:
+    @property
+    def origin(self) -> str:
+        """Where the source value comes from, for reports."""
+        return self.json_path or self.source_column or (str(self.computed) if isinstance(self.computed, str) else "<computed>" if self.computed is not None else "<constant>" if self.constant is not MISSING else self.column)
+
+    def _prepared(self, raw: Column, side: str) -> tuple[Column, Column]:
+        """(value that is to be read as the kind, an earlier step could not read it)."""
         chain, mapping = (self.source_transforms, self.source_map) if side == "source" else (self.target_transforms, self.target_map)
         c = empty_to_null(raw) if self.empty_as_null else raw
+        failed = transform_failed(c, chain)
         c = value_map(transform_chain(c, chain), dict(mapping))
         if self.scale_factor is not None and side == "source":
+            failed = failed | (c.isNotNull() & scaled(c, self.scale_factor).isNull())
             c = scaled(c, self.scale_factor)
-        return norm(c, self.kind, self.scale, self.trim)
+        return c, failed
+
+    def normal(self, raw: Column, side: str) -> Column:
+        return norm(self._prepared(raw, side)[0], self.kind, self.scale, self.trim)
+
+    def error(self, raw: Column, side: str) -> Column:
+        """There was a value after the transforms, or before one that failed, and it could not be read. Values emptied by intent are none."""
+        c, failed = self._prepared(raw, side)
+        return failed | norm_error(c, norm(c, self.kind, self.scale, self.trim))
+
+    def blank(self, raw: Column) -> Column:
+        """No value, for required fields: null, or empty where empty counts as null."""
+        return (empty_to_null(raw) if self.empty_as_null else raw).isNull()
 
 
 def normalize_table(df: DataFrame, rules: list[FieldRule], side: str = "source", json_col: str | None = None, keep: list[str] = ()) -> DataFrame:
-    """One projection with ``<column>``, ``<column>__raw``, ``<column>__error`` and ``<column>__missing`` for each rule, besides ``keep``."""
+    """One projection with ``<column>``, ``<column>__raw``, ``<column>__error`` and ``<column>__missing`` for each rule, besides ``keep``.
+
+    ``json_col``: the column of the documents that the rules' paths read; a VARIANT is taken as it is, text is parsed once.
+    """
     v = F.col("_v") if json_col else None
-    rows = df.withColumn("_v", parse_json(F.col(json_col))) if json_col else df
-    raws = rows.select(*keep, *[x for r in rules for x in (r.raw(v).alias(f"{r.column}__raw"), r.missing(v).alias(f"{r.column}__missing"))])
-    normal = raws.select("*", *[r.normal(F.col(f"`{r.column}__raw`"), side).alias(r.column) for r in rules if r.column not in keep])
-    return normal.select("*", *[norm_error(F.col(f"`{r.column}__raw`"), F.col(f"`{r.column}`")).alias(f"{r.column}__error") for r in rules])
+    rows = df
+    if json_col:
+        parsed = df.schema[json_col].dataType.typeName() == "variant"
+        rows = df.withColumn("_v", F.col(json_col) if parsed else parse_json(F.col(json_col)))
+    raws = rows.select(*keep, *[x for r in rules for x in (r.raw(v, side).alias(f"{r.column}__raw"), r.missing(v, side).alias(f"{r.column}__missing"))])
+    raw = lambda r: F.col(f"`{r.column}__raw`")
+    return raws.select("*", *[r.normal(raw(r), side).alias(r.column) for r in rules if r.column not in keep], *[r.error(raw(r), side).alias(f"{r.column}__error") for r in rules])

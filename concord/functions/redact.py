@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .normalize import canonical_json
 
-#: Parts of key names whose values are hidden, and words that mark a key as a statistic, which stays.
-SENSITIVE = ("authorization", "cookie", "token", "password", "passwd", "secret", "session", "signature", "private_key", "access_key")
-STATISTIC = ("count", "rows", "total", "scope", "summary", "expired")
+#: Parts of a key's name whose values are always hidden.
+SENSITIVE = ("authorization", "cookie", "password", "passwd", "secret", "session", "signature", "private_key", "access_key")
+#: Words that mark a key with "token" as a statistic, which stays.
+STATISTIC = ("count", "rows", "shops", "total", "scope", "summary", "credential", "target", "top", "unverified", "expired")
 HIDDEN = "<redacted>"
 
 #: Named patterns of sensitive text.
@@ -25,13 +26,19 @@ SECRET_PATTERNS = {
 GARBLED_PATTERNS = {"question marks": r"\?{4,}", "replacement character": "�", "unicode escape": r"\\u[0-9a-fA-F]{4}"}
 
 
+#: A statistic word that stands as a word of its own in a key, in snake or camel case.
+_WHOLE = "(?:(?<![A-Za-z])(?i:" + "|".join(STATISTIC) + ")|(?<=[a-z])(?:" + "|".join(w.capitalize() for w in STATISTIC) + "))(?![a-z])"
+
+
 def is_sensitive_key(key: Column) -> Column:
+    """Keys that name a secret. Keys of tokens are spared where a whole word of theirs is a statistic, as in token_count; no others are."""
     low = F.lower(key)
-    return low.rlike("|".join(SENSITIVE)) & ~low.rlike("|".join(STATISTIC))
+    return low.rlike("|".join(SENSITIVE)) | (low.contains("token") & ~key.rlike(_WHOLE))
 
 
 def redact_text(c: Column) -> Column:
     """Bearer tokens, and the secrets of query strings and assignments."""
+    # The three patterns.
     text = F.regexp_replace(c, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{12,}", f"$1{HIDDEN}")
     text = F.regexp_replace(text, r"(?i)([?&](?:token|password|secret|access_token|refresh_token)=)[^&\s]+", f"$1{HIDDEN}")
     return F.regexp_replace(text, r"""(?i)\b((?:token|password|passwd|secret|api_key)\s*[:=]\s*["']?)[A-Za-z0-9+/_.=-]{8,}""", f"$1{HIDDEN}")
@@ -41,11 +48,24 @@ def redact_map(c: Column) -> Column:
     return F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), F.when(is_sensitive_key(e["key"]), F.lit(HIDDEN)).otherwise(redact_text(e["value"])).alias("value"))))
 
 
-def redact_json(c: Column) -> Column:
-    """JSON text with the scalar values of sensitive keys hidden at any depth, and text values cleaned."""
-    names = r'"((?=[^"]*(?i:' + "|".join(SENSITIVE) + r'))(?![^"]*(?i:' + "|".join(STATISTIC) + r'))[^"]*)":'
-    hidden = F.regexp_replace(canonical_json(c), names + r'("(?:[^"\\]|\\.)*"|[-0-9.eE+]+|true|false)', f'"$1":"{HIDDEN}"')
-    return redact_text(hidden)
+def _json_value(depth: int) -> str:
+    """A pattern for JSON values without blanks, nested up to ``depth``."""
+    text = r'"(?:[^"\\]|\\.)*+"'
+    value = text + r"|[-0-9.eE+]++|true|false|null"
+    for _ in range(depth):
+        value = rf"{text}|[-0-9.eE+]++|true|false|null|\[(?:(?:{value})(?:,(?:{value}))*+)?\]|\{{(?:{text}:(?:{value})(?:,{text}:(?:{value}))*+)?\}}"
+    return value
+
+
+def redact_json(c: Column, depth: int = 3) -> Column:
+    """JSON text with the values of sensitive keys hidden at any depth, lists and objects as a whole, and text values cleaned.
+
+    Where the value of a sensitive key is nested deeper than ``depth`` the whole document is hidden.
+    """
+    always, token = "(?i:" + "|".join(SENSITIVE) + ")", "(?i:token)"
+    name = rf'"((?:(?=[^"]*{always})|(?=[^"]*{token})(?![^"]*{_WHOLE}))[^"]*)":'
+    hidden = F.regexp_replace(canonical_json(c), f"{name}(?:{_json_value(depth)})", f'"$1":"{HIDDEN}"')
+    return F.when(hidden.rlike(rf"{name}[\[{{]"), F.lit(f'"{HIDDEN}"')).otherwise(redact_text(hidden))
 
 
 def hash_sample(*cols: Column) -> Column:

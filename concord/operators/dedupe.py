@@ -45,24 +45,37 @@ def suffix_duplicates(df: DataFrame, name: str, order: list[str]) -> DataFrame:
 
 
 def dedupe_statements(df: DataFrame, title: str, text: str) -> DataFrame:
-    """``class`` of each statement: exact_duplicate, format_duplicate, title_variant, retitled or unique, in this order."""
+    """``class`` of each statement: exact_duplicate, format_duplicate, title_variant, retitled or unique, in this order.
+
+    All numbers come from one aggregation by title and hashes, and return to the rows by one join; null titles and texts count as
+    values.
+    """
     plain = F.regexp_replace(F.lower(F.regexp_replace(F.col(text), r"\s+", "")), r";+$", "")
-    rows = df.withColumn("_plain", F.md5(plain)).withColumn("_exact", F.md5(F.col(text)))
-    exact = rows.groupBy(title, "_exact").agg(F.count("*").alias("_n_exact"))
-    same = rows.groupBy(title, "_plain").agg(F.count("*").alias("_n_same"))
-    titles = rows.groupBy(title).agg(F.count_distinct("_plain").alias("_n_texts"))
-    texts = rows.groupBy("_plain").agg(F.count_distinct(title).alias("_n_titles"))
-    joined = rows.join(exact, [title, "_exact"]).join(same, [title, "_plain"]).join(titles, title).join(texts, "_plain")
+    hashed = lambda c: F.coalesce(F.md5(c), F.lit(""))
+    rows = df.withColumn("_title", hashed(F.col(title).cast("string"))).withColumn("_exact", hashed(F.col(text))).withColumn("_plain", hashed(plain))
+    exact = rows.groupBy("_title", "_plain", "_exact").agg(F.count("*").alias("_n_exact"))
+    same = exact.groupBy("_title", "_plain").agg(F.sum("_n_exact").alias("_n_same"))
+    titles = same.groupBy("_title").agg(F.count("*").alias("_n_texts"))
+    texts = same.groupBy("_plain").agg(F.count("*").alias("_n_titles"))
     kind = F.when(F.col("_n_exact") > 1, "exact_duplicate").when(F.col("_n_same") > 1, "format_duplicate").when(F.col("_n_texts") > 1, "title_variant").when(F.col("_n_titles") > 1, "retitled").otherwise("unique")
-    return joined.select(*df.columns, kind.alias("class"))
+    known = exact.join(same, ["_title", "_plain"]).join(titles, "_title").join(texts, "_plain").select("_title", "_exact", kind.alias("class"))
+    return rows.join(known, ["_title", "_exact"]).select(*df.columns, "class")
 
 
-def reference_rows(df: DataFrame, cols: list[str], n: int, distinct: bool = True) -> DataFrame:
-    """(row_index, cols): the first ``n`` distinct rows by value, or the distinct rows repeated in turn up to ``n``."""
+def reference_rows(df: DataFrame, cols: list[str], n: int, distinct: bool = True, most: int = 1_000_000) -> DataFrame:
+    """(row_index, cols): the first ``n`` distinct rows by value, or the distinct rows repeated in turn up to ``n``.
+
+    Too few distinct rows are an error with ``distinct``, none at all without. Reference rows are a sample: at most ``most``, which
+    bounds what is ordered and broadcast.
+    """
+    if n > most:
+        raise ValueError(f"{n} reference rows, at most {most}")
     base = df.select(*cols).distinct().orderBy(*cols).limit(n)
+    m = base.count()
+    if m < (n if distinct else min(n, 1)):
+        raise ValueError(f"{m} distinct reference rows, {n} wanted")
     ordered = base.withColumn("_at", F.row_number().over(Window.orderBy(*cols)) - 1)
     if distinct:
         return ordered.select(F.col("_at").cast("long").alias("row_index"), *cols)
-    m = F.broadcast(ordered.agg(F.count("*").alias("_m")))
-    turns = df.sparkSession.range(n).withColumnRenamed("id", "row_index").crossJoin(m).withColumn("_at", (F.col("row_index") % F.col("_m")).cast("int"))
+    turns = df.sparkSession.range(n).withColumnRenamed("id", "row_index").withColumn("_at", (F.col("row_index") % max(m, 1)).cast("int"))
     return turns.join(F.broadcast(ordered), "_at").select("row_index", *cols)

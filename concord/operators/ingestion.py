@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import FieldRule, canonical_key, json_exists, json_get, json_text, norm, parse_json
+from .reconcile import _fields, field_cells, null_safe_join, union_diffs
+
+
+def parsed(df: DataFrame, col: str) -> Column:
+    """The document as VARIANT: a column of that type as it is, text parsed. Parse once and pass the result on where several checks follow."""
+    return F.col(col) if df.schema[col].dataType.typeName() == "variant" else parse_json(F.col(col))
+
+
+def parse_documents(df: DataFrame, col: str) -> DataFrame:
+    """``df`` with ``col`` as VARIANT, null where it is no JSON."""
+    return df.withColumn(col, parsed(df, col))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
 
 def check_json(df: DataFrame, col: str, keep: list[str]) -> DataFrame:
     """(keep, json_status): ok, SOURCE_JSON_INVALID or SOURCE_JSON_NOT_OBJECT."""
-    v = parse_json(F.col(col))
-    kind = F.schema_of_variant(v)
-    return df.select(*keep, F.when(v.isNull(), "SOURCE_JSON_INVALID").when(~kind.startswith("OBJECT"), "SOURCE_JSON_NOT_OBJECT").otherwise("ok").alias("json_status"))
+    v = F.col("_v")
+    rows = df.withColumn("_v", parsed(df, col))
+    return rows.select(*keep, F.when(v.isNull(), "SOURCE_JSON_INVALID").when(~_is_object(v), "SOURCE_JSON_NOT_OBJECT").otherwise("ok").alias("json_status"))
 
 
 def check_keys(df: DataFrame, json_col: str, paths: dict[str, str], keep: list[str]) -> DataFrame:
@@ -23,7 +40,7 @@ def check_keys(df: DataFrame, json_col: str, paths: dict[str, str], keep: list[s
         text = json_text(v, path)
         problem = F.when(~json_exists(v, path), "missing").when(text.isNull(), "null").when(F.trim(text) == "", "blank").when(norm(text, kind).isNull(), "unreadable")
         found.append(F.struct(F.lit(path).alias("part"), problem.alias("problem")))
-    rows = df.withColumn("_v", parse_json(F.col(json_col))).where(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"))
+    rows = df.withColumn("_v", parsed(df, json_col)).where(_is_object(v))
     return rows.select(*keep, F.inline(F.filter(F.array(*found), lambda x: x["problem"].isNotNull())))
 
 
@@ -32,14 +49,14 @@ def detail_array_status(df: DataFrame, json_col: str, path: str, keep: list[str]
     v = F.col("_v")
     item = json_get(v, path)
     items = F.try_variant_get(v, path, "array<variant>")
-    rows = df.withColumn("_v", parse_json(F.col(json_col))).where(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"))
+    rows = df.withColumn("_v", parsed(df, json_col)).where(_is_object(v))
     absent = "DETAIL_REQUIRED_ARRAY_MISSING" if required else "absent"
     return rows.select(*keep, F.when(item.isNull(), absent).when(items.isNull(), "DETAIL_ARRAY_NOT_LIST").otherwise("ok").alias("status"), F.coalesce(F.size(items), F.lit(0)).alias("n_items"))
 
 
 def explode_details(df: DataFrame, json_col: str, path: str, keep: list[str]) -> DataFrame:
     """(keep, detail_index, item): one row for each element of the detail array, ``item`` a VARIANT."""
-    items = F.try_variant_get(parse_json(F.col(json_col)), path, "array<variant>")
+    items = F.try_variant_get(parsed(df, json_col), path, "array<variant>")
     return df.select(*keep, F.posexplode(items).alias("detail_index", "item"))
 
 
@@ -103,25 +120,172 @@ def json_depth(text):
 
 
 def json_paths(df: DataFrame, json_col: str, depth: int | None = None) -> DataFrame:
-    """(path, kind, n): every path of the documents with the kinds of its values; array elements are ``[*]``. ``depth`` bounds the levels, by default nothing does."""
+    """(path, kind, n): every path of the documents with the kinds of its values; array elements are ``[*]``. ``depth`` bounds the levels, by default nothing does.
+
+    One descent: each row is a way down, and carries the nodes on it that no earlier sibling has reported.
+    """
+    rows = df.select(parsed(df, json_col).alias("v"), F.col(json_col).alias("_text")).where("v is not null")
     if depth is None:
-        depth = 1 + (df.where(parse_json(F.col(json_col)).isNotNull()).agg(F.max(json_depth(F.col(json_col)))).first()[0] or 0)
-    level = df.select(F.lit("$").alias("path"), parse_json(F.col(json_col)).alias("v")).where("v is not null")
-    out = None
-    for _ in range(depth):
-        kind = F.regexp_extract(F.schema_of_variant(F.col("v")), r"^([A-Z]+)", 1)
-        level = level.withColumn("kind", kind)
-        step = level.select("path", "kind")
-        out = step if out is None else out.union(step)
-        entries = level.where(F.col("kind").isin("OBJECT", "ARRAY")).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        named = F.when(F.col("kind") == "OBJECT", F.concat(F.col("path"), F.lit("."), F.col("key"))).otherwise(F.concat(F.col("path"), F.lit("[*]")))
-        level = entries.select(named.alias("path"), F.col("value").alias("v"))
-    return out.groupBy("path", "kind").agg(F.count("*").alias("n"))
+        text = F.to_json("v") if df.schema[json_col].dataType.typeName() == "variant" else F.col("_text")
+        depth = 1 + (rows.agg(F.max(json_depth(text))).first()[0] or 0)
+    kind_of = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1)
+    node = lambda path, kind: F.array(F.struct(path.alias("path"), kind.alias("kind")))
+    level = rows.select("v", F.lit("$").alias("path"), kind_of(F.col("v")).alias("kind"))
+    level = level.withColumn("seen", node(F.col("path"), F.col("kind")))
+    for _ in range(depth - 1):
+        entries = level.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+        inside = F.col("pos").isNotNull()
+        path = F.when(~inside, F.col("path")).when(F.col("kind") == "OBJECT", F.concat(F.col("path"), F.lit("."), F.col("key"))).otherwise(F.concat(F.col("path"), F.lit("[*]")))
+        step = entries.select(F.col("value").alias("v"), path.alias("path"), F.when(inside, kind_of(F.col("value"))).alias("kind"), F.col("seen").alias("before"), "pos")
+        seen = F.when(F.col("pos").isNull(), F.col("before")).when(F.col("pos") == 0, F.concat("before", node(F.col("path"), F.col("kind")))).otherwise(node(F.col("path"), F.col("kind")))
+        level = step.select("v", "path", "kind", seen.alias("seen"))
+    return level.select(F.inline("seen")).groupBy("path", "kind").agg(F.count("*").alias("n"))
 
 
 def parse_params(df: DataFrame, col: str, keys: dict[str, str], keep: list[str]) -> DataFrame:
     """Typed values of an embedded JSON parameter text; null where it is no object or lacks the key. ``keys``: name to type."""
-    v = parse_json(F.col(col))
-    held = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    v = parsed(df, col)
+    held = F.when(_is_object(v), v)
     return df.select(*keep, *[F.try_variant_get(held, f"$.{k}", t).alias(k) for k, t in keys.items()])
 
+
+
+# ---- the whole check ----------------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class DocumentSpec:
+    """How documents were loaded: their id and JSON columns, key and field rules of the header table, and the same for the detail
+    table, whose ``detail_fk`` refers to ``header_id``. Without ``detail_keys`` details are matched by place, in ``detail_order``."""
+
+    id_col: str
+    json_col: str
+    keys: tuple[FieldRule, ...]
+    fields: tuple[FieldRule, ...]
+    header_id: str
+    detail_path: str | None = None
+    detail_required: bool = False
+    detail_fk: str | None = None
+    detail_keys: tuple[FieldRule, ...] = ()
+    detail_fields: tuple[FieldRule, ...] = ()
+    detail_order: tuple[str, ...] = ()
+    orphan_limit: int | None = None
+
+
+def _key(names: list[str]) -> Column:
+    return canonical_key(*[F.col(n) for n in names])
+
+
+def _found(when: Column, kind: str, **more: Column) -> Column:
+    """A difference under a condition, with the fields that all differences of documents have."""
+    text = {c: F.lit(None).cast("string") for c in ("json_path", "field", "expected", "actual", "expected_raw", "actual_raw")} | {"n": F.lit(None).cast("long"), "error": F.lit(None).cast("string")}
+    return F.when(when, F.struct(F.lit(kind).alias("diff_type"), *[more.get(c, v).alias(c) for c, v in text.items()]))
+
+
+def _cells(when: Column, cells: list[Column]) -> list[Column]:
+    """Field cells as differences under a condition."""
+    return [F.when(when & c["diff_type"].isNotNull(), F.struct(c["diff_type"].alias("diff_type"), *[c[n].alias(n) for n in ("json_path", "field", "expected", "actual", "expected_raw", "actual_raw")], F.lit(None).cast("long").alias("n"), c["error"].alias("error"))) for c in cells]
+
+
+def _listed(*cells: Column) -> Column:
+    return F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull()))
+
+
+def _keyed(df: DataFrame, rules: tuple[FieldRule, ...], fields: tuple[FieldRule, ...], side: str, name: str, json_col: str | None, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with the normalised key parts ``<name>k0``.., ``<name>lost`` (a part is absent), ``<name>bad`` (a part cannot be read) and the fields as struct ``name``."""
+    rows = _fields(df, keep, [*rules, *fields], side, "_all", json_col)
+    part = lambda i, x: F.col(f"_all.{x}{i}")
+    any_ = lambda xs: F.exists(F.array(F.lit(False), *xs), lambda x: x)
+    names = [f"{name}k{i}" for i in range(len(rules))]
+    lost = any_([part(i, "m") | (F.lit(r.required) & part(i, "r").isNull()) for i, r in enumerate(rules)])
+    own = [part(i + len(rules), x).alias(f"{x}{i}") for i in range(len(fields)) for x in "frem"] or [F.lit(0).alias("none")]
+    return rows.select(*keep, *[part(i, "f").alias(n) for i, n in enumerate(names)], lost.alias(f"{name}lost"), any_([part(i, "e") for i in range(len(rules))]).alias(f"{name}bad"), F.struct(*own).alias(name)), names
+
+
+def checked_documents(docs: DataFrame, header: DataFrame, spec: DocumentSpec) -> DataFrame:
+    """One row for each document with its ``status``, key parts, fields ``s``, detail array, and the header row of its key: ``tn`` rows, fields ``t``, ``header``."""
+    rows = docs.withColumn("_doc", parsed(docs, spec.json_col))
+    rows = rows.select(*[c for c in docs.columns if c != spec.json_col], F.col("_doc"), F.when(F.col("_doc").isNull(), "SOURCE_JSON_INVALID").when(~_is_object(F.col("_doc")), "SOURCE_JSON_NOT_OBJECT").alias("_status"), F.col(spec.id_col).cast("string").alias("_id"))
+    if spec.detail_path:
+        item = json_get(F.col("_doc"), spec.detail_path)
+        rows = rows.withColumn("_items", F.try_variant_get("_doc", spec.detail_path, "array<variant>")).withColumn("_absent", item.isNull() | F.is_variant_null(item))
+    else:
+        rows = rows.withColumn("_items", F.lit(None).cast("array<variant>")).withColumn("_absent", F.lit(True))
+    own, names = _keyed(rows, spec.keys, spec.fields, "source", "s", "_doc", ["_id", "_status", "_items", "_absent"])
+    held, there = _keyed(header.withColumn("_header", F.col(spec.header_id)), spec.keys, spec.fields, "target", "t", None, ["_header"])
+    one = held.groupBy(*there).agg(F.count("*").alias("tn"), F.min("t").alias("t"), F.min("_header").alias("header"))
+    ok = F.col("_status").isNull() & ~F.col("slost") & ~F.col("sbad")
+    own = own.select("*", ok.alias("_ok")).select("*", *[F.when(F.col("_ok"), F.col(n)).alias(f"_{n}") for n in names])
+    same = None
+    for a, b in zip(names, there):
+        both = (F.col(f"_{a}") == F.col(b)) if same is None else same & (F.col(f"_{a}") == F.col(b))
+        same = both
+    return own.join(one, same, "left").drop(*there, *[f"_{n}" for n in names])
+
+
+def _detail_sides(checked: DataFrame, detail: DataFrame, spec: DocumentSpec) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
+    """The exploded items of checked documents, and the detail rows of their headers, with key parts and fields."""
+    own = checked.select("_id", "_order", "header", F.posexplode("_items").alias("_at", "_item"))
+    items, names = _keyed(own, spec.detail_keys, spec.detail_fields, "source", "s", "_item", ["_id", "_order", "_at"])
+    joined = checked.select("_id", "_order", "header").join(detail, F.col("header") == F.col(spec.detail_fk))
+    rows, there = _keyed(joined, spec.detail_keys, spec.detail_fields, "target", "t", None, ["_id", "_order", *spec.detail_order])
+    return items, rows, names, there
+
+
+def _compare_items(checked: DataFrame, detail: DataFrame, spec: DocumentSpec) -> DataFrame:
+    items, rows, names, there = _detail_sides(checked, detail, spec)
+    cells = field_cells([*spec.detail_fields], "DETAIL", detail.columns)
+    if not spec.detail_keys:
+        nth = F.row_number().over(Window.partitionBy("_id").orderBy(*(spec.detail_order or ["t"]))) - 1
+        both = items.join(rows.select("_id", nth.alias("_at"), "t"), ["_id", "_at"])
+        return both.select(F.col("_id").alias("source_id"), F.col("_order").alias("business_key"), F.col("_at").cast("string").alias("detail_key"), F.col("_at").alias("detail_index"), _listed(*_cells(F.lit(True), cells)))
+    lost = items.where("slost or sbad").select(F.col("_id").alias("source_id"), F.col("_order").alias("business_key"), _key(names).alias("detail_key"), F.col("_at").alias("detail_index"), F.when(F.col("sbad"), "DETAIL_SOURCE_KEY_ERROR").otherwise("DETAIL_SOURCE_KEY_MISSING").alias("diff_type"))
+    wrong = rows.where("tbad").select(F.col("_id").alias("source_id"), F.col("_order").alias("business_key"), F.lit("DETAIL_TARGET_KEY_ERROR").alias("diff_type"))
+    by = ["_id", "_order", *[f"_k{i}" for i in range(len(names))]]
+    left = items.where("not sbad").withColumnsRenamed(dict(zip(names, by[2:]))).groupBy(*by).agg(F.count("*").alias("sn"), F.min("_at").alias("_at"), F.min("s").alias("s"))
+    right = rows.where("not tbad").withColumnsRenamed(dict(zip(there, by[2:]))).groupBy(*by).agg(F.count("*").alias("tn"), F.min("t").alias("t"))
+    both = null_safe_join(left, right, by, "full_outer")
+    one = (F.col("sn") == 1) & (F.col("tn") == 1)
+    found = [_found(F.col("sn") > 1, "DETAIL_SOURCE_KEY_DUPLICATE", n=F.col("sn")), _found(F.col("tn") > 1, "DETAIL_TARGET_KEY_DUPLICATE", n=F.col("tn")), _found(F.col("tn").isNull(), "DETAIL_TARGET_MISSING"), _found(F.col("sn").isNull(), "DETAIL_TARGET_EXTRA")]
+    kinds = both.select(F.col("_id").alias("source_id"), F.col("_order").alias("business_key"), _key(by[2:]).alias("detail_key"), F.col("_at").alias("detail_index"), _listed(*found, *_cells(F.coalesce(one, F.lit(False)), cells)))
+    return union_diffs(lost, wrong, kinds)
+
+
+def verify_ingestion(docs: DataFrame, header: DataFrame, detail: DataFrame | None, spec: DocumentSpec) -> DataFrame:
+    """Every difference between JSON documents and the header and detail tables that they were loaded into, under ``DIFF_SCHEMA``.
+
+    Documents are parsed and checked, their keys built, the header row of each looked up and its fields compared, then the detail
+    array matched with the detail rows of that header; details without a header and keys of several documents come beside it.
+    A document whose key is wrong, has no header or several, is not compared further.
+    """
+    checked = checked_documents(docs, header, spec).withColumn("_order", _key([f"sk{i}" for i in range(len(spec.keys))]))
+    good, valid = F.col("_ok"), F.col("_status").isNull()
+    one = F.coalesce(good & (F.col("tn") == 1), F.lit(False))
+    found = [_found(~valid & (F.col("_status") == x), x) for x in ("SOURCE_JSON_INVALID", "SOURCE_JSON_NOT_OBJECT")]
+    found += [_found(valid & F.col("sbad"), "ORDER_SOURCE_KEY_ERROR"), _found(valid & ~F.col("sbad") & F.col("slost"), "ORDER_SOURCE_KEY_MISSING"), _found(good & F.col("tn").isNull(), "ORDER_TARGET_MISSING"), _found(good & (F.col("tn") > 1), "ORDER_TARGET_DUPLICATE", n=F.col("tn"))]
+    found += _cells(one, field_cells([*spec.fields], "ORDER", header.columns))
+    rows = checked
+    parts = []
+    if spec.detail_path and detail is not None:
+        listed = F.col("_absent") | F.col("_items").isNotNull()
+        n = detail.groupBy(F.col(spec.detail_fk).alias("_fk")).agg(F.count("*").alias("_n_details"))
+        rows = rows.join(n, F.col("header") == F.col("_fk"), "left")
+        path = F.lit(spec.detail_path)
+        here, there = F.when(F.col("_absent"), 0).otherwise(F.size("_items")), F.coalesce("_n_details", F.lit(0))
+        found += [_found(one & F.col("_absent") & F.lit(spec.detail_required), "DETAIL_ARRAY_MISSING", json_path=path), _found(one & ~listed, "DETAIL_ARRAY_NOT_LIST", json_path=path), _found(one & listed & (here != there), "DETAIL_COUNT_MISMATCH", expected=here.cast("string"), actual=there.cast("string"))]
+        parts.append(_compare_items(checked.where(one & listed), detail, spec))
+        lost = orphans(detail, header, spec.detail_fk, spec.header_id, spec.orphan_limit)
+        parts.append(lost.select(F.lit("ORPHAN_DETAIL").alias("diff_type"), F.col(spec.detail_fk).cast("string").alias("business_key"), canonical_key(*[F.col(r.column) for r in spec.detail_keys]).alias("detail_key")))
+    order = F.when(valid & ~F.col("sbad"), F.col("_order"))
+    documents = rows.select(F.col("_id").alias("source_id"), order.alias("business_key"), _listed(*found))
+    twice = checked.where(good).groupBy("_order").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("SOURCE_BUSINESS_KEY_DUPLICATE").alias("diff_type"), F.col("_order").alias("business_key"), "n")
+    return union_diffs(documents, twice, *parts)
+
+
+def ingestion_summary(docs: DataFrame, header: DataFrame, detail: DataFrame, spec: DocumentSpec, diffs: DataFrame) -> DataFrame:
+    """(source_rows, valid_json, headers_checked, details_checked, diffs): one row for a run of ``verify_ingestion``."""
+    checked = checked_documents(docs, header, spec)
+    n = detail.groupBy(F.col(spec.detail_fk).alias("_fk")).agg(F.count("*").alias("_n"))
+    one = F.coalesce(F.col("_ok") & (F.col("tn") == 1), F.lit(False))
+    rows = checked.select(F.col("_status"), one.alias("_one"), F.when(one, F.col("header")).alias("_h")).join(n, F.col("_h") == F.col("_fk"), "left")
+    counts = rows.agg(F.count("*").alias("source_rows"), F.count_if(F.col("_status").isNull()).alias("valid_json"), F.count_if("_one").alias("headers_checked"), F.coalesce(F.sum("_n"), F.lit(0)).alias("details_checked"))
+    return counts.join(F.broadcast(diffs.agg(F.count("*").alias("diffs"))))

@@ -15,8 +15,8 @@ INTERACTIVE_ROLES = ("button", "checkbox", "combobox", "link", "listbox", "menui
 #: Words that mark the shell of a page, and its pagination.
 SHELL = ("menu", "nav", "sidebar", "sider", "header", "topbar", "breadcrumb", "avatar", "profile")
 PAGINATION = ("pagination", "pager", "jumper", "btn-prev", "btn-next", "page-size")
-#: Strategies by preference, best first.
-STRATEGIES = ("test_id", "id", "role", "label", "placeholder", "text", "name", "css", "xpath", "class")
+#: Strategies by preference, best first; a scoped one is a tag and class inside an ancestor with an id.
+STRATEGIES = ("test_id", "id", "role", "label", "placeholder", "text", "name", "css", "scoped", "xpath", "class")
 
 
 def _attr(name: str) -> Column:
@@ -59,26 +59,52 @@ def business_elements(elements: DataFrame) -> DataFrame:
 
 
 def is_dynamic_id(c: Column) -> Column:
-    """Ids that a framework numbers anew, or that end in a long number."""
+    """Ids that a framework numbers anew, or that end in a long number. The framework's forms."""
     return F.coalesce(c, F.lit("")).rlike(r"^el-id-\d+-\d+$|[0-9]{5,}$|^:r[0-9a-z]+:$")
 
 
 def is_generic_class(c: Column) -> Column:
-    """No class but those of a framework or of a state."""
+    """No class but those of a framework or of a state. Their names."""
     names = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: (x != "") & ~x.startswith("el-") & ~x.isin("is-link", "is-active", "is-disabled", "is-focus"))
     return F.size(names) == 0
 
 
+def _classes(c: Column) -> Column:
+    """The classes that say something of an element, at most three, as a selector."""
+    names = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: (x != "") & ~is_generic_class(x))
+    return F.when(F.size(names) > 0, F.concat(F.lit("."), F.array_join(F.slice(names, 1, 3), ".")))
+
+
+def element_paths(elements: DataFrame) -> DataFrame:
+    """(page_id, node_id, xpath, container): the place of each element by tags and their numbers, and the id of the nearest ancestor that has a steady one."""
+    nth = F.row_number().over(Window.partitionBy("page_id", "parent_id", "tag").orderBy("node_id"))
+    own = elements.select("page_id", F.col("node_id").alias("_up"), F.concat(F.col("tag"), F.lit("["), nth, F.lit("]")).alias("_step"), F.when(~is_dynamic_id(_attr("id")), F.nullif(_attr("id"), F.lit(""))).alias("_id"))
+    ways = elements.select("page_id", "node_id", F.posexplode("path").alias("_at", "_up")).join(own, ["page_id", "_up"])
+    steps = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_step"))), lambda x: x["_step"]), "/")
+    above = F.when((F.col("_up") != F.col("node_id")) & F.col("_id").isNotNull(), F.col("_at"))
+    return ways.groupBy("page_id", "node_id").agg(F.concat(F.lit("/"), steps).alias("xpath"), F.max_by("_id", above).alias("container"))
+
+
 def locator_candidates(elements: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """(page_id, node_id, strategy, value, unique, priority) of each element. ``unique``: no other element of the page (of ``scope``, if given) has the value."""
+    """(page_id, node_id, strategy, value, unique, priority) of each element. ``unique``: no other element of the page (of ``scope``, if given) has the value.
+
+    Strategies that depend on the place, xpath and scoped, need ``scope``, all elements of the pages.
+    """
 
     def stacked(df: DataFrame) -> DataFrame:
-        pairs = [("test_id", F.coalesce(_attr("data-testid"), _attr("data-test"))), ("id", _attr("id")), ("role", F.when((F.col("name") != "") & F.col("role").isNotNull(), F.concat_ws("|", "role", "name"))), ("label", _attr("aria-label")), ("placeholder", _attr("placeholder")), ("text", F.nullif("text", F.lit(""))), ("name", _attr("name")), ("css", F.when(_attr("href").isNotNull(), F.concat(F.col("tag"), F.lit('[href="'), _attr("href"), F.lit('"]')))), ("class", F.when(~is_generic_class(_attr("class")), F.concat(F.col("tag"), F.lit("."), F.regexp_replace(F.trim(_attr("class")), r"\s+", "."))))]
+        classes = _classes(_attr("class"))
+        pairs = [("test_id", F.coalesce(_attr("data-testid"), _attr("data-test"))), ("id", _attr("id")), ("role", F.when((F.col("name") != "") & F.col("role").isNotNull(), F.concat_ws("|", "role", "name"))), ("label", _attr("aria-label")), ("placeholder", _attr("placeholder")), ("text", F.nullif("text", F.lit(""))), ("name", _attr("name")), ("css", F.when(_attr("href").isNotNull(), F.concat(F.col("tag"), F.lit('[href="'), _attr("href"), F.lit('"]')))), ("class", F.concat("tag", classes))]
+        if scope is not None:
+            pairs += [("xpath", F.col("xpath")), ("scoped", F.when(F.col("container").isNotNull(), F.concat(F.lit("#"), F.col("container"), F.lit(" "), F.col("tag"), F.coalesce(classes, F.lit("")))))]
         rows = F.filter(F.array(*[F.struct(F.lit(s).alias("strategy"), v.alias("value")) for s, v in pairs]), lambda x: x["value"].isNotNull() & (x["value"] != ""))
         return df.select("page_id", "node_id", F.inline(rows))
 
+    every = elements
+    if scope is not None:
+        places = element_paths(scope)
+        elements, every = elements.join(places, ["page_id", "node_id"]), scope.join(places, ["page_id", "node_id"])
     own = stacked(elements)
-    n = stacked(scope if scope is not None else elements).groupBy("page_id", "strategy", "value").agg(F.count("*").alias("_n"))
+    n = stacked(every).groupBy("page_id", "strategy", "value").agg(F.count("*").alias("_n"))
     rank = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy"))
     return own.join(n, ["page_id", "strategy", "value"]).select("page_id", "node_id", "strategy", "value", (F.col("_n") == 1).alias("unique"), rank.cast("int").alias("priority"))
 
@@ -94,9 +120,19 @@ def rank_locators(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
 
 
-def element_names(elements: DataFrame) -> DataFrame:
-    """``unique_name`` in snake case from type and name, numbered where it repeats in a page, and the ``keywords`` to search by."""
-    base = F.concat_ws("_", "business_type", F.nullif(snake_case(F.col("name")), F.lit("")))
+#: Words for usual labels, and prefixes of names that say nothing.
+PHRASES = {"ok": "confirm", "确定": "confirm", "cancel": "cancel", "取消": "cancel", "search": "search", "查询": "search", "save": "save", "保存": "save", "delete": "delete", "删除": "delete"}
+GENERIC = ("please_enter_", "please_select_", "enter_", "select_", "click_to_")
+
+
+def element_names(elements: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """``unique_name`` in snake case from type and name, numbered where it repeats in a page, and the ``keywords`` to search by.
+
+    A name that ``phrases`` knows takes its word; prefixes that say nothing are cut.
+    """
+    word = F.try_element_at(F.create_map(*[F.lit(x) for kv in phrases.items() for x in kv]), F.lower(F.trim("name"))) if phrases else F.lit(None).cast("string")
+    plain = F.regexp_replace(snake_case(F.col("name")), "^(" + "|".join(GENERIC) + ")", "")
+    base = F.concat_ws("_", "business_type", F.nullif(F.coalesce(word, plain), F.lit("")))
     named = elements.withColumn("base_name", F.concat_ws("/", "page_id", base))
     out = suffix_duplicates(named, "base_name", ["node_id"])
     words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "name", "business_type")), r"[\s_]+"), lambda x: x != ""))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import collapse_ws, content_key, split_notes, version_match
+from ..functions.normalize import content_key, split_notes, version_match
 from .dedupe import keep_fullest
 
 NODES = "page_id long, node_id int, parent_id int, path array<int>, depth int, tag string, attrs map<string,string>, own_text string, text string, hidden boolean"
@@ -20,69 +20,107 @@ BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset foo
 
 
 class _Tree(HTMLParser):
-    """Rows (parent, tag, attributes, texts, hidden). An end tag closes the nearest open element of its name and all inside it; others are ignored."""
+    """Rows of elements, and the visible text of the page as one list of pieces, of which the text of each element is a stretch.
+
+    An end tag closes the nearest open element of its name and all inside it; others are ignored.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows: list[list] = []
+        self.parents, self.tags, self.attrs, self.own, self.hidden, self.silent, self.first, self.last = ([] for _ in range(8))
         self.open: list[int] = []
+        self.pieces: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         held = {k: v or "" for k, v in attrs}
         parent = self.open[-1] if self.open else -1
         style = held.get("style", "").replace(" ", "").lower()
-        hidden = "hidden" in held or "display:none" in style or "visibility:hidden" in style or held.get("aria-hidden") == "true" or (parent >= 0 and self.rows[parent][4])
-        self.rows.append([parent, tag, held, [], hidden])
-        if tag not in VOID:
-            self.open.append(len(self.rows) - 1)
+        if tag in BLOCK:
+            self.pieces.append(" ")
+        self.hidden.append("hidden" in held or "display:none" in style or "visibility:hidden" in style or held.get("aria-hidden") == "true" or (parent >= 0 and self.hidden[parent]))
+        self.silent.append(tag in SILENT or (parent >= 0 and self.silent[parent]))
+        self.parents.append(parent)
+        self.tags.append(tag)
+        self.attrs.append(held)
+        self.own.append([])
+        self.first.append(len(self.pieces))
+        self.last.append(None)
+        self.open.append(len(self.tags) - 1)
+        if tag in VOID:
+            self._close(len(self.open) - 1)
+
+    def _close(self, at: int):
+        for i in reversed(self.open[at:]):
+            self.last[i] = len(self.pieces)
+            if self.tags[i] in BLOCK:
+                self.pieces.append(" ")
+        del self.open[at:]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         for at in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[at]][1] == tag:
-                del self.open[at:]
+            if self.tags[self.open[at]] == tag:
+                self._close(at)
                 break
 
     def handle_data(self, data):
-        if self.open:
-            self.rows[self.open[-1]][3].append((len(self.rows), data))
+        if self.open and not self.silent[self.open[-1]]:
+            self.own[self.open[-1]].append(data)
+            self.pieces.append(data)
+
 
+def _flat(parts) -> str:
+    return " ".join("".join(parts).split())
 
-def _nodes(page_id: int, html: str | None):
+
+def _columns(html: str | None, page_id: int, need: frozenset[str], tags: frozenset[str] | None, cols: dict[str, list]) -> None:
+    """Append the elements of a page to the wanted columns."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    rows = tree.rows
-    pieces: list[list[tuple[float, str]]] = [[] for _ in rows]
-    for i in range(len(rows) - 1, -1, -1):
-        parent, tag, _, texts, hidden = rows[i]
-        own = [] if tag in SILENT else [(at, t) for at, t in texts]
-        pieces[i] = sorted(pieces[i] + own, key=lambda x: x[0])
-        if parent >= 0 and tag not in SILENT:
-            joined = "".join(t for _, t in pieces[i])
-            pieces[parent].append((i + 0.5, f" {joined} " if tag in BLOCK else joined))  # text before it has place i
-    paths: list[list[int]] = []
-    for i, (parent, tag, attrs, texts, hidden) in enumerate(rows):
-        paths.append([*(paths[parent] if parent >= 0 else []), i])
-        flat = lambda parts: " ".join("".join(parts).split())
-        yield page_id, i, parent, paths[i], len(paths[i]) - 1, tag, attrs, flat(t for _, t in texts) if tag not in SILENT else "", flat(t for _, t in pieces[i]), hidden
-
-
-def page_nodes(pages: DataFrame) -> DataFrame:
-    """One row for each element. ``text`` is all visible text below it: script and style dropped, blocks set apart, entities decoded, white space collapsed."""
-
-    names = [x.split()[0] for x in NODES.split(", ")]
+    tree._close(0)
+    keep = [i for i, t in enumerate(tree.tags) if tags is None or t in tags]
+    cols["page_id"] += [page_id] * len(keep)
+    cols["node_id"] += keep
+    if need & {"path", "depth"}:
+        paths: list[list[int]] = []
+        for i, p in enumerate(tree.parents):
+            paths.append([*paths[p], i] if p >= 0 else [i])
+    make = {
+        "parent_id": lambda i: tree.parents[i], "tag": lambda i: tree.tags[i], "attrs": lambda i: [*tree.attrs[i].items()], "hidden": lambda i: tree.hidden[i], "path": lambda i: paths[i], "depth": lambda i: len(paths[i]) - 1,
+        "own_text": lambda i: _flat(tree.own[i]), "text": lambda i: _flat(tree.pieces[tree.first[i] : tree.last[i]]),
+    }
+    for name in need & make.keys():
+        cols[name] += map(make[name], keep)
+
+
+_KINDS = {"page_id": pa.int64(), "node_id": pa.int32(), "parent_id": pa.int32(), "path": pa.list_(pa.int32()), "depth": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "own_text": pa.string(), "text": pa.string(), "hidden": pa.bool_()}
+
+
+def page_nodes(pages: DataFrame, need: tuple[str, ...] | None = None, tags: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each element, of the given ``tags`` only if any, with the columns of NODES, besides the ids only ``need`` if given.
+
+    ``text`` is all visible text below an element: script and style dropped, blocks set apart, entities decoded, white space
+    collapsed. Pages are parsed in Arrow batches; columns that nobody needs are not built.
+    """
+    kinds = dict(x.split() for x in NODES.split(", "))
+    names = [n for n in kinds if need is None or n in need or n in ("page_id", "node_id")]
+    wanted, only = frozenset(names), frozenset(tags) if tags else None
 
     def run(batches):
         for b in batches:
-            for page_id, html in zip(b["page_id"], b["html"]):
-                yield pd.DataFrame(list(_nodes(page_id, html)), columns=names)
+            ids, htmls = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for at in range(0, len(ids), 64):
+                cols = {n: [] for n in names}
+                for page_id, html in zip(ids[at : at + 64], htmls[at : at + 64]):
+                    _columns(html, page_id, wanted, only, cols)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[n], _KINDS[n]) for n in names], names)
 
-    return pages.select("page_id", "html").mapInPandas(run, NODES)
+    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def page_text(nodes: DataFrame) -> DataFrame:
@@ -151,11 +189,13 @@ def merge_requirements(rows: DataFrame) -> DataFrame:
 
 def page_notes(nodes: DataFrame, keywords=("note", "tip", "remark", "hint")) -> DataFrame:
     """Texts of elements whose class holds a keyword, with the nearest heading before them; of equal texts in a page the last."""
-    found = nodes.where(F.lower(F.coalesce(_attr("class"), F.lit(""))).rlike("|".join(keywords)) & (F.col("text") != "")).select("page_id", "node_id", F.col("text").alias("note"))
-    heads = nodes.where(F.col("tag").rlike("^h[1-6]$") & (F.col("text") != "")).select("page_id", F.col("node_id").alias("_h"), F.col("text").alias("_t"))
-    near = found.join(heads, "page_id", "left").where("_h is null or _h < node_id").groupBy("page_id", "node_id").agg(F.max_by("_t", "_h").alias("section"))
+    heading = F.col("tag").rlike("^h[1-6]$") & (F.col("text") != "")
+    marked = F.lower(F.coalesce(_attr("class"), F.lit(""))).rlike("|".join(keywords)) & (F.col("text") != "")
+    some = nodes.where(heading | marked).select("page_id", "node_id", F.col("text").alias("note"), heading.alias("_head"), marked.alias("_note"))
+    before = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = some.withColumn("section", F.last(F.when(F.col("_head"), F.col("note")), ignorenulls=True).over(before)).where("_note").drop("_head", "_note")
     last = Window.partitionBy("page_id", "note").orderBy(F.desc("node_id"))
-    return found.join(near, ["page_id", "node_id"], "left").withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+    return found.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
 
 
 def page_fields(nodes: DataFrame) -> DataFrame:
@@ -175,6 +215,14 @@ def page_interactions(nodes: DataFrame) -> DataFrame:
     return inner.groupBy("page_id", "box", "class").agg(title.alias("title"), F.count_if(F.col("tag").isin("input", "select", "textarea")).alias("n_fields"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("tag") == "button") & (F.col("text") != ""), F.struct("node_id", "text")))), lambda x: x["text"]), ",").alias("actions"))
 
 
+def interaction_warnings(nodes: DataFrame) -> DataFrame:
+    """(page_id, n_triggers): pages with elements that open a dialog of which none was found."""
+    attr = lambda n: F.lower(F.coalesce(_attr(n), F.lit("")))
+    trigger = attr("aria-haspopup").isin("dialog", "true") | (attr("data-toggle") == "modal") | (F.col("tag").isin("a", "button") & F.lower(F.concat_ws(" ", _attr("class"), "text")).rlike("dialog|modal|popup|drawer|弹窗|抽屉"))
+    box = F.lower(F.concat_ws(" ", _attr("class"), _attr("role"))).rlike("dialog|drawer|popover|modal") & ~F.col("tag").isin("a", "button")
+    return nodes.groupBy("page_id").agg(F.count_if(trigger & ~box).alias("n_triggers"), F.count_if(box).alias("_boxes")).where("n_triggers > 0 and _boxes = 0").drop("_boxes")
+
+
 def page_url_parts(pages: DataFrame) -> DataFrame:
     """Host, path, query parameters and base url of each page."""
     bare = F.regexp_replace("url", "#.*$", "")
@@ -187,7 +235,11 @@ def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     base = pages.select("page_id", F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1).alias("_root"), F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"[^/]*$", "").alias("_dir"))
     href = F.regexp_replace("href", "#.*$", "")
     joined = links.where("href is not null").join(base, "page_id")
-    target = F.when(href.rlike("^[a-z]+://"), href).when(href.startswith("/"), F.concat("_root", href)).otherwise(F.concat("_dir", href))
+    scheme = F.concat(F.regexp_extract("_root", "^([a-z]+:)", 1), href)
+    joined_path = F.concat("_dir", href)
+    for _ in range(8):  # a step up for each ../ that a browser resolves
+        joined_path = F.regexp_replace(F.regexp_replace(joined_path, r"/\./", "/"), r"([^:/])/[^/]+/\.\./", "$1/")
+    target = F.when(href.rlike("^[a-z]+://"), href).when(href.startswith("//"), scheme).when(href.startswith("/"), F.concat("_root", href)).otherwise(joined_path)
     known = pages.select(F.regexp_replace("url", "#.*$", "").alias("target_url"), F.col("page_id").alias("target_page")).groupBy("target_url").agg(F.min("target_page").alias("target_page"))
     return joined.select("page_id", "node_id", target.alias("target_url")).join(known, "target_url", "left").select("page_id", "node_id", "target_url", "target_page")
 
@@ -199,5 +251,9 @@ def page_stats(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("page_id").agg(F.count("*").alias("n_nodes"), n(t == "a", "n_links"), n(t == "button", "n_buttons"), n(t == "table", "n_tables"), n(t.isin("input", "select", "textarea"), "n_fields"), n(t.rlike("^h[1-6]$"), "n_headings"))
 
 
-def visible_words(nodes: DataFrame) -> DataFrame:
-    return page_text(nodes).select("page_id", F.size(F.split(collapse_ws(F.col("text")), " ")).alias("n_words"))
+def page_summary(nodes: DataFrame, requirements: DataFrame, notes: DataFrame, interactions: DataFrame) -> DataFrame:
+    """``page_stats`` of each page with its numbers of requirements, notes and interactions."""
+    out = page_stats(nodes)
+    for df, name in ((requirements, "n_requirements"), (notes, "n_notes"), (interactions, "n_interactions")):
+        out = out.join(df.groupBy("page_id").agg(F.count("*").alias(name)), "page_id", "left")
+    return out.na.fill(0)

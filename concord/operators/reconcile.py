@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import FieldRule, canonical_key, normalize_table
 
-DIFF_COLUMNS = ("diff_type", "business_key", "field", "expected", "actual", "expected_raw", "actual_raw", "n")
+#: Columns of every table of differences, with their types.
+DIFF_SCHEMA = "diff_type string, scope string, category string, blocking boolean, source_id string, business_key string, detail_key string, detail_index int, json_path string, field string, expected string, actual string, expected_raw string, actual_raw string, n bigint, error string"
+DIFF_COLUMNS = tuple(x.split()[0] for x in DIFF_SCHEMA.split(", "))
 
 #: Kinds of differences by their meaning.
 RELATIONSHIP_TYPES = ("ORPHAN_DETAIL", "SOURCE_BUSINESS_KEY_DUPLICATE", "ORDER_TARGET_DUPLICATE", "DETAIL_SOURCE_KEY_DUPLICATE", "DETAIL_TARGET_KEY_DUPLICATE")
@@ -49,44 +51,86 @@ def match_target(source: DataFrame, target: DataFrame, keys: list[str]) -> DataF
     return found.withColumn("outcome", F.when(F.col("hits") == 0, "missing").when(F.col("hits") == 1, "comparable").otherwise("duplicate"))
 
 
-def _sided(df: DataFrame, keys: list[str], rules: list[FieldRule], side: str, prefix: str) -> DataFrame:
-    """One row for each key: its number of rows, and the normalised and raw fields of one of them."""
-    normal = normalize_table(df, rules, side, keep=keys)
-    fields = F.struct(*[F.col(f"`{r.column}`").alias(f"f{i}") for i, r in enumerate(rules)], *[F.col(f"`{r.column}__raw`").alias(f"r{i}") for i, r in enumerate(rules)])
-    return normal.groupBy(*keys).agg(F.count("*").alias(f"{prefix}n"), F.min(fields).alias(prefix))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join by keys of which null equals null; the keys stand once in the result."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[f"_right_{k}"]) for k in keys])
+    joined = left.withColumn("_left", F.lit(True)).join(other, same, how)
+    own = [F.when(F.col("_left"), F.col(k)).otherwise(F.col(f"_right_{k}")).alias(k) for k in keys] if how in ("full_outer", "right") else [F.col(k) for k in keys]
+    return joined.select(*own, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys])
 
 
-def matched_rows(source: DataFrame, target: DataFrame, keys: list[str], rules: list[FieldRule]) -> DataFrame:
-    """Full outer join by key of both sides, reduced to a row for each key first: ``sn``, ``tn`` rows and fields ``s``, ``t``."""
-    return _sided(source, keys, rules, "source", "s").join(_sided(target, keys, rules, "target", "t"), keys, "full_outer")
+def _fields(df: DataFrame, keys: list[str], rules: list[FieldRule], side: str, name: str, json_col: str | None = None) -> DataFrame:
+    """The keys and ``name``, a struct of each rule's normalised value f, raw value r, error e and whether the source lacks it, m."""
+    if side == "target":  # a column that the target lacks is reported as such; until then it is null
+        df = df.withColumns({r.column: F.lit(None).cast("string") for r in rules if r.column not in df.columns})
+    normal = normalize_table(df, rules, side, json_col, keep=keys)
+    col = lambda r, end="": F.col(f"`{r.column}{end}`")
+    cells = [x for i, r in enumerate(rules) for x in (col(r).alias(f"f{i}"), col(r, "__raw").alias(f"r{i}"), col(r, "__error").alias(f"e{i}"), col(r, "__missing").alias(f"m{i}"))]
+    return normal.select(*keys, F.struct(*cells).alias(name))
 
 
-def compare_fields(joined: DataFrame, keys: list[str], rules: list[FieldRule]) -> DataFrame:
-    """A row for each field that differs, in one pass over the joined rows that match one to one."""
-    key = canonical_key(*[F.col(k) for k in keys]).alias("business_key")
-    one = joined.where("sn = 1 and tn = 1")
+def matched_rows(source: DataFrame, target: DataFrame, keys: list[str], rules: list[FieldRule], json_col: str | None = None) -> DataFrame:
+    """Every source row with the target of its key, and the keys that one side lacks: ``sn``, ``tn`` rows of the key on either side, fields ``s``, ``t``.
+
+    The target is reduced to a row for each key first, so its copies multiply nothing. Null keys equal each other. Source fields
+    come from columns, from ``json_col``, or are constants and computed values, as the rules say; the target's are its columns.
+    """
+    own = _fields(source, keys, rules, "source", "s", json_col)
+    held = _fields(target, keys, rules, "target", "t").groupBy(*keys).agg(F.count("*").alias("tn"), F.min("t").alias("t"))
+    counts = null_safe_join(own.groupBy(*keys).agg(F.count("*").alias("sn")), held, keys, "full_outer")
+    return null_safe_join(counts, own, keys, "left")
+
+
+def field_cells(rules: list[FieldRule], prefix: str = "ORDER", target_columns: list[str] | None = None) -> list[Column]:
+    """For each rule a struct of what is wrong with the field of ``s`` against ``t``; its diff_type is null where nothing is."""
     cells = []
     for i, r in enumerate(rules):
         s, t, rs, rt = F.col(f"s.f{i}"), F.col(f"t.f{i}"), F.col(f"s.r{i}"), F.col(f"t.r{i}")
-        error = (rs.isNotNull() & s.isNull()) | (rt.isNotNull() & t.isNull()) if r.kind not in ("string",) else F.lit(False)
-        absent = F.lit(r.required) & rs.isNull()
-        kind = F.when(absent, "ORDER_REQUIRED_SOURCE_VALUE_MISSING").when(error, "ORDER_NORMALIZE_ERROR").when(~s.eqNullSafe(t) & ~(F.lit(r.ignore_if_source_missing) & rs.isNull()), "ORDER_FIELD_MISMATCH")
-        cells.append(F.struct(kind.alias("diff_type"), F.lit(r.column).alias("field"), s.alias("expected"), t.alias("actual"), rs.alias("expected_raw"), rt.alias("actual_raw")))
-    return one.select(key, F.inline(F.filter(F.array(*cells), lambda x: x["diff_type"].isNotNull())))
+        error = F.col(f"s.e{i}") | F.col(f"t.e{i}")
+        skip = F.lit(r.ignore_if_source_missing) & F.col(f"s.m{i}")
+        kind = F.when(F.lit(r.required) & r.blank(rs), f"{prefix}_REQUIRED_SOURCE_VALUE_MISSING")
+        if target_columns is not None and r.column not in target_columns:
+            kind = kind.otherwise(f"{prefix}_TARGET_COLUMN_MISSING")
+        else:
+            kind = kind.when(skip, None).when(error, f"{prefix}_NORMALIZE_ERROR").when(~s.eqNullSafe(t), f"{prefix}_FIELD_MISMATCH")
+        what = F.when(error, F.concat(F.lit(f"not a {r.kind}: "), F.when(F.col(f"s.e{i}"), rs).otherwise(rt)))
+        cells.append(F.struct(kind.alias("diff_type"), F.lit(r.origin).alias("json_path"), F.lit(r.column).alias("field"), s.alias("expected"), t.alias("actual"), rs.alias("expected_raw"), rt.alias("actual_raw"), what.alias("error")))
+    return cells
+
+
+def wrong_fields(cells: list[Column]) -> Column:
+    return F.inline(F.filter(F.array(*cells), lambda x: x["diff_type"].isNotNull()))
+
+
+def compare_fields(joined: DataFrame, keys: list[str], rules: list[FieldRule]) -> DataFrame:
+    """A row for each field that differs, in one pass over the source rows whose key the target holds once."""
+    key = canonical_key(*[F.col(k) for k in keys]).alias("business_key")
+    return joined.where("tn = 1 and s is not null").select(key, wrong_fields(field_cells(rules)))
+
 
+def reconcile(source: DataFrame, target: DataFrame, keys: list[str], rules: list[FieldRule], json_col: str | None = None) -> DataFrame:
+    """All differences: missing in target, extra in target, duplicates on either side, and differing fields.
 
-def reconcile(source: DataFrame, target: DataFrame, keys: list[str], rules: list[FieldRule]) -> DataFrame:
-    """All differences: missing in target, extra in target, duplicates on either side, and differing fields of one-to-one keys."""
-    joined = matched_rows(source, target, keys, rules)
+    Each source row is compared with the one target row of its key, also where the source repeats the key; a key that the target
+    repeats is not compared. Null keys equal each other.
+    """
+    joined = matched_rows(source, target, keys, rules, json_col)
     key = canonical_key(*[F.col(k) for k in keys]).alias("business_key")
     kinds = F.filter(F.array(F.when(F.col("tn").isNull(), F.lit("ORDER_TARGET_MISSING")), F.when(F.col("sn").isNull(), F.lit("ORDER_TARGET_EXTRA")), F.when(F.col("sn") > 1, F.lit("SOURCE_BUSINESS_KEY_DUPLICATE")), F.when(F.col("sn").isNotNull() & (F.col("tn") > 1), F.lit("ORDER_TARGET_DUPLICATE"))), lambda x: x.isNotNull())
-    rows = joined.select(key, F.explode(kinds).alias("diff_type"), F.coalesce("tn", "sn").alias("n"))
+    once = joined.groupBy(*keys, "sn", "tn").agg(F.count("*").alias("_rows"))
+    rows = once.select(key, F.explode(kinds).alias("diff_type"), F.coalesce("tn", "sn").alias("n"))
     return union_diffs(rows, compare_fields(joined, keys, rules))
 
 
 def union_diffs(*diffs: DataFrame) -> DataFrame:
-    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), diffs)
-    return out.select(*[F.col(c) if c in out.columns else F.lit(None).cast("long" if c == "n" else "string").alias(c) for c in DIFF_COLUMNS])
+    """The union of differences of any checks under the columns of ``DIFF_SCHEMA``, with scope, category and blocking of each kind."""
+    types = dict(x.split() for x in DIFF_SCHEMA.split(", "))
+    one = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+    out = reduce(DataFrame.union, [one(df) for df in diffs])
+    t = F.col("diff_type")
+    scope = F.when(t.startswith("DETAIL_") | (t == "ORPHAN_DETAIL"), "detail").when(t.startswith("SOURCE_JSON"), "document").otherwise("order")
+    return classify_diffs(out.withColumn("scope", scope)).select(*DIFF_COLUMNS)
 
 
 def diff_counts(diffs: DataFrame) -> DataFrame:
@@ -132,11 +176,22 @@ def apply_zero_tolerance(accuracy: DataFrame) -> DataFrame:
 
 
 def group_differences(diffs: DataFrame, by: list[str], order: list[str], k: int = 3) -> DataFrame:
-    """Number of differences of each group with its first ``k`` samples, joined as text. Only the samples are gathered."""
-    rank = Window.partitionBy(*by).orderBy(*order)
-    sampled = diffs.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= k)
-    texts = sampled.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.concat_ws("=>", F.coalesce("expected", F.lit("<NULL>")), F.coalesce("actual", F.lit("<NULL>"))).alias("x")))), lambda s: s["x"]), "; ").alias("samples"))
-    return diffs.groupBy(*by).agg(F.count("*").alias("n")).join(texts, by)
+    """Number of differences of each group with its first ``k`` samples, joined as text.
+
+    One row for each group and value of the order columns comes out of the first aggregation, which Spark pre-aggregates; only the
+    ``k`` first of a group are gathered. Where ``diffs`` has columns ``n`` and ``samples``, rows in which both are set are grouped
+    already and pass through.
+    """
+    done = None
+    if {"n", "samples"} <= {*diffs.columns}:
+        grouped = F.col("n").isNotNull() & F.col("samples").isNotNull()
+        done, diffs = diffs.where(grouped).select(*by, "n", "samples"), diffs.where(~grouped)
+    text = F.concat_ws("=>", F.coalesce("expected", F.lit("<NULL>")), F.coalesce("actual", F.lit("<NULL>")))
+    ranked = Window.partitionBy(*by)
+    rows = diffs.groupBy(*by, *order, text.alias("_x")).agg(F.count("*").alias("_c"))
+    first = rows.select(*by, "_x", F.row_number().over(ranked.orderBy(*order, "_x")).alias("_rank"), F.sum("_c").over(ranked).alias("n")).where(F.col("_rank") <= k)
+    out = first.groupBy(*by).agg(F.max("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_x"))), lambda s: s["_x"]), "; ").alias("samples"))
+    return out if done is None else out.unionByName(done)
 
 
 def sample_diffs(diffs: DataFrame, order: list[str], k: int, by: list[str] = ()) -> DataFrame:
@@ -146,13 +201,20 @@ def sample_diffs(diffs: DataFrame, order: list[str], k: int, by: list[str] = ())
     return diffs.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
 
 
-def difference_summary(diffs: DataFrame, source_total: int | None = None) -> DataFrame:
-    """(grp, n): the four groups source_only, target_only, duplicate and field, also where they are empty."""
+def difference_summary(diffs: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """(grp, n): the four groups source_only, target_only, duplicate and field, also where they are empty.
+
+    ``totals(grp, n)`` gives declared numbers, which stand in for groups of which no difference is listed.
+    """
     t = F.col("diff_type")
     grp = F.when(t.endswith("TARGET_MISSING"), "source_only").when(t.endswith("TARGET_EXTRA"), "target_only").when(t.endswith("DUPLICATE"), "duplicate").otherwise("field")
     spec = diffs.sparkSession.createDataFrame([(g,) for g in ("source_only", "target_only", "duplicate", "field")], "grp string")
     counts = diffs.groupBy(grp.alias("grp")).agg(F.count("*").alias("n"))
-    return F.broadcast(spec).join(counts, "grp", "left").select("grp", F.coalesce("n", F.lit(0)).alias("n"))
+    out = F.broadcast(spec).join(counts, "grp", "left")
+    if totals is None:
+        return out.select("grp", F.coalesce("n", F.lit(0)).alias("n"))
+    declared = totals.groupBy("grp").agg(F.sum("n").alias("_n"))
+    return out.join(declared, "grp", "left").select("grp", F.coalesce("n", "_n", F.lit(0)).alias("n"))
 
 
 def strict_vs_normalized(joined: DataFrame, rules: list[FieldRule]) -> DataFrame:
@@ -196,8 +258,12 @@ def time_evidence(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def except_both(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of one side only, with ``side``; repeated rows count."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows of one side only, with ``side``; repeated rows count. One grouping of signed counts, which Spark pre-aggregates."""
+    cols = a.columns
+    signed = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
+    left = signed.groupBy(*cols).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    side = F.when(F.col("_n") > 0, "left").otherwise("right")
+    return left.select(*cols, side.alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_n"))).alias("_i")).drop("_i")
 
 
 def value_profile(df: DataFrame, cols: list[str], defaults: dict[str, str] | None = None) -> DataFrame:
@@ -217,8 +283,3 @@ def value_profile(df: DataFrame, cols: list[str], defaults: dict[str, str] | Non
         label = F.when(u == n, "all_null").when(e == n, "all_empty").when(z == n, "all_zero").when(d == n, "all_default").when(u + e + z + d == n, "mixed").otherwise("business")
         rows.append(F.struct(F.lit(c).alias("field"), n.alias("n_rows"), u.alias("n_null"), e.alias("n_empty"), z.alias("n_zero"), d.alias("n_default"), label.alias("label")))
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
-
-
-def ingestion_summary(**counts: DataFrame) -> DataFrame:
-    """(measure, n): row counts of the given frames."""
-    return reduce(DataFrame.union, [df.agg(F.lit(name).alias("measure"), F.count("*").alias("n")) for name, df in counts.items()])

@@ -17,30 +17,43 @@ VERDICTS = ("FAIL", "BLOCKED", "WARN", "PASS")
 def normalize_cases(cases: DataFrame, flip: bool = True) -> DataFrame:
     """Defaults for id and title, a known status, assertion counts (declared if given, else counted); with ``flip`` a passed case with a failed assertion fails."""
     named = cases.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("CASE-"), F.col("ordinal")))).withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "id"))
-    total = F.coalesce("declared_assertions", F.size("assertions"), F.lit(0))
+    total, passed = assertion_counts(cases)
     broken = F.coalesce(F.exists("assertions", lambda a: ~F.coalesce(a["passed"], F.lit(False))), F.lit(False))
     status = norm_status(F.col("status"))
     if flip:
         status = F.when((status == "passed") & broken, "failed").otherwise(status)
-    return named.withColumns({"status": status, "n_assertions": total.cast("int"), "n_passed_assertions": F.size(F.filter("assertions", lambda a: F.coalesce(a["passed"], F.lit(False))))})
+    return named.withColumns({"status": status, "n_assertions": total, "n_passed_assertions": passed, "n_screenshots": F.coalesce(F.size("screenshots"), F.lit(0)) if "screenshots" in cases.columns else F.lit(0)})
+
+
+def assertion_counts(cases: DataFrame) -> tuple[Column, Column]:
+    """(assertions, passed ones) of a case: the declared number where it is one, else those listed."""
+    listed = F.coalesce(F.when(F.col("assertions").isNotNull(), F.size("assertions")), F.lit(0))
+    declared = F.col("declared_assertions").try_cast("int") if "declared_assertions" in cases.columns else F.lit(None).cast("int")
+    passed = F.coalesce(F.when(F.col("assertions").isNotNull(), F.size(F.filter("assertions", lambda a: F.coalesce(a["passed"], F.lit(False))))), F.lit(0))
+    return F.coalesce(declared, listed).cast("int"), passed
 
 
 def _status_counts() -> list[Column]:
     return [F.count_if(F.col("status") == s).alias(s) for s in CASE_STATUSES]
 
 
+def _sums() -> list[Column]:
+    """Assertions, those that passed or not, and screenshots."""
+    return [F.sum("n_assertions").alias("assertions"), F.sum("n_passed_assertions").alias("passed_assertions"), F.sum(F.greatest(F.col("n_assertions") - F.col("n_passed_assertions"), F.lit(0))).alias("failed_assertions"), F.sum("n_screenshots").alias("screenshots")]
+
+
 def _rate(df: DataFrame) -> DataFrame:
     return df.withColumn("pass_rate", F.when(F.col("total") > 0, F.round(100.0 * F.col("passed") / F.col("total"), 2)).otherwise(0.0))
 
 
 def suite_summary(cases: DataFrame, by: list[str]) -> DataFrame:
     """Case, status and assertion counts with the pass rate of each group."""
-    return _rate(cases.groupBy(*by).agg(F.count("*").alias("total"), *_status_counts(), F.sum("n_assertions").alias("assertions")))
+    return _rate(cases.groupBy(*by).agg(F.count("*").alias("total"), *_status_counts(), *_sums()))
 
 
 def total_summary(cases: DataFrame, levels: list[str]) -> DataFrame:
     """The same for every level from the whole down, by rollup; null stands for all."""
-    return _rate(cases.rollup(*levels).agg(F.count("*").alias("total"), *_status_counts(), F.sum("n_assertions").alias("assertions")))
+    return _rate(cases.rollup(*levels).agg(F.count("*").alias("total"), *_status_counts(), *_sums()))
 
 
 def aggregate_status(cases: DataFrame, by: list[str]) -> DataFrame:
@@ -140,8 +153,10 @@ def rule_targets(rules: DataFrame, default_table: str, helpers: list[str] = ())
     return named.where(~F.col("target_table").isin(*helpers)).distinct() if helpers else named.distinct()
 
 
-def target_sources(rules: DataFrame, hints: DataFrame, source_fields: DataFrame) -> DataFrame:
-    """(target_field, source_field, origin): a field's declared sources, else hinted ones, else all fields of the source."""
+def target_sources(rules: DataFrame, hints: DataFrame, source_fields: DataFrame, most: int = 10_000) -> DataFrame:
+    """(target_field, source_field, origin): a field's declared sources, else hinted ones, else all fields of the source, at most ``most``, which are broadcast."""
+    if source_fields.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} source fields")
     own = rules.select("target_field", F.explode(F.split("source_text", r"\s*,\s*")).alias("source_field"), F.lit("rule").alias("origin")).where("source_field <> ''")
     open_ = rules.select("target_field").distinct().join(own, "target_field", "left_anti")
     hinted = open_.join(hints.select("target_field", "source_field"), "target_field").withColumn("origin", F.lit("hint"))
@@ -156,6 +171,15 @@ def resolve_names(df: DataFrame, inventory: DataFrame) -> DataFrame:
     return joined.withColumn("display_name", F.coalesce("_by_interface_name", "_by_interface_path", "interface_name")).drop("_by_interface_name", "_by_interface_path")
 
 
+def resolve_fields(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """``field_alias`` of each row's ``field_name``: the first alias that ``rules(interface_name, field_name, alias, ordinal)`` give it in its interface, else in any."""
+    known = rules.where(F.coalesce(F.trim("alias"), F.lit("")) != "")
+    here = known.groupBy("interface_name", "field_name").agg(F.min_by("alias", "ordinal").alias("_here"))
+    any_ = known.groupBy("field_name").agg(F.min_by("alias", "ordinal").alias("_any"))
+    joined = df.join(here, ["interface_name", "field_name"], "left").join(any_, "field_name", "left")
+    return joined.withColumn("field_alias", F.coalesce("_here", "_any", "field_name")).drop("_here", "_any")
+
+
 def interface_reasons(*frames: DataFrame, k: int = 3) -> DataFrame:
     """The first ``k`` distinct reasons of each interface, by ``ordinal``."""
     rows = reduce(lambda a, b: a.unionByName(b), [df.select("interface_name", "reason", "ordinal") for df in frames])

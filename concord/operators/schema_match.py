@@ -20,22 +20,39 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def score_pairs(columns: DataFrame, fields: DataFrame) -> DataFrame:
+def _sparse_pairs(c: DataFrame, f: DataFrame) -> DataFrame:
+    """Pairs of ``c`` and ``f`` that share a token, a name or a comment, or of which one comment holds the other, and each column with the first field of each type.
+
+    Any other pair has its score from the types alone, so a column's best field is among these.
+    """
+    names = ["table_name", "column_name"]
+    keyed = lambda df, x: df.withColumn("_t", F.explode(F.array_distinct(F.concat(*[F.transform(F.col(t), lambda v, n=n: F.concat(F.lit(n), v)) for t, n in x]))))
+    tokens = keyed(c, (("cct", "t"), ("cnt", "t"))).select(*names, "_t").join(keyed(f, (("fct", "t"), ("fnt", "t"))).select("json_path", "_t"), "_t")
+    equal = c.select(*names, F.col("cnn").alias("_t")).where("_t <> ''").join(f.select("json_path", F.col("fnn").alias("_t")), "_t")
+    cuts = lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.transform(F.sequence(F.lit(1), F.length(x) - i + 1), lambda n: F.substring(x, i, n))))
+    inside = lambda a, keep, x: a.where(F.col(x) != "").select(*keep, F.explode(F.array_distinct(cuts(F.col(x)))).alias("_t"))
+    whole = lambda a, keep, x: a.where(F.col(x) != "").select(*keep, F.col(x).alias("_t"))
+    held = inside(c, names, "ccn").join(whole(f, ["json_path"], "fcn"), "_t").unionByName(whole(c, names, "ccn").join(inside(f, ["json_path"], "fcn"), "_t"))
+    first = f.groupBy(mapping_type(F.col("field_type")).alias("_m"), (F.coalesce("field_type", F.lit("")) == "").alias("_e")).agg(F.min_by("json_path", "field_ordinal").alias("json_path"))
+    typed = c.select(*names).join(F.broadcast(first.select("json_path")))
+    return tokens.unionByName(equal).unionByName(held).select(*names, "json_path").union(typed).distinct()
+
+
+def score_pairs(columns: DataFrame, fields: DataFrame, max_fields: int = 10_000) -> DataFrame:
     """Each column and field with its ``score`` in 0..1 and the ``reasons``.
 
     Comments weigh most (equal 0.72, contained 0.58, shared tokens up to 0.48), names less (0.48, 0.36), name against comment up to
-    0.22 each from half the tokens on, and types 0.08 or -0.12. A catalogue is small: fields of one interface are broadcast after
-    a check of their number, and beyond it pairs are formed over shared tokens only.
+    0.22 each from half the tokens on, and types 0.08 or -0.12 (fixed values). Up to ``max_fields`` fields are broadcast and give all
+    pairs; beyond it only pairs come out that can be a column's best (``_sparse_pairs``), by joins.
     """
     c = columns.select("table_name", "column_name", "data_type", F.coalesce("column_comment", F.lit("")).alias("cc"), "is_nullable", "ordinal_position", "numeric_scale")
     f = fields.select("json_path", F.col("name").alias("field_name"), F.coalesce("comment", F.lit("")).alias("fc"), F.col("type").alias("field_type"), "required", "field_ordinal")
     c = c.withColumns({"ccn": norm_text(F.col("cc")), "cnn": norm_text(F.col("column_name")), "cct": token_set(F.col("cc")), "cnt": token_set(F.col("column_name"))})
     f = f.withColumns({"fcn": norm_text(F.col("fc")), "fnn": norm_text(F.col("field_name")), "fct": token_set(F.col("fc")), "fnt": token_set(F.col("field_name"))})
-    if f.limit(10_001).count() <= 10_000:
+    if f.limit(max_fields + 1).count() <= max_fields:
         pairs = c.join(F.broadcast(f))
     else:
-        keys = lambda df, a, b: df.withColumn("_t", F.explode(F.array_distinct(F.concat(a, b))))
-        pairs = keys(c, "cct", "cnt").join(keys(f, "fct", "fnt"), "_t").drop("_t").dropDuplicates(["table_name", "column_name", "json_path"])
+        pairs = _sparse_pairs(c, f).join(c, ["table_name", "column_name"]).join(f, "json_path")
     both_comments = (F.col("fcn") != "") & (F.col("ccn") != "")
     comment = F.when(~both_comments, 0.0).when(F.col("fcn") == F.col("ccn"), 0.72).when(F.col("ccn").contains(F.col("fcn")) | F.col("fcn").contains(F.col("ccn")), 0.58).otherwise(_jaccard(F.col("fct"), F.col("cct")) * 0.48)
     name = F.when((F.col("fnn") == "") | (F.col("cnn") == ""), 0.0).when(F.col("fnn") == F.col("cnn"), 0.48).otherwise(_jaccard(F.col("fnt"), F.col("cnt")) * 0.36)
@@ -72,11 +89,13 @@ BUSINESS_KEYS = ("order_no", "order_code", "source_order_no", "order_id")
 DETAIL_KEYS = ("line_no", "line_num", "sku_id", "sku_code", "item_id", "goods_id", "product_id")
 
 
-def infer_keys(mappings: DataFrame, preferred=BUSINESS_KEYS) -> DataFrame:
-    """The mapping of the most preferred key column of each table."""
-    rank = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.lower("column_name"))
+def infer_keys(mappings: DataFrame, preferred=BUSINESS_KEYS, path_name: str | None = "orderno") -> DataFrame:
+    """The mapping of the most preferred key column of each table; without such a column one whose JSON path holds ``path_name``."""
+    rank = F.nullif(F.array_position(F.array(*[F.lit(p) for p in preferred]), F.lower("column_name")), F.lit(0))
+    if path_name:
+        rank = F.coalesce(rank, F.when(norm_text(F.col("json_path")).contains(path_name), len(preferred) + 1))
     found = mappings.withColumn("_rank", rank).where("_rank > 0")
-    return found.withColumn("_first", F.row_number().over(Window.partitionBy("table_name").orderBy("_rank"))).where("_first = 1").drop("_rank", "_first")
+    return found.withColumn("_first", F.row_number().over(Window.partitionBy("table_name").orderBy("_rank", "column_name"))).where("_first = 1").drop("_rank", "_first")
 
 
 def unmatched(best: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:

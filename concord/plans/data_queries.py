@@ -151,7 +151,7 @@ def check_keys(spark, sf_dir):
 
 @query(f"WITH {ORDERS_SQL}, {LINES_SQL}, n AS (SELECT lk, count(*) AS n FROM li GROUP BY lk) SELECT k AS id, CASE WHEN k % 229 = 0 THEN 'DETAIL_ARRAY_NOT_LIST' ELSE 'ok' END AS status, CASE WHEN k % 229 = 0 THEN 0 ELSE coalesce(n, 0) END AS n_items FROM ob LEFT JOIN n ON lk = k WHERE {_DOC} = 'ok'")
 def detail_array_status(spark, sf_dir):
-    return ingestion.detail_array_status(orders_json(spark, sf_dir), "doc", "$.details", ["id"])
+    return ingestion.detail_array_status(ingestion.parse_documents(orders_json(spark, sf_dir), "doc"), "doc", "$.details", ["id"])
 
 
 _ITEMS = {"ln": ("$.line", "int"), "part": ("$.part", "int"), "qty": ("$.qty", "decimal"), "ext": ("$.ext", "decimal")}
@@ -219,11 +219,124 @@ def parse_params(spark, sf_dir):
     return ingestion.parse_params(orders_json(spark, sf_dir), "doc", {"orderNo": "bigint", "status": "string"}, ["id"])
 
 
-@query(f"WITH {ORDERS_SQL} SELECT 'source' AS measure, count(*) AS n FROM ob UNION ALL SELECT 'valid', count(*) FROM ob WHERE {_DOC} = 'ok' UNION ALL SELECT 'headers', count(*) FROM ob WHERE k IN (SELECT k FROM oc GROUP BY k HAVING count(*) = 1)")
+def _planted_docs(spark, sf_dir):
+    """The documents with more planted: unreadable keys, no status, an unreadable price, no details, and every 257th loaded twice."""
+    k = F.col("id")
+    cut = lambda doc, when, pattern, by: F.when(when, F.regexp_replace(doc, pattern, by)).otherwise(doc)
+    doc = cut(F.col("doc"), k % 233 == 0, r'"orderNo":\d+', '"orderNo":"x"')
+    doc = cut(doc, k % 241 == 0, r'"status":"[^"]*",', "")
+    doc = cut(doc, k % 251 == 0, r'"price":"[^"]*"', '"price":"abc"')
+    doc = cut(doc, k % 263 == 0, r',"details":.*\}$', "}")
+    docs = ingestion.parse_documents(orders_json(spark, sf_dir).select("id", doc.alias("doc")), "doc")
+    return docs.withColumn("id", F.explode(F.when((k % 257 == 0) & (k != 0), F.array(k, -k)).otherwise(F.array(k))))
+
+
+_SPEC = ingestion.DocumentSpec("id", "doc", keys=(N.FieldRule("k", json_path="$.orderNo", kind="int"),), fields=(N.FieldRule("status", json_path="$.status", required=True), N.FieldRule("price", json_path="$.price", kind="decimal")), header_id="k", detail_path="$.details", detail_required=True, detail_fk="lk", detail_keys=(N.FieldRule("ln", json_path="$.line", kind="int"),), detail_fields=(N.FieldRule("part", json_path="$.part", kind="int"), N.FieldRule("qty", json_path="$.qty", kind="decimal"), N.FieldRule("ext", json_path="$.ext", kind="decimal")))
+
+
+def _ingestion(spark, sf_dir):
+    return ingestion.verify_ingestion(_planted_docs(spark, sf_dir), orders_copy(spark, sf_dir), lineitem_copy(spark, sf_dir), _SPEC)
+
+
+_NONE = "NULL AS detail_key, NULL AS field, NULL AS expected, NULL AS actual"
+_INGESTION = f"""{ORDERS_SQL}, {LINES_SQL},
+    d0 AS (SELECT k AS id, k, status, price FROM ob UNION ALL SELECT -k, k, status, price FROM ob WHERE k % 257 = 0 AND k <> 0),
+    d AS (SELECT *, CASE WHEN k % 211 = 0 THEN 'SOURCE_JSON_INVALID' WHEN k % 223 = 0 THEN 'SOURCE_JSON_NOT_OBJECT' WHEN k % 227 = 0 THEN 'ORDER_SOURCE_KEY_MISSING' WHEN k % 233 = 0 THEN 'ORDER_SOURCE_KEY_ERROR' END AS bad FROM d0),
+    h AS (SELECT k, count(*) AS tn, min(status) AS ts, min(price) AS tp FROM oc GROUP BY k),
+    g AS (SELECT d.*, tn, ts, tp, CASE WHEN d.k % 263 = 0 THEN 'DETAIL_ARRAY_MISSING' WHEN d.k % 229 = 0 THEN 'DETAIL_ARRAY_NOT_LIST' END AS lost FROM d LEFT JOIN h USING (k) WHERE bad IS NULL),
+    one AS (SELECT * FROM g WHERE tn = 1),
+    ns AS (SELECT lk, count(*) AS n FROM li GROUP BY lk), nt AS (SELECT lk, count(*) AS n FROM lc GROUP BY lk),
+    s AS (SELECT id, k, ln, count(*) AS sn, min(part) AS p1, min(qty) AS q1, min(ext) AS e1 FROM one JOIN li ON lk = k WHERE lost IS NULL GROUP BY 1, 2, 3),
+    t AS (SELECT id, k, ln, count(*) AS tn, min(part) AS p2, min(qty) AS q2, min(ext) AS e2 FROM one JOIN lc ON lk = k WHERE lost IS DISTINCT FROM 'DETAIL_ARRAY_NOT_LIST' GROUP BY 1, 2, 3),
+    b AS (SELECT coalesce(s.id, t.id) AS id, coalesce(s.k, t.k) AS k, coalesce(s.ln, t.ln) AS ln, sn, tn, p1, q1, e1, p2, q2, e2 FROM s FULL JOIN t ON s.id = t.id AND s.ln = t.ln),
+    f AS (SELECT *, sn = 1 AND tn = 1 AS single FROM b),
+    v AS (
+        SELECT bad AS diff_type, CAST(id AS VARCHAR) AS source_id, CASE WHEN bad = 'ORDER_SOURCE_KEY_MISSING' THEN '<NULL>' END AS business_key, {_NONE} FROM d WHERE bad IS NOT NULL
+        UNION ALL SELECT 'SOURCE_BUSINESS_KEY_DUPLICATE', NULL, CAST(k AS VARCHAR), {_NONE} FROM d WHERE bad IS NULL GROUP BY k HAVING count(*) > 1
+        UNION ALL SELECT 'ORDER_TARGET_MISSING', CAST(id AS VARCHAR), CAST(k AS VARCHAR), {_NONE} FROM g WHERE tn IS NULL
+        UNION ALL SELECT 'ORDER_TARGET_DUPLICATE', CAST(id AS VARCHAR), CAST(k AS VARCHAR), {_NONE} FROM g WHERE tn > 1
+        UNION ALL SELECT CASE WHEN k % 241 = 0 THEN 'ORDER_REQUIRED_SOURCE_VALUE_MISSING' ELSE 'ORDER_FIELD_MISMATCH' END, CAST(id AS VARCHAR), CAST(k AS VARCHAR), NULL, 'status', CASE WHEN k % 241 <> 0 THEN status END, ts FROM one WHERE k % 241 = 0 OR status <> ts
+        UNION ALL SELECT CASE WHEN k % 251 = 0 THEN 'ORDER_NORMALIZE_ERROR' ELSE 'ORDER_FIELD_MISMATCH' END, CAST(id AS VARCHAR), CAST(k AS VARCHAR), NULL, 'price', CASE WHEN k % 251 <> 0 THEN CAST(price AS VARCHAR) END, CAST(tp AS VARCHAR) FROM one WHERE k % 251 = 0 OR price <> tp
+        UNION ALL SELECT lost, CAST(id AS VARCHAR), CAST(k AS VARCHAR), {_NONE} FROM one WHERE lost IS NOT NULL
+        UNION ALL SELECT 'DETAIL_COUNT_MISMATCH', CAST(id AS VARCHAR), CAST(k AS VARCHAR), NULL, NULL, CAST(CASE WHEN lost IS NULL THEN coalesce(ns.n, 0) ELSE 0 END AS VARCHAR), CAST(coalesce(nt.n, 0) AS VARCHAR) FROM one LEFT JOIN ns ON ns.lk = k LEFT JOIN nt ON nt.lk = k WHERE lost IS DISTINCT FROM 'DETAIL_ARRAY_NOT_LIST' AND CASE WHEN lost IS NULL THEN coalesce(ns.n, 0) ELSE 0 END <> coalesce(nt.n, 0)
+        UNION ALL SELECT 'DETAIL_SOURCE_KEY_DUPLICATE', CAST(id AS VARCHAR), CAST(k AS VARCHAR), CAST(ln AS VARCHAR), NULL, NULL, NULL FROM f WHERE sn > 1
+        UNION ALL SELECT 'DETAIL_TARGET_KEY_DUPLICATE', CAST(id AS VARCHAR), CAST(k AS VARCHAR), CAST(ln AS VARCHAR), NULL, NULL, NULL FROM f WHERE tn > 1
+        UNION ALL SELECT 'DETAIL_TARGET_MISSING', CAST(id AS VARCHAR), CAST(k AS VARCHAR), CAST(ln AS VARCHAR), NULL, NULL, NULL FROM f WHERE tn IS NULL
+        UNION ALL SELECT 'DETAIL_TARGET_EXTRA', CAST(id AS VARCHAR), CAST(k AS VARCHAR), CAST(ln AS VARCHAR), NULL, NULL, NULL FROM f WHERE sn IS NULL
+        UNION ALL SELECT 'DETAIL_FIELD_MISMATCH', CAST(id AS VARCHAR), CAST(k AS VARCHAR), CAST(ln AS VARCHAR), 'part', CAST(p1 AS VARCHAR), CAST(p2 AS VARCHAR) FROM f WHERE single AND p1 <> p2
+        UNION ALL SELECT 'DETAIL_FIELD_MISMATCH', CAST(id AS VARCHAR), CAST(k AS VARCHAR), CAST(ln AS VARCHAR), 'qty', CAST(q1 AS VARCHAR), CAST(q2 AS VARCHAR) FROM f WHERE single AND q1 <> q2
+        UNION ALL SELECT 'DETAIL_FIELD_MISMATCH', CAST(id AS VARCHAR), CAST(k AS VARCHAR), CAST(ln AS VARCHAR), 'ext', CAST(e1 AS VARCHAR), CAST(e2 AS VARCHAR) FROM f WHERE single AND e1 <> e2
+        UNION ALL SELECT 'ORPHAN_DETAIL', NULL, CAST(lk AS VARCHAR), CAST(ln AS VARCHAR), NULL, NULL, NULL FROM lc WHERE lk NOT IN (SELECT k FROM oc)
+    )"""
+
+
+@query(f"WITH {_INGESTION} SELECT * FROM v")
+def verify_ingestion(spark, sf_dir):
+    return _ingestion(spark, sf_dir).select("diff_type", "source_id", "business_key", "detail_key", "field", "expected", "actual")
+
+
+@query(f"""WITH {_INGESTION} SELECT diff_type, CASE WHEN diff_type IN ('ORPHAN_DETAIL', 'SOURCE_BUSINESS_KEY_DUPLICATE', 'ORDER_TARGET_DUPLICATE', 'DETAIL_SOURCE_KEY_DUPLICATE', 'DETAIL_TARGET_KEY_DUPLICATE') THEN 'relationship' WHEN diff_type LIKE 'SOURCE%' OR diff_type LIKE 'ORDER_SOURCE_KEY%' THEN 'source' WHEN diff_type LIKE 'ORDER%' THEN 'order' ELSE 'detail' END AS category,
+    diff_type IN ('SOURCE_JSON_INVALID', 'SOURCE_JSON_NOT_OBJECT', 'DETAIL_ARRAY_NOT_LIST', 'ORDER_SOURCE_KEY_ERROR', 'ORDER_REQUIRED_SOURCE_VALUE_MISSING', 'ORDER_NORMALIZE_ERROR') AS blocking, CASE WHEN diff_type LIKE 'DETAIL%' OR diff_type = 'ORPHAN_DETAIL' THEN 'detail' WHEN diff_type LIKE 'SOURCE_JSON%' THEN 'document' ELSE 'order' END AS scope, count(*) AS n FROM v GROUP BY ALL""")
+def classify_ingestion(spark, sf_dir):
+    return _ingestion(spark, sf_dir).groupBy("diff_type", "category", "blocking", "scope").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_INGESTION} SELECT (SELECT count(*) FROM d) AS source_rows, (SELECT count(*) FROM d WHERE bad IS NULL OR bad LIKE 'ORDER%') AS valid_json, (SELECT count(*) FROM one) AS headers_checked, (SELECT coalesce(sum(n), 0) FROM one JOIN nt ON lk = k) AS details_checked, (SELECT count(*) FROM v) AS diffs")
 def ingestion_summary(spark, sf_dir):
-    docs = orders_json(spark, sf_dir)
-    checked = reconcile.match_target(orders(spark, sf_dir), orders_copy(spark, sf_dir), KEYS).where("outcome = 'comparable'")
-    return reconcile.ingestion_summary(source=docs, valid=ingestion.check_json(docs, "doc", ["id"]).where("json_status = 'ok'"), headers=checked)
+    docs, header, detail = _planted_docs(spark, sf_dir), orders_copy(spark, sf_dir), lineitem_copy(spark, sf_dir)
+    return ingestion.ingestion_summary(docs, header, detail, _SPEC, ingestion.verify_ingestion(docs, header, detail, _SPEC))
+
+
+_two_sided = lambda: [N.FieldRule("segment", source_column="seg_src", category="business"), N.FieldRule("origin", constant="crm"), N.FieldRule("double_key", computed=F.col("c_custkey") * 2, kind="int"), N.FieldRule("nation", json_path="$.a.n", kind="int"), N.FieldRule("note", source_column="note_src", empty_as_null=True, kind="int"), N.FieldRule("zeros", source_column="zero_src", source_transforms=("zero_to_null",), target_transforms=("empty_to_null",), kind="int"), N.FieldRule("cents", source_column="cents_src", source_transforms=("cents_to_decimal",), kind="decimal")]
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey <> 50 THEN CAST(c_custkey AS VARCHAR) ELSE '<NULL>' END AS business_key, c_mktsegment AS seg, c_nationkey AS n FROM customer),
+    d AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE k % 23 = 0),
+    v AS (SELECT 'SOURCE_BUSINESS_KEY_DUPLICATE' AS diff_type, business_key, NULL AS field, NULL AS expected, NULL AS actual FROM c WHERE k % 23 = 0
+        UNION ALL SELECT 'ORDER_FIELD_MISMATCH', business_key, 'segment', seg, lower(seg) FROM d WHERE k % 7 = 0
+        UNION ALL SELECT 'ORDER_FIELD_MISMATCH', business_key, 'origin', 'crm', 'erp' FROM d WHERE k % 11 = 0
+        UNION ALL SELECT 'ORDER_FIELD_MISMATCH', business_key, 'double_key', CAST(k * 2 AS VARCHAR), CAST(k * 2 + 1 AS VARCHAR) FROM d WHERE k % 13 = 0
+        UNION ALL SELECT 'ORDER_FIELD_MISMATCH', business_key, 'nation', CAST(n AS VARCHAR), CAST(n + 1 AS VARCHAR) FROM d WHERE k % 17 = 0
+        UNION ALL SELECT 'ORDER_FIELD_MISMATCH', business_key, 'note', NULL, '5' FROM d WHERE k % 19 = 0
+        UNION ALL SELECT 'ORDER_NORMALIZE_ERROR', business_key, 'note', NULL, NULL FROM d WHERE k % 29 = 0 AND k % 19 <> 0
+        UNION ALL SELECT 'ORDER_FIELD_MISMATCH', business_key, 'zeros', NULL, '3' FROM d WHERE k % 31 = 0
+        UNION ALL SELECT 'ORDER_NORMALIZE_ERROR', business_key, 'cents', NULL, '1.00' FROM d WHERE k % 37 = 0)
+    SELECT * FROM v""")
+def reconcile_two_sided(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    key = F.when(k != 50, k).alias("k")
+    source = c.select(key, "c_custkey", F.col("c_mktsegment").alias("seg_src"), F.format_string('{"a":{"n":%d}}', "c_nationkey").alias("doc"), F.when((k % 29 == 0) & (k % 19 != 0), "x").otherwise("").alias("note_src"), F.lit("0.0").alias("zero_src"), F.when(k % 37 == 0, "?").otherwise("100").alias("cents_src"))
+    target = c.select(key, F.when(k % 7 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("segment"), F.when(k % 11 == 0, "erp").otherwise("crm").alias("origin"), (k * 2 + F.when(k % 13 == 0, 1).otherwise(0)).alias("double_key"), (F.col("c_nationkey") + F.when(k % 17 == 0, 1).otherwise(0)).alias("nation"), F.when(k % 19 == 0, "5").alias("note"), F.when(k % 31 == 0, "3").otherwise("").alias("zeros"), F.lit("1").alias("cents"))
+    found = reconcile.reconcile(source.union(source.where(F.col("c_custkey") % 23 == 0)), target, ["k"], _two_sided(), "doc")
+    return found.select("diff_type", "business_key", "field", "expected", "actual")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def business_columns(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select(*reconcile.business_columns(c.columns, ["C_NATIONKEY", "c_mktsegment"]))
+
+
+@query("SELECT o_orderkey AS source_id, o_totalprice < 1 AS zero, o_orderkey % 3 <> 0 AS pre_sale, CAST(o_orderkey AS VARCHAR) AS own FROM orders")
+def computed_fields(spark, sf_dir):
+    doc = F.concat(F.lit('{"order_amount": '), F.floor("o_totalprice"), F.lit(', "pre_sale_type": '), F.col("o_orderkey") % 3, F.lit("}"))
+    rules = [N.FieldRule("zero", computed="zero_order_amount"), N.FieldRule("pre_sale", computed="pre_sale_type_nonzero"), N.FieldRule("own", computed="source_id")]
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), doc.alias("doc"))
+    return N.normalize_table(o, rules, "source", "doc", ["source_id"]).select("source_id", F.col("zero").cast("boolean"), F.col("pre_sale").cast("boolean"), "own")
+
+
+@query("SELECT o_orderkey, coalesce(c_mktsegment, CAST(o_custkey AS VARCHAR)) AS o_custkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 > 0")
+def map_values(spark, sf_dir):
+    pairs = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("from_value"), F.col("c_mktsegment").alias("to_value"))
+    return N.map_values(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", pairs)
+
+
+@query("SELECT o_orderstatus, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'both_empty' WHEN o_orderkey % 3 = 0 THEN 'target_empty' WHEN o_orderkey % 2 = 0 THEN 'source_empty' ELSE 'same' END AS side, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM orders GROUP BY 1, 2")
+def empty_side_range(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", k.alias("key"), F.when(k % 2 != 0, "v").alias("a"), F.when(k % 3 != 0, "v").otherwise(" ").alias("b"))
+    return N.empty_side_range(o, ["o_orderstatus"], "a", "b")
 
 
 _JSON_RULES = [N.FieldRule("status", json_path="$.status", required=True), N.FieldRule("price", json_path="$.price", kind="decimal"), N.FieldRule("no", json_path="$.number", fallback_paths=("$.orderNo",), kind="int", default="0")]
@@ -326,6 +439,16 @@ def redact_json(spark, sf_dir):
     return e.select("event_id", R.redact_json(doc).alias("doc"))
 
 
+_KEYS = {"account_password": True, "discount_secret": True, "token_count": False, "tokenTotal": False, "accounttoken": True, "session_id": True, "set_cookie": True, "kind": False, "secret_count": True, "access_key_scope": True}
+
+
+@query("SELECT event_id, " + ", ".join(f"'{'<redacted>' if hidden else 'v'}' AS \"{key}\"" for key, hidden in _KEYS.items()) + ", '<redacted>' AS nested, 'v' AS plain FROM events")
+def redact_keys(spark, sf_dir):
+    values = F.concat(F.lit("{" + "".join(f'"{k}": "v", ' for k in _KEYS) + '"cookies": [1, {"a": ["x", "}"]}, null], "list": [{"api_secret": {"k": [1, 2]}, "plain": "v"}], "k": '), F.col("event_id"), F.lit("}"))
+    held = N.parse_json(R.redact_json(values))
+    return table(spark, sf_dir, "events").select("event_id", *[N.json_text(held, f"$.{k}").alias(k) for k in _KEYS], F.when(N.json_text(held, "$.cookies") == R.HIDDEN, N.json_text(held, "$.list[0].api_secret")).alias("nested"), N.json_text(held, "$.list[0].plain").alias("plain"))
+
+
 # ---- chains and relations ----------------------------------------------------------------------------
 
 def _layers(spark, sf_dir):
@@ -452,9 +575,9 @@ def first_last_best(spark, sf_dir):
     return out[0].union(out[1]).union(out[2])
 
 
-@query("WITH r AS (SELECT doc_id, lower(substr(text, 1, 12)) AS key, length(text) AS n, source, row_number() OVER (PARTITION BY lower(substr(text, 1, 12)) ORDER BY length(text) DESC, doc_id) AS rn, count(*) OVER (PARTITION BY lower(substr(text, 1, 12))) AS n_copies FROM documents) SELECT doc_id, n_copies FROM r WHERE rn = 1")
+@query(r"WITH k AS (SELECT doc_id, source, md5(lower(regexp_replace(text, '\s+', '', 'g'))) AS key, length(text) AS n FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, doc_id) AS rn, count(*) OVER (PARTITION BY key) AS n_copies FROM k) SELECT doc_id, n_copies FROM r WHERE rn = 1")
 def keep_fullest(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring("text", 1, 12)).alias("key"), F.length("text").alias("n"), "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower(F.regexp_replace("text", r"\s+", ""))).alias("key"), F.length("text").alias("n"), "source")
     return dedupe.keep_fullest(d, ["key"], F.col("n"), ["doc_id"], "source").select("doc_id", "n_copies")
 
 

@@ -54,11 +54,11 @@ def _ratio(field: str, low: int, high: int) -> str:
     return f"(CAST({_hash(field, 'c_custkey')} % {high - low + 1} + {low} AS DECIMAL(10,0)) / 1000)"
 
 
-@query(f"""WITH a AS (SELECT c_custkey AS row_index, {_hash('impressions', 'c_custkey')} % 9001 + 1000 AS impressions, {_hash('ctr', 'c_custkey')} % 171 + 30 AS ctr, {_hash('cvr', 'c_custkey')} % 141 + 10 AS cvr, {_hash('average', 'c_custkey')} % 471 + 30 AS av FROM customer),
-    b AS (SELECT *, greatest(1, impressions * ctr // 1000) AS clicks FROM a), c AS (SELECT *, greatest(1, clicks * cvr // 1000) AS orders FROM b) SELECT row_index, impressions, clicks, orders, CAST(orders * av AS DECIMAL(18,2)) AS gmv FROM c""")
+@query(f"""WITH a AS (SELECT c_custkey AS row_index, {_hash('impressions', 'c_custkey')} % 9001 + 1000 AS impressions, {_hash('ctr', 'c_custkey')} % 171 + 30 AS ctr, {_hash('cvr', 'c_custkey')} % 141 + 10 AS cvr, {_hash('average', 'c_custkey')} % 471 + 30 AS av, CAST({_hash('coupon', 'c_custkey')} % 71 + 10 AS DECIMAL(18,3)) AS cu FROM customer),
+    b AS (SELECT *, greatest(1, impressions * ctr // 1000) AS clicks FROM a), c AS (SELECT *, greatest(1, clicks * cvr // 1000) AS orders FROM b) SELECT row_index, impressions, clicks, orders, CAST(orders * av AS DECIMAL(18,2)) AS gmv, CAST(round(CAST(orders * av AS DECIMAL(18,2)) * cu / 1000, 2) AS DECIMAL(18,2)) AS coupon_amount, CAST(orders * av AS DECIMAL(18,2)) + CAST(round(CAST(orders * av AS DECIMAL(18,2)) * cu / 1000, 2) AS DECIMAL(18,2)) AS gmv_include_coupon FROM c""")
 def funnel_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_index"))
-    return datagen.funnel_metrics(rows).select("row_index", "impressions", "clicks", "orders", "gmv")
+    return datagen.funnel_metrics(rows).select("row_index", "impressions", "clicks", "orders", "gmv", "coupon_amount", "gmv_include_coupon")
 
 
 @query("SELECT c_custkey, 'c_acctbal' AS field, 'range' AS violation FROM customer WHERE NOT c_acctbal BETWEEN 0 AND 9000 UNION ALL SELECT c_custkey, 'c_mktsegment', 'enum' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') UNION ALL SELECT c_custkey, 'c_name', 'length' FROM customer WHERE length(c_name) > 17 UNION ALL SELECT c_custkey, 'c_nationkey', 'not_unique' FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1)")
@@ -88,9 +88,41 @@ def column_catalog(spark, sf_dir):
     return _catalog(spark, sf_dir).select("table_name", "column_name", kind.alias("data_type"), "ordinal_position")
 
 
-@query(f"SELECT table_name, column_name, CASE WHEN contains(column_name, 'status') THEN 'status' WHEN contains(column_name, 'comment') THEN 'remark' WHEN contains(column_name, 'date') THEN 'time' WHEN contains(column_name, 'price') THEN 'amount' WHEN regexp_matches(column_name, 'id|code|no|number|sn') THEN 'identifier' WHEN contains(column_name, 'name') THEN 'name' WHEN contains(column_name, 'type') THEN 'category' ELSE 'fallback' END AS rule {_COLUMNS}")
+_NAMES = ("order_id", "createdAt", "click_rate", "unit_cost", "total_price", "is_open", "item_qty", "order_status", "free_note", "contact_email", "home_address", "full_name", "brand", "blob")
+_TYPES = ("varchar", "bigint", "decimal")
+_LETTERS = "CASE p_partkey % 3 WHEN 0 THEN 's' WHEN 1 THEN 'i' ELSE 'd' END"
+
+
+def _part_columns(spark, sf_dir):
+    """A catalogue with a column for each part: types, names, lengths and flags follow from its rows."""
+    p = table(spark, sf_dir, "part")
+    pick = lambda of, i: F.get(F.array(*[F.lit(x) for x in of]), i)
+    return p.select(F.concat_ws("/", "p_type", "p_brand", "p_partkey").alias("table_name"), pick(_NAMES, F.col("p_size") % 14).alias("column_name"), pick(_TYPES, (F.col("p_partkey") % 3).cast("int")).alias("data_type"), F.when(F.col("p_size") % 2 == 0, "YES").otherwise("NO").alias("is_nullable"), F.when(F.col("p_size") % 14 == 13, F.col("p_name")).alias("column_comment"), (F.col("p_size") % 5 == 0).alias("is_unique"), F.col("p_size").alias("ordinal_position"), F.lit(None).cast("int").alias("numeric_scale"))
+
+
+@query(f"""WITH c AS (SELECT p_type || '/' || p_brand || '/' || p_partkey AS table_name, p_size % 14 AS n, {_LETTERS} AS t, p_size % 5 = 0 AS u FROM part)
+    SELECT table_name, CASE WHEN n = 0 AND t = 'i' THEN 'number_key' WHEN n = 0 AND t = 's' THEN 'text_key' WHEN n = 1 AND t = 's' THEN 'moment' WHEN n = 2 AND t = 'd' THEN 'share' WHEN n = 2 AND t = 'i' THEN 'fallback' WHEN n = 3 AND t = 'd' THEN 'cost' WHEN n = 4 AND t <> 's' THEN 'money' WHEN n = 5 AND t = 'i' THEN 'flag' WHEN n = 6 AND t <> 's' THEN 'count' WHEN n = 7 AND t = 's' THEN 'state' WHEN n = 8 AND t = 's' THEN 'remark' WHEN n = 9 AND t = 's' THEN 'mail' WHEN n = 10 AND t = 's' THEN 'place' WHEN n = 11 AND t = 's' THEN 'name' WHEN n = 12 AND t = 's' THEN 'kind' WHEN u AND t = 's' THEN 'unique_text' ELSE 'fallback' END AS rule,
+        CASE WHEN n = 4 AND t <> 's' THEN 9000 WHEN n = 0 AND t = 'i' THEN 999999 WHEN n = 6 AND t <> 's' THEN 400 WHEN n = 3 AND t = 'd' THEN 200 WHEN n = 2 AND t = 'd' THEN 0.5 WHEN n = 5 AND t = 'i' THEN 1 END AS high, CASE WHEN n = 0 AND t = 's' THEN 'ORDERID' WHEN u AND t = 's' AND n = 2 THEN 'CLICKRAT' WHEN u AND t = 's' AND n = 3 THEN 'UNITCOST' WHEN u AND t = 's' AND n = 4 THEN 'TOTALPRI' WHEN u AND t = 's' AND n = 5 THEN 'ISOPEN' WHEN u AND t = 's' AND n = 6 THEN 'ITEMQTY' WHEN u AND t = 's' AND n = 13 THEN 'BLOB' END AS prefix FROM c""")
 def infer_rule(spark, sf_dir):
-    return datagen.infer_rule(_catalog(spark, sf_dir)).select("table_name", "column_name", "rule")
+    return datagen.infer_rule(_part_columns(spark, sf_dir)).select("table_name", "rule", F.col("rule_spec.high").alias("high"), F.col("rule_spec.prefix").alias("prefix"))
+
+
+@query("SELECT p_type AS table_name, 'c' || p_partkey AS column_name, CASE WHEN p_size % 2 = 0 THEN p_size END AS max_length, p_size % 3 = 0 AS is_primary, p_size % 3 = 0 OR p_size % 4 = 0 AS is_unique, CASE WHEN p_size % 7 > 0 THEN p_name END AS column_comment FROM part")
+def information_catalog(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("column_name", F.concat(F.lit("c"), F.col("p_partkey"))).withColumnRenamed("p_type", "table_name")
+    columns = p.select("table_name", "column_name", F.lit("VARCHAR").alias("DATA_TYPE"), F.lit("yes").alias("is_nullable"), F.col("p_size").alias("ordinal_position"), F.when(F.col("p_size") % 7 > 0, F.col("p_name")).otherwise(" ").alias("column_comment"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("CHARACTER_MAXIMUM_LENGTH"))
+    key = lambda n, kind: p.where(F.col("p_size") % n == 0).select("table_name", "column_name", F.lit(kind).alias("constraint_type"))
+    keys = key(3, "PRIMARY KEY").union(key(4, "UNIQUE")).union(key(3, "FOREIGN KEY"))
+    return tables.information_catalog(columns, keys).select("table_name", "column_name", "max_length", "is_primary", "is_unique", "column_comment")
+
+
+@query("""WITH v AS (SELECT c_custkey, 'c_name' AS field, 'length' AS violation FROM customer WHERE length(c_name) > 17 UNION ALL SELECT c_custkey, 'c_nationkey', 'not_unique' FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT c_custkey, 'c_acctbal', 'range' FROM customer WHERE NOT c_acctbal BETWEEN 0 AND 9000
+        UNION ALL SELECT c_custkey, 'c_acctbal', 'precision' FROM customer WHERE abs(CAST(CAST(c_acctbal AS VARCHAR) AS DECIMAL(18,2))) >= 1000 UNION ALL SELECT c_custkey, 'c_mktsegment', 'null' FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT c_custkey, 'c_nationkey', 'reference' FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0) UNION ALL SELECT c_custkey, 'rich_is_even', 'condition' FROM customer WHERE c_acctbal > 5000 AND c_custkey % 2 = 1) SELECT * FROM v""")
+def check_table(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 9 != 0, F.col("c_mktsegment")))
+    length = F.col("column_name").isin("c_name")
+    catalog = tables.column_catalog(spark, {"customer": c}).withColumns({"is_nullable": F.when(F.col("column_name") == "c_mktsegment", "NO").otherwise("YES"), "is_unique": F.col("column_name") == "c_nationkey", "max_length": F.when(length, 17), "numeric_precision": F.when(F.col("column_name") == "c_acctbal", 5), "numeric_scale": F.when(F.col("column_name") == "c_acctbal", 2)})
+    return datagen.check_table(c, "c_custkey", catalog, {"c_acctbal": {"min": 0, "max": 9000}}, references=[("c_nationkey", table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0"), "n_nationkey")], conditions=[("rich_is_even", F.col("c_acctbal") > 5000, F.col("c_custkey") % 2 == 0)])
 
 
 # ---- schema matching -----------------------------------------------------------------------------------
@@ -117,6 +149,21 @@ def draft_mappings(spark, sf_dir):
     return schema_match.draft_mappings(_matched(spark, sf_dir)).select("table_name", "column_name", "kind")
 
 
+_PARTS_AS_FIELDS = "f AS (SELECT '$.' || p_partkey AS json_path, p_name AS comment, p_partkey AS o FROM part WHERE p_partkey % 40 = 1), c AS (SELECT p_partkey, p_name AS comment FROM part), tok AS (SELECT *, string_split(comment, ' ') AS t FROM c), ft AS (SELECT *, string_split(comment, ' ') AS u FROM f)"
+
+
+@query(f"""WITH {_PARTS_AS_FIELDS}, s AS (SELECT p_partkey, json_path, o, least(1, CASE WHEN tok.comment = ft.comment THEN 0.72 ELSE 0.48 * len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) END + 0.08) AS score FROM tok, ft), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 6) DESC, o) AS rn FROM s)
+    SELECT p_partkey, json_path, round(score, 6) AS score, CASE WHEN round(score, 6) >= 0.75 THEN 'high' WHEN round(score, 6) >= 0.55 THEN 'review' ELSE 'low' END AS confidence FROM r WHERE rn = 1""")
+def match_comments(spark, sf_dir):
+    """Every part as a column, by its comment, against every 40th part as a field; both ways of making pairs give the same best ones."""
+    p = table(spark, sf_dir, "part")
+    none = lambda t: F.lit(None).cast(t)
+    columns = p.select(F.lit("part").alias("table_name"), F.concat(F.lit("column"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij")).alias("column_name"), F.lit("varchar").alias("data_type"), F.col("p_name").alias("column_comment"), F.lit("YES").alias("is_nullable"), F.col("p_partkey").alias("ordinal_position"), none("int").alias("numeric_scale"))
+    fields = p.where("p_partkey % 40 = 1").select(F.concat(F.lit("$."), F.col("p_partkey")).alias("json_path"), F.concat(F.lit("f"), F.col("p_partkey")).alias("name"), F.col("p_name").alias("comment"), F.lit("string").alias("type"), none("boolean").alias("required"), F.col("p_partkey").alias("field_ordinal"))
+    best = schema_match.best_candidates(schema_match.score_pairs(columns, fields, max_fields=4))
+    return best.select(F.col("ordinal_position").alias("p_partkey"), "json_path", "score", "confidence")
+
+
 # ---- cases and suites ----------------------------------------------------------------------------------
 
 def _raw_cases(spark, sf_dir):
@@ -135,9 +182,9 @@ def _cases(spark, sf_dir):
     return rollup.normalize_cases(_raw_cases(spark, sf_dir))
 
 
-_CASES = "c AS (SELECT event_id AS i, CASE WHEN event_id % 3 = 0 THEN 'GW-' ELSE 'DEBUG-' END || event_id AS id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type IN ('view', 'click') THEN CASE WHEN event_id % 7 = 0 OR event_id % 8 = 0 THEN 'failed' ELSE 'passed' END WHEN event_type = 'signup' THEN 'skipped' ELSE 'blocked' END AS status, 'S' || (user_id % 4) AS suite_id, CASE WHEN user_id % 2 = 0 THEN 'api' ELSE 'ui' END AS suite_type, CASE WHEN event_id % 10 = 0 THEN 5 ELSE 2 END AS n_assertions FROM events)"
-_COUNTS = "count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'skipped') AS skipped, sum(n_assertions) AS assertions, round(100.0 * count(*) FILTER (status = 'passed') / count(*), 2) AS pass_rate"
-_KEPT = ["total", "passed", "failed", "blocked", "skipped", "assertions", "pass_rate"]
+_CASES = "c AS (SELECT event_id AS i, CASE WHEN event_id % 3 = 0 THEN 'GW-' ELSE 'DEBUG-' END || event_id AS id, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type IN ('view', 'click') THEN CASE WHEN event_id % 7 = 0 OR event_id % 8 = 0 THEN 'failed' ELSE 'passed' END WHEN event_type = 'signup' THEN 'skipped' ELSE 'blocked' END AS status, 'S' || (user_id % 4) AS suite_id, CASE WHEN user_id % 2 = 0 THEN 'api' ELSE 'ui' END AS suite_type, CASE WHEN event_id % 10 = 0 THEN 5 ELSE 2 END AS n_assertions, CASE WHEN event_id % 4 <> 0 THEN 1 ELSE 0 END AS n_screens, CAST(event_id % 7 <> 0 AS INT) + CAST(event_id % 8 <> 0 AS INT) AS n_passed FROM events)"
+_COUNTS = "sum(n_screens) AS screenshots, sum(n_passed) AS passed_assertions, count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'blocked') AS blocked, count(*) FILTER (status = 'skipped') AS skipped, sum(n_assertions) AS assertions, round(100.0 * count(*) FILTER (status = 'passed') / count(*), 2) AS pass_rate"
+_KEPT = ["screenshots", "passed_assertions", "total", "passed", "failed", "blocked", "skipped", "assertions", "pass_rate"]
 
 
 @query(f"WITH {_CASES} SELECT id, status, n_assertions FROM c")
@@ -164,11 +211,11 @@ _POINTS = "l AS (SELECT CASE WHEN i % 2 = 0 THEN 'P' || (i % 50) ELSE id END AS
 
 
 def _plan(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey < 100").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("point_id"), F.col("p_name").alias("title"))
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), F.col("p_partkey")).alias("point_id"), F.col("p_name").alias("title"))
     return p.withColumn("terms", F.split("title", " "))
 
 
-@query(f"WITH {_CASES}, {_POINTS} SELECT point_id, n_cases, status, p_name AS title FROM a LEFT JOIN part ON point_id = 'P' || p_partkey AND p_partkey < 100")
+@query(f"WITH {_CASES}, {_POINTS} SELECT point_id, n_cases, status, p_name AS title FROM a LEFT JOIN part ON point_id = 'P' || p_partkey")
 def execution_matrix(spark, sf_dir):
     return rollup.execution_matrix(_cases(spark, sf_dir), _plan(spark, sf_dir))
 
@@ -344,17 +391,17 @@ _LINK = r"""l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"
 
 @query(f"WITH {_LINK} SELECT page_id, href FROM l")
 def page_links(spark, sf_dir):
-    return pages.page_links(pages.page_nodes(table(spark, sf_dir, "pages"))).select("page_id", "href")
+    return pages.page_links(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag", "text", "attrs"), tags=("a", "button"))).select("page_id", "href")
 
 
 @query("SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def page_title(spark, sf_dir):
-    return pages.page_title(pages.page_nodes(table(spark, sf_dir, "pages")))
+    return pages.page_title(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag", "text"), tags=("title", "h1")))
 
 
 @query("SELECT page_id, len(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>'), '<[a-z]')) AS n_nodes, len(regexp_extract_all(html, '<a ')) AS n_links, len(regexp_extract_all(html, '<h1')) AS n_headings, 0 AS n_tables FROM pages")
 def page_stats(spark, sf_dir):
-    return pages.page_stats(pages.page_nodes(table(spark, sf_dir, "pages"))).select("page_id", "n_nodes", "n_links", "n_headings", "n_tables")
+    return pages.page_stats(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag",))).select("page_id", "n_nodes", "n_links", "n_headings", "n_tables")
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '') AS base_url, coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), '-') AS page FROM pages")
@@ -365,14 +412,24 @@ def page_url_parts(spark, sf_dir):
 @query(f"WITH {_LINK} SELECT l.page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || regexp_replace(href, '#.*$', '') AS target_url FROM l JOIN pages USING (page_id)")
 def resolve_links(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return pages.resolve_links(pages.page_links(pages.page_nodes(p)), p).select("page_id", "target_url")
+    return pages.resolve_links(pages.page_links(pages.page_nodes(p, need=("tag", "text", "attrs"), tags=("a", "button"))), p).select("page_id", "target_url")
+
 
+_VISIBLE = r"""regexp_replace(regexp_replace(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs'), '</?(p|li|ul|nav|div|h1|article|footer|br)( [^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"""
 
-@query("SELECT page_id FROM pages WHERE false")
-def page_text_leaks(spark, sf_dir):
-    """Pages whose text shows a script, a style or a tag; there must be none."""
-    text = pages.page_text(pages.page_nodes(table(spark, sf_dir, "pages")))
-    return text.where(F.col("text").rlike(r"track\(|margin:0|</p>|<body")).select("page_id")
+
+@query(rf"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace({_VISIBLE}, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM pages""")
+def page_text(spark, sf_dir):
+    nodes = pages.page_nodes(table(spark, sf_dir, "pages"), need=("parent_id", "text"), tags=("html",))
+    return pages.page_text(nodes).select("page_id", F.md5("text").alias("digest"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/b' AS up, regexp_extract(url, '^([a-z]+:)', 1) || '//other.host/x' AS other FROM pages")
+def resolve_relative_links(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1), F.lit("/d/e/page.html?x=1")).alias("url"))
+    links = p.select("page_id", F.posexplode(F.array(F.lit(".././../b#f"), F.lit("//other.host/x"))).alias("node_id", "href"))
+    out = pages.resolve_links(links, p)
+    return out.groupBy("page_id").agg(F.max(F.when(F.col("node_id") == 0, F.col("target_url"))).alias("up"), F.max(F.when(F.col("node_id") == 1, F.col("target_url"))).alias("other"))
 
 
 def _elements(spark, sf_dir):
@@ -390,12 +447,12 @@ def interactive_elements(spark, sf_dir):
     return _elements(spark, sf_dir).where(F.array_contains("reasons", "href")).agg(F.count("*").alias("n_links"))
 
 
-@query("SELECT event_type AS element, CASE WHEN min(ok) = 1 THEN 'PASS' WHEN max(ok) = 1 THEN 'WARN' ELSE 'FAIL' END AS status FROM (SELECT event_type, user_id % 3 AS state, max(CASE WHEN event_type <> 'error' AND (event_type <> 'click' OR user_id % 3 > 0) THEN 1 ELSE 0 END) AS ok FROM events GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT event_type AS element, CASE WHEN min(ok) = 1 THEN 'PASS' WHEN max(ok) = 1 THEN 'WARN' ELSE 'FAIL' END AS status, min(ok) = 1 AS chosen, CASE WHEN min(ok) = 0 AND max(ok) = 1 THEN 'state-dependent,i18n-sensitive' ELSE 'i18n-sensitive' END AS risks FROM (SELECT event_type, user_id % 3 AS state, max(CASE WHEN event_type <> 'error' AND (event_type <> 'click' OR user_id % 3 > 0) THEN 1 ELSE 0 END) AS ok FROM events GROUP BY 1, 2) GROUP BY 1")
 def locator_stability(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     ok = (F.col("event_type") != "error") & ((F.col("event_type") != "click") | (F.col("user_id") % 3 > 0))
-    states = e.select(F.col("event_type").alias("element"), (F.col("user_id") % 3).alias("state"), F.lit("id").alias("strategy"), F.col("event_type").alias("value"), ok.alias("unique"), F.lit(True).alias("visible"), F.lit(True).alias("operable")).distinct()
-    return locators.locator_stability(states).select("element", "status")
+    states = e.select(F.col("event_type").alias("element"), (F.col("user_id") % 3).alias("state"), F.lit("label").alias("strategy"), F.col("event_type").alias("value"), F.lit(True).alias("unique"), ok.alias("visible"), F.lit(True).alias("operable")).distinct()
+    return locators.locator_stability(states).select("element", "status", "chosen", "risks")
 
 
 # ---- pages made of suppliers: tables, forms and dialogs, which the given pages lack ------------------------
@@ -459,12 +516,53 @@ def rank_locators(spark, sf_dir):
     return best.join(e.select("page_id", "node_id", "name"), ["page_id", "node_id"]).select("page_id", "name", "strategy", "value")
 
 
-@query("SELECT s_suppkey AS page_id, unique_name FROM supplier, (VALUES ('action_button_ok'), ('action_button_cancel')) v(unique_name)")
+@query("SELECT s_suppkey AS page_id, unique_name FROM supplier, (VALUES ('action_button_confirm'), ('action_button_cancel')) v(unique_name)")
 def element_names(spark, sf_dir):
     e = locators.business_elements(locators.page_elements(_form_nodes(spark, sf_dir))).where("business_type = 'action_button'")
     return locators.element_names(e).select("page_id", "unique_name")
 
 
+_PLACES = "(VALUES ('OK', '/html[1]/body[1]/div[1]/button[1]'), ('Cancel', '/html[1]/body[1]/div[1]/button[2]')) v(name, value)"
+
+
+@query(f"SELECT s_suppkey AS page_id, name, value, true AS \"unique\" FROM supplier, {_PLACES}")
+def locator_xpaths(spark, sf_dir):
+    every = locators.page_elements(_form_nodes(spark, sf_dir))
+    e = locators.business_elements(every).where("business_type = 'action_button'")
+    found = locators.locator_candidates(e, every).where("strategy = 'xpath'")
+    return found.join(e.select("page_id", "node_id", "name"), ["page_id", "node_id"]).select("page_id", "name", "value", "unique")
+
+
+@query("SELECT s_suppkey AS page_id, '#box' || s_suppkey || ' button.main.wide' AS value, s_suppkey % 2 = 0 AS \"unique\" FROM supplier")
+def locator_scoped(spark, sf_dir):
+    k = F.col("s_suppkey")
+    html = F.concat(F.lit("<div id='box"), k, F.lit("'><p><button class='el-button main wide'>Go</button></p>"), F.when(k % 2 == 1, "<i><button class='wide-not'>No</button><b><button class='main wide'>Again</button></b></i>").otherwise(""), F.lit("</div>"))
+    every = locators.page_elements(pages.page_nodes(table(spark, sf_dir, "supplier").select(k.alias("page_id"), html.alias("html"))))
+    found = locators.locator_candidates(every.where("text = 'Go' and tag = 'button'"), every)
+    return found.where("strategy = 'scoped'").select("page_id", "value", "unique")
+
+
+@query("SELECT s_suppkey AS page_id, 1 AS n_triggers FROM supplier WHERE s_suppkey % 3 = 0")
+def interaction_warnings(spark, sf_dir):
+    k = F.col("s_suppkey")
+    html = F.concat(F.lit("<p><button aria-haspopup='dialog'>More</button></p>"), F.when(k % 3 != 0, "<div role='dialog'><h3>T</h3></div>").otherwise(""))
+    return pages.interaction_warnings(pages.page_nodes(table(spark, sf_dir, "supplier").select(k.alias("page_id"), html.alias("html"))))
+
+
+@query("SELECT s_suppkey AS page_id, 1 AS n_requirements, 1 AS n_notes, 1 AS n_interactions, 3 AS n_buttons FROM supplier")
+def page_summary(spark, sf_dir):
+    n = _form_nodes(spark, sf_dir)
+    return pages.page_summary(n, pages.requirement_rows(n, "1.0"), pages.page_notes(n), pages.page_interactions(n)).select("page_id", "n_requirements", "n_notes", "n_interactions", "n_buttons")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'first ' || p_brand ELSE p_brand END AS field_alias FROM part WHERE p_type <> 'SMALL'")
+def resolve_fields(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_type <> 'SMALL'").select("p_partkey", F.col("p_type").alias("interface_name"), F.concat_ws("-", "p_brand", F.col("p_size") % 2).alias("field_name"), "p_brand", "p_size")
+    alias = lambda word, at, when: p.where(when).select("interface_name", "field_name", F.concat(F.lit(word), F.col("p_brand")).alias("alias"), F.lit(at).alias("ordinal"))
+    rules = alias("first ", 1, "p_size % 2 = 0").union(alias("later ", 2, "p_size % 2 = 0")).union(alias("", 3, "p_size % 2 = 1"))
+    return rollup.resolve_fields(p.select("p_partkey", "interface_name", "field_name"), rules).select("p_partkey", "field_alias")
+
+
 @query("SELECT 'id' AS strategy, count(*) AS total, count(*) AS pass, 0 AS fail FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'text', count(*), 0, count(*) FROM supplier WHERE s_suppkey % 2 = 1")
 def locator_summary(spark, sf_dir):
     odd = F.col("s_suppkey") % 2 == 1
@@ -494,13 +592,15 @@ def markdown_table_rows(spark, sf_dir):
     return rows.select("id", "row", "name", "region")
 
 
-@query("SELECT s_suppkey AS suite_id, CASE WHEN s_suppkey % 4 = 3 THEN 'no readable result' END AS reason, CASE WHEN s_suppkey % 4 <> 3 THEN 'T' || s_suppkey END AS id FROM supplier")
+@query("SELECT s_suppkey AS suite_id, CASE WHEN s_suppkey % 4 = 3 THEN 'no readable result' END AS reason, CASE WHEN s_suppkey % 4 <> 3 THEN 'T' || s_suppkey END AS id, CASE WHEN s_suppkey % 4 <> 3 THEN 1 END AS n_failed, CASE WHEN s_suppkey % 4 <> 3 THEN 'a.png,b.png' END AS shots, CASE WHEN s_suppkey % 4 <> 3 THEN 'P' || s_suppkey END AS related FROM supplier")
 def load_suites(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("suite_id"))
-    case = F.concat(F.lit('[{"id": "T'), F.col("suite_id"), F.lit('", "status": "ok"}]'))
+    case = F.concat(F.lit('[{"id": "T'), F.col("suite_id"), F.lit('", "status": "ok", "assertions": [{"check": "a", "expected": "1", "passed": true}, {"check": "b", "passed": false}], "screenshots": [{"path": "a.png"}, "b.png"], "related_cases": ["P'), F.col("suite_id"), F.lit('"]}]'))
     k = F.col("suite_id") % 4
     content = F.when(k == 0, F.concat(F.lit('{"cases": '), case, F.lit("}"))).when(k == 1, F.concat(F.lit('{"items": '), case, F.lit("}"))).when(k == 2, case).otherwise("broken{")
-    return tables.load_suites(s, s.select("suite_id", content.alias("content"))).select("suite_id", "reason", "id")
+    out = tables.load_suites(s, s.select("suite_id", content.alias("content")))
+    failed = F.when(F.col("assertions").isNotNull(), F.size(F.filter("assertions", lambda a: ~a["passed"])))
+    return out.select("suite_id", "reason", "id", failed.alias("n_failed"), F.array_join("screenshots", ",").alias("shots"), F.array_join("related_cases", ",").alias("related"))
 
 
 # ---- catalogue helpers --------------------------------------------------------------------------------

@@ -68,6 +68,16 @@ def column_catalog(spark: SparkSession, tables: dict[str, DataFrame], comments:
     return out
 
 
+def information_catalog(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """The catalogue from ``information_schema``: its ``columns``, and ``keys(table_name, column_name, constraint_type)`` with a row for each constraint a column is in."""
+    flags = keys.groupBy("table_name", "column_name").agg(F.max(F.upper("constraint_type").contains("PRIMARY")).alias("is_primary"), F.max(F.upper("constraint_type").rlike("PRIMARY|UNIQUE")).alias("is_unique"))
+    held = {c.lower(): c for c in columns.columns}
+    get = lambda name, kind: (F.col(held[name]) if name in held else F.lit(None)).cast(kind)
+    own = columns.select("table_name", "column_name", F.lower("data_type").alias("data_type"), F.upper("is_nullable").alias("is_nullable"), (get("ordinal_position", "int") - 1).alias("ordinal_position"), F.nullif(F.trim(get("column_comment", "string")), F.lit("")).alias("column_comment"), get("character_maximum_length", "int").alias("max_length"), get("numeric_precision", "int").alias("numeric_precision"), get("numeric_scale", "int").alias("numeric_scale"), get("column_default", "string").alias("column_default"))
+    joined = own.join(flags, ["table_name", "column_name"], "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_primary", "is_unique")})
+
+
 def load_catalog(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     """Columns under their usual names from tables that name them otherwise: the first alias with a value that is not blank."""
     held = {c.lower(): c for c in df.columns}
@@ -103,5 +113,8 @@ def load_suites(suites: DataFrame, results: DataFrame) -> DataFrame:
     read = results.select("suite_id", cases.alias("cases"))
     joined = suites.join(read, "suite_id", "left").withColumn("reason", F.when(F.col("cases").isNull(), "no readable result"))
     opened = joined.select(*suites.columns, "reason", F.posexplode_outer("cases").alias("ordinal", "c"))
-    get = lambda k: F.try_variant_get("c", f"$.{k}", "string")
-    return opened.select(*suites.columns, "reason", "ordinal", get("id").alias("id"), get("title").alias("title"), get("status").alias("status"))
+    get = lambda k, t="string": F.try_variant_get("c", f"$.{k}", t)
+    item = lambda a, k, t="string": F.try_variant_get(a, f"$.{k}", t)
+    checks = F.transform(get("assertions", "array<variant>"), lambda a: F.struct(item(a, "check").alias("check"), item(a, "expected").alias("expected"), item(a, "actual").alias("actual"), item(a, "passed", "boolean").alias("passed")))
+    shots = F.transform(get("screenshots", "array<variant>"), lambda a: F.coalesce(item(a, "path"), F.try_variant_get(a, "$", "string")))
+    return opened.select(*suites.columns, "reason", "ordinal", get("id").alias("id"), get("title").alias("title"), get("status").alias("status"), checks.alias("assertions"), shots.alias("screenshots"), get("related_cases", "array<string>").alias("related_cases"))

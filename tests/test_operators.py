@@ -57,7 +57,7 @@ def test_required_and_unreadable_values(spark):
     a = spark.createDataFrame([(1, "x", None), (2, None, "a"), (3, "3", "b")], "k int, v string, w string")
     b = spark.createDataFrame([(1, "1", "z"), (2, "2", "a"), (3, "3.0", "c")], "k int, v string, w string")
     out = {(r.business_key, r.field, r.diff_type) for r in reconcile.reconcile(a, b, ["k"], rules).collect()}
-    assert out == {("1", "v", "ORDER_NORMALIZE_ERROR"), ("2", "v", "ORDER_REQUIRED_SOURCE_VALUE_MISSING"), ("3", "w", "ORDER_FIELD_MISMATCH")}
+    assert out == {("1", "v", "ORDER_NORMALIZE_ERROR"), ("1", "w", "ORDER_FIELD_MISMATCH"), ("2", "v", "ORDER_REQUIRED_SOURCE_VALUE_MISSING"), ("3", "w", "ORDER_FIELD_MISMATCH")}
     blocking = {r.diff_type for r in reconcile.classify_diffs(reconcile.reconcile(a, b, ["k"], rules)).where("blocking").collect()}
     assert blocking == {"ORDER_NORMALIZE_ERROR", "ORDER_REQUIRED_SOURCE_VALUE_MISSING"}
 
@@ -166,3 +166,65 @@ def test_json_paths_go_to_the_bottom(spark):
     got = {(r.path, r.kind): r.n for r in ingestion.json_paths(df, "doc").collect()}
     assert got["$.a.b.c.d[*].e", "BIGINT"] == 1 and got["$.s", "STRING"] == 1 and got["$[*]", "BIGINT"] == 1 and len(got) == 10
     assert ingestion.json_paths(df.limit(0), "doc").count() == 0
+
+
+def test_null_keys_equal_each_other(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    assert reconcile.reconcile(df, df, ["k"], [N.FieldRule("v")]).count() == 0
+    out = reconcile.reconcile(df, df.where("k = 1"), ["k"], [N.FieldRule("v")]).collect()
+    assert [(r.diff_type, r.business_key) for r in out] == [("ORDER_TARGET_MISSING", "<NULL>")] and len(out[0]) == 16
+
+
+def test_values_emptied_by_intent_are_no_errors(spark):
+    rules = [N.FieldRule("a", kind="int", empty_as_null=True), N.FieldRule("b", kind="int", source_transforms=("zero_to_null",), target_transforms=("zero_to_null",)), N.FieldRule("c", kind="decimal", source_transforms=("cents_to_decimal",))]
+    a = spark.createDataFrame([(1, "", "0", "150"), (2, "x", "0", "?")], "k int, a string, b string, c string")
+    b = spark.createDataFrame([(1, None, "0.0", "1.5"), (2, None, None, "1.5")], "k int, a string, b string, c string")
+    assert {(r.business_key, r.field, r.diff_type) for r in reconcile.reconcile(a, b, ["k"], rules).collect()} == {("2", "a", "ORDER_NORMALIZE_ERROR"), ("2", "c", "ORDER_NORMALIZE_ERROR")}
+
+
+def test_details_of_documents(spark):
+    docs = spark.createDataFrame([("1", '{"no": "A", "d": [{"s": "x", "q": 1}, {"q": 2}, {"s": "y", "q": "z"}]}'), ("2", '{"no": "B", "d": [{"s": "x"}]}'), ("3", '{"no": null}'), ("4", '{"no": "C", "d": null}')], "id string, doc string")
+    header = spark.createDataFrame([("A", 1), ("C", 3)], "no string, hid int")
+    detail = spark.createDataFrame([(1, "x", 1), (1, "y", 5), (3, "w", 1), (9, "v", 0)], "fk int, s string, q int")
+    spec = ingestion.DocumentSpec("id", "doc", (N.FieldRule("no", json_path="$.no", required=True),), (), "hid", "$.d", True, "fk", (N.FieldRule("s", json_path="$.s"),), (N.FieldRule("q", json_path="$.q", kind="int"), N.FieldRule("gone", json_path="$.q")))
+    got = sorted((r.diff_type, r.source_id or "", r.detail_key or "") for r in ingestion.verify_ingestion(docs, header, detail, spec).collect())
+    assert got == sorted([("DETAIL_COUNT_MISMATCH", "1", ""), ("DETAIL_COUNT_MISMATCH", "4", ""), ("DETAIL_ARRAY_MISSING", "4", ""), ("DETAIL_SOURCE_KEY_MISSING", "1", "<NULL>"), ("DETAIL_TARGET_MISSING", "1", "<NULL>"), ("DETAIL_TARGET_COLUMN_MISSING", "1", "x"), ("DETAIL_TARGET_COLUMN_MISSING", "1", "y"), ("DETAIL_NORMALIZE_ERROR", "1", "y"), ("DETAIL_TARGET_EXTRA", "4", "w"), ("ORDER_TARGET_MISSING", "2", ""), ("ORDER_SOURCE_KEY_MISSING", "3", ""), ("ORPHAN_DETAIL", "", "v")])
+
+
+def test_deeply_nested_secrets_hide_the_document(spark):
+    r = one(spark, R.redact_json(F.lit('{"a": 1, "secret": [[[[["x"]]]]]}')), R.redact_json(F.lit('{"account_password": "x y", "n": [{"token": null}]}')))
+    assert r.c0 == '"<redacted>"' and r.c1 == '{"account_password":"<redacted>","n":[{"token":"<redacted>"}]}'
+
+
+def test_too_few_reference_rows(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,)], "a int")
+    assert dedupe.reference_rows(df, ["a"], 2).count() == 2 and dedupe.reference_rows(df, ["a"], 5, distinct=False).count() == 5
+    for call in (lambda: dedupe.reference_rows(df, ["a"], 3), lambda: dedupe.reference_rows(df.limit(0), ["a"], 1, distinct=False), lambda: dedupe.reference_rows(df, ["a"], 9, most=8)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_null_is_refused_where_it_may_not_be(spark):
+    with pytest.raises(ValueError):
+        datagen.generate_rows(spark, 3, {"a": {"type": "null"}}, required=("a",))
+    rows, ref = spark.range(3).withColumnRenamed("id", "row_index"), spark.createDataFrame([(0, "x"), (1, None)], "row_index long, v string")
+    assert datagen.attach_reference(rows, ref, {"w": "v"}).count() == 3
+    with pytest.raises(Exception, match="w must not be null"):
+        datagen.attach_reference(rows, ref, {"w": "v"}, required=("w",)).collect()
+
+
+def test_inferred_rules_generate_rows(spark, sf):
+    c = tables.column_catalog(spark, {"customer": spark.read.parquet(f"{sf}/customer.parquet")})
+    rules = datagen.rules_of(datagen.infer_rule(c))
+    assert rules["c_acctbal"]["type"] == "decimal_range" and rules["c_custkey"]["type"] == "int_range" and rules["c_mktsegment"]["type"] == "enum"
+    rows = datagen.generate_rows(spark, 20, rules)
+    assert rows.count() == 20 and rows.where("c_acctbal < 10 or c_acctbal > 9000 or c_name is null").count() == 0
+    wide = datagen.generate_rows(spark, 200, {"a": {"type": "int_range", "min": 0, "max": 1 << 50}})
+    assert wide.where("a > 4294967296").count() > 150
+
+
+def test_grouped_differences_pass_through(spark):
+    df = spark.createDataFrame([("f", "1", "a", "b", None, None), ("f", "2", "c", None, None, None), ("g", "", None, None, 7, "x=>y")], "field string, k string, expected string, actual string, n long, samples string")
+    assert {tuple(r) for r in reconcile.group_differences(df, ["field"], ["k"], 1).collect()} == {("f", 2, "a=>b"), ("g", 7, "x=>y")}
+    totals = spark.createDataFrame([("duplicate", 4), ("field", 9)], "grp string, n long")
+    assert {tuple(r) for r in reconcile.difference_summary(spark.createDataFrame([("ORDER_FIELD_MISMATCH",)], "diff_type string"), totals).collect()} == {("source_only", 0), ("target_only", 0), ("duplicate", 4), ("field", 1)}
