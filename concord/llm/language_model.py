@@ -1,9 +1,9 @@
 """Language-model scoring by a hashed maximum-entropy model with class-factored softmax.
 
 The probability of a word is that of its class times that of the word in its class, and both follow from hashed features of the
-two words before. The class is chosen by a softmax over the classes, with features of the word before, of the one before that (the
-skip feature) and of both together. Within its class a word is reached along a Huffman tree of the class's words by softmaxes over
-the two sides of each node, with the n-gram and the skip feature of that node and a bias from the corpus counts. So without trained
+two words before. The class is chosen by a softmax over the classes, with an n-gram feature of the word before and a skip feature of
+the one before that. Within its class a word is reached along a Huffman tree of the class's words by softmaxes over
+the two sides of each node, with both features of that node and a bias from the corpus counts. So without trained
 weights a word has its corpus share of the class, and all words of a class always sum to one.
 
 The weights are trained by distributed gradient updates: in each round the tasks run stochastic gradient steps from the shared
@@ -164,9 +164,9 @@ def _power(x: float, low: int, high: int) -> int:
 class Model:
     """Weights of the class softmax (``buckets`` x classes) and of the tree nodes (``buckets`` x ``SPAN`` slots), in one vector.
 
-    A row of the class weights is a hash of the word before, in the first quarter of the buckets, of the word before that (the skip
-    feature), in the second, or of both, in the other half; row 0 is the bias. A slot of the tree weights is a hash of a node with
-    the word before or with the one before that.
+    A row of the class weights is a hash of the word before, in the first half of the buckets, or of the word before that (the skip
+    feature), in the second; row 0 is the bias. A slot of the tree weights is a hash of a node with the word before or with the
+    one before that.
     """
 
     #: Bound of a weight.
@@ -182,11 +182,10 @@ class Model:
         # Codes, and last the lack of a word; both codes beyond the head are one word.
         ids = np.arange(n + HEAD + 1, dtype=np.uint64) + np.uint64(1)
         ids[AGAIN] = ids[BEYOND]
-        h = [(_scrambled(ids * np.uint64(2 * i + 1) + np.uint64(i << 40)) >> np.uint64(11)).astype(np.int64) for i in range(6)]
-        part = buckets // 4
-        self.one, self.two = (1 + h[0] % (part - 1)).astype(np.int32), (part + h[1] % part).astype(np.int32)
-        self.left, self.right = h[2].astype(np.int32), h[3].astype(np.int32)
-        self.near, self.skip = h[4], h[5]
+        h = [(_scrambled(ids * np.uint64(2 * i + 1) + np.uint64(i << 40)) >> np.uint64(11)).astype(np.int64) for i in range(4)]
+        half = buckets // 2
+        self.one, self.two = 1 + h[0] % (half - 1), half + h[1] % half
+        self.near, self.skip = h[2], h[3]
         nodes = np.arange(len(vocab.bias), dtype=np.uint64) + np.uint64(1)
         self.node = (_scrambled(nodes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.int64)
         self.outcome = np.concatenate([[REST, REPEAT], vocab.classes]).astype(np.int64)
@@ -206,8 +205,7 @@ class Model:
 
     def rows(self, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
         """The feature rows of the class softmax."""
-        half = self.buckets // 2
-        return [self.one.take(one), self.two.take(two), half + ((self.left.take(one) ^ self.right.take(two)) & (half - 1))]
+        return [self.one.take(one), self.two.take(two)]
 
     def exponents(self, rows: list[np.ndarray]) -> np.ndarray:
         """Sums of the class weights of each row's features and the bias. Weights are within LIMIT, so exponents stay finite."""

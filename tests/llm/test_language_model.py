@@ -67,7 +67,7 @@ def plain_log(model, code, one, two):
     """The model's probability of a code after two others, by loops."""
     v, n = model.vocab, len(model.vocab.place)
     outcome = lm.REPEAT if code == lm.AGAIN or code >= lm.HEAD and code == one else lm.REST if code == lm.BEYOND else int(v.classes[code - lm.HEAD])
-    rows = [int(model.one[one]), int(model.two[two]), 32 + (int(model.left[one] ^ model.right[two]) & 31), 0]
+    rows = [int(model.one[one]), int(model.two[two]), 0]
     z = [sum(float(model.top[r, c]) for r in rows) for c in range(v.n_classes)]
     log = z[outcome] - math.log(sum(math.exp(x) for x in z))
     node = code - lm.HEAD
