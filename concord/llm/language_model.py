@@ -4,7 +4,8 @@ The probability of a word is that of its class times that of the word in its cla
 two words before. The class is chosen by a softmax over the classes, with an n-gram feature of the word before and a skip feature of
 the one before that. Within its class a word is reached along a Huffman tree of the class's words by softmaxes over
 the two sides of each node, with both features of that node and a bias from the corpus counts. So without trained
-weights a word has its corpus share of the class, and all words of a class always sum to one.
+weights a word has its corpus share of the class, and all words of a class always sum to one. Words too rare to tell of contexts
+share a leaf and have their corpus share of it.
 
 The weights are trained by distributed gradient updates: in each round the tasks run stochastic gradient steps from the shared
 weights over their part of the corpus, and each weight moves by the mean of the tasks that moved it. Every training document is
@@ -40,12 +41,15 @@ class Vocabulary:
     """The head of the vocabulary: place of each word, its class and log10 count + 1; the trees of the classes; corpus totals.
 
     Nodes of the trees are the places of the words and, from ``len(place)`` on, the inner ones; ``parent`` is -1 at a root, ``side``
-    tells on which side of its parent a node is, and ``bias`` is the log odds of side 1 by the corpus counts, for inner nodes.
+    tells on which side of its parent a node is, ``leaf`` at which node a word's climb begins and ``share`` its log share of that node,
+    and ``bias`` is the log odds of side 1 by the corpus counts, for inner nodes.
     """
 
     place: dict[bytes, int]
     classes: np.ndarray
     counts: np.ndarray
+    leaf: np.ndarray
+    share: np.ndarray
     parent: np.ndarray
     side: np.ndarray
     bias: np.ndarray
@@ -108,9 +112,14 @@ def word_classes(words: list[bytes], counts: np.ndarray, n_classes: int, own: in
     return out
 
 
-def class_trees(counts: np.ndarray, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(parent, side, bias) of a Huffman tree for the words of each class; ``counts`` are in falling order."""
+def class_trees(counts: np.ndarray, classes: np.ndarray, n_classes: int, least: int = 256) -> tuple[np.ndarray, ...]:
+    """(leaf, share, parent, side, bias) of a Huffman tree for the words of each class; ``counts`` are in falling order.
+
+    Words whose common node has a count under ``least`` are one leaf, in which each has its log share of the count: so few
+    occurrences tell nothing of contexts. ``leaf`` is the node of a word's leaf.
+    """
     n = len(counts)
+    total = np.concatenate([counts, np.zeros(n, np.int64)])
     parent, side, bias = np.full(2 * n, -1, np.int32), np.zeros(2 * n, np.int8), np.zeros(n, np.float32)
     new = n
     for c in range(REST + 1, n_classes):
@@ -129,9 +138,17 @@ def class_trees(counts: np.ndarray, classes: np.ndarray, n_classes: int) -> tupl
             parent[a] = parent[b] = new
             side[b] = 1
             bias[new - n] = np.log(more / less)
+            total[new] = less + more
             inner.append((less + more, new))
             new += 1
-    return parent[:new], side[:new], bias[: new - n]
+    leaf = np.arange(n)
+    while n:
+        up = parent[leaf]
+        joins = (up >= 0) & (total[up] < least)
+        if not joins.any():
+            break
+        leaf = np.where(joins, up, leaf)
+    return leaf, np.log(counts / total[leaf]), parent[:new], side[:new], bias[: new - n]
 
 
 def vocabulary(counts: DataFrame, head: int, n_classes: int, own: int) -> Vocabulary:
@@ -247,7 +264,9 @@ class Model:
         outcome, one, two = self.contexts(codes, starts)
         logs = self.class_logs(outcome, one, two).astype(np.float64)
         inside = np.flatnonzero(outcome > REST)
-        for at, _, _, z, side in self.climb(codes[inside] - HEAD, one[inside], two[inside]):
+        words = codes[inside] - HEAD
+        logs[inside] += self.vocab.share.take(words)
+        for at, _, _, z, side in self.climb(self.vocab.leaf.take(words), one[inside], two[inside]):
             z *= 1 - 2 * side
             logs[inside[at]] -= np.log1p(np.exp(np.minimum(z, 60)))
         logs /= np.log(10)
@@ -313,7 +332,7 @@ class Trainer:
         for i in range(0, len(codes), size):
             self.classes(outcome[i : i + size], one[i : i + size], two[i : i + size])
         inside = np.flatnonzero(outcome > REST)
-        self.words(codes[inside] - HEAD, one[inside], two[inside])
+        self.words(self.m.vocab.leaf.take(codes[inside] - HEAD), one[inside], two[inside])
         self.seen += len(codes)
 
 

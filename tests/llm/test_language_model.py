@@ -51,13 +51,13 @@ def test_awkward_rows_and_small_head(spark):
     assert all(r.score <= 0 for r in lm.score(df.where("doc_id is null")).collect())
 
 
-def toy(seed=0, words=40, n_classes=7, own=2):
+def toy(seed=0, words=40, n_classes=7, own=2, least=0):
     rng = np.random.default_rng(seed)
     names = [lm.END, *(bytes([97 + i % 26, 97 + i // 26, 98]) for i in range(words - 1))]
     c = np.sort(rng.integers(1, 500, words))[::-1].astype(np.int64)
     classes = lm.word_classes(names, c, n_classes, own)
     n = int(classes.max()) + 1
-    vocab = lm.Vocabulary({w: i for i, w in enumerate(names)}, classes, np.log10(c + 1.0), *lm.class_trees(c, classes, n), n, int(c.sum()) + 30, words + 9, float(-np.log10(30 + 9 + 1)))
+    vocab = lm.Vocabulary({w: i for i, w in enumerate(names)}, classes, np.log10(c + 1.0), *lm.class_trees(c, classes, n, least), n, int(c.sum()) + 30, words + 9, float(-np.log10(30 + 9 + 1)))
     model = lm.Model(vocab, 64)
     model.weights += rng.normal(size=len(model.weights)).astype(np.float32)
     return rng, c, vocab, model
@@ -71,6 +71,9 @@ def plain_log(model, code, one, two):
     z = [sum(float(model.top[r, c]) for r in rows) for c in range(v.n_classes)]
     log = z[outcome] - math.log(sum(math.exp(x) for x in z))
     node = code - lm.HEAD
+    if outcome > lm.REST:
+        log += float(v.share[node])
+        node = int(v.leaf[node])
     while outcome > lm.REST and v.parent[node] >= 0:
         up = int(v.parent[node])
         salt = int(model.node[up - n])
@@ -82,7 +85,8 @@ def plain_log(model, code, one, two):
 
 
 def test_token_logs_match_loops():
-    rng, _, vocab, model = toy()
+    rng, _, vocab, model = toy(least=300)
+    assert (vocab.leaf >= len(vocab.place)).any()
     none = len(vocab.place) + lm.HEAD
     docs = [rng.integers(0, none, n) for n in (1, 2, 30, 200)] + [np.array([5, 5, 5, 0, 1, 0, 5])]
     codes, starts = np.concatenate(docs).astype(np.int32), np.cumsum([0, *map(len, docs[:-1])])
@@ -95,7 +99,7 @@ def test_token_logs_match_loops():
 
 
 def test_probabilities_of_the_next_word_sum_to_one_in_each_class():
-    rng, _, vocab, model = toy(1)
+    rng, _, vocab, model = toy(1, least=300)
     n, none = len(vocab.place), len(vocab.place) + lm.HEAD
     for _ in range(6):
         one, two = rng.integers(0, none + 1, 2)
@@ -107,7 +111,7 @@ def test_probabilities_of_the_next_word_sum_to_one_in_each_class():
 
 
 def test_without_weights_a_word_has_its_share_of_the_class():
-    _, c, vocab, model = toy(2)
+    _, c, vocab, model = toy(2, least=300)
     model.weights[:] = 0
     none = len(vocab.place) + lm.HEAD
     for w in range(len(c)):
