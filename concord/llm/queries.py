@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_model, licenses, lines, mixing, quality, secrets, simhash, toxicity, vectors
+from . import decontaminate, language_model, licenses, lines, manifest, mixing, quality, repeats, secrets, simhash, toxicity, variants, vectors
 from .common import table
 
 
@@ -56,7 +56,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_decontamination, op4_toxicity, op5_quality, op6_line_dedup, op7_licenses, op8_language_model, op9_embeddings, op10_secrets)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    built = manifest.build(docs, manifest.leaf([*fields, F.col("text")]), {"tampered": manifest.leaf([*fields, tampered])})
+    return manifest.digest(manifest.prove(built, "tampered"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.drop_repeats(table(spark, sf_dir, "documents"), length=100))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.word_counts(table(spark, sf_dir, "documents"), min_chars=6, min_n=5, drop_every=199), factor=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_decontamination, op4_toxicity, op5_quality, op6_line_dedup, op7_licenses, op8_language_model, op9_embeddings, op10_secrets, op11_manifest, op12_suffix_dedup, op13_variants)}
 
 ORACLE: dict[str, str] = {
     "op6_line_dedup": r"""
