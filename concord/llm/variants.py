@@ -23,26 +23,25 @@ from .common import materialise, pieces, release
 
 #: Letter groups. A code point belongs to the group that is its remainder.
 GROUPS = 12
+#: No shard holds more than this part of all words, if the levels suffice.
+SHARE = 128
 
 
 def _runs(min_chars: int) -> re.Pattern:
     return re.compile("[a-zÀ-ÿ]{%d,}" % min_chars)
 
 
-def words_in(doc_id, text: bytes | None, runs: re.Pattern, min_chars: int, drop_every: int | None) -> Counter:
-    """Words of a text with their occurrences. With ``drop_every`` a run whose crc32 with the id is a multiple of it loses a letter."""
-    found = Counter(runs.findall((text or b"").lower().decode("utf-8", "replace")))
-    if not drop_every:
-        return found
-    head = b"%s:" % (b"" if doc_id is None else str(doc_id).encode())
-    kept: Counter = Counter()
-    for w, n in found.items():
-        h = zlib.crc32(head + w.encode())
-        if h % drop_every == 0:
-            w = w[: h % len(w)] + w[h % len(w) + 1 :]
-        if len(w) >= min_chars:
-            kept[w] += n
-    return kept
+def add_words(total: dict[str, int], doc_id, text: bytes | None, runs: re.Pattern, min_chars: int, drop_every: int | None) -> None:
+    """Add the words of a text. With ``drop_every`` a run whose crc32 with the id is a multiple of it loses a letter."""
+    head = zlib.crc32(b"%s:" % (b"" if doc_id is None else str(doc_id).encode()))
+    for w, n in Counter(runs.findall((text or b"").lower().decode("utf-8", "replace"))).items():
+        if drop_every:
+            h = zlib.crc32(w.encode(), head)
+            if h % drop_every == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+                if len(w) < min_chars:
+                    continue
+        total[w] = total.get(w, 0) + n
 
 
 def word_counts(docs: DataFrame, min_chars: int = 6, min_n: int = 5, drop_every: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,10 +54,10 @@ def word_counts(docs: DataFrame, min_chars: int = 6, min_n: int = 5, drop_every:
 
     def run(batches):
         for b in batches:
-            total: Counter = Counter()
+            total: dict[str, int] = {}
             for small in pieces([b]):
                 for i, t in zip(small.column(0).to_pylist(), small.column(1).to_pylist()):
-                    total.update(words_in(i, t, runs, min_chars, drop_every))
+                    add_words(total, i, t, runs, min_chars, drop_every)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("binary"))
@@ -95,7 +94,9 @@ class Letters:
     def __init__(self, words: list[str]):
         self.words, self.sizes = words, np.array([len(w) for w in words], np.int64)
         wide = min(WIDE, int(self.sizes.max(initial=0)))
-        self.codes = np.frombuffer("".join(w[:wide].ljust(wide + 1, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), wide + 1)
+        padded = "".join(w[:wide].ljust(wide + 1, "\0") for w in words)
+        small = max(padded, default="") < "\u0100"
+        self.codes = np.frombuffer(padded.encode("latin-1" if small else "utf-32-le"), np.uint8 if small else np.uint32).reshape(len(words), wide + 1)
 
     def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each pair of places whether the words are one edit apart."""
@@ -114,11 +115,15 @@ class Letters:
 
 
 def _reach(levels: int) -> np.ndarray:
-    """(surplus and deficit, change of each count) of every step that one surplus and one deficit allow."""
+    """(spent, change of each count) of the steps from a word to the shards it asks.
+
+    Of two words the one asks that is longer or, where they are equally long, whose vector is the greater; so a deficit comes first
+    and a surplus after it. ``spent``: 0 nothing, 1 the deficit, 2 both.
+    """
     unit, none = np.eye(levels, dtype=np.int64), np.zeros((1, levels), np.int64)
-    both = [unit[i] - unit[j] for i in range(levels) for j in range(levels) if i != j]
-    change = np.concatenate([none, unit, -unit, np.array(both, np.int64).reshape(-1, levels)])
-    return np.concatenate([(change == 1).any(axis=1, keepdims=True), (change == -1).any(axis=1, keepdims=True), change], axis=1).astype(np.int64)
+    both = [unit[j] - unit[i] for i in range(levels) for j in range(i + 1, levels)]
+    change = np.concatenate([none, -unit, np.array(both, np.int64).reshape(-1, levels)])
+    return np.concatenate([np.abs(change).sum(axis=1, keepdims=True), change], axis=1)
 
 
 def _route(depth: int):
@@ -129,10 +134,10 @@ def _route(depth: int):
         for b in batches:
             for small in pieces([b], 4096):
                 top = vectors(small.column(0).to_pylist())[:, :depth]
-                reached = top[:, None, :] + steps[None, :, 2:]
+                reached = top[:, None, :] + steps[None, :, 1:]
                 row, step = np.nonzero((reached >= 0).all(axis=2))
                 shard = np.concatenate([top, reached[row, step]]).astype(">u4")
-                spent = np.concatenate([np.full(len(top), -1), 2 * steps[step, 0] + steps[step, 1]])
+                spent = np.concatenate([np.full(len(top), -1), steps[step, 0]])
                 take = pa.array(np.concatenate([np.arange(len(top)), row]))
                 names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * depth), len(shard), [None, pa.py_buffer(shard.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([names, small.column(0).take(take), small.column(1).take(take), pa.array(spent, pa.int32(), mask=spent < 0)], ["shard", "word", "n", "spent"])
@@ -140,17 +145,18 @@ def _route(depth: int):
     return run
 
 
-def search(held: np.ndarray, asked: np.ndarray, surplus: np.ndarray, deficit: np.ndarray):
+def search(held: np.ndarray, asked: np.ndarray, spent: np.ndarray):
     """Yield (held, asked) places of each leaf of the trie of the vectors ``held`` that the vectors ``asked`` reach, depth first.
 
-    At a node stand a range of the sorted vectors and all queries that came so far, with what they may still spend.
+    At a node stand a range of the sorted vectors and all queries that came so far with what they have spent: first a count one less
+    than the query's, then one more, each once.
     """
     levels = held.shape[1]
     order = np.lexsort(held.T[::-1]) if levels else np.arange(len(held))
     ordered = held[order]
-    stack = [(0, 0, len(order), np.arange(len(asked)), surplus, deficit)]
+    stack = [(0, 0, len(order), np.arange(len(asked)), spent)]
     while stack:
-        level, lo, hi, q, s, d = stack.pop()
+        level, lo, hi, q, spent = stack.pop()
         if level == levels:
             yield order[lo:hi], q
             continue
@@ -158,10 +164,9 @@ def search(held: np.ndarray, asked: np.ndarray, surplus: np.ndarray, deficit: np
         cuts = [0, *(1 + np.flatnonzero(column[1:] != column[:-1])).tolist(), hi - lo]
         for a, b in zip(cuts[:-1], cuts[1:]):
             step = int(column[a]) - wanted
-            on = np.flatnonzero((step == 0) | ((step == 1) & s) | ((step == -1) & d))
+            on = np.flatnonzero((step == 0) | ((step == -1) & (spent == 0)) | ((step == 1) & (spent == 1)))
             if len(on):
-                step = step[on]
-                stack.append((level + 1, lo + a, lo + b, q[on], s[on] & (step != 1), d[on] & (step != -1)))
+                stack.append((level + 1, lo + a, lo + b, q[on], spent[on] + (step[on] != 0)))
 
 
 #: Pairs that are compared at once.
@@ -169,23 +174,26 @@ PAIRS = 1 << 17
 
 
 def _searched(depth: int):
-    """A shard to (word, n_near, best, best_n) for its query rows with neighbours here."""
+    """A shard to (word, n_near, best, best_n) for the words that have neighbours by its pairs, on either side."""
 
     def run(t: pa.Table) -> pa.Table:
         words, ns, spent = t["word"].to_pylist(), t["n"].to_numpy(), t["spent"].fill_null(-1).to_numpy()
         held, asked = np.flatnonzero(spent < 0), np.flatnonzero(spent >= 0)
         counts, letters = vectors(words)[:, depth:], Letters(words)
+        names = sorted(set(words))
+        place = dict(zip(names, range(len(names))))
+        rank, same = np.array([place[w] for w in words]), spent == 0
         found, waiting = [], []
 
         def compare():
             left, right = (np.concatenate(x) for x in zip(*waiting))
             waiting.clear()
-            ok = letters.near(left, right)
+            ok = letters.near(left, right) & ((rank[right] < rank[left]) | ~same[left] | (counts[left] != counts[right]).any(axis=1))
             found.append((left[ok], right[ok]))
 
         if len(held) and len(asked):
-            used, held_back = spent[asked], 0
-            for h, q in search(counts[held], counts[asked], used // 2 == 0, used % 2 == 0):
+            held_back = 0
+            for h, q in search(counts[held], counts[asked], spent[asked]):
                 waiting.append((np.repeat(asked[q], len(h)), np.tile(held[h], len(q))))
                 held_back += len(h) * len(q)
                 if held_back > PAIRS:
@@ -194,11 +202,10 @@ def _searched(depth: int):
             if waiting:
                 compare()
         left, right = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        rank = np.empty(len(words), np.int64)
-        rank[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
-        by = np.lexsort((rank[right], -ns[right], left))
+        left, right = np.concatenate([left, right]), np.concatenate([right, left])
+        by = np.lexsort((rank[right], -ns[right], rank[left]))
         left, right = left[by], right[by]
-        lead = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(left) else np.zeros(0, np.int64)
+        lead = np.flatnonzero(np.append(True, rank[left[1:]] != rank[left[:-1]])) if len(left) else np.zeros(0, np.int64)
         pick = lambda at: pa.array([words[i] for i in at.tolist()], pa.string())
         return pa.table({"word": pick(left[lead]), "n_near": pa.array(np.diff(np.append(lead, len(left))), pa.int64()), "best": pick(right[lead]), "best_n": pa.array(ns[right[lead]], pa.int64())})
 
@@ -206,14 +213,14 @@ def _searched(depth: int):
 
 
 def _depth(words: DataFrame, most: int) -> int:
-    """The least number of levels after which no node of the trie holds more than ``most`` words, or all levels."""
+    """The least number of levels after which no node of the trie holds more than ``most`` words or a ``SHARE``-th of all, or all levels."""
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, v)) for v in vectors(b.column(0).to_pylist()).tolist()], pa.string())], ["v"])
 
-    nodes = words.select("word").mapInArrow(run, "v string").groupBy("v").count()
-    nodes = materialise(nodes, "vectors")
+    nodes = materialise(words.select("word").mapInArrow(run, "v string").groupBy("v").count(), "vectors")
+    most = min(most, -(-(nodes.agg(F.sum("count")).first()[0] or 0) // SHARE))
     for depth in range(2, GROUPS):
         largest = nodes.groupBy(F.substring_index("v", ",", depth).alias("v")).agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0]
         if (largest or 0) <= most:
@@ -223,11 +230,11 @@ def _depth(words: DataFrame, most: int) -> int:
     return GROUPS
 
 
-def neighbours(words: DataFrame, max_shard: int = 1000) -> DataFrame:
+def neighbours(words: DataFrame, max_shard: int = 5000) -> DataFrame:
     """``words(word, n)``, words unique, to (word, n_near, best, best_n): how many words are one edit away and the most frequent of them, ties by code point. Words without any are not in it.
 
-    Shards of more than ``max_shard`` words are split a level further down, so a task holds few however many words there are. A
-    query's neighbours of a shard are added up there, so pairs never leave it.
+    Shards of more than ``max_shard`` words are split a level further down, so a task holds few however many words there are. Each
+    pair is met once, and a word's neighbours in a shard are added up there, so pairs never leave it.
     """
     depth = _depth(words, max_shard)
     routed = words.select("word", "n").mapInArrow(_route(depth), "shard binary, word string, n long, spent int")
@@ -236,7 +243,7 @@ def neighbours(words: DataFrame, max_shard: int = 1000) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), first).select("word", "n_near", F.col("first.w").alias("best"), (-F.col("first.r")).alias("best_n"))
 
 
-def group(words: DataFrame, factor: int = 5, max_shard: int = 1000) -> DataFrame:
+def group(words: DataFrame, factor: int = 5, max_shard: int = 5000) -> DataFrame:
     """``words(word, n)`` to (word, form, root, n, n_near, form_n).
 
     ``form`` is the most frequent word one edit away if it is at least ``factor`` times (2 or more) as frequent, else null; ``root`` is
