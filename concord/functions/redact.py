@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .normalize import canonical_json
 
-#: Parts of a key's name whose values are always hidden.
-SENSITIVE = ("authorization", "cookie", "password", "passwd", "secret", "session", "signature", "private_key", "access_key")
+#: Parts of a key's name whose values are hidden. Those with "token" have an exception, see STATISTIC.
+SENSITIVE = ("password", "passwd", "secret", "token", "cookie", "signature", "private_key", "access_key", "app_secret", "authorization", "session")
+#: More of our own.
+ALSO_SENSITIVE = ("pwd", "api_key", "passphrase", "credential")
 #: Words that mark a key with "token" as a statistic, which stays.
 STATISTIC = ("count", "rows", "shops", "total", "scope", "summary", "credential", "target", "top", "unverified", "expired")
 HIDDEN = "<redacted>"
@@ -30,18 +32,26 @@ GARBLED_PATTERNS = {"question marks": r"\?{4,}", "replacement character": "�",
 _WHOLE = "(?:(?<![A-Za-z])(?i:" + "|".join(STATISTIC) + ")|(?<=[a-z])(?:" + "|".join(w.capitalize() for w in STATISTIC) + "))(?![a-z])"
 
 
+#: What always hides, in any case and with any or no separators between its words, and the word that hides with an exception.
+_ALWAYS = "(?i:" + "|".join(w.replace("_", "[-_. ]*") for w in (*SENSITIVE, *ALSO_SENSITIVE) if w not in ("token", "credential")) + "|(?<!token[-_. ]{0,3})credential)"
+_TOKEN = "(?i:token)"
+
+
 def is_sensitive_key(key: Column) -> Column:
-    """Keys that name a secret. Keys of tokens are spared where a whole word of theirs is a statistic, as in token_count; no others are."""
-    low = F.lower(key)
-    return low.rlike("|".join(SENSITIVE)) | (low.contains("token") & ~key.rlike(_WHOLE))
+    """Keys that name a secret, in snake, kebab or camel case. Keys of tokens are spared where a whole word of theirs is a statistic, as in token_count; no others are."""
+    return key.rlike(_ALWAYS) | (key.rlike(_TOKEN) & ~key.rlike(_WHOLE))
+
+
+#: An assignment of eight or more characters to a name that ends in a sensitive word.
+ASSIGNED = r"""(?i)((?:token|password|passwd|pwd|secret|signature|passphrase|credential|api[-_. ]?key|access[-_. ]?key|private[-_. ]?key)["']?\s*[:=]\s*["']?)[A-Za-z0-9+/_.=-]{8,}"""
 
 
 def redact_text(c: Column) -> Column:
-    """Bearer tokens, and the secrets of query strings and assignments."""
-    # The three patterns.
+    """Bearer tokens, the secrets of query strings, and of assignments, also in JSON or quoted, to names that end in a sensitive word."""
+    # The first two patterns.
     text = F.regexp_replace(c, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{12,}", f"$1{HIDDEN}")
     text = F.regexp_replace(text, r"(?i)([?&](?:token|password|secret|access_token|refresh_token)=)[^&\s]+", f"$1{HIDDEN}")
-    return F.regexp_replace(text, r"""(?i)\b((?:token|password|passwd|secret|api_key)\s*[:=]\s*["']?)[A-Za-z0-9+/_.=-]{8,}""", f"$1{HIDDEN}")
+    return F.regexp_replace(text, ASSIGNED, f"$1{HIDDEN}")
 
 
 def redact_map(c: Column) -> Column:
@@ -62,8 +72,7 @@ def redact_json(c: Column, depth: int = 3) -> Column:
 
     Where the value of a sensitive key is nested deeper than ``depth`` the whole document is hidden.
     """
-    always, token = "(?i:" + "|".join(SENSITIVE) + ")", "(?i:token)"
-    name = rf'"((?:(?=[^"]*{always})|(?=[^"]*{token})(?![^"]*{_WHOLE}))[^"]*)":'
+    name = rf'"((?:(?=[^"]*{_ALWAYS})|(?=[^"]*{_TOKEN})(?![^"]*{_WHOLE}))[^"]*)":'
     hidden = F.regexp_replace(canonical_json(c), f"{name}(?:{_json_value(depth)})", f'"$1":"{HIDDEN}"')
     return F.when(hidden.rlike(rf"{name}[\[{{]"), F.lit(f'"{HIDDEN}"')).otherwise(redact_text(hidden))
 

@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 
 def check_relations(source: DataFrame, id_map: DataFrame, target: DataFrame, child: str, parent: str) -> DataFrame:
-    """(child, finding) for relations child to parent, compared in the target's ids.
+    """(child, finding) for relations child to parent, compared in the target's ids; one row a child.
 
     ``id_map(old_id, new_id)`` translates parents. unmapped: the source's parent has no new id; missing: the target lacks the
-    child; different: it points elsewhere; extra: the source lacks it.
+    child; different: it points elsewhere; extra: the source lacks it. Repeated relations and map entries count once; a child with
+    several parents, or a parent with several new ids, must have just those in the target.
     """
-    left = source.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).join(id_map, F.col("_p") == F.col("old_id"), "left").select("_c", "_p", "new_id")
-    right = target.select(F.col(child).alias("_t"), F.col(parent).alias("_q"))
-    both = left.join(right, F.col("_c") == F.col("_t"), "full_outer")
-    finding = F.when(F.col("_c").isNull(), "extra").when(F.col("_p").isNotNull() & F.col("new_id").isNull(), "unmapped").when(F.col("_t").isNull(), "missing").when(~F.col("new_id").eqNullSafe(F.col("_q")), "different")
-    return both.select(F.coalesce("_c", "_t").alias("child"), finding.alias("finding")).where("finding is not null")
+    named = id_map.select(F.col("old_id").alias("_o"), F.col("new_id").alias("_p")).distinct()
+    own = source.select(F.col(child).alias("_c"), F.col(parent).alias("_r")).distinct()
+    left = own.join(named, F.col("_r") == F.col("_o"), "left").select("_c", "_p", (F.col("_r").isNotNull() & F.col("_p").isNull()).alias("_lost"), F.lit(1).alias("_s"), F.lit(0).alias("_t"))
+    right = target.select(F.col(child).alias("_c"), F.col(parent).alias("_p"), F.lit(False).alias("_lost"), F.lit(0).alias("_s"), F.lit(1).alias("_t"))
+    once = left.union(right).groupBy("_c", "_p").agg(F.bool_or("_lost").alias("_lost"), F.max("_s").alias("_s"), F.max("_t").alias("_t"))
+    both = once.groupBy("_c").agg(F.bool_or("_lost").alias("_lost"), F.max("_s").alias("_s"), F.max("_t").alias("_t"), F.bool_or(F.col("_s") != F.col("_t")).alias("_other"))
+    finding = F.when(F.col("_s") == 0, "extra").when(F.col("_lost"), "unmapped").when(F.col("_t") == 0, "missing").when(F.col("_other"), "different")
+    return both.select(F.col("_c").alias("child"), finding.alias("finding")).where("finding is not null")
 
 
 def check_files(source: DataFrame, target: DataFrame, key: list[str], attributes: list[str]) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import FieldRule, canonical_key, json_exists, json_get, json_text, norm, parse_json
-from .reconcile import _fields, field_cells, null_safe_join, union_diffs
+from ..sources.shared import written
+from .reconcile import _fields, field_cells, key_names, null_safe_join, union_diffs
 
 
 def parsed(df: DataFrame, col: str) -> Column:
@@ -112,34 +115,109 @@ def orphans(detail: DataFrame, header: DataFrame, foreign_key: str, key: str, li
     return found if limit is None else found.limit(limit)
 
 
-def json_depth(text):
-    """Column: how deep the objects and arrays of a JSON text are nested."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*"', ""), r"[^\[\]{}]", "")
-    step = lambda acc, c: F.struct((acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("now"), F.greatest(acc["most"], acc["now"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("most"))
-    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+class _Repeated(ValueError):
+    """An object names a key twice, which no VARIANT can hold."""
+
+
+def _object(pairs: list) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise _Repeated
+    return out
+
+
+def _number(text: str) -> str:
+    """The kind that a JSON number has as VARIANT: whole ones up to 64 bits, then decimals of up to 38 digits without an exponent, then doubles."""
+    if text.lstrip("-").isdigit() and -(1 << 63) <= int(text) < 1 << 63:
+        return "BIGINT"
+    digits = text.lstrip("-").replace(".", "")
+    return "DECIMAL" if digits.isdigit() and len(digits.lstrip("0")) <= 38 and len(text.partition(".")[2]) <= 38 else "DOUBLE"
+
+
+class _Kind(str):
+    """The kind of a number, in its place."""
+
+
+def _refuse(text: str):
+    raise ValueError(text)
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_object, parse_int=lambda t: _Kind(_number(t)), parse_float=lambda t: _Kind(_number(t)), parse_constant=_refuse)
+
+
+def decode(text: str):
+    """A document with kinds in place of its numbers."""
+    return _DECODER.decode(text)
+
+
+_KINDS = {dict: "OBJECT", list: "ARRAY", str: "STRING", bool: "BOOLEAN", type(None): "VOID"}
+
+
+class PathTrie:
+    """Paths of documents as a tree: a node is [children by step, counts by kind]; ``size`` is the number of its nodes."""
+
+    def __init__(self):
+        self.root: list = [{}, {}]
+        self.size = 1
+
+    def add(self, value, depth: int | None) -> None:
+        todo = [(self.root, value, 1)]
+        while todo:
+            node, v, level = todo.pop()
+            kind = v if type(v) is _Kind else _KINDS[type(v)]
+            node[1][kind] = node[1].get(kind, 0) + 1
+            if depth is not None and level >= depth or not isinstance(v, (dict, list)):
+                continue
+            for step, inner in v.items() if isinstance(v, dict) else ((None, x) for x in v):
+                child = node[0].get(step)
+                if child is None:
+                    child = node[0][step] = [{}, {}]
+                    self.size += 1
+                todo.append((child, inner, level + 1))
+
+    def rows(self):
+        """(path, kind, n) of every node."""
+        todo = [("$", self.root)]
+        while todo:
+            path, (children, kinds) = todo.pop()
+            for kind, n in kinds.items():
+                yield path, str(kind), n
+            for step, child in children.items():
+                todo.append((path + ("[*]" if step is None else f".{step}"), child))
+
+
+#: Nodes of a task's tree of paths, after which its counts are sent on and it starts anew.
+TRIE_NODES = 100_000
 
 
 def json_paths(df: DataFrame, json_col: str, depth: int | None = None) -> DataFrame:
     """(path, kind, n): every path of the documents with the kinds of its values; array elements are ``[*]``. ``depth`` bounds the levels, by default nothing does.
 
-    One descent: each row is a way down, and carries the nodes on it that no earlier sibling has reported.
+    One pass: each task adds its documents to a tree of paths and sends its counts, which Spark adds up; the plan is the same for
+    every depth. Texts that are no JSON, or that no VARIANT can hold, count nothing.
     """
-    rows = df.select(parsed(df, json_col).alias("v"), F.col(json_col).alias("_text")).where("v is not null")
-    if depth is None:
-        text = F.to_json("v") if df.schema[json_col].dataType.typeName() == "variant" else F.col("_text")
-        depth = 1 + (rows.agg(F.max(json_depth(text))).first()[0] or 0)
-    kind_of = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1)
-    node = lambda path, kind: F.array(F.struct(path.alias("path"), kind.alias("kind")))
-    level = rows.select("v", F.lit("$").alias("path"), kind_of(F.col("v")).alias("kind"))
-    level = level.withColumn("seen", node(F.col("path"), F.col("kind")))
-    for _ in range(depth - 1):
-        entries = level.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
-        inside = F.col("pos").isNotNull()
-        path = F.when(~inside, F.col("path")).when(F.col("kind") == "OBJECT", F.concat(F.col("path"), F.lit("."), F.col("key"))).otherwise(F.concat(F.col("path"), F.lit("[*]")))
-        step = entries.select(F.col("value").alias("v"), path.alias("path"), F.when(inside, kind_of(F.col("value"))).alias("kind"), F.col("seen").alias("before"), "pos")
-        seen = F.when(F.col("pos").isNull(), F.col("before")).when(F.col("pos") == 0, F.concat("before", node(F.col("path"), F.col("kind")))).otherwise(node(F.col("path"), F.col("kind")))
-        level = step.select("v", "path", "kind", seen.alias("seen"))
-    return level.select(F.inline("seen")).groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+    def run(batches):
+        trie = PathTrie()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                try:
+                    value = decode(text)
+                except (ValueError, TypeError, RecursionError):
+                    continue
+                trie.add(value, depth)
+                if trie.size > TRIE_NODES:
+                    yield _path_rows(trie)
+                    trie = PathTrie()
+        yield _path_rows(trie)
+
+    text = F.to_json(json_col) if df.schema[json_col].dataType.typeName() == "variant" else F.col(json_col)
+    return df.select(text.alias("text")).where("text is not null").mapInArrow(run, "path string, kind string, n long").groupBy("path", "kind").agg(F.sum("n").alias("n"))
+
+
+def _path_rows(trie: PathTrie) -> pa.RecordBatch:
+    found = list(trie.rows())
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.string()), pa.array([r[2] for r in found], pa.int64())], ["path", "kind", "n"])
 
 
 def parse_params(df: DataFrame, col: str, keys: dict[str, str], keep: list[str]) -> DataFrame:
@@ -155,7 +233,8 @@ def parse_params(df: DataFrame, col: str, keys: dict[str, str], keep: list[str])
 @dataclass(frozen=True)
 class DocumentSpec:
     """How documents were loaded: their id and JSON columns, key and field rules of the header table, and the same for the detail
-    table, whose ``detail_fk`` refers to ``header_id``. Without ``detail_keys`` details are matched by place, in ``detail_order``."""
+    table, whose ``detail_fk`` refers to ``header_id``, or to ``detail_source_fk``, a column that comes with the documents. Without
+    ``detail_keys`` details are matched by place, in ``detail_order``."""
 
     id_col: str
     json_col: str
@@ -169,6 +248,7 @@ class DocumentSpec:
     detail_fields: tuple[FieldRule, ...] = ()
     detail_order: tuple[str, ...] = ()
     orphan_limit: int | None = None
+    detail_source_fk: str | None = None
 
 
 def _key(names: list[str]) -> Column:
@@ -190,28 +270,36 @@ def _listed(*cells: Column) -> Column:
     return F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull()))
 
 
-def _keyed(df: DataFrame, rules: tuple[FieldRule, ...], fields: tuple[FieldRule, ...], side: str, name: str, json_col: str | None, keep: list[str]) -> tuple[DataFrame, list[str]]:
-    """``df`` with the normalised key parts ``<name>k0``.., ``<name>lost`` (a part is absent), ``<name>bad`` (a part cannot be read) and the fields as struct ``name``."""
-    rows = _fields(df, keep, [*rules, *fields], side, "_all", json_col)
+def _keyed(df: DataFrame, rules: tuple[FieldRule, ...], fields: tuple[FieldRule, ...], side: str, name: str, json_col: str | None, keep: list[str], blank_lost: bool = False) -> tuple[DataFrame, list[str]]:
+    """``df`` with the normalised key parts ``<name>k0``.., ``<name>lost`` (a part is absent; with ``blank_lost`` also null or blank), ``<name>bad`` (a part cannot be read) and the fields as struct ``name``."""
+    rows = _fields(df, keep, [*rules, *fields], side, "_all", json_col).withColumnsRenamed(dict(zip(key_names(keep), keep)))
     part = lambda i, x: F.col(f"_all.{x}{i}")
     any_ = lambda xs: F.exists(F.array(F.lit(False), *xs), lambda x: x)
     names = [f"{name}k{i}" for i in range(len(rules))]
-    lost = any_([part(i, "m") | (F.lit(r.required) & part(i, "r").isNull()) for i, r in enumerate(rules)])
+    empty = lambda i: F.coalesce(F.trim(part(i, "r").cast("string")), F.lit("")) == ""
+    lost = any_([empty(i) if blank_lost else part(i, "m") | (F.lit(r.required) & part(i, "r").isNull()) for i, r in enumerate(rules)])
     own = [part(i + len(rules), x).alias(f"{x}{i}") for i in range(len(fields)) for x in "frem"] or [F.lit(0).alias("none")]
-    return rows.select(*keep, *[part(i, "f").alias(n) for i, n in enumerate(names)], lost.alias(f"{name}lost"), any_([part(i, "e") for i in range(len(rules))]).alias(f"{name}bad"), F.struct(*own).alias(name)), names
+    bad = any_([part(i, "e") & ~empty(i) if blank_lost else part(i, "e") for i in range(len(rules))])
+    return rows.select(*keep, *[part(i, "f").alias(n) for i, n in enumerate(names)], lost.alias(f"{name}lost"), bad.alias(f"{name}bad"), F.struct(*own).alias(name)), names
+
+
+#: A document among others: its id and its text. Rows equal in both are told apart by their number only.
+_ROW = ["_id", "_digest"]
 
 
 def checked_documents(docs: DataFrame, header: DataFrame, spec: DocumentSpec) -> DataFrame:
-    """One row for each document with its ``status``, key parts, fields ``s``, detail array, and the header row of its key: ``tn`` rows, fields ``t``, ``header``."""
-    rows = docs.withColumn("_doc", parsed(docs, spec.json_col))
-    rows = rows.select(*[c for c in docs.columns if c != spec.json_col], F.col("_doc"), F.when(F.col("_doc").isNull(), "SOURCE_JSON_INVALID").when(~_is_object(F.col("_doc")), "SOURCE_JSON_NOT_OBJECT").alias("_status"), F.col(spec.id_col).cast("string").alias("_id"))
+    """One row for each document with its ``_status``, key parts, fields ``s``, detail array, the value ``_fk`` that its details refer to, and the header row of its key: ``tn`` rows, fields ``t``, ``header``."""
+    source_fk = F.col(f"`{spec.detail_source_fk}`") if spec.detail_source_fk in docs.columns else F.lit(None).cast("string")
+    text = F.to_json(F.col(f"`{spec.json_col}`")) if docs.schema[spec.json_col].dataType.typeName() == "variant" else F.col(f"`{spec.json_col}`")
+    rows = docs.withColumns({"_doc": parsed(docs, spec.json_col), "_digest": F.md5(F.coalesce(text, F.lit("")).cast("binary")), "_source_fk": source_fk, "_id": F.col(f"`{spec.id_col}`").cast("string")})
+    rows = rows.withColumn("_status", F.when(F.col("_doc").isNull(), "SOURCE_JSON_INVALID").when(~_is_object(F.col("_doc")), "SOURCE_JSON_NOT_OBJECT"))
     if spec.detail_path:
         item = json_get(F.col("_doc"), spec.detail_path)
         rows = rows.withColumn("_items", F.try_variant_get("_doc", spec.detail_path, "array<variant>")).withColumn("_absent", item.isNull() | F.is_variant_null(item))
     else:
         rows = rows.withColumn("_items", F.lit(None).cast("array<variant>")).withColumn("_absent", F.lit(True))
-    own, names = _keyed(rows, spec.keys, spec.fields, "source", "s", "_doc", ["_id", "_status", "_items", "_absent"])
-    held, there = _keyed(header.withColumn("_header", F.col(spec.header_id)), spec.keys, spec.fields, "target", "t", None, ["_header"])
+    own, names = _keyed(rows, spec.keys, spec.fields, "source", "s", "_doc", [*_ROW, "_status", "_items", "_absent", "_source_fk"], blank_lost=True)
+    held, there = _keyed(header.withColumn("_header", F.col(f"`{spec.header_id}`")), spec.keys, spec.fields, "target", "t", None, ["_header"])
     one = held.groupBy(*there).agg(F.count("*").alias("tn"), F.min("t").alias("t"), F.min("_header").alias("header"))
     ok = F.col("_status").isNull() & ~F.col("slost") & ~F.col("sbad")
     own = own.select("*", ok.alias("_ok")).select("*", *[F.when(F.col("_ok"), F.col(n)).alias(f"_{n}") for n in names])
@@ -219,73 +307,93 @@ def checked_documents(docs: DataFrame, header: DataFrame, spec: DocumentSpec) ->
     for a, b in zip(names, there):
         both = (F.col(f"_{a}") == F.col(b)) if same is None else same & (F.col(f"_{a}") == F.col(b))
         same = both
-    return own.join(one, same, "left").drop(*there, *[f"_{n}" for n in names])
-
-
-def _detail_sides(checked: DataFrame, detail: DataFrame, spec: DocumentSpec) -> tuple[DataFrame, DataFrame, list[str], list[str]]:
-    """The exploded items of checked documents, and the detail rows of their headers, with key parts and fields."""
-    own = checked.select("_id", "_order", "header", F.posexplode("_items").alias("_at", "_item"))
-    items, names = _keyed(own, spec.detail_keys, spec.detail_fields, "source", "s", "_item", ["_id", "_order", "_at"])
-    joined = checked.select("_id", "_order", "header").join(detail, F.col("header") == F.col(spec.detail_fk))
-    rows, there = _keyed(joined, spec.detail_keys, spec.detail_fields, "target", "t", None, ["_id", "_order", *spec.detail_order])
-    return items, rows, names, there
+    found = own.join(one, same, "left").drop(*there, *[f"_{n}" for n in names])
+    return found.withColumn("_fk", F.col("_source_fk") if spec.detail_source_fk else F.col("header").cast("string")).withColumn("_one", F.coalesce(F.col("_ok") & (F.col("tn") == 1), F.lit(False)))
 
 
 def _compare_items(checked: DataFrame, detail: DataFrame, spec: DocumentSpec) -> DataFrame:
-    items, rows, names, there = _detail_sides(checked, detail, spec)
+    """Differences of the detail arrays of ``checked`` documents and the detail rows they refer to.
+
+    Equal documents are compared once, and each finding comes as often as its document does (``_m``).
+    """
+    own = checked.select(*_ROW, "_order", "_fk", F.posexplode("_items").alias("_at", "_item"))
+    items, names = _keyed(own, spec.detail_keys, spec.detail_fields, "source", "s", "_item", [*_ROW, "_order", "_at"])
     cells = field_cells([*spec.detail_fields], "DETAIL", detail.columns)
+    times = checked.groupBy(*_ROW, "_order", "_fk").agg(F.count("*").alias("_m"))
+    again = F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("_copy")
+    keyed = detail.withColumn("_detail_fk", F.col(f"`{spec.detail_fk}`").cast("string"))
+    rows, there = _keyed(keyed, spec.detail_keys, spec.detail_fields, "target", "t", None, ["_detail_fk", *spec.detail_order])
+    place = [F.col("_id").alias("source_id"), F.col("_order").alias("business_key")]
     if not spec.detail_keys:
-        nth = F.row_number().over(Window.partitionBy("_id").orderBy(*(spec.detail_order or ["t"]))) - 1
-        both = items.join(rows.select("_id", nth.alias("_at"), "t"), ["_id", "_at"])
-        return both.select(F.col("_id").alias("source_id"), F.col("_order").alias("business_key"), F.col("_at").cast("string").alias("detail_key"), F.col("_at").alias("detail_index"), _listed(*_cells(F.lit(True), cells)))
-    lost = items.where("slost or sbad").select(F.col("_id").alias("source_id"), F.col("_order").alias("business_key"), _key(names).alias("detail_key"), F.col("_at").alias("detail_index"), F.when(F.col("sbad"), "DETAIL_SOURCE_KEY_ERROR").otherwise("DETAIL_SOURCE_KEY_MISSING").alias("diff_type"))
-    wrong = rows.where("tbad").select(F.col("_id").alias("source_id"), F.col("_order").alias("business_key"), F.lit("DETAIL_TARGET_KEY_ERROR").alias("diff_type"))
-    by = ["_id", "_order", *[f"_k{i}" for i in range(len(names))]]
-    left = items.where("not sbad").withColumnsRenamed(dict(zip(names, by[2:]))).groupBy(*by).agg(F.count("*").alias("sn"), F.min("_at").alias("_at"), F.min("s").alias("s"))
-    right = rows.where("not tbad").withColumnsRenamed(dict(zip(there, by[2:]))).groupBy(*by).agg(F.count("*").alias("tn"), F.min("t").alias("t"))
-    both = null_safe_join(left, right, by, "full_outer")
-    one = (F.col("sn") == 1) & (F.col("tn") == 1)
+        nth = F.row_number().over(Window.partitionBy("_detail_fk").orderBy(*(spec.detail_order or ["t"]))) - 1
+        held = times.join(rows.select("_detail_fk", nth.alias("_at"), "t"), F.col("_fk") == F.col("_detail_fk")).select(*_ROW, "_order", "_m", "_at", "t")
+        once = items.groupBy(*_ROW, "_order", "_at").agg(F.min("s").alias("s"))
+        both = once.join(held, [*_ROW, "_order", "_at"]).select("*", again)
+        return both.select(*place, F.col("_at").cast("string").alias("detail_key"), F.col("_at").alias("detail_index"), _listed(*_cells(F.lit(True), cells)))
+    lost = items.where("slost or sbad").select(*place, _key(names).alias("detail_key"), F.col("_at").alias("detail_index"), F.when(F.col("sbad"), "DETAIL_SOURCE_KEY_ERROR").otherwise("DETAIL_SOURCE_KEY_MISSING").alias("diff_type"))
+    refer = times.select(*_ROW, "_order", "_fk", "_m")
+    wrong = rows.where("tbad").join(refer, F.col("_fk") == F.col("_detail_fk")).select("*", again).select(*place, F.lit("DETAIL_TARGET_KEY_ERROR").alias("diff_type"))
+    parts = [f"_k{i}" for i in range(len(names))]
+    by = [*_ROW, "_order", *parts]
+    left = items.where("not sbad").withColumnsRenamed(dict(zip(names, parts))).groupBy(*by).agg(F.count("*").alias("_sm"), F.size(F.collect_set("_at")).cast("long").alias("sn"), F.min("_at").alias("_at"), F.min("s").alias("s"))
+    held = rows.where("not tbad").withColumnsRenamed(dict(zip(there, parts))).groupBy("_detail_fk", *parts).agg(F.count("*").alias("tn"), F.min("t").alias("t"))
+    right = refer.join(held, F.col("_fk") == F.col("_detail_fk")).select(*by, "tn", "t", "_m")
+    both = null_safe_join(left, right, by, "full_outer").withColumn("_m", F.coalesce("_m", (F.col("_sm") / F.col("sn")).cast("long"))).select("*", again)
+    single = (F.col("sn") == 1) & (F.col("tn") == 1)
     found = [_found(F.col("sn") > 1, "DETAIL_SOURCE_KEY_DUPLICATE", n=F.col("sn")), _found(F.col("tn") > 1, "DETAIL_TARGET_KEY_DUPLICATE", n=F.col("tn")), _found(F.col("tn").isNull(), "DETAIL_TARGET_MISSING"), _found(F.col("sn").isNull(), "DETAIL_TARGET_EXTRA")]
-    kinds = both.select(F.col("_id").alias("source_id"), F.col("_order").alias("business_key"), _key(by[2:]).alias("detail_key"), F.col("_at").alias("detail_index"), _listed(*found, *_cells(F.coalesce(one, F.lit(False)), cells)))
+    kinds = both.select(*place, _key(parts).alias("detail_key"), F.col("_at").alias("detail_index"), _listed(*found, *_cells(F.coalesce(single, F.lit(False)), cells)))
     return union_diffs(lost, wrong, kinds)
 
 
-def verify_ingestion(docs: DataFrame, header: DataFrame, detail: DataFrame | None, spec: DocumentSpec) -> DataFrame:
+def verify_ingestion(docs: DataFrame, header: DataFrame, detail: DataFrame | None, spec: DocumentSpec, counts: Observation | None = None) -> DataFrame:
     """Every difference between JSON documents and the header and detail tables that they were loaded into, under ``DIFF_SCHEMA``.
 
     Documents are parsed and checked, their keys built, the header row of each looked up and its fields compared, then the detail
     array matched with the detail rows of that header; details without a header and keys of several documents come beside it.
-    A document whose key is wrong, has no header or several, is not compared further.
+    A document whose key has a null, blank, absent or unreadable part, no header or several, is not compared further. Every row is
+    a document of its own, also where ids repeat. Where ``detail_source_fk`` is not among the columns of ``docs`` the details cannot be
+    looked up: DETAIL_FETCH_ERROR.
+
+    Documents are read, parsed and joined once, into a table in the shared folder; ``counts`` observes that pass.
     """
     checked = checked_documents(docs, header, spec).withColumn("_order", _key([f"sk{i}" for i in range(len(spec.keys))]))
-    good, valid = F.col("_ok"), F.col("_status").isNull()
-    one = F.coalesce(good & (F.col("tn") == 1), F.lit(False))
+    details = bool(spec.detail_path) and detail is not None
+    fetched = spec.detail_source_fk is None or spec.detail_source_fk in docs.columns
+    if details:
+        n = detail.groupBy(F.col(f"`{spec.detail_fk}`").cast("string").alias("_n_fk")).agg(F.count("*").alias("_n_details"))
+        checked = checked.join(n, F.when(F.col("_one"), F.col("_fk")) == F.col("_n_fk"), "left")
+    if counts is not None:
+        held = F.coalesce(F.sum(F.when(F.col("_one"), F.col("_n_details"))), F.lit(0)) if details else F.lit(0)
+        checked = checked.observe(counts, F.count("*").alias("source_rows"), F.count_if(F.col("_status").isNull()).alias("valid_json"), F.count_if("_one").alias("headers_checked"), held.cast("long").alias("details_checked"))
+    checked = written(checked, "checked")
+    good, valid, one = F.col("_ok"), F.col("_status").isNull(), F.col("_one")
     found = [_found(~valid & (F.col("_status") == x), x) for x in ("SOURCE_JSON_INVALID", "SOURCE_JSON_NOT_OBJECT")]
     found += [_found(valid & F.col("sbad"), "ORDER_SOURCE_KEY_ERROR"), _found(valid & ~F.col("sbad") & F.col("slost"), "ORDER_SOURCE_KEY_MISSING"), _found(good & F.col("tn").isNull(), "ORDER_TARGET_MISSING"), _found(good & (F.col("tn") > 1), "ORDER_TARGET_DUPLICATE", n=F.col("tn"))]
     found += _cells(one, field_cells([*spec.fields], "ORDER", header.columns))
-    rows = checked
     parts = []
-    if spec.detail_path and detail is not None:
+    if details and not fetched:
+        found.append(_found(one, "DETAIL_FETCH_ERROR", error=F.lit(f"no column {spec.detail_source_fk}")))
+    elif details:
         listed = F.col("_absent") | F.col("_items").isNotNull()
-        n = detail.groupBy(F.col(spec.detail_fk).alias("_fk")).agg(F.count("*").alias("_n_details"))
-        rows = rows.join(n, F.col("header") == F.col("_fk"), "left")
         path = F.lit(spec.detail_path)
         here, there = F.when(F.col("_absent"), 0).otherwise(F.size("_items")), F.coalesce("_n_details", F.lit(0))
         found += [_found(one & F.col("_absent") & F.lit(spec.detail_required), "DETAIL_ARRAY_MISSING", json_path=path), _found(one & ~listed, "DETAIL_ARRAY_NOT_LIST", json_path=path), _found(one & listed & (here != there), "DETAIL_COUNT_MISMATCH", expected=here.cast("string"), actual=there.cast("string"))]
         parts.append(_compare_items(checked.where(one & listed), detail, spec))
+    if details:
         lost = orphans(detail, header, spec.detail_fk, spec.header_id, spec.orphan_limit)
-        parts.append(lost.select(F.lit("ORPHAN_DETAIL").alias("diff_type"), F.col(spec.detail_fk).cast("string").alias("business_key"), canonical_key(*[F.col(r.column) for r in spec.detail_keys]).alias("detail_key")))
+        parts.append(lost.select(F.lit("ORPHAN_DETAIL").alias("diff_type"), F.col(f"`{spec.detail_fk}`").cast("string").alias("business_key"), canonical_key(*[F.col(f"`{r.column}`") for r in spec.detail_keys]).alias("detail_key")))
     order = F.when(valid & ~F.col("sbad"), F.col("_order"))
-    documents = rows.select(F.col("_id").alias("source_id"), order.alias("business_key"), _listed(*found))
+    documents = checked.select(F.col("_id").alias("source_id"), order.alias("business_key"), _listed(*found))
     twice = checked.where(good).groupBy("_order").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("SOURCE_BUSINESS_KEY_DUPLICATE").alias("diff_type"), F.col("_order").alias("business_key"), "n")
     return union_diffs(documents, twice, *parts)
 
 
-def ingestion_summary(docs: DataFrame, header: DataFrame, detail: DataFrame, spec: DocumentSpec, diffs: DataFrame) -> DataFrame:
-    """(source_rows, valid_json, headers_checked, details_checked, diffs): one row for a run of ``verify_ingestion``."""
-    checked = checked_documents(docs, header, spec)
-    n = detail.groupBy(F.col(spec.detail_fk).alias("_fk")).agg(F.count("*").alias("_n"))
-    one = F.coalesce(F.col("_ok") & (F.col("tn") == 1), F.lit(False))
-    rows = checked.select(F.col("_status"), one.alias("_one"), F.when(one, F.col("header")).alias("_h")).join(n, F.col("_h") == F.col("_fk"), "left")
-    counts = rows.agg(F.count("*").alias("source_rows"), F.count_if(F.col("_status").isNull()).alias("valid_json"), F.count_if("_one").alias("headers_checked"), F.coalesce(F.sum("_n"), F.lit(0)).alias("details_checked"))
-    return counts.join(F.broadcast(diffs.agg(F.count("*").alias("diffs"))))
+def ingestion_summary(docs: DataFrame, header: DataFrame, detail: DataFrame, spec: DocumentSpec) -> tuple[DataFrame, DataFrame]:
+    """(summary, diffs): one row (source_rows, valid_json, headers_checked, details_checked, diffs) for a run of ``verify_ingestion``, and its differences.
+
+    The first four numbers are observed while the documents are checked; nothing is read for them again.
+    """
+    counts = Observation()
+    diffs = verify_ingestion(docs, header, detail, spec, counts)
+    seen = counts.get
+    return diffs.agg(*[F.lit(seen[n]).cast("long").alias(n) for n in ("source_rows", "valid_json", "headers_checked", "details_checked")], F.count("*").alias("diffs")), diffs

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import snake_case
 from .dedupe import suffix_duplicates
+from .selectors import class_names, inside, matches, nearest
 
 #: Roles of elements by tag, and tags and roles that take input.
 TAG_ROLES = {"a": "link", "button": "button", "select": "combobox", "textarea": "textbox", "option": "option", "nav": "navigation", "img": "img", "table": "table", "li": "listitem"}
@@ -46,11 +47,10 @@ def page_elements(nodes: DataFrame) -> DataFrame:
 def business_elements(elements: DataFrame) -> DataFrame:
     """Visible interactive elements with ``business_type``; those inside the shell or the pagination of a page are left out."""
     words = F.lower(F.concat_ws(" ", "tag", _attr("class"), _attr("id"), _attr("role")))
-    outside = elements.where(words.rlike("|".join([*SHELL, *PAGINATION])) & ~F.col("tag").isin("html", "body", "head")).select("page_id", F.col("node_id").alias("_out"))
-    ups = elements.select("page_id", "node_id", F.explode("path").alias("_out")).join(outside, ["page_id", "_out"]).select("page_id", "node_id").distinct()
-    tables = elements.where("tag = 'table'").select("page_id", F.col("node_id").alias("_t"))
-    in_table = elements.select("page_id", "node_id", F.explode("path").alias("_t")).join(tables, ["page_id", "_t"]).select("page_id", "node_id").distinct().withColumn("_in_table", F.lit(True))
-    wanted = elements.where(((F.size("reasons") > 0) | (F.col("tag") == "th")) & ~F.col("hidden")).join(ups, ["page_id", "node_id"], "left_anti").join(in_table, ["page_id", "node_id"], "left")
+    outside = elements.where(words.rlike("|".join([*SHELL, *PAGINATION])) & ~F.col("tag").isin("html", "body", "head")).select("page_id", "node_id", "last_id")
+    shell = inside(elements, outside)
+    in_table = inside(elements, elements.where("tag = 'table'")).withColumn("_in_table", F.lit(True))
+    wanted = elements.where(((F.size("reasons") > 0) | (F.col("tag") == "th")) & ~F.col("hidden")).join(shell, ["page_id", "node_id"], "left_anti").join(in_table, ["page_id", "node_id"], "left")
     kind = F.lower(F.coalesce(_attr("type"), F.lit("")))
     cls = F.lower(F.coalesce(_attr("class"), F.lit("")))
     button = (F.col("tag") == "button") | kind.isin("button", "submit", "reset")
@@ -70,43 +70,46 @@ def is_generic_class(c: Column) -> Column:
 
 
 def _classes(c: Column) -> Column:
-    """The classes that say something of an element, at most three, as a selector."""
-    names = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: (x != "") & ~is_generic_class(x))
-    return F.when(F.size(names) > 0, F.concat(F.lit("."), F.array_join(F.slice(names, 1, 3), ".")))
+    """The classes that say something of an element."""
+    return F.filter(class_names(c), lambda x: ~is_generic_class(x))
 
 
 def element_paths(elements: DataFrame) -> DataFrame:
     """(page_id, node_id, xpath, container): the place of each element by tags and their numbers, and the id of the nearest ancestor that has a steady one."""
-    nth = F.row_number().over(Window.partitionBy("page_id", "parent_id", "tag").orderBy("node_id"))
-    own = elements.select("page_id", F.col("node_id").alias("_up"), F.concat(F.col("tag"), F.lit("["), nth, F.lit("]")).alias("_step"), F.when(~is_dynamic_id(_attr("id")), F.nullif(_attr("id"), F.lit(""))).alias("_id"))
-    ways = elements.select("page_id", "node_id", F.posexplode("path").alias("_at", "_up")).join(own, ["page_id", "_up"])
-    steps = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_step"))), lambda x: x["_step"]), "/")
-    above = F.when((F.col("_up") != F.col("node_id")) & F.col("_id").isNotNull(), F.col("_at"))
-    return ways.groupBy("page_id", "node_id").agg(F.concat(F.lit("/"), steps).alias("xpath"), F.max_by("_id", above).alias("container"))
+    boxes = elements.where(~is_dynamic_id(_attr("id")) & (F.coalesce(_attr("id"), F.lit("")) != ""))
+    near = nearest(elements.select("page_id", "node_id"), boxes, "_box")
+    named = near.join(boxes.select("page_id", F.col("node_id").alias("_box"), _attr("id").alias("container")), ["page_id", "_box"]).select("page_id", "node_id", "container")
+    return elements.select("page_id", "node_id", "xpath").join(named, ["page_id", "node_id"], "left")
 
 
 def locator_candidates(elements: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """(page_id, node_id, strategy, value, unique, priority) of each element. ``unique``: no other element of the page (of ``scope``, if given) has the value.
+    """(page_id, node_id, strategy, value, unique, priority) of each element. ``unique``: it alone in its page (in ``scope``, if given) is what the locator matches.
 
-    Strategies that depend on the place, xpath and scoped, need ``scope``, all elements of the pages.
+    Values of attributes and texts match what has the same; selectors by class match every element that has the classes, with
+    others too, and scoped ones all such elements anywhere below the container. xpath and scoped need ``scope``, all elements of
+    the pages.
     """
-
     def stacked(df: DataFrame) -> DataFrame:
-        classes = _classes(_attr("class"))
-        pairs = [("test_id", F.coalesce(_attr("data-testid"), _attr("data-test"))), ("id", _attr("id")), ("role", F.when((F.col("name") != "") & F.col("role").isNotNull(), F.concat_ws("|", "role", "name"))), ("label", _attr("aria-label")), ("placeholder", _attr("placeholder")), ("text", F.nullif("text", F.lit(""))), ("name", _attr("name")), ("css", F.when(_attr("href").isNotNull(), F.concat(F.col("tag"), F.lit('[href="'), _attr("href"), F.lit('"]')))), ("class", F.concat("tag", classes))]
+        named = F.array_join(F.concat(F.array(F.col("tag")), F.col("_classes")), ".")
+        pairs = [("test_id", F.coalesce(_attr("data-testid"), _attr("data-test"))), ("id", _attr("id")), ("role", F.when((F.col("name") != "") & F.col("role").isNotNull(), F.concat_ws("|", "role", "name"))), ("label", _attr("aria-label")), ("placeholder", _attr("placeholder")), ("text", F.nullif("text", F.lit(""))), ("name", _attr("name")), ("css", F.when(_attr("href").isNotNull(), F.concat(F.col("tag"), F.lit('[href="'), _attr("href"), F.lit('"]')))), ("class", F.when(F.size("_classes") > 0, named))]
         if scope is not None:
-            pairs += [("xpath", F.col("xpath")), ("scoped", F.when(F.col("container").isNotNull(), F.concat(F.lit("#"), F.col("container"), F.lit(" "), F.col("tag"), F.coalesce(classes, F.lit("")))))]
+            pairs += [("xpath", F.col("xpath")), ("scoped", F.when(F.col("container").isNotNull(), F.concat(F.lit("#"), F.col("container"), F.lit(" "), named)))]
         rows = F.filter(F.array(*[F.struct(F.lit(s).alias("strategy"), v.alias("value")) for s, v in pairs]), lambda x: x["value"].isNotNull() & (x["value"] != ""))
-        return df.select("page_id", "node_id", F.inline(rows))
+        return df.select("page_id", "node_id", "tag", "_classes", *(["container"] if scope is not None else []), F.inline(rows))
 
     every = elements
     if scope is not None:
-        places = element_paths(scope)
-        elements, every = elements.join(places, ["page_id", "node_id"]), scope.join(places, ["page_id", "node_id"])
-    own = stacked(elements)
-    n = stacked(every).groupBy("page_id", "strategy", "value").agg(F.count("*").alias("_n"))
+        places = element_paths(scope).withColumnRenamed("xpath", "_xpath")
+        elements, every = (df.drop("xpath").join(places, ["page_id", "node_id"]).withColumnRenamed("_xpath", "xpath") for df in (elements, scope))
+    own = stacked(elements.withColumn("_classes", _classes(_attr("class"))))
+    selected = F.col("strategy").isin("class", "scoped")
+    plain = stacked(every.withColumn("_classes", _classes(_attr("class")))).where(~selected).groupBy("page_id", "strategy", "value").agg(F.count("*").alias("_n"))
+    container = F.when(F.col("strategy") == "scoped", F.col("container")) if scope is not None else F.lit(None).cast("string")
+    asked = own.where(selected).select(F.concat_ws(" ", "strategy", "value").alias("selector"), "page_id", container.alias("container"), "tag", F.col("_classes").alias("classes")).distinct()
+    met = matches(asked, every).groupBy("page_id", "selector").agg(F.count("*").alias("_n"))
+    counts = plain.unionByName(met.select("page_id", F.substring_index("selector", " ", 1).alias("strategy"), F.expr("substring(selector, instr(selector, ' ') + 1)").alias("value"), "_n"))
     rank = F.array_position(F.array(*[F.lit(s) for s in STRATEGIES]), F.col("strategy"))
-    return own.join(n, ["page_id", "strategy", "value"]).select("page_id", "node_id", "strategy", "value", (F.col("_n") == 1).alias("unique"), rank.cast("int").alias("priority"))
+    return own.join(counts, ["page_id", "strategy", "value"]).select("page_id", "node_id", "strategy", "value", (F.col("_n") == 1).alias("unique"), rank.cast("int").alias("priority"))
 
 
 def locator_strategies(candidates: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import content_key, split_notes, version_match
 from .dedupe import keep_fullest
+from .selectors import nearest, within
 
-NODES = "page_id long, node_id int, parent_id int, path array<int>, depth int, tag string, attrs map<string,string>, own_text string, text string, hidden boolean"
+NODES = "page_id long, node_id int, last_id int, parent_id int, nth int, xpath string, depth int, tag string, attrs map<string,string>, own_text string, text string, hidden boolean"
 
 #: Elements without content, elements whose content is no text, and elements that stand apart from their neighbours.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -86,24 +87,38 @@ def _columns(html: str | None, page_id: int, need: frozenset[str], tags: frozens
     keep = [i for i, t in enumerate(tree.tags) if tags is None or t in tags]
     cols["page_id"] += [page_id] * len(keep)
     cols["node_id"] += keep
-    if need & {"path", "depth"}:
-        paths: list[list[int]] = []
-        for i, p in enumerate(tree.parents):
-            paths.append([*paths[p], i] if p >= 0 else [i])
+    last = list(range(len(tree.parents)))
+    for i in range(len(last) - 1, -1, -1):
+        if tree.parents[i] >= 0:
+            last[tree.parents[i]] = max(last[tree.parents[i]], last[i])
+    nth, depth, xpath = [], [], []
+    if need & {"nth", "depth", "xpath"}:
+        seen: dict[tuple[int, str], int] = {}
+        for p, t in zip(tree.parents, tree.tags):
+            seen[p, t] = seen.get((p, t), 0) + 1
+            nth.append(seen[p, t])
+            depth.append(depth[p] + 1 if p >= 0 else 0)
+        if "xpath" in need:
+            for p, t, n in zip(tree.parents, tree.tags, nth):
+                xpath.append(f"{xpath[p] if p >= 0 else ''}/{t}[{n}]")
     make = {
-        "parent_id": lambda i: tree.parents[i], "tag": lambda i: tree.tags[i], "attrs": lambda i: [*tree.attrs[i].items()], "hidden": lambda i: tree.hidden[i], "path": lambda i: paths[i], "depth": lambda i: len(paths[i]) - 1,
+        "last_id": lambda i: last[i], "nth": lambda i: nth[i], "xpath": lambda i: xpath[i], "depth": lambda i: depth[i],
+        "parent_id": lambda i: tree.parents[i], "tag": lambda i: tree.tags[i], "attrs": lambda i: [*tree.attrs[i].items()], "hidden": lambda i: tree.hidden[i],
         "own_text": lambda i: _flat(tree.own[i]), "text": lambda i: _flat(tree.pieces[tree.first[i] : tree.last[i]]),
     }
     for name in need & make.keys():
         cols[name] += map(make[name], keep)
 
 
-_KINDS = {"page_id": pa.int64(), "node_id": pa.int32(), "parent_id": pa.int32(), "path": pa.list_(pa.int32()), "depth": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "own_text": pa.string(), "text": pa.string(), "hidden": pa.bool_()}
+_KINDS = {"page_id": pa.int64(), "node_id": pa.int32(), "parent_id": pa.int32(), "last_id": pa.int32(), "nth": pa.int32(), "xpath": pa.string(), "depth": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "own_text": pa.string(), "text": pa.string(), "hidden": pa.bool_()}
 
 
 def page_nodes(pages: DataFrame, need: tuple[str, ...] | None = None, tags: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each element, of the given ``tags`` only if any, with the columns of NODES, besides the ids only ``need`` if given.
 
+    ``node_id`` numbers elements as they start; ``last_id`` is the last one inside, so an element's descendants are the numbers
+    after its own up to that one. ``nth`` counts the siblings of one tag, ``xpath`` the way from the root by tags and their ``nth``.
+
     ``text`` is all visible text below an element: script and style dropped, blocks set apart, entities decoded, white space
     collapsed. Pages are parsed in Arrow batches; columns that nobody needs are not built.
     """
@@ -144,10 +159,7 @@ def page_links(nodes: DataFrame) -> DataFrame:
 
 def _inside(nodes: DataFrame, outer: DataFrame, tag: str) -> DataFrame:
     """Nodes with the nearest ancestor of the given tag as ``<tag>_id``."""
-    own = outer.where(F.col("tag") == tag).select("page_id", F.col("node_id").alias(f"{tag}_id"), F.col("depth").alias("_d"))
-    up = nodes.select("page_id", "node_id", F.explode(F.slice("path", 1, F.size("path") - 1)).alias(f"{tag}_id"))
-    near = up.join(own, ["page_id", f"{tag}_id"]).groupBy("page_id", "node_id").agg(F.max_by(f"{tag}_id", "_d").alias(f"{tag}_id"))
-    return nodes.join(near, ["page_id", "node_id"])
+    return nearest(nodes, outer.where(F.col("tag") == tag), f"{tag}_id")
 
 
 def page_tables(nodes: DataFrame) -> DataFrame:
@@ -209,8 +221,10 @@ def page_fields(nodes: DataFrame) -> DataFrame:
 
 def page_interactions(nodes: DataFrame) -> DataFrame:
     """Dialogs, drawers and popovers with title, number of fields and action texts."""
-    boxes = nodes.where(F.lower(F.concat_ws(" ", _attr("class"), _attr("role"))).rlike("dialog|drawer|popover|modal")).select("page_id", F.col("node_id").alias("box"), _attr("class").alias("class"))
-    inner = nodes.select("page_id", "node_id", "tag", "text", F.explode("path").alias("box")).where("box <> node_id").join(boxes, ["page_id", "box"])
+    boxes = nodes.where(F.lower(F.concat_ws(" ", _attr("class"), _attr("role"))).rlike("dialog|drawer|popover|modal")).select("page_id", "node_id", "last_id", _attr("class").alias("class"))
+    i = nodes.where(F.col("tag").rlike("^(h[1-6]|input|select|textarea|button)$")).select("page_id", "node_id", "tag", "text").alias("i")
+    pairs = boxes.alias("o").join(i, within("i", "o"), "left")
+    inner = pairs.select("o.page_id", F.col("o.node_id").alias("box"), "o.class", "i.node_id", "i.tag", "i.text", (F.col("o.last_id") > F.col("o.node_id")).alias("filled")).where("filled")
     title = F.min_by(F.when(F.col("tag").rlike("^h[1-6]$"), F.col("text")), F.when(F.col("tag").rlike("^h[1-6]$"), F.col("node_id")))
     return inner.groupBy("page_id", "box", "class").agg(title.alias("title"), F.count_if(F.col("tag").isin("input", "select", "textarea")).alias("n_fields"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("tag") == "button") & (F.col("text") != ""), F.struct("node_id", "text")))), lambda x: x["text"]), ",").alias("actions"))
 

@@ -61,23 +61,31 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str)
 
 
 def _fields(df: DataFrame, keys: list[str], rules: list[FieldRule], side: str, name: str, json_col: str | None = None) -> DataFrame:
-    """The keys and ``name``, a struct of each rule's normalised value f, raw value r, error e and whether the source lacks it, m."""
+    """The keys by ``key_names`` and ``name``, a struct of each rule's normalised value f, raw value r, error e and whether the source lacks it, m."""
     if side == "target":  # a column that the target lacks is reported as such; until then it is null
         df = df.withColumns({r.column: F.lit(None).cast("string") for r in rules if r.column not in df.columns})
-    normal = normalize_table(df, rules, side, json_col, keep=keys)
+    df = df.withColumns({n: F.col(f"`{k}`") for n, k in zip(key_names(keys), keys)})
+    normal = normalize_table(df, rules, side, json_col, keep=key_names(keys))
     col = lambda r, end="": F.col(f"`{r.column}{end}`")
     cells = [x for i, r in enumerate(rules) for x in (col(r).alias(f"f{i}"), col(r, "__raw").alias(f"r{i}"), col(r, "__error").alias(f"e{i}"), col(r, "__missing").alias(f"m{i}"))]
-    return normal.select(*keys, F.struct(*cells).alias(name))
+    return normal.select(*key_names(keys), F.struct(*cells).alias(name))
+
+
+def key_names(keys: list[str]) -> list[str]:
+    """The names of key columns in joined tables, so that no name of the caller's meets one of ours."""
+    return [f"_key{i}" for i in range(len(keys))]
 
 
 def matched_rows(source: DataFrame, target: DataFrame, keys: list[str], rules: list[FieldRule], json_col: str | None = None) -> DataFrame:
-    """Every source row with the target of its key, and the keys that one side lacks: ``sn``, ``tn`` rows of the key on either side, fields ``s``, ``t``.
+    """Every source row with the target of its key, and the keys that one side lacks: ``_key0``.., ``sn``, ``tn`` rows of the key on either side, fields ``s``, ``t``.
 
     The target is reduced to a row for each key first, so its copies multiply nothing. Null keys equal each other. Source fields
     come from columns, from ``json_col``, or are constants and computed values, as the rules say; the target's are its columns.
     """
     own = _fields(source, keys, rules, "source", "s", json_col)
-    held = _fields(target, keys, rules, "target", "t").groupBy(*keys).agg(F.count("*").alias("tn"), F.min("t").alias("t"))
+    held = _fields(target, keys, rules, "target", "t")
+    keys = key_names(keys)
+    held = held.groupBy(*keys).agg(F.count("*").alias("tn"), F.min("t").alias("t"))
     counts = null_safe_join(own.groupBy(*keys).agg(F.count("*").alias("sn")), held, keys, "full_outer")
     return null_safe_join(counts, own, keys, "left")
 
@@ -105,7 +113,7 @@ def wrong_fields(cells: list[Column]) -> Column:
 
 def compare_fields(joined: DataFrame, keys: list[str], rules: list[FieldRule]) -> DataFrame:
     """A row for each field that differs, in one pass over the source rows whose key the target holds once."""
-    key = canonical_key(*[F.col(k) for k in keys]).alias("business_key")
+    key = canonical_key(*[F.col(k) for k in key_names(keys)]).alias("business_key")
     return joined.where("tn = 1 and s is not null").select(key, wrong_fields(field_cells(rules)))
 
 
@@ -116,9 +124,9 @@ def reconcile(source: DataFrame, target: DataFrame, keys: list[str], rules: list
     repeats is not compared. Null keys equal each other.
     """
     joined = matched_rows(source, target, keys, rules, json_col)
-    key = canonical_key(*[F.col(k) for k in keys]).alias("business_key")
+    key = canonical_key(*[F.col(k) for k in key_names(keys)]).alias("business_key")
     kinds = F.filter(F.array(F.when(F.col("tn").isNull(), F.lit("ORDER_TARGET_MISSING")), F.when(F.col("sn").isNull(), F.lit("ORDER_TARGET_EXTRA")), F.when(F.col("sn") > 1, F.lit("SOURCE_BUSINESS_KEY_DUPLICATE")), F.when(F.col("sn").isNotNull() & (F.col("tn") > 1), F.lit("ORDER_TARGET_DUPLICATE"))), lambda x: x.isNotNull())
-    once = joined.groupBy(*keys, "sn", "tn").agg(F.count("*").alias("_rows"))
+    once = joined.groupBy(*key_names(keys), "sn", "tn").agg(F.count("*").alias("_rows"))
     rows = once.select(key, F.explode(kinds).alias("diff_type"), F.coalesce("tn", "sn").alias("n"))
     return union_diffs(rows, compare_fields(joined, keys, rules))
 

@@ -220,15 +220,18 @@ def parse_params(spark, sf_dir):
 
 
 def _planted_docs(spark, sf_dir):
-    """The documents with more planted: unreadable keys, no status, an unreadable price, no details, and every 257th loaded twice."""
+    """The documents with more planted: keys that are unreadable, null or blank, no status, an unreadable price, no details, and every
+    257th loaded twice, every other of these under the same id."""
     k = F.col("id")
     cut = lambda doc, when, pattern, by: F.when(when, F.regexp_replace(doc, pattern, by)).otherwise(doc)
     doc = cut(F.col("doc"), k % 233 == 0, r'"orderNo":\d+', '"orderNo":"x"')
+    doc = cut(doc, (k % 227 == 0) & (k % 3 == 1), r"^\{", '{"orderNo":null,')
+    doc = cut(doc, (k % 227 == 0) & (k % 3 == 2), r"^\{", '{"orderNo":" ",')
     doc = cut(doc, k % 241 == 0, r'"status":"[^"]*",', "")
     doc = cut(doc, k % 251 == 0, r'"price":"[^"]*"', '"price":"abc"')
     doc = cut(doc, k % 263 == 0, r',"details":.*\}$', "}")
     docs = ingestion.parse_documents(orders_json(spark, sf_dir).select("id", doc.alias("doc")), "doc")
-    return docs.withColumn("id", F.explode(F.when((k % 257 == 0) & (k != 0), F.array(k, -k)).otherwise(F.array(k))))
+    return docs.withColumn("id", F.explode(F.when((k % 257 == 0) & (k != 0), F.array(k, F.when(k % 514 == 0, k).otherwise(-k))).otherwise(F.array(k))))
 
 
 _SPEC = ingestion.DocumentSpec("id", "doc", keys=(N.FieldRule("k", json_path="$.orderNo", kind="int"),), fields=(N.FieldRule("status", json_path="$.status", required=True), N.FieldRule("price", json_path="$.price", kind="decimal")), header_id="k", detail_path="$.details", detail_required=True, detail_fk="lk", detail_keys=(N.FieldRule("ln", json_path="$.line", kind="int"),), detail_fields=(N.FieldRule("part", json_path="$.part", kind="int"), N.FieldRule("qty", json_path="$.qty", kind="decimal"), N.FieldRule("ext", json_path="$.ext", kind="decimal")))
@@ -240,15 +243,15 @@ def _ingestion(spark, sf_dir):
 
 _NONE = "NULL AS detail_key, NULL AS field, NULL AS expected, NULL AS actual"
 _INGESTION = f"""{ORDERS_SQL}, {LINES_SQL},
-    d0 AS (SELECT k AS id, k, status, price FROM ob UNION ALL SELECT -k, k, status, price FROM ob WHERE k % 257 = 0 AND k <> 0),
+    d0 AS (SELECT k AS id, 1 AS r, k, status, price FROM ob UNION ALL SELECT CASE WHEN k % 514 = 0 THEN k ELSE -k END, 2, k, status, price FROM ob WHERE k % 257 = 0 AND k <> 0),
     d AS (SELECT *, CASE WHEN k % 211 = 0 THEN 'SOURCE_JSON_INVALID' WHEN k % 223 = 0 THEN 'SOURCE_JSON_NOT_OBJECT' WHEN k % 227 = 0 THEN 'ORDER_SOURCE_KEY_MISSING' WHEN k % 233 = 0 THEN 'ORDER_SOURCE_KEY_ERROR' END AS bad FROM d0),
     h AS (SELECT k, count(*) AS tn, min(status) AS ts, min(price) AS tp FROM oc GROUP BY k),
     g AS (SELECT d.*, tn, ts, tp, CASE WHEN d.k % 263 = 0 THEN 'DETAIL_ARRAY_MISSING' WHEN d.k % 229 = 0 THEN 'DETAIL_ARRAY_NOT_LIST' END AS lost FROM d LEFT JOIN h USING (k) WHERE bad IS NULL),
     one AS (SELECT * FROM g WHERE tn = 1),
     ns AS (SELECT lk, count(*) AS n FROM li GROUP BY lk), nt AS (SELECT lk, count(*) AS n FROM lc GROUP BY lk),
-    s AS (SELECT id, k, ln, count(*) AS sn, min(part) AS p1, min(qty) AS q1, min(ext) AS e1 FROM one JOIN li ON lk = k WHERE lost IS NULL GROUP BY 1, 2, 3),
-    t AS (SELECT id, k, ln, count(*) AS tn, min(part) AS p2, min(qty) AS q2, min(ext) AS e2 FROM one JOIN lc ON lk = k WHERE lost IS DISTINCT FROM 'DETAIL_ARRAY_NOT_LIST' GROUP BY 1, 2, 3),
-    b AS (SELECT coalesce(s.id, t.id) AS id, coalesce(s.k, t.k) AS k, coalesce(s.ln, t.ln) AS ln, sn, tn, p1, q1, e1, p2, q2, e2 FROM s FULL JOIN t ON s.id = t.id AND s.ln = t.ln),
+    s AS (SELECT id, r, k, ln, count(*) AS sn, min(part) AS p1, min(qty) AS q1, min(ext) AS e1 FROM one JOIN li ON lk = k WHERE lost IS NULL GROUP BY 1, 2, 3, 4),
+    t AS (SELECT id, r, k, ln, count(*) AS tn, min(part) AS p2, min(qty) AS q2, min(ext) AS e2 FROM one JOIN lc ON lk = k WHERE lost IS DISTINCT FROM 'DETAIL_ARRAY_NOT_LIST' GROUP BY 1, 2, 3, 4),
+    b AS (SELECT coalesce(s.id, t.id) AS id, coalesce(s.k, t.k) AS k, coalesce(s.ln, t.ln) AS ln, sn, tn, p1, q1, e1, p2, q2, e2 FROM s FULL JOIN t ON s.id = t.id AND s.r = t.r AND s.ln = t.ln),
     f AS (SELECT *, sn = 1 AND tn = 1 AS single FROM b),
     v AS (
         SELECT bad AS diff_type, CAST(id AS VARCHAR) AS source_id, CASE WHEN bad = 'ORDER_SOURCE_KEY_MISSING' THEN '<NULL>' END AS business_key, {_NONE} FROM d WHERE bad IS NOT NULL
@@ -284,7 +287,7 @@ def classify_ingestion(spark, sf_dir):
 @query(f"WITH {_INGESTION} SELECT (SELECT count(*) FROM d) AS source_rows, (SELECT count(*) FROM d WHERE bad IS NULL OR bad LIKE 'ORDER%') AS valid_json, (SELECT count(*) FROM one) AS headers_checked, (SELECT coalesce(sum(n), 0) FROM one JOIN nt ON lk = k) AS details_checked, (SELECT count(*) FROM v) AS diffs")
 def ingestion_summary(spark, sf_dir):
     docs, header, detail = _planted_docs(spark, sf_dir), orders_copy(spark, sf_dir), lineitem_copy(spark, sf_dir)
-    return ingestion.ingestion_summary(docs, header, detail, _SPEC, ingestion.verify_ingestion(docs, header, detail, _SPEC))
+    return ingestion.ingestion_summary(docs, header, detail, _SPEC)[0]
 
 
 _two_sided = lambda: [N.FieldRule("segment", source_column="seg_src", category="business"), N.FieldRule("origin", constant="crm"), N.FieldRule("double_key", computed=F.col("c_custkey") * 2, kind="int"), N.FieldRule("nation", json_path="$.a.n", kind="int"), N.FieldRule("note", source_column="note_src", empty_as_null=True, kind="int"), N.FieldRule("zeros", source_column="zero_src", source_transforms=("zero_to_null",), target_transforms=("empty_to_null",), kind="int"), N.FieldRule("cents", source_column="cents_src", source_transforms=("cents_to_decimal",), kind="decimal")]
@@ -427,7 +430,7 @@ def scan_garbled(spark, sf_dir):
     return R.scan_garbled(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{12,}', '\1<redacted>', 'g'), '(?i)([?&](?:token|password|secret|access_token|refresh_token)=)[^&\s]+', '\1<redacted>', 'g'), '(?i)\b((?:token|password|passwd|secret|api_key)\s*[:=]\s*["'']?)[A-Za-z0-9+/_.=-]{8,}', '\1<redacted>', 'g')) AS digest FROM documents""")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]{12,}', '\1<redacted>', 'g'), '(?i)([?&](?:token|password|secret|access_token|refresh_token)=)[^&\s]+', '\1<redacted>', 'g'), '(?i)((?:token|password|passwd|pwd|secret|signature|passphrase|credential|api[-_. ]?key|access[-_. ]?key|private[-_. ]?key)["'']?\s*[:=]\s*["'']?)[A-Za-z0-9+/_.=-]{8,}', '\1<redacted>', 'g')) AS digest FROM documents""")
 def redact_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(R.redact_text(F.col("text"))).alias("digest"))
 
@@ -439,14 +442,14 @@ def redact_json(spark, sf_dir):
     return e.select("event_id", R.redact_json(doc).alias("doc"))
 
 
-_KEYS = {"account_password": True, "discount_secret": True, "token_count": False, "tokenTotal": False, "accounttoken": True, "session_id": True, "set_cookie": True, "kind": False, "secret_count": True, "access_key_scope": True}
+_KEYS = {"account_password": True, "discount_secret": True, "token_count": False, "tokenTotal": False, "accounttoken": True, "session_id": True, "set_cookie": True, "kind": False, "secret_count": True, "access_key_scope": True, "api_key": True, "pwd": True, "accessKey": True, "privateKey": True, "app-secret": True, "X-Auth-Token": True, "dbCredential": True, "keyboard": False}
 
 
 @query("SELECT event_id, " + ", ".join(f"'{'<redacted>' if hidden else 'v'}' AS \"{key}\"" for key, hidden in _KEYS.items()) + ", '<redacted>' AS nested, 'v' AS plain FROM events")
 def redact_keys(spark, sf_dir):
     values = F.concat(F.lit("{" + "".join(f'"{k}": "v", ' for k in _KEYS) + '"cookies": [1, {"a": ["x", "}"]}, null], "list": [{"api_secret": {"k": [1, 2]}, "plain": "v"}], "k": '), F.col("event_id"), F.lit("}"))
     held = N.parse_json(R.redact_json(values))
-    return table(spark, sf_dir, "events").select("event_id", *[N.json_text(held, f"$.{k}").alias(k) for k in _KEYS], F.when(N.json_text(held, "$.cookies") == R.HIDDEN, N.json_text(held, "$.list[0].api_secret")).alias("nested"), N.json_text(held, "$.list[0].plain").alias("plain"))
+    return table(spark, sf_dir, "events").select("event_id", *[N.json_text(held, f"$['{k}']").alias(k) for k in _KEYS], F.when(N.json_text(held, "$.cookies") == R.HIDDEN, N.json_text(held, "$.list[0].api_secret")).alias("nested"), N.json_text(held, "$.list[0].plain").alias("plain"))
 
 
 # ---- chains and relations ----------------------------------------------------------------------------

@@ -54,8 +54,8 @@ def _ratio(field: str, low: int, high: int) -> str:
     return f"(CAST({_hash(field, 'c_custkey')} % {high - low + 1} + {low} AS DECIMAL(10,0)) / 1000)"
 
 
-@query(f"""WITH a AS (SELECT c_custkey AS row_index, {_hash('impressions', 'c_custkey')} % 9001 + 1000 AS impressions, {_hash('ctr', 'c_custkey')} % 171 + 30 AS ctr, {_hash('cvr', 'c_custkey')} % 141 + 10 AS cvr, {_hash('average', 'c_custkey')} % 471 + 30 AS av, CAST({_hash('coupon', 'c_custkey')} % 71 + 10 AS DECIMAL(18,3)) AS cu FROM customer),
-    b AS (SELECT *, greatest(1, impressions * ctr // 1000) AS clicks FROM a), c AS (SELECT *, greatest(1, clicks * cvr // 1000) AS orders FROM b) SELECT row_index, impressions, clicks, orders, CAST(orders * av AS DECIMAL(18,2)) AS gmv, CAST(round(CAST(orders * av AS DECIMAL(18,2)) * cu / 1000, 2) AS DECIMAL(18,2)) AS coupon_amount, CAST(orders * av AS DECIMAL(18,2)) + CAST(round(CAST(orders * av AS DECIMAL(18,2)) * cu / 1000, 2) AS DECIMAL(18,2)) AS gmv_include_coupon FROM c""")
+@query(f"""WITH a AS (SELECT c_custkey AS row_index, {_hash('impressions', 'c_custkey')} % 9001 + 1000 AS impressions, {_hash('ctr', 'c_custkey')} % 171 + 30 AS ctr, {_hash('cvr', 'c_custkey')} % 141 + 10 AS cvr, {_hash('average', 'c_custkey')} % 471 + 30 AS av, CAST({_hash('coupon', 'c_custkey')} % 71 + 10 AS DECIMAL(10,0)) * CAST(0.001 AS DECIMAL(4,3)) AS cu FROM customer),
+    b AS (SELECT *, greatest(1, impressions * ctr // 1000) AS clicks FROM a), c AS (SELECT *, greatest(1, clicks * cvr // 1000) AS orders FROM b) SELECT row_index, impressions, clicks, orders, CAST(orders * av AS DECIMAL(18,2)) AS gmv, CAST(round(CAST(orders * av AS DECIMAL(18,2)) * cu, 2) AS DECIMAL(18,2)) AS coupon_amount, CAST(orders * av AS DECIMAL(18,2)) + CAST(round(CAST(orders * av AS DECIMAL(18,2)) * cu, 2) AS DECIMAL(18,2)) AS gmv_include_coupon FROM c""")
 def funnel_metrics(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_index"))
     return datagen.funnel_metrics(rows).select("row_index", "impressions", "clicks", "orders", "gmv", "coupon_amount", "gmv_include_coupon")
@@ -152,7 +152,7 @@ def draft_mappings(spark, sf_dir):
 _PARTS_AS_FIELDS = "f AS (SELECT '$.' || p_partkey AS json_path, p_name AS comment, p_partkey AS o FROM part WHERE p_partkey % 40 = 1), c AS (SELECT p_partkey, p_name AS comment FROM part), tok AS (SELECT *, string_split(comment, ' ') AS t FROM c), ft AS (SELECT *, string_split(comment, ' ') AS u FROM f)"
 
 
-@query(f"""WITH {_PARTS_AS_FIELDS}, s AS (SELECT p_partkey, json_path, o, least(1, CASE WHEN tok.comment = ft.comment THEN 0.72 ELSE 0.48 * len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) END + 0.08) AS score FROM tok, ft), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 6) DESC, o) AS rn FROM s)
+@query(f"""WITH {_PARTS_AS_FIELDS}, s AS (SELECT p_partkey, json_path, o, least(1, CASE WHEN tok.comment = ft.comment THEN 0.72 WHEN contains(replace(tok.comment, ' ', ''), replace(ft.comment, ' ', '')) OR contains(replace(ft.comment, ' ', ''), replace(tok.comment, ' ', '')) THEN 0.58 ELSE 0.48 * len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) END + 0.08) AS score FROM tok, ft), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 6) DESC, o) AS rn FROM s)
     SELECT p_partkey, json_path, round(score, 6) AS score, CASE WHEN round(score, 6) >= 0.75 THEN 'high' WHEN round(score, 6) >= 0.55 THEN 'review' ELSE 'low' END AS confidence FROM r WHERE rn = 1""")
 def match_comments(spark, sf_dir):
     """Every part as a column, by its comment, against every 40th part as a field; both ways of making pairs give the same best ones."""

@@ -20,3 +20,8 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session", params=["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def oracle_sf(request):
+    return request.param

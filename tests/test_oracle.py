@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB, at the smallest size."""
+"""Every registered query against its SQL in DuckDB, at two sizes."""
 
 import datetime
 import decimal
@@ -25,16 +25,16 @@ def plain(v):
 
 
 @pytest.fixture(scope="module")
-def duck(sf):
+def duck(oracle_sf):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{oracle_sf}/{t}.parquet'")
     return c
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_equals_sql(spark, sf, duck, name):
-    df = QUERIES[name](spark, sf)
+def test_query_equals_sql(spark, oracle_sf, duck, name):
+    df = QUERIES[name](spark, oracle_sf)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(x) for x in r) for r in df.select(*[f"`{c}`" for c in cols]).collect()), key=str)
     rel = duck.execute(ORACLE[name])
