@@ -89,7 +89,7 @@ def follow(leaf: bytes, way: bytes) -> tuple[bytes, bytes]:
 
 
 class Forest(NamedTuple):
-    """The blocks of the trees of all groups, one table a round: (``g``, ``block``, ``n`` leaves, ``height``, ``root``, ``top``, ``nodes``)."""
+    """The blocks of the trees of all groups, one table a round: (``g``, ``block``, ``total`` leaves of the round, ``n`` of its own, ``height``, ``root``, ``top``, ``nodes``)."""
 
     rounds: list[DataFrame]
 
@@ -102,8 +102,8 @@ class Forest(NamedTuple):
         return out
 
 
-_BLOCK = "g string, block long, n int, height int, root binary, top boolean, nodes binary"
-_BLOCK_ARROW = pa.schema([("g", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("height", pa.int32()), ("root", pa.binary()), ("top", pa.bool_()), ("nodes", pa.binary())])
+_BLOCK = "g string, block long, total long, n int, height int, root binary, top boolean, nodes binary"
+_BLOCK_ARROW = pa.schema([("g", pa.string()), ("block", pa.int64()), ("total", pa.int64()), ("n", pa.int32()), ("height", pa.int32()), ("root", pa.binary()), ("top", pa.bool_()), ("nodes", pa.binary())])
 
 
 def _grown(height: int):
@@ -115,19 +115,18 @@ def _grown(height: int):
         order = np.argsort(t["pos"].to_numpy())
         digests = t["digest"].to_pylist()
         nodes = lay_out([digests[i] for i in order], tall)
-        return pa.Table.from_pydict({"g": [t["g"][0].as_py()], "block": [t["block"][0].as_py()], "n": [len(order)], "height": [tall], "root": [nodes[:32]], "top": [total <= width], "nodes": [nodes]}, schema=_BLOCK_ARROW)
+        return pa.Table.from_pydict({"g": [t["g"][0].as_py()], "block": [t["block"][0].as_py()], "total": [total], "n": [len(order)], "height": [tall], "root": [nodes[:32]], "top": [total <= width], "nodes": [nodes]}, schema=_BLOCK_ARROW)
 
     return run
 
 
 def grow(leaves: DataFrame, height: int) -> Forest:
-    """``leaves(g, pos, digest)``, ``pos`` from 0 in each group without gaps, to the blocks of their trees. A block is one group of at most 3 ** ``height`` rows."""
+    """``leaves(g, pos, digest, total)``, ``pos`` from 0 in each group of ``total`` leaves without gaps, to the blocks of their trees. A block is one group of at most 3 ** ``height`` rows."""
     rounds: list[DataFrame] = []
     while True:
-        totals = leaves.groupBy("g").agg((F.max("pos") + 1).alias("total"))
-        dealt = leaves.withColumn("block", F.floor(F.col("pos") / ARITY**height)).join(totals, "g")
+        dealt = leaves.withColumn("block", F.floor(F.col("pos") / ARITY**height))
         rounds.append(materialise(dealt.groupBy("g", "block").applyInArrow(_grown(height), _BLOCK), "blocks"))
-        leaves = rounds[-1].where("not top").select("g", F.col("block").alias("pos"), F.col("root").alias("digest"))
+        leaves = rounds[-1].where("not top").select("g", F.col("block").alias("pos"), F.col("root").alias("digest"), F.ceil(F.col("total") / ARITY**height).alias("total"))
         if leaves.isEmpty():
             return Forest(rounds)
 
@@ -184,9 +183,9 @@ def build(docs: DataFrame, digest: Column, others: dict[str, Column] | None = No
     """
     kept = docs.select(group_key(F.col(f"`{source_col}`")).alias("g"), F.col(f"`{id_col}`").alias("id"), digest.alias("digest"), *[c.alias(n) for n, c in (others or {}).items()])
     leaves = materialise(positions(materialise(kept, "leaves"), "g", ["id", "digest"]), "leaves")
-    sources = grow(leaves.select("g", "pos", "digest"), height)
+    sources = grow(leaves.select("g", "pos", "digest", "total"), height)
     tops = sources.tops().select(F.lit("").alias("g"), F.col("g").alias("source"), F.col("root").alias("digest"))
-    whole = grow(positions(tops, "g", ["source"]).select("g", "pos", "digest"), height)
+    whole = grow(positions(tops, "g", ["source"]).select("g", "pos", "digest", "total"), height)
     return Manifest(leaves, sources, whole, height)
 
 

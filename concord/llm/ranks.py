@@ -9,7 +9,7 @@ from .common import digest_of, materialise
 
 
 def positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``pos``, the rank from 0 within ``group`` (not null) by ``order``, nulls first.
+    """``rows`` with ``pos``, the rank from 0 within ``group`` (not null) by ``order``, nulls first, and ``total``, the rows of the group.
 
     Rows are dealt out by range, so that a group of any size spreads over tasks. A row's rank is its place in its range plus what the
     group has in earlier ranges; of those there is one number a range and group. Rows that tie in ``order`` get some order for good.
@@ -18,7 +18,7 @@ def positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     ranged = materialise(ranged.withColumn("_range", F.shiftright("_row", 33)), "ranked")
     parts = ranged.groupBy(group, "_range").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(group, "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    starts = parts.select(group, "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy(group)).alias("total"))
     return ranged.join(starts, [group, "_range"]).withColumn("pos", F.col("_row") + F.col("_shift")).drop("_row", "_range", "_shift")
 
 
