@@ -13,31 +13,33 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 _OWN: dict[str, str] = {}
-#: Rows with whole texts travel to Python in batches of so many, unless the session has another number than Spark's own.
+#: While a table is written, rows with whole texts travel to Python in batches of so many, unless the session has another number than Spark's own.
 BATCH_ROWS = {"10000": "1000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or where that is unset a folder of our own.
-
-    Unset on a cluster, the warehouse serves, as it is shared too; a local session gets a temporary folder.
-    """
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a folder of our own in a local session, and an error on a cluster, whose machines would each have another."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-concord-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-concord-")
     return _OWN[app]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage for good."""
+    """Write ``df`` as Parquet into the shared folder and read it back, which cuts the lineage for good. The session's settings are as before afterwards."""
     spark = df.sparkSession
-    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS.get(size, size))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    size = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_ROWS.get(size, size))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, size)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
@@ -74,6 +76,14 @@ def pieces(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
+def whole_id(df: DataFrame, col: str):
+    """Column: the ids as longs. Ids of another type than whole numbers are refused, as a cast would lose or fail on some."""
+    kind = df.schema[col].dataType
+    if kind.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{col} is {kind.simpleString()}; ids must be whole numbers")
+    return F.col(f"`{col}`").cast("long")
+
+
 def digest_of(text_col: str):
     """Column: 128-bit digest of a text; null and empty texts share one."""
     return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))

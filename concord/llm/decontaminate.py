@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest_of, materialise, pieces, release
+from .common import digest_of, materialise, pieces, release, whole_id
 
 #: Units that count as such after a number.
 UNITS = frozenset(b"% mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year dollars dollar cents cent euros euro pounds pound usd eur gbp meters metres miles feet inches grams liters litres degrees percent kwh w kw v a hz mb gb".split())
@@ -115,7 +115,7 @@ def item_windows(items: DataFrame, k: int, literal: int = 2, id_col: str = "item
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32()))], ["item_id", "place", "h", "slots", "n_windows"])
 
-    rows = items.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("binary"))
+    rows = items.select(whole_id(items, id_col), F.col(f"`{text_col}`").cast("binary"))
     return rows.mapInArrow(run, "item_id long, place int, h long, slots array<long>, n_windows int")
 
 
@@ -217,7 +217,7 @@ def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, cons
     Up to ``max_broadcast`` windows of the benchmark are sent to the tasks, which emit their hits only; beyond that all windows of
     the documents are shuffled to those of the benchmark.
     """
-    keyed = docs.select(digest_of(text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    keyed = docs.select(digest_of(text_col).alias("key"), whole_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     found = matches(keyed.select("key", "text"), items, k, least, consistent, max_broadcast, item_id_col, item_text_col)
     return keyed.select("key", "doc_id").join(found, "key").drop("key")
 

@@ -69,27 +69,28 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     each shares with the one ahead of it, ``depth`` at most.
 
     One round moves every suffix to the place of the one that is longer by a symbol, in the order found so far; after i rounds the
-    order is right for i symbols. A border between two neighbours that first shows in round i says that they share i - 1. Suffixes
-    are never compared or sorted again.
+    order is right for i symbols. A border between two neighbours stays once it shows, so they share as many symbols as there were
+    rounds without it. Suffixes are never compared or sorted again.
     """
     sizes = np.array([len(s.places) for s in shards])
     base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     before = np.concatenate([s.before for s in shards])
     steps = np.concatenate([s.steps + b for s, b in zip(shards, base)]).astype(np.int32)
-    ended = np.concatenate([np.arange(s.n_texts) + b for s, b in zip(shards, base)]).astype(np.int32)
+    ended = np.concatenate([np.arange(s.n_texts) + b for s, b in zip(shards, base)])
     n, m = len(before), len(ended)
     ranks, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    common = np.full(n, depth, np.int32)
-    for done in range(depth):
+    common = np.zeros(n, np.uint8 if depth < 256 else np.int32)
+    border = np.ones(n, bool)
+    for _ in range(depth):
         ahead = before[ranks]
         moved = np.argsort(ahead, kind="stable")
         ahead, ranks, block = ahead[moved], steps[ranks[moved]], block[moved]
         ranks[:m] = ended  # terminators differ from one another, in the order of the shards
-        border = np.ones(n, bool)
-        border[1:] = (ahead[1:] != ahead[:-1]) | (block[1:] != block[:-1])
+        np.not_equal(block[1:], block[:-1], out=border[1:])
+        border[1:] |= ahead[1:] != ahead[:-1]
         border[:m] = True
-        common[border & (common == depth)] = done
-        block = np.cumsum(border, dtype=np.int32)
+        common += ~border
+        np.cumsum(border, out=block)
         if block[-1] == n:
             break
     return ranks, common

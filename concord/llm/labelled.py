@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise
+from .common import crc_mod, materialise, whole_id
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, held: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -18,5 +18,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, parts: i
     own = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     own = own.where(crc_mod("id", parts) != held).groupBy("id").agg(F.max("label").alias("label"))
     picked = own.orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(most)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return materialise(rows.join(F.broadcast(picked), "id").groupBy(F.col("id").alias("doc_id")).agg(F.min("text").alias("text"), F.max("label").alias("label")), "sample")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise, pieces, words_of
+from .common import crc_mod, materialise, pieces, whole_id, words_of
 
 #: Stands for the end of a document among the words; white space cannot occur in a word.
 END = b"\n"
@@ -463,7 +463,7 @@ def score(docs: DataFrame, parts: int = 7, held: int = 2, head: int = 262_144, n
     ``buckets``: rows of class weights, and a 32nd of the tree's slots; by default a 128th of the number of different training
     words, from 4,096 to ``max_buckets``, which bounds what each task holds (33 MB).
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     counts = materialise(word_counts(rows, parts, held), "counts")
     vocab = vocabulary(counts, head, n_classes, own)
     buckets = buckets or _power(vocab.types / 128, 1 << 12, max_buckets)

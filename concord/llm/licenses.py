@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialise, pieces
+from .common import materialise, pieces, whole_id
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -122,7 +122,7 @@ def scan_words(docs: DataFrame, templates: list[list[bytes]], k: int, base: dict
                 ["uid", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "grams"],
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), whole_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return materialise(rows.mapInArrow(run, "uid long, doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, grams array<struct<at int, gram long>>"), "licenses")
 
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, digest_of, materialise, pieces
+from .common import WHITE, digest_of, materialise, pieces, whole_id
 
 _WHITE = WHITE.encode()
 
@@ -45,7 +45,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, id_col: str =
                 hashes += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary())], ["doc", "h"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
     unnamed = F.max(F.col("doc").isNull().cast("long"))
     counts = rows.mapInArrow(run, "doc long, h binary").groupBy("h").agg((F.count_distinct("doc") + unnamed).alias("n"))
     return counts.where(F.col("n") >= min_docs).select("h")
@@ -112,7 +112,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     digest = digest_of(text_col)
     own = docs.select(digest.alias("_t"), F.col(f"`{text_col}`").cast("binary")).mapInArrow(own_keys, "_t binary, h binary").distinct()
     hits = own.join(frequent, "h", "left_semi").groupBy("_t").agg(F.collect_set("h").alias("_hits"))
-    joined = docs.withColumn("_t", digest).join(hits, "_t", "left").select(*[F.col(f"`{n}`") for n in names], "_hits")
+    whole = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), digest.alias("_t"))
+    joined = whole.join(hits, "_t", "left").select(*[F.col("doc")[n].alias(f"c{i}") for i, n in enumerate(names)], "_hits")
 
     def run_joined(batches):
         for b in pieces(batches):

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import materialise, release, whole_id
 
 #: Words by the contract.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -181,7 +181,7 @@ def _keyed(docs: DataFrame, seed: int, id_col: str, text_col: str, member_col: s
         member = F.array(member.cast("string"))
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     sources = F.array_sort(F.array_distinct(F.coalesce(member, F.array(F.lit(None).cast("string")))))
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    key = F.coalesce(whole_id(docs, id_col), F.lit(NO_ID))
     return key, size, sources, lambda i, n: F.pmod(F.xxhash64(F.lit(seed), i, n), F.lit(1 << 32))
 
 

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pieces, sigmoid
+from .common import crc_mod, pieces, sigmoid, whole_id
 from .labelled import labelled_sample
 
 
@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
             x = np.array([own.difference(t) for t in b.column(1).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x), pa.array(sigmoid(own.model.slope * x + own.model.offset))], ["doc_id", "difference", "score"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, difference double, score double")
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_split, materialise, pieces
+from .common import join_split, materialise, pieces, whole_id
 
 #: Base patterns. A match counts if its value has the least length given.
 BASE = (
@@ -104,7 +104,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             span = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bases, pa.list_(pa.struct(span))), pa.array(found, pa.list_(pa.struct([*span, ("h", pa.binary()), ("bits", pa.float64())])))], ["uid", "doc_id", "owner", "base", "found"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{owner_col}`").cast("string").alias("owner"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), whole_id(docs, id_col).alias("doc_id"), F.col(f"`{owner_col}`").cast("string").alias("owner"), F.col(f"`{text_col}`").cast("string").alias("text"))
     span = "kind string, start int, end int"
     return materialise(rows.mapInArrow(run, f"uid long, doc_id long, owner string, base array<struct<{span}>>, found array<struct<{span}, h binary, bits double>>"), "secrets")
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pieces, sigmoid, words_of
+from .common import crc_mod, pieces, sigmoid, whole_id, words_of
 from .labelled import labelled_sample
 from .simhash import shingle_hashes
 
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: ToxicityModel, offending: float = 0.5, id_col:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "sentences"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = docs.select(whole_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, sentences array<struct<start int, end int, score double, text string>>")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_split, materialise, release
+from .common import join_split, materialise, release, whole_id
 from .components import components
 
 #: Links of a node in the graph of a layer, and how many times fewer nodes the next layer has.
@@ -285,7 +285,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shard_size: int = 8
     with a null id take part and name no component. Other columns are ignored; an empty table gives an empty result.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("lab"), v.alias("v"))
+    rows = vectors.select(whole_id(vectors, id_col).alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("lab"), v.alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(F.col("lab").isNotNull() & (F.size("v") > 0) & finite, F.lit(False))
     keyed = rows.where(usable).select("vec_id", "lab", F.xxhash64("lab", "v").alias("k1"), F.xxhash64(F.lit(1), "v", "lab").alias("k2"), "v")
