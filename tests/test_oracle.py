@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB, at two sizes."""
+"""Every registered query against its SQL in DuckDB, at the size at which the driver compares."""
 
 import datetime
 import decimal
