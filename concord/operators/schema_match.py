@@ -20,6 +20,32 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def _grams(text: Column, size: int) -> Column:
+    """Every stretch of ``size`` characters of a text."""
+    last = F.length(text) - size + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size))).otherwise(F.array().cast("array<string>"))
+
+
+#: Comments are looked up in others by stretches of three characters, shorter ones by all of theirs.
+GRAM = 3
+
+
+def _held(short: DataFrame, short_keys: list[str], long: DataFrame, long_keys: list[str]) -> DataFrame:
+    """Pairs in which the text ``x`` of ``short`` stands inside that of ``long``.
+
+    Postings of the stretches of 1 to ``GRAM`` characters of the long texts, a row for each stretch of a text; a short text looks up
+    only that of its longest stretches which stands in the fewest long ones, and what it finds is compared in full.
+    """
+    posted = long.where("x <> ''").select(*long_keys, F.col("x").alias("whole"), F.explode(F.array_distinct(F.concat(*[_grams(F.col("x"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    sizes = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    size = F.least(F.length("x"), F.lit(GRAM))
+    own = F.when(size == 1, _grams(F.col("x"), 1)).when(size == 2, _grams(F.col("x"), 2)).otherwise(_grams(F.col("x"), GRAM))
+    asked = short.where("x <> ''").select(*short_keys, "x", F.explode(F.array_distinct(own)).alias("gram")).join(sizes, "gram", "left")
+    # A stretch that no long text has rules the text out.
+    best = asked.groupBy(*short_keys, "x").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    return best.join(posted, "gram").where(F.contains("whole", "x")).select(*short_keys, *long_keys)
+
+
 def _sparse_pairs(c: DataFrame, f: DataFrame) -> DataFrame:
     """Pairs of ``c`` and ``f`` that share a token, a name or a comment, or of which one comment holds the other, and each column with the first field of each type.
 
@@ -29,13 +55,11 @@ def _sparse_pairs(c: DataFrame, f: DataFrame) -> DataFrame:
     keyed = lambda df, x: df.withColumn("_t", F.explode(F.array_distinct(F.concat(*[F.transform(F.col(t), lambda v, n=n: F.concat(F.lit(n), v)) for t, n in x]))))
     tokens = keyed(c, (("cct", "t"), ("cnt", "t"))).select(*names, "_t").join(keyed(f, (("fct", "t"), ("fnt", "t"))).select("json_path", "_t"), "_t")
     equal = c.select(*names, F.col("cnn").alias("_t")).where("_t <> ''").join(f.select("json_path", F.col("fnn").alias("_t")), "_t")
-    cuts = lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.transform(F.sequence(F.lit(1), F.length(x) - i + 1), lambda n: F.substring(x, i, n))))
-    inside = lambda a, keep, x: a.where(F.col(x) != "").select(*keep, F.explode(F.array_distinct(cuts(F.col(x)))).alias("_t"))
-    whole = lambda a, keep, x: a.where(F.col(x) != "").select(*keep, F.col(x).alias("_t"))
-    held = inside(c, names, "ccn").join(whole(f, ["json_path"], "fcn"), "_t").unionByName(whole(c, names, "ccn").join(inside(f, ["json_path"], "fcn"), "_t"))
+    left, right = c.select(*names, F.col("ccn").alias("x")), f.select("json_path", F.col("fcn").alias("x"))
+    held = _held(right, ["json_path"], left, names).select(*names, "json_path").union(_held(left, names, right, ["json_path"]).select(*names, "json_path"))
     first = f.groupBy(mapping_type(F.col("field_type")).alias("_m"), (F.coalesce("field_type", F.lit("")) == "").alias("_e")).agg(F.min_by("json_path", "field_ordinal").alias("json_path"))
     typed = c.select(*names).join(F.broadcast(first.select("json_path")))
-    return tokens.unionByName(equal).unionByName(held).select(*names, "json_path").union(typed).distinct()
+    return tokens.unionByName(equal).select(*names, "json_path").union(held).union(typed).distinct()
 
 
 def score_pairs(columns: DataFrame, fields: DataFrame, max_fields: int = 10_000) -> DataFrame:

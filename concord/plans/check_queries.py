@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
 from ..functions.normalize import FieldRule
 from ..operators import causes, digest_tree, keys, profiles, reconcile
+from ..sources import lookup, runs
+from ..sources.shared import shared_dir
 from .fixtures import ORDER_RULES, orders, table
 from .registry import query
 
@@ -104,3 +107,24 @@ def merged_profiles(spark, sf_dir):
     rows = orders(spark, sf_dir).select("k", "status", F.when(k % 5 < 3, "std").when(k % 5 == 3, "").alias("priority"), (F.col("cust") % 3).alias("cust"), (k % 40).alias("day"))
     states = [profiles.profile_state(rows.where(w), [*_FIELDS]) for w in ("k % 7 = 0", "k % 7 in (1, 2)", "k % 7 > 2")]
     return profiles.merge_profiles(profiles.union_states(*states)).drop("top")
+
+
+# ---- lookups by key and writes that may be repeated ----------------------------------------------------
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 BETWEEN 100 AND 350 AND o_custkey % 3 <> 0) GROUP BY 1, 2")
+def rows_of_keys(spark, sf_dir):
+    """Lines of some ranges of orders; at this size the keys become ranges that the scan applies."""
+    wanted = orders(spark, sf_dir).where("k % 1000 between 100 and 350 and cust % 3 <> 0").select("k")
+    found = lookup.rows_of_keys(table(spark, sf_dir, "lineitem"), wanted, "l_orderkey", max_keys=50)
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'first' ELSE 'second' END AS run_id FROM orders WHERE o_orderkey % 3 < 2")
+def repeated_runs(spark, sf_dir):
+    """Two runs of a load, the second tried twice and at first with wrong rows; each row stands there once."""
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    rows = orders(spark, sf_dir).select("k", "status")
+    runs.commit_run(rows.where("k % 3 = 0"), path, "first")
+    runs.commit_run(rows.where("k % 3 = 1").withColumn("status", F.lit("?")), path, "second")
+    runs.commit_run(rows.where("k % 3 = 1"), path, "second")
+    return runs.read_runs(spark, path, rows.schema)

@@ -149,17 +149,17 @@ def draft_mappings(spark, sf_dir):
     return schema_match.draft_mappings(_matched(spark, sf_dir)).select("table_name", "column_name", "kind")
 
 
-_PARTS_AS_FIELDS = "f AS (SELECT '$.' || p_partkey AS json_path, p_name AS comment, p_partkey AS o FROM part WHERE p_partkey % 40 = 1), c AS (SELECT p_partkey, p_name AS comment FROM part), tok AS (SELECT *, string_split(comment, ' ') AS t FROM c), ft AS (SELECT *, string_split(comment, ' ') AS u FROM f)"
+_PARTS_AS_FIELDS = "f AS (SELECT '$.' || p_partkey AS json_path, p_name AS comment, p_partkey AS o FROM part), c AS (SELECT p_partkey, p_name AS comment FROM part), tok AS (SELECT *, string_split(comment, ' ') AS t FROM c), ft AS (SELECT *, string_split(comment, ' ') AS u FROM f)"
 
 
 @query(f"""WITH {_PARTS_AS_FIELDS}, s AS (SELECT p_partkey, json_path, o, least(1, CASE WHEN tok.comment = ft.comment THEN 0.72 WHEN contains(replace(tok.comment, ' ', ''), replace(ft.comment, ' ', '')) OR contains(replace(ft.comment, ' ', ''), replace(tok.comment, ' ', '')) THEN 0.58 ELSE 0.48 * len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) END + 0.08) AS score FROM tok, ft), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY round(score, 6) DESC, o) AS rn FROM s)
     SELECT p_partkey, json_path, round(score, 6) AS score, CASE WHEN round(score, 6) >= 0.75 THEN 'high' WHEN round(score, 6) >= 0.55 THEN 'review' ELSE 'low' END AS confidence FROM r WHERE rn = 1""")
 def match_comments(spark, sf_dir):
-    """Every part as a column, by its comment, against every 40th part as a field; both ways of making pairs give the same best ones."""
+    """Every part as a column, by its comment, against every part as a field, by postings; all pairs give the same best ones."""
     p = table(spark, sf_dir, "part")
     none = lambda t: F.lit(None).cast(t)
     columns = p.select(F.lit("part").alias("table_name"), F.concat(F.lit("column"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij")).alias("column_name"), F.lit("varchar").alias("data_type"), F.col("p_name").alias("column_comment"), F.lit("YES").alias("is_nullable"), F.col("p_partkey").alias("ordinal_position"), none("int").alias("numeric_scale"))
-    fields = p.where("p_partkey % 40 = 1").select(F.concat(F.lit("$."), F.col("p_partkey")).alias("json_path"), F.concat(F.lit("f"), F.col("p_partkey")).alias("name"), F.col("p_name").alias("comment"), F.lit("string").alias("type"), none("boolean").alias("required"), F.col("p_partkey").alias("field_ordinal"))
+    fields = p.select(F.concat(F.lit("$."), F.col("p_partkey")).alias("json_path"), F.concat(F.lit("f"), F.col("p_partkey")).alias("name"), F.col("p_name").alias("comment"), F.lit("string").alias("type"), none("boolean").alias("required"), F.col("p_partkey").alias("field_ordinal"))
     best = schema_match.best_candidates(schema_match.score_pairs(columns, fields, max_fields=4))
     return best.select(F.col("ordinal_position").alias("p_partkey"), "json_path", "score", "confidence")
 

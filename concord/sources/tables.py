@@ -26,7 +26,10 @@ class SourceSpec:
 
 
 def jdbc_options(url: str, dbtable: str, user: str, password_env: str, partition_column: str, lower: int, upper: int, partitions: int = 64) -> dict:
-    """Options for a partitioned JDBC read or write of MySQL or PostgreSQL; the password comes from the environment of the driver."""
+    """Options for a partitioned JDBC read or write of MySQL or PostgreSQL; the password comes from the environment of the driver.
+
+    ``lookup.read_by_quantiles`` finds bounds by itself, ``lookup.fetch_by_keys`` reads what keys point to, ``runs.commit_rows`` writes so that it may be repeated.
+    """
     import os
 
     driver = {"mysql": "com.mysql.cj.jdbc.Driver", "postgresql": "org.postgresql.Driver"}[url.split(":")[1]]
