@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def _ranked(df: DataFrame, key: list, order: list) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rank = 1").drop("_rank")
@@ -38,10 +40,27 @@ def latest_snapshot(df: DataFrame, key: list[str], order: list[str]) -> DataFram
     return last_by(df, key, order)
 
 
-def suffix_duplicates(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """``unique_name``: name, name_2, name_3 .. in order."""
-    at = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    return df.withColumn("_at", at).withColumn("unique_name", F.when(F.col("_at") == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), F.col("_at")))).drop("_at")
+def _ranks_by_range(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``, the rank from 1 within ``group``: rows are dealt out by range, so that one group spreads over tasks, and a row's rank is its place in its range plus what the group has in earlier ones."""
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_row", F.monotonically_increasing_id())
+    placed = written(dealt.withColumn("_range", F.shiftright("_row", 33)), "ranked")
+    parts = placed.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_g", "_r", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return placed.join(starts, placed[group].eqNullSafe(starts["_g"]) & (placed["_range"] == starts["_r"])).withColumn(name, F.col("_row") + F.col("_shift")).drop("_row", "_range", "_g", "_r", "_shift")
+
+
+def suffix_duplicates(df: DataFrame, name: str, order: list[str], most: int = 1_000_000) -> DataFrame:
+    """``unique_name``: name, name_2, name_3 .. in order. Names of more than ``most`` rows are numbered over many tasks, others each in one."""
+    hot = df.groupBy(F.col(name).alias("_hot")).count().where(F.col("count") > most).select("_hot")
+    window = F.row_number().over(Window.partitionBy(name).orderBy(*order))
+    if hot.isEmpty():
+        ranked = df.withColumn("_at", window)
+    else:
+        hot = F.broadcast(written(hot, "hot"))
+        large, small = (df.join(hot, df[name].eqNullSafe(hot["_hot"]), how) for how in ("left_semi", "left_anti"))
+        ranked = _ranks_by_range(large, name, order, "_at").unionByName(small.withColumn("_at", window))
+    return ranked.withColumn("unique_name", F.when(F.col("_at") == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), F.col("_at")))).drop("_at")
 
 
 def dedupe_statements(df: DataFrame, title: str, text: str) -> DataFrame:

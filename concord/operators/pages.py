@@ -250,9 +250,10 @@ def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:
     href = F.regexp_replace("href", "#.*$", "")
     joined = links.where("href is not null").join(base, "page_id")
     scheme = F.concat(F.regexp_extract("_root", "^([a-z]+:)", 1), href)
-    joined_path = F.concat("_dir", href)
-    for _ in range(8):  # a step up for each ../ that a browser resolves
-        joined_path = F.regexp_replace(F.regexp_replace(joined_path, r"/\./", "/"), r"([^:/])/[^/]+/\.\./", "$1/")
+    # The path without its query is walked step by step; a .. at the top has nowhere to go, as in a browser.
+    steps = F.split(F.regexp_replace(F.substring(F.concat("_dir", F.regexp_replace(href, r"\?.*$", "")), F.length("_root") + 1, F.lit(1 << 30)), "^/", ""), "/")
+    walk = F.aggregate(F.transform(steps, lambda x, i: F.struct(x.alias("x"), (i == F.size(steps) - 1).alias("last"))), F.array().cast("array<string>"), lambda at, s: F.when(s["x"].isin(".", ".."), F.concat(F.when(s["x"] == ".", at).otherwise(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))), F.when(s["last"], F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))).otherwise(F.concat(at, F.array(s["x"]))))
+    joined_path = F.concat("_root", F.lit("/"), F.array_join(walk, "/"), F.regexp_extract(href, r"\?.*$", 0))
     target = F.when(href.rlike("^[a-z]+://"), href).when(href.startswith("//"), scheme).when(href.startswith("/"), F.concat("_root", href)).otherwise(joined_path)
     known = pages.select(F.regexp_replace("url", "#.*$", "").alias("target_url"), F.col("page_id").alias("target_page")).groupBy("target_url").agg(F.min("target_page").alias("target_page"))
     return joined.select("page_id", "node_id", target.alias("target_url")).join(known, "target_url", "left").select("page_id", "node_id", "target_url", "target_page")

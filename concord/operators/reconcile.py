@@ -72,12 +72,12 @@ def _fields(df: DataFrame, keys: list[str], rules: list[FieldRule], side: str, n
 
 
 def key_names(keys: list[str]) -> list[str]:
-    """The names of key columns in joined tables, so that no name of the caller's meets one of ours."""
-    return [f"_key{i}" for i in range(len(keys))]
+    """The names of key columns in joined tables, so that no name of the caller's meets one of ours; these are reserved."""
+    return [f"_concord_key{i}" for i in range(len(keys))]
 
 
 def matched_rows(source: DataFrame, target: DataFrame, keys: list[str], rules: list[FieldRule], json_col: str | None = None) -> DataFrame:
-    """Every source row with the target of its key, and the keys that one side lacks: ``_key0``.., ``sn``, ``tn`` rows of the key on either side, fields ``s``, ``t``.
+    """Every source row with the target of its key, and the keys that one side lacks: ``_concord_key0``.., ``sn``, ``tn`` rows of the key on either side, fields ``s``, ``t``.
 
     The target is reduced to a row for each key first, so its copies multiply nothing. Null keys equal each other. Source fields
     come from columns, from ``json_col``, or are constants and computed values, as the rules say; the target's are its columns.

@@ -7,8 +7,9 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ..functions import redact
 from ..functions.normalize import FieldRule
-from ..operators import causes, digest_tree, keys, profiles, reconcile
+from ..operators import causes, datagen, digest_tree, gates, keys, locators, pages, profiles, reconcile, schema_match
 from ..sources import lookup, runs
 from ..sources.shared import shared_dir
 from .fixtures import ORDER_RULES, orders, table
@@ -128,3 +129,114 @@ def repeated_runs(spark, sf_dir):
     runs.commit_run(rows.where("k % 3 = 1").withColumn("status", F.lit("?")), path, "second")
     runs.commit_run(rows.where("k % 3 = 1"), path, "second")
     return runs.read_runs(spark, path, rows.schema)
+
+
+# ---- catalogues made of table rows: each part is a column of a table ------------------------------------
+
+_PART_NAMES = ("order_no", "sku_id", "made_at", "note", "line_no")
+
+
+def _part_catalog(spark, sf_dir):
+    p, size = table(spark, sf_dir, "part"), F.col("p_size")
+    name = F.element_at(F.array(*[F.lit(n) for n in _PART_NAMES]), (size % 5 + 1).cast("int"))
+    kind = F.when(size % 3 == 0, "varchar").when(size % 3 == 1, "double").otherwise("bigint")
+    return p.select("p_partkey", F.concat_ws("/", "p_type", "p_brand").alias("table_name"), name.alias("column_name"), kind.alias("data_type"), (size % 7 == 0).alias("is_primary"), F.when(size % 11 == 0, "CURRENT_TIMESTAMP").when(size % 13 == 0, "0").alias("column_default"), (size % 2 == 0).alias("is_nullable"), F.col("p_partkey").alias("ordinal_position"))
+
+
+_PART_CATALOG = f"c AS (SELECT p_partkey, p_type || '/' || p_brand AS table_name, {list(_PART_NAMES)!r}[p_size % 5 + 1] AS column_name, p_size AS s FROM part)"
+
+
+@query(f"WITH {_PART_CATALOG} SELECT p_partkey, 'full' AS mode FROM c WHERE s % 11 <> 0 AND s % 7 <> 0 UNION ALL SELECT p_partkey, 'minimal' FROM c WHERE (s % 11 <> 0 AND s % 7 <> 0 AND s % 2 <> 0 AND s % 13 <> 0) UNION ALL SELECT p_partkey, 'custom' FROM c WHERE column_name = 'note'")
+def insert_columns_of_rows(spark, sf_dir):
+    c = _part_catalog(spark, sf_dir)
+    pick = lambda mode, named=(): datagen.insert_columns(c, mode, list(named)).select("p_partkey", F.lit(mode).alias("mode"))
+    return pick("full").union(pick("minimal")).union(pick("custom", ["note"]))
+
+
+@query(f"WITH {_PART_CATALOG} SELECT p_partkey, CASE s % 3 WHEN 0 THEN substr('TEST_' || upper(column_name) || '_' || (p_partkey + 1), 1, 10) WHEN 1 THEN (p_partkey + 1) || '.00' ELSE CAST(p_partkey + 1 AS VARCHAR) END AS value FROM c")
+def fallback_value_of_rows(spark, sf_dir):
+    c = _part_catalog(spark, sf_dir)
+    return c.select("p_partkey", datagen.fallback_value(F.col("data_type"), F.col("column_name"), F.col("p_partkey"), F.lit(10)).alias("value"))
+
+
+def _part_mappings(spark, sf_dir):
+    """A scored mapping for each part, as ``best_candidates`` gives them."""
+    score = (F.col("p_partkey") % 100 / 100).cast("double")
+    best = _part_catalog(spark, sf_dir).withColumns({"json_path": F.concat(F.lit("$."), F.col("p_partkey") % 400), "field_type": F.lit("string"), "numeric_scale": F.when(F.col("p_partkey") % 4 == 0, 5), "required": F.col("p_partkey") % 6 == 0, "score": score})
+    return best.withColumn("is_nullable", F.when(F.col("is_nullable"), "YES").otherwise("NO")).withColumn("confidence", schema_match.confidence(F.col("score")))
+
+
+@query(f"WITH {_PART_CATALOG} SELECT '$.' || (p_partkey % 400) AS json_path, column_name, CASE s % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'decimal' ELSE 'int' END AS kind, CASE WHEN s % 3 = 1 THEN CASE WHEN p_partkey % 4 = 0 THEN 5 ELSE 2 END END AS scale, p_partkey % 6 = 0 OR s % 2 <> 0 AS required, CASE WHEN p_partkey % 100 >= 75 THEN 'high' ELSE 'review' END AS confidence FROM c WHERE p_partkey % 100 >= 55")
+def draft_mappings_of_rows(spark, sf_dir):
+    return schema_match.draft_mappings(_part_mappings(spark, sf_dir)).select("json_path", "column_name", "kind", "scale", "required", "confidence")
+
+
+@query(f"WITH {_PART_CATALOG}, r AS (SELECT table_name, column_name, list_position(['line_no', 'order_no', 'sku_id'], column_name) AS rank FROM c WHERE p_partkey % 100 >= 55) SELECT table_name, min_by(column_name, rank) AS column_name FROM r WHERE rank > 0 GROUP BY 1")
+def infer_keys_of_rows(spark, sf_dir):
+    drafted = schema_match.draft_mappings(_part_mappings(spark, sf_dir))
+    return schema_match.infer_keys(drafted, ("line_no", "order_no", "sku_id"), None).select("table_name", "column_name")
+
+
+@query("SELECT 'c' || p_partkey AS what FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT '$.' || f FROM (SELECT DISTINCT p_partkey % 500 AS f FROM part) WHERE f NOT IN (SELECT p_partkey % 400 FROM part WHERE p_partkey % 100 <> 0)")
+def unmatched_of_rows(spark, sf_dir):
+    best = _part_mappings(spark, sf_dir).withColumn("column_name", F.concat(F.lit("c"), "p_partkey"))
+    fields = table(spark, sf_dir, "part").select(F.concat(F.lit("$."), F.col("p_partkey") % 500).alias("json_path")).distinct()
+    columns, left = schema_match.unmatched(best, fields)
+    return columns.select(F.col("column_name").alias("what")).union(left.select("json_path"))
+
+
+# ---- scans and gates over rows that break them ----------------------------------------------------------
+
+@query(r"SELECT doc_id, f AS finding FROM (SELECT doc_id, unnest(['question marks', 'replacement character', 'unicode escape']) AS f, unnest([doc_id % 5 = 0 OR regexp_matches(coalesce(text, ''), '\?{4,}'), doc_id % 7 = 0 OR contains(coalesce(text, ''), chr(65533)), doc_id % 11 = 0 OR regexp_matches(coalesce(text, ''), '\\u[0-9a-fA-F]{4}')]) AS hit FROM documents) WHERE hit")
+def scan_garbled_planted(spark, sf_dir):
+    """The documents with marks of garbled text planted in some."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(k % 5 == 0, " ????? ").otherwise(" "), F.when(k % 7 == 0, "\ufffd").otherwise(" "), F.when(k % 11 == 0, r"\u4e2d").otherwise(" "))
+    return redact.scan_garbled(d.select("doc_id", text.alias("text")), "text", ["doc_id"])
+
+
+@query("""WITH r AS (SELECT p_partkey AS i, p_size AS s FROM part) SELECT CAST(i AS VARCHAR) AS interface_name, p AS problem FROM (SELECT i, unnest(['pass_without_rules', 'pass_without_accuracy', 'blocked_without_evidence', 'differences_without_sample']) AS p,
+    unnest([s % 3 = 0 AND s % 4 <> 0, s % 3 = 0 AND s % 5 <> 0, s % 3 = 1 AND s % 2 = 0, s % 7 = 0 AND s % 6 <> 0]) AS hit FROM r) WHERE hit""")
+def check_evidence_planted(spark, sf_dir):
+    """A result for each part; rules, accuracy, evidence and samples are missing by rule."""
+    p, s = table(spark, sf_dir, "part").withColumn("interface_name", F.col("p_partkey").cast("string")), F.col("p_size")
+    results = p.select("interface_name", F.when(s % 3 == 0, "PASS").when(s % 3 == 1, "BLOCKED").otherwise("FAIL").alias("status"), F.when(s % 2 == 0, " ").otherwise("log").alias("evidence"), F.when(s % 7 == 0, 3).otherwise(0).alias("n_differences"))
+    samples = p.where("p_size % 2 = 0").select("interface_name", F.when(s % 6 == 0, "seen").otherwise(" ").alias("difference_note"))
+    return gates.check_evidence(results, p.where("p_size % 4 = 0"), p.where("p_size % 5 = 0"), samples)
+
+
+@query(r"SELECT page_id, regexp_replace(url, '^([a-z]+://[^/]+).*$', '\1') || '/top/x' AS up, regexp_replace(url, '^([a-z]+://[^/]+).*$', '\1') || '/a/c?q=../b' AS down FROM pages")
+def resolve_long_links(spark, sf_dir):
+    """Twelve steps up end at the top; a query string is left as it is."""
+    p = table(spark, sf_dir, "pages")
+    links = p.select("page_id", F.posexplode(F.array(F.lit("../" * 12 + "top/./x#f"), F.lit("../" * 12 + "a/b/../c?q=../b"))).alias("node_id", "href"))
+    out = pages.resolve_links(links, p)
+    return out.groupBy("page_id").agg(F.max(F.when(F.col("node_id") == 0, F.col("target_url"))).alias("up"), F.max(F.when(F.col("node_id") == 1, F.col("target_url"))).alias("down"))
+
+
+# ---- selectors and redaction, another case in each row ---------------------------------------------------
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 3 AS plain, s_suppkey % 2 AS big, s_suppkey % 5 = 0 AS far FROM supplier)
+    SELECT k AS page_id, 'class' AS strategy, 'button.btn' AS value, plain = 1 AND big = 0 AND NOT far AS "unique", plain AS n FROM s WHERE plain > 0
+    UNION ALL SELECT k, 'class', 'button.big.btn', true, 1 FROM s WHERE big = 1 UNION ALL SELECT k, 'class', 'button.far.btn', true, 1 FROM s WHERE far
+    UNION ALL SELECT k, 'scoped', '#box button.btn', plain = 1 AND big = 0, plain FROM s WHERE plain > 0 UNION ALL SELECT k, 'scoped', '#in button.big.btn', true, 1 FROM s WHERE big = 1""")
+def locator_classes(spark, sf_dir):
+    """Buttons whose classes hold those of others, inside a container, in a nearer one, and outside."""
+    k = F.col("s_suppkey")
+    html = F.concat(F.lit("<html><body><div id='box'>"), F.repeat(F.lit("<button class='btn'>a</button>"), (k % 3).cast("int")), F.lit("<p id='in'>"), F.when(k % 2 == 1, "<button class='big btn'>b</button>").otherwise(""), F.lit("</p></div>"), F.when(k % 5 == 0, "<button class='far btn'>c</button>").otherwise(""), F.lit("</body></html>"))
+    every = locators.page_elements(pages.page_nodes(table(spark, sf_dir, "supplier").select(k.alias("page_id"), html.alias("html"))))
+    found = locators.locator_candidates(every.where("tag = 'button'"), every).where("strategy in ('class', 'scoped')")
+    return found.groupBy("page_id", "strategy", "value", "unique").agg(F.count("*").alias("n"))
+
+
+_FORMS = {"api_key": True, "apiKey": True, "pwd": True, "accessKey": True, "private-key": True, "app_secret": True, "userToken": True, "token_count": False, "credential": True, "keyboard": False, "plain": False}
+
+
+@query("SELECT event_id, " + ", ".join(f"CASE WHEN list_contains({[n for n, hidden in _FORMS.items() if hidden]!r}, {[*_FORMS]!r}[event_id % {len(_FORMS)} + 1]) THEN '<redacted>' ELSE 'v' || (100000000 + event_id) END AS in_{kind}" for kind in ("map", "json", "text")) + " FROM events")
+def redact_forms(spark, sf_dir):
+    """A key name in each row, in snake, kebab or camel case, as the key of a map, in JSON and in a text of JSON's form."""
+    e = table(spark, sf_dir, "events").withColumn("name", F.element_at(F.array(*[F.lit(n) for n in _FORMS]), (F.col("event_id") % len(_FORMS) + 1).cast("int")))
+    value = F.concat(F.lit("v"), F.lit(100000000) + F.col("event_id"))
+    doc = F.concat(F.lit('{"'), "name", F.lit('": "'), value, F.lit('"}'))
+    hidden = redact.redact_map(F.create_map("name", value))
+    return e.select("event_id", F.element_at(hidden, F.col("name")).alias("in_map"), F.regexp_extract(redact.redact_json(doc), r':"([^"]*)"', 1).alias("in_json"), F.regexp_extract(redact.redact_text(doc), r': "([^"]*)"', 1).alias("in_text"))

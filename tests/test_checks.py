@@ -5,7 +5,7 @@ import json
 import random
 
 from concord.functions.normalize import FieldRule
-from concord.operators import causes, digest_tree, ingestion, keys, locators, pages, profiles, reconcile, selectors
+from concord.operators import causes, chain, dedupe, digest_tree, ingestion, keys, locators, pages, profiles, reconcile, selectors
 
 
 def rows(df):
@@ -141,3 +141,22 @@ def test_documents_with_one_id_are_rows_of_their_own(spark):
     assert lost.where("diff_type = 'DETAIL_FETCH_ERROR'").count() == 3
     summary, diffs = ingestion.ingestion_summary(docs, header, detail, spec)
     assert tuple(summary.first()) == (6, 6, 3, 4, diffs.count())
+
+
+def test_relations_count_once(spark):
+    ids = spark.createDataFrame([(1, 10), (1, 10), (2, 20), (3, 30), (3, 31)], "old_id int, new_id int")
+    source = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", 9), ("d", 1), ("e", None), ("m", 3)], "c string, p int")
+    target = spark.createDataFrame([("a", 10), ("a", 10), ("b", 10), ("c", 1), ("e", None), ("x", 5), ("m", 30), ("m", 31)], "c string, p int")
+    assert rows(chain.check_relations(source, ids, target, "c", "p")) == [("b", "different"), ("c", "unmapped"), ("d", "missing"), ("x", "extra")]
+
+
+def test_keys_of_any_name(spark):
+    for names in (["s", "t"], ["sn", "tn"], ["_key1", "_right__key0"], ["v", "f"]):
+        df = spark.createDataFrame([(1, 2, "a"), (1, 3, "b")], f"`{names[0]}` int, `{names[1]}` int, w string")
+        out = reconcile.reconcile(df, df.withColumn("w", df.w.substr(1, 0)), names, [FieldRule("w"), FieldRule(names[0], kind="int")])
+        assert rows(out.select("business_key", "field", "expected", "actual")) == [("1|2", "w", "a", ""), ("1|3", "w", "b", "")]
+
+
+def test_names_of_many_rows_are_numbered_alike(spark):
+    df = spark.createDataFrame([(i, f"n{i % 3}" if i % 4 else None) for i in range(200)], "o int, name string")
+    assert rows(dedupe.suffix_duplicates(df, "name", ["o"])) == rows(dedupe.suffix_duplicates(df, "name", ["o"], most=40)) == rows(dedupe.suffix_duplicates(df, "name", ["o"], most=0))
