@@ -81,20 +81,20 @@ def dedupe_statements(df: DataFrame, title: str, text: str) -> DataFrame:
     return rows.join(known, ["_title", "_exact"]).select(*df.columns, "class")
 
 
-def reference_rows(df: DataFrame, cols: list[str], n: int, distinct: bool = True, most: int = 1_000_000) -> DataFrame:
+def reference_rows(df: DataFrame, cols: list[str], n: int, distinct: bool = True, most: int | None = None) -> DataFrame:
     """(row_index, cols): the first ``n`` distinct rows by value, or the distinct rows repeated in turn up to ``n``.
 
-    Too few distinct rows are an error with ``distinct``, none at all without. Reference rows are a sample: at most ``most``, which
-    bounds what is ordered and broadcast.
+    Too few distinct rows are an error with ``distinct``, none at all without, more than ``most`` (if given) wanted ones too. Rows are
+    ranked over many tasks and met by rank, so neither their number nor ``n`` has a bound.
     """
-    if n > most:
+    if most is not None and n > most:
         raise ValueError(f"{n} reference rows, at most {most}")
-    base = df.select(*cols).distinct().orderBy(*cols).limit(n)
-    m = base.count()
+    base = df.select(*cols).distinct().withColumn("_one", F.lit(0))
+    ranked = _ranks_by_range(base, "_one", cols, "_at").where(F.col("_at") <= n).select((F.col("_at") - 1).cast("long").alias("_at"), *cols)
+    m = ranked.count()
     if m < (n if distinct else min(n, 1)):
         raise ValueError(f"{m} distinct reference rows, {n} wanted")
-    ordered = base.withColumn("_at", F.row_number().over(Window.orderBy(*cols)) - 1)
     if distinct:
-        return ordered.select(F.col("_at").cast("long").alias("row_index"), *cols)
-    turns = df.sparkSession.range(n).withColumnRenamed("id", "row_index").withColumn("_at", (F.col("row_index") % max(m, 1)).cast("int"))
-    return turns.join(F.broadcast(ordered), "_at").select("row_index", *cols)
+        return ranked.select(F.col("_at").alias("row_index"), *cols)
+    turns = df.sparkSession.range(n).withColumnRenamed("id", "row_index").withColumn("_at", F.col("row_index") % max(m, 1))
+    return turns.join(ranked, "_at").select("row_index", *cols)
