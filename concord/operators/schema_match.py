@@ -62,21 +62,22 @@ def _sparse_pairs(c: DataFrame, f: DataFrame) -> DataFrame:
     return tokens.unionByName(equal).select(*names, "json_path").union(held).union(typed).distinct()
 
 
-def score_pairs(columns: DataFrame, fields: DataFrame, max_fields: int = 10_000) -> DataFrame:
+def score_pairs(columns: DataFrame, fields: DataFrame, only_best: bool = False, max_broadcast: int = 10_000) -> DataFrame:
     """Each column and field with its ``score`` in 0..1 and the ``reasons``.
 
     Comments weigh most (equal 0.72, contained 0.58, shared tokens up to 0.48), names less (0.48, 0.36), name against comment up to
-    0.22 each from half the tokens on, and types 0.08 or -0.12 (fixed values). Up to ``max_fields`` fields are broadcast and give all
-    pairs; beyond it only pairs come out that can be a column's best (``_sparse_pairs``), by joins.
+    0.22 each from half the tokens on, and types 0.08 or -0.12 (fixed values). All pairs come out, up to ``max_broadcast`` fields by
+    broadcast; with ``only_best`` just those that can be a column's best (``_sparse_pairs``), by joins over postings, which is the way
+    for large catalogues.
     """
     c = columns.select("table_name", "column_name", "data_type", F.coalesce("column_comment", F.lit("")).alias("cc"), "is_nullable", "ordinal_position", "numeric_scale")
     f = fields.select("json_path", F.col("name").alias("field_name"), F.coalesce("comment", F.lit("")).alias("fc"), F.col("type").alias("field_type"), "required", "field_ordinal")
     c = c.withColumns({"ccn": norm_text(F.col("cc")), "cnn": norm_text(F.col("column_name")), "cct": token_set(F.col("cc")), "cnt": token_set(F.col("column_name"))})
     f = f.withColumns({"fcn": norm_text(F.col("fc")), "fnn": norm_text(F.col("field_name")), "fct": token_set(F.col("fc")), "fnt": token_set(F.col("field_name"))})
-    if f.limit(max_fields + 1).count() <= max_fields:
-        pairs = c.join(F.broadcast(f))
-    else:
+    if only_best:
         pairs = _sparse_pairs(c, f).join(c, ["table_name", "column_name"]).join(f, "json_path")
+    else:
+        pairs = c.join(F.broadcast(f) if f.limit(max_broadcast + 1).count() <= max_broadcast else f)
     both_comments = (F.col("fcn") != "") & (F.col("ccn") != "")
     comment = F.when(~both_comments, 0.0).when(F.col("fcn") == F.col("ccn"), 0.72).when(F.col("ccn").contains(F.col("fcn")) | F.col("fcn").contains(F.col("ccn")), 0.58).otherwise(_jaccard(F.col("fct"), F.col("cct")) * 0.48)
     name = F.when((F.col("fnn") == "") | (F.col("cnn") == ""), 0.0).when(F.col("fnn") == F.col("cnn"), 0.48).otherwise(_jaccard(F.col("fnt"), F.col("cnt")) * 0.36)

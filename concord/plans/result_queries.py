@@ -160,7 +160,7 @@ def match_comments(spark, sf_dir):
     none = lambda t: F.lit(None).cast(t)
     columns = p.select(F.lit("part").alias("table_name"), F.concat(F.lit("column"), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij")).alias("column_name"), F.lit("varchar").alias("data_type"), F.col("p_name").alias("column_comment"), F.lit("YES").alias("is_nullable"), F.col("p_partkey").alias("ordinal_position"), none("int").alias("numeric_scale"))
     fields = p.select(F.concat(F.lit("$."), F.col("p_partkey")).alias("json_path"), F.concat(F.lit("f"), F.col("p_partkey")).alias("name"), F.col("p_name").alias("comment"), F.lit("string").alias("type"), none("boolean").alias("required"), F.col("p_partkey").alias("field_ordinal"))
-    best = schema_match.best_candidates(schema_match.score_pairs(columns, fields, max_fields=4))
+    best = schema_match.best_candidates(schema_match.score_pairs(columns, fields, only_best=True))
     return best.select(F.col("ordinal_position").alias("p_partkey"), "json_path", "score", "confidence")
 
 
