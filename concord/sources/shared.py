@@ -17,7 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or "cluster" in master:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-concord-"))
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="spark-concord-")
+    return _OWN[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
