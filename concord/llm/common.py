@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,10 +71,16 @@ def join_split(rows: DataFrame, side: DataFrame, keys: list[str], n_col: str, sh
 
 
 def pieces(batches, rows: int = 256):
-    """The batches in slices of at most ``rows`` rows, so that what Python makes of one stays small."""
+    """The batches in pieces of at most ``rows`` rows, so that what Python makes of one stays small. Pieces are copies: a batch is free as soon as its last piece is out."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        n = b.num_rows
+        for at in range(0, n, rows):
+            piece = b.take(pa.array(range(at, min(at + rows, n)), pa.int64()))
+            if at + rows >= n:
+                b = None
+            yield piece
+            piece = None
+        pa.default_memory_pool().release_unused()
 
 
 def whole_id(df: DataFrame, col: str):
