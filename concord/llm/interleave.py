@@ -81,13 +81,15 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     ranks, block = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     common = np.zeros(n, np.uint8 if depth < 256 else np.int32)
     border = np.ones(n, bool)
+    # Symbols fill the same stretches in every round.
+    filled = np.sort(before)
+    edge = filled[1:] != filled[:-1]
     for _ in range(depth):
-        ahead = before[ranks]
-        moved = np.argsort(ahead, kind="stable")
-        ahead, ranks, block = ahead[moved], steps[ranks[moved]], block[moved]
+        moved = np.argsort(before[ranks], kind="stable")
+        ranks, block = steps[ranks[moved]], block[moved]
         ranks[:m] = ended  # terminators differ from one another, in the order of the shards
         np.not_equal(block[1:], block[:-1], out=border[1:])
-        border[1:] |= ahead[1:] != ahead[:-1]
+        border[1:] |= edge
         border[:m] = True
         common += ~border
         np.cumsum(border, out=block)
