@@ -24,3 +24,8 @@ def compare(spark, tmp_path):
 def test_check_files_of_pages_that_share_a_url(compare):
     got, want = compare("check_files", pages="SELECT CAST(i AS BIGINT) AS page_id, 'http://a/' || i % 5 AS url, '<p>' || i || '</p>' AS html FROM range(1, 60) r(i)")
     assert got == want and len(got) == 3 + 4 + 3
+
+
+def test_locator_scoped_by_long_keys(compare):
+    got, want = compare("locator_scoped", supplier="SELECT CAST(i AS BIGINT) AS s_suppkey FROM range(9998, 10003) r(i)")
+    assert got == want == [(9998, "#box9998 button.main.wide", True), (9999, "#box9999 button.main.wide", False)]
