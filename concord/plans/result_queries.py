@@ -394,7 +394,17 @@ def page_links(spark, sf_dir):
     return pages.page_links(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag", "text", "attrs"), tags=("a", "button"))).select("page_id", "href")
 
 
-@query("SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
+def _decoded(text: str) -> str:
+    """The character references of the given pages as a browser reads them: these names count without their semicolon too, as where a text was cut."""
+    for name, of in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{of}', 'g')"
+    return text
+
+
+_TITLE = _decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)")
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')) AS title FROM pages")
 def page_title(spark, sf_dir):
     return pages.page_title(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag", "text"), tags=("title", "h1")))
 

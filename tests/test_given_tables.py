@@ -26,6 +26,14 @@ def test_check_files_of_pages_that_share_a_url(compare):
     assert got == want and len(got) == 3 + 4 + 3
 
 
+_CUT = "SELECT CAST(i AS BIGINT) AS page_id, '<html><head><title>' || t || '</title></head><body><p>' || t || '</p></body></html>' AS html FROM (VALUES (1, 'a &amp'), (2, 'say &quot;x&quot; &am'), (3, 'b &amp;quot; &quot'), (4, 'c &lt; d &amp;&amp;')) v(i, t)"
+
+
+def test_page_title_with_cut_references(compare):
+    got, want = compare("page_title", pages=_CUT)
+    assert got == want == [(1, "a &"), (2, 'say "x" &am'), (3, 'b &quot; "'), (4, "c < d &&")]
+
+
 def test_locator_scoped_by_long_keys(compare):
     got, want = compare("locator_scoped", supplier="SELECT CAST(i AS BIGINT) AS s_suppkey FROM range(9998, 10003) r(i)")
     assert got == want == [(9998, "#box9998 button.main.wide", True), (9999, "#box9999 button.main.wide", False)]
