@@ -428,7 +428,7 @@ def resolve_links(spark, sf_dir):
 _VISIBLE = r"""regexp_replace(regexp_replace(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs'), '</?(p|li|ul|nav|div|h1|article|footer|br)( [^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"""
 
 
-@query(rf"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace({_VISIBLE}, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM pages""")
+@query(rf"""SELECT page_id, md5(trim(regexp_replace({_decoded(_VISIBLE)}, '\s+', ' ', 'g'))) AS digest FROM pages""")
 def page_text(spark, sf_dir):
     nodes = pages.page_nodes(table(spark, sf_dir, "pages"), need=("parent_id", "text"), tags=("html",))
     return pages.page_text(nodes).select("page_id", F.md5("text").alias("digest"))

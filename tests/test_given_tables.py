@@ -34,6 +34,11 @@ def test_page_title_with_cut_references(compare):
     assert got == want == [(1, "a &"), (2, 'say "x" &am'), (3, 'b &quot; "'), (4, "c < d &&")]
 
 
+def test_page_text_with_cut_references(compare):
+    got, want = compare("page_text", pages=_CUT)
+    assert got == want and len(got) == 4
+
+
 def test_locator_scoped_by_long_keys(compare):
     got, want = compare("locator_scoped", supplier="SELECT CAST(i AS BIGINT) AS s_suppkey FROM range(9998, 10003) r(i)")
     assert got == want == [(9998, "#box9998 button.main.wide", True), (9999, "#box9999 button.main.wide", False)]
