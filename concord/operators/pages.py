@@ -113,7 +113,7 @@ def _columns(html: str | None, page_id: int, need: frozenset[str], tags: frozens
 _KINDS = {"page_id": pa.int64(), "node_id": pa.int32(), "parent_id": pa.int32(), "last_id": pa.int32(), "nth": pa.int32(), "xpath": pa.string(), "depth": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "own_text": pa.string(), "text": pa.string(), "hidden": pa.bool_()}
 
 
-def page_nodes(pages: DataFrame, need: tuple[str, ...] | None = None, tags: tuple[str, ...] | None = None) -> DataFrame:
+def page_nodes(pages: DataFrame, need: tuple[str, ...] | None = None, tags: tuple[str, ...] | None = None, dealt: bool = True) -> DataFrame:
     """One row for each element, of the given ``tags`` only if any, with the columns of NODES, besides the ids only ``need`` if given.
 
     ``node_id`` numbers elements as they start; ``last_id`` is the last one inside, so an element's descendants are the numbers
@@ -121,6 +121,9 @@ def page_nodes(pages: DataFrame, need: tuple[str, ...] | None = None, tags: tupl
 
     ``text`` is all visible text below an element: script and style dropped, blocks set apart, entities decoded, white space
     collapsed. Pages are parsed in Arrow batches; columns that nobody needs are not built.
+
+    Nodes are ``dealt`` out by page. Spark takes them to be as few as the bytes of their pages, and by that estimate would broadcast
+    what it joins; the shuffle lets it measure them, and joins within pages need no other. What only counts or filters can do without.
     """
     kinds = dict(x.split() for x in NODES.split(", "))
     names = [n for n in kinds if need is None or n in need or n in ("page_id", "node_id")]
@@ -135,7 +138,8 @@ def page_nodes(pages: DataFrame, need: tuple[str, ...] | None = None, tags: tupl
                     _columns(html, page_id, wanted, only, cols)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], _KINDS[n]) for n in names], names)
 
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    nodes = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return nodes.repartition("page_id") if dealt else nodes
 
 
 def page_text(nodes: DataFrame) -> DataFrame:

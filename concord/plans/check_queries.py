@@ -12,7 +12,7 @@ from ..functions.normalize import FieldRule
 from ..operators import causes, datagen, digest_tree, gates, keys, locators, pages, profiles, reconcile, schema_match
 from ..sources import lookup, runs
 from ..sources.shared import shared_dir
-from .fixtures import ORDER_RULES, orders, table
+from .fixtures import ORDER_RULES, orders, spread, table
 from .registry import query
 
 # ---- digest trees: few rows differ, some keys repeat on both sides alike ------------------------------
@@ -224,7 +224,7 @@ def locator_classes(spark, sf_dir):
     """Buttons whose classes hold those of others, inside a container, in a nearer one, and outside."""
     k = F.col("s_suppkey")
     html = F.concat(F.lit("<html><body><div id='box'>"), F.repeat(F.lit("<button class='btn'>a</button>"), (k % 3).cast("int")), F.lit("<p id='in'>"), F.when(k % 2 == 1, "<button class='big btn'>b</button>").otherwise(""), F.lit("</p></div>"), F.when(k % 5 == 0, "<button class='far btn'>c</button>").otherwise(""), F.lit("</body></html>"))
-    every = locators.page_elements(pages.page_nodes(table(spark, sf_dir, "supplier").select(k.alias("page_id"), html.alias("html"))))
+    every = locators.page_elements(pages.page_nodes(spread(table(spark, sf_dir, "supplier"), "s_suppkey").select(k.alias("page_id"), html.alias("html"))))
     found = locators.locator_candidates(every.where("tag = 'button'"), every).where("strategy in ('class', 'scoped')")
     return found.groupBy("page_id", "strategy", "value", "unique").agg(F.count("*").alias("n"))
 

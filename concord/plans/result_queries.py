@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import datagen, gates, locators, pages, responses, rollup, schema_match
 from ..sources import tables
-from .fixtures import table
+from .fixtures import spread, table
 from .registry import query
 
 # ---- test-data generation --------------------------------------------------------------------------
@@ -391,7 +391,7 @@ _LINK = r"""l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"
 
 @query(f"WITH {_LINK} SELECT page_id, href FROM l")
 def page_links(spark, sf_dir):
-    return pages.page_links(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag", "text", "attrs"), tags=("a", "button"))).select("page_id", "href")
+    return pages.page_links(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag", "text", "attrs"), tags=("a", "button"), dealt=False)).select("page_id", "href")
 
 
 def _decoded(text: str) -> str:
@@ -406,12 +406,12 @@ _TITLE = _decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)")
 
 @query(rf"SELECT page_id, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')) AS title FROM pages")
 def page_title(spark, sf_dir):
-    return pages.page_title(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag", "text"), tags=("title", "h1")))
+    return pages.page_title(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag", "text"), tags=("title", "h1"), dealt=False))
 
 
 @query("SELECT page_id, len(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', '<script>'), '<[a-z]')) AS n_nodes, len(regexp_extract_all(html, '<a ')) AS n_links, len(regexp_extract_all(html, '<h1')) AS n_headings, 0 AS n_tables FROM pages")
 def page_stats(spark, sf_dir):
-    return pages.page_stats(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag",))).select("page_id", "n_nodes", "n_links", "n_headings", "n_tables")
+    return pages.page_stats(pages.page_nodes(table(spark, sf_dir, "pages"), need=("tag",), dealt=False)).select("page_id", "n_nodes", "n_links", "n_headings", "n_tables")
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '') AS base_url, coalesce(nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), ''), '-') AS page FROM pages")
@@ -422,7 +422,7 @@ def page_url_parts(spark, sf_dir):
 @query(f"WITH {_LINK} SELECT l.page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || regexp_replace(href, '#.*$', '') AS target_url FROM l JOIN pages USING (page_id)")
 def resolve_links(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return pages.resolve_links(pages.page_links(pages.page_nodes(p, need=("tag", "text", "attrs"), tags=("a", "button"))), p).select("page_id", "target_url")
+    return pages.resolve_links(pages.page_links(pages.page_nodes(p, need=("tag", "text", "attrs"), tags=("a", "button"), dealt=False)), p).select("page_id", "target_url")
 
 
 _VISIBLE = r"""regexp_replace(regexp_replace(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs'), '</?(p|li|ul|nav|div|h1|article|footer|br)( [^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"""
@@ -430,7 +430,7 @@ _VISIBLE = r"""regexp_replace(regexp_replace(regexp_replace(html, '<script>.*?</
 
 @query(rf"""SELECT page_id, md5(trim(regexp_replace({_decoded(_VISIBLE)}, '\s+', ' ', 'g'))) AS digest FROM pages""")
 def page_text(spark, sf_dir):
-    nodes = pages.page_nodes(table(spark, sf_dir, "pages"), need=("parent_id", "text"), tags=("html",))
+    nodes = pages.page_nodes(table(spark, sf_dir, "pages"), need=("parent_id", "text"), tags=("html",), dealt=False)
     return pages.page_text(nodes).select("page_id", F.md5("text").alias("digest"))
 
 
@@ -476,7 +476,7 @@ def _forms(spark, sf_dir):
         F.lit("</p><p class='tip'>Mind "), name, F.lit("</p><form><label for='f1'>Full name</label><input id='f1' type='text'><input name='age' type='number'><select name='kind'><option>a</option></select></form><div class='modal'><h4>Confirm "), k,
         F.lit("</h4><input name='why'><button data-testid='ok"), k % 2, F.lit("'>OK</button><button id='el-id-12-3'>Cancel</button></div><div style='display: none'><button>Ghost</button></div></body></html>"),
     )
-    return table(spark, sf_dir, "supplier").select(k.alias("page_id"), html.alias("html"))
+    return spread(table(spark, sf_dir, "supplier"), "s_suppkey").select(k.alias("page_id"), html.alias("html"))
 
 
 def _form_nodes(spark, sf_dir):
@@ -548,7 +548,7 @@ def locator_scoped(spark, sf_dir):
     """A container whose id ends in five digits or more counts as numbered anew (``is_dynamic_id``), so it scopes nothing."""
     k = F.col("s_suppkey")
     html = F.concat(F.lit("<div id='box"), k, F.lit("'><p><button class='el-button main wide'>Go</button></p>"), F.when(k % 2 == 1, "<i><button class='wide-not'>No</button><b><button class='main wide'>Again</button></b></i>").otherwise(""), F.lit("</div>"))
-    every = locators.page_elements(pages.page_nodes(table(spark, sf_dir, "supplier").select(k.alias("page_id"), html.alias("html"))))
+    every = locators.page_elements(pages.page_nodes(spread(table(spark, sf_dir, "supplier"), "s_suppkey").select(k.alias("page_id"), html.alias("html"))))
     found = locators.locator_candidates(every.where("text = 'Go' and tag = 'button'"), every)
     return found.where("strategy = 'scoped'").select("page_id", "value", "unique")
 
@@ -557,7 +557,7 @@ def locator_scoped(spark, sf_dir):
 def interaction_warnings(spark, sf_dir):
     k = F.col("s_suppkey")
     html = F.concat(F.lit("<p><button aria-haspopup='dialog'>More</button></p>"), F.when(k % 3 != 0, "<div role='dialog'><h3>T</h3></div>").otherwise(""))
-    return pages.interaction_warnings(pages.page_nodes(table(spark, sf_dir, "supplier").select(k.alias("page_id"), html.alias("html"))))
+    return pages.interaction_warnings(pages.page_nodes(spread(table(spark, sf_dir, "supplier"), "s_suppkey").select(k.alias("page_id"), html.alias("html"))))
 
 
 @query("SELECT s_suppkey AS page_id, 1 AS n_requirements, 1 AS n_notes, 1 AS n_interactions, 3 AS n_buttons FROM supplier")
