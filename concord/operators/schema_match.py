@@ -46,20 +46,46 @@ def _held(short: DataFrame, short_keys: list[str], long: DataFrame, long_keys: l
     return best.join(posted, "gram").where(F.contains("whole", "x")).select(*short_keys, *long_keys)
 
 
+def _comment_score(fcn: Column, ccn: Column, fct: Column, cct: Column) -> Column:
+    return F.when((fcn == "") | (ccn == ""), 0.0).when(fcn == ccn, 0.72).when(ccn.contains(fcn) | fcn.contains(ccn), 0.58).otherwise(_jaccard(fct, cct) * 0.48)
+
+
+def _type_score(field_type: Column, data_type: Column) -> Column:
+    both = (F.coalesce(field_type, F.lit("")) != "") & (F.coalesce(data_type, F.lit("")) != "")
+    return F.when(type_compatible(field_type, data_type), 0.08).when(both, -0.12).otherwise(0.0)
+
+
+def _score(parts: Column) -> Column:
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts)), 6)
+
+
 def _sparse_pairs(c: DataFrame, f: DataFrame) -> DataFrame:
-    """Pairs of ``c`` and ``f`` that share a token, a name or a comment, or of which one comment holds the other, and each column with the first field of each type.
+    """Pairs of ``c`` and ``f`` that can be a column's best: those in which a name counts, and for each column the best of the others.
 
-    Any other pair has its score from the types alone, so a column's best field is among these.
+    Where no name counts, a score follows from both comments and types alone. So columns of one comment and type have one best class
+    of fields of one comment and type, and of that the first field in the interface. Classes are met by shared tokens, equal comments
+    or one comment inside the other; any other class scores by its type only, for which the first field of each type stands.
     """
     names = ["table_name", "column_name"]
     keyed = lambda df, x: df.withColumn("_t", F.explode(F.array_distinct(F.concat(*[F.transform(F.col(t), lambda v, n=n: F.concat(F.lit(n), v)) for t, n in x]))))
-    tokens = keyed(c, (("cct", "t"), ("cnt", "t"))).select(*names, "_t").join(keyed(f, (("fct", "t"), ("fnt", "t"))).select("json_path", "_t"), "_t")
-    equal = c.select(*names, F.col("cnn").alias("_t")).where("_t <> ''").join(f.select("json_path", F.col("fnn").alias("_t")), "_t")
-    left, right = c.select(*names, F.col("ccn").alias("x")), f.select("json_path", F.col("fcn").alias("x"))
-    held = _held(right, ["json_path"], left, names).select(*names, "json_path").union(_held(left, names, right, ["json_path"]).select(*names, "json_path"))
-    first = f.groupBy(mapping_type(F.col("field_type")).alias("_m"), (F.coalesce("field_type", F.lit("")) == "").alias("_e")).agg(F.min_by("json_path", "field_ordinal").alias("json_path"))
-    typed = c.select(*names).join(F.broadcast(first.select("json_path")))
-    return tokens.unionByName(equal).select(*names, "json_path").union(held).union(typed).distinct()
+    met = lambda left, right: left.select(*names, "_t").join(right.select("json_path", "_t"), "_t").select(*names, "json_path")
+    named = met(keyed(c, (("cct", "c"), ("cnt", "c"))), keyed(f, (("fnt", "c"),))).union(met(keyed(c, (("cnt", "c"),)), keyed(f, (("fct", "c"),))))
+    equal = met(c.select(*names, F.col("cnn").alias("_t")).where("_t <> ''"), f.select("json_path", F.col("fnn").alias("_t")))
+    place = F.struct("field_ordinal", "json_path")
+    cc = c.groupBy("ccn", "cct", "data_type").agg(F.min(F.struct(*names)).alias("_c"))
+    fc = f.groupBy("fcn", "fct", "field_type").agg(F.min(place).alias("place")).withColumn("_f", F.col("place.json_path"))
+    shared = keyed(cc, (("cct", "t"),)).select("_c", "_t").join(keyed(fc, (("fct", "t"),)).select("_f", "_t"), "_t").select("_c", "_f")
+    same = cc.select("_c", F.col("ccn").alias("_t")).where("_t <> ''").join(fc.select("_f", F.col("fcn").alias("_t")), "_t").select("_c", "_f")
+    left, right = cc.select("_c", F.col("ccn").alias("x")), fc.select("_f", F.col("fcn").alias("x"))
+    held = _held(right, ["_f"], left, ["_c"]).select("_c", "_f").union(_held(left, ["_c"], right, ["_f"]).select("_c", "_f"))
+    first = fc.groupBy(mapping_type(F.col("field_type")).alias("_m"), (F.coalesce("field_type", F.lit("")) == "").alias("_e")).agg(F.min("place").alias("place"))
+    typed = cc.select("_c").join(F.broadcast(first.select(F.col("place.json_path").alias("_f"))))
+    pairs = shared.union(same).union(held).union(typed).distinct().join(cc, "_c").join(fc, "_f")
+    score = _score(_comment_score(F.col("fcn"), F.col("ccn"), F.col("fct"), F.col("cct")) + _type_score(F.col("field_type"), F.col("data_type")))
+    best = pairs.groupBy("ccn", "cct", "data_type").agg(F.min_by("_f", F.struct(-score, "place")).alias("json_path"))
+    keys = lambda df, x: df.select("*", F.struct(F.col("ccn"), F.col("cct"), F.col("data_type")).alias(x))
+    classed = keys(c, "_k").select(*names, "_k").join(keys(best, "_b").select("_b", "json_path"), F.col("_k").eqNullSafe(F.col("_b"))).select(*names, "json_path")
+    return named.union(equal).union(classed).distinct()
 
 
 def score_pairs(columns: DataFrame, fields: DataFrame, only_best: bool = False, max_broadcast: int = 10_000) -> DataFrame:
@@ -78,17 +104,16 @@ def score_pairs(columns: DataFrame, fields: DataFrame, only_best: bool = False,
         pairs = _sparse_pairs(c, f).join(c, ["table_name", "column_name"]).join(f, "json_path")
     else:
         pairs = c.join(F.broadcast(f) if f.limit(max_broadcast + 1).count() <= max_broadcast else f)
-    both_comments = (F.col("fcn") != "") & (F.col("ccn") != "")
-    comment = F.when(~both_comments, 0.0).when(F.col("fcn") == F.col("ccn"), 0.72).when(F.col("ccn").contains(F.col("fcn")) | F.col("fcn").contains(F.col("ccn")), 0.58).otherwise(_jaccard(F.col("fct"), F.col("cct")) * 0.48)
+    comment = _comment_score(F.col("fcn"), F.col("ccn"), F.col("fct"), F.col("cct"))
     name = F.when((F.col("fnn") == "") | (F.col("cnn") == ""), 0.0).when(F.col("fnn") == F.col("cnn"), 0.48).otherwise(_jaccard(F.col("fnt"), F.col("cnt")) * 0.36)
     cross = lambda a, b, when: F.when(when & (_jaccard(a, b) >= 0.5), _jaccard(a, b) * 0.22).otherwise(0.0)
     name_comment = cross(F.col("fnt"), F.col("cct"), F.col("ccn") != "")
     comment_name = cross(F.col("fct"), F.col("cnt"), F.col("fcn") != "")
-    kind = F.when(type_compatible(F.col("field_type"), F.col("data_type")), 0.08).when((F.coalesce("field_type", F.lit("")) != "") & (F.coalesce("data_type", F.lit("")) != ""), -0.12).otherwise(0.0)
+    kind = _type_score(F.col("field_type"), F.col("data_type"))
     scored = pairs.withColumns({"s_comment": comment, "s_name": name, "s_cross": name_comment + comment_name, "s_type": kind})
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s_comment") + F.col("s_name") + F.col("s_cross") + F.col("s_type")))
+    score = _score(F.col("s_comment") + F.col("s_name") + F.col("s_cross") + F.col("s_type"))
     reasons = F.filter(F.array(F.when(F.col("s_comment") > 0, F.lit("comment")), F.when(F.col("s_name") > 0, F.lit("name")), F.when(F.col("s_cross") > 0, F.lit("name_comment")), F.when(F.col("s_type") > 0, F.lit("type"))), lambda x: x.isNotNull())
-    return scored.select("table_name", "column_name", "data_type", "is_nullable", "ordinal_position", "numeric_scale", "json_path", "field_name", "field_type", "required", "field_ordinal", F.round(score, 6).alias("score"), reasons.alias("reasons"))
+    return scored.select("table_name", "column_name", "data_type", "is_nullable", "ordinal_position", "numeric_scale", "json_path", "field_name", "field_type", "required", "field_ordinal", score.alias("score"), reasons.alias("reasons"))
 
 
 def confidence(score: Column) -> Column:
@@ -97,7 +122,7 @@ def confidence(score: Column) -> Column:
 
 def best_candidates(pairs: DataFrame) -> DataFrame:
     """The best field of each column, the first in the interface on ties, with ``confidence`` and a flag where the field wins several columns."""
-    rank = Window.partitionBy("table_name", "column_name").orderBy(F.desc("score"), "field_ordinal")
+    rank = Window.partitionBy("table_name", "column_name").orderBy(F.desc("score"), "field_ordinal", "json_path")
     best = pairs.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank").withColumn("confidence", confidence(F.col("score")))
     shared = best.where("score > 0").groupBy("json_path").agg((F.count("*") > 1).alias("conflict"))
     return best.join(shared, "json_path", "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))

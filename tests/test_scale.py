@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from concord.operators import pages
+from concord.operators import pages, schema_match
 from concord.plans import result_queries
 
 
@@ -21,3 +21,26 @@ def test_nodes_are_measured_before_they_are_joined(spark):
 
 def test_pages_of_a_small_table_are_parsed_in_many_tasks(spark, sf):
     assert result_queries._forms(spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def _catalogues(spark, n: int):
+    words, names = ("red", "ring", "big", "order"), ("order no", "colour", "ring size", "zz")
+    word = lambda c, k: F.get(F.array(*[F.lit(w) for w in words]), (c / k % 4).cast("int"))
+    i = F.col("id")
+    text = F.when(i % 7 != 0, F.concat_ws(" ", word(i, 1), word(i, 3)))
+    name = lambda p: F.concat(F.get(F.array(*[F.lit(x) for x in names]), (i / 5 % 4).cast("int")), F.lit(f" {p}"), F.translate(i.cast("string"), "0123456789", "abcdefghij"))
+    columns = spark.range(n).select(F.lit("t").alias("table_name"), name("c").alias("column_name"), F.when(i % 2 == 0, "varchar").otherwise("int").alias("data_type"), text.alias("column_comment"), F.lit("YES").alias("is_nullable"), i.alias("ordinal_position"), F.lit(None).cast("int").alias("numeric_scale"))
+    fields = spark.range(1, n).select(F.concat(F.lit("$."), i).alias("json_path"), name("f").alias("name"), text.alias("comment"), F.when(i % 3 == 0, "string").when(i % 3 == 1, "int").alias("type"), F.lit(None).cast("boolean").alias("required"), (n - i).alias("field_ordinal"))
+    return columns, fields
+
+
+def test_best_fields_by_classes_of_comments_equal_all_pairs(spark):
+    columns, fields = _catalogues(spark, 90)
+    best = lambda only: sorted((r.column_name, r.json_path, r.score) for r in schema_match.best_candidates(schema_match.score_pairs(columns, fields, only_best=only)).collect())
+    assert best(True) == best(False)
+
+
+def test_columns_of_one_comment_do_not_meet_all_fields_of_it(spark):
+    columns, fields = _catalogues(spark, 300)
+    columns, fields = columns.withColumn("column_name", F.concat(F.lit("c"), F.translate(F.col("ordinal_position").cast("string"), "0123456789", "abcdefghij"))), fields.withColumn("name", F.concat(F.lit("f"), F.translate("name", " ", "")))
+    assert schema_match.score_pairs(columns, fields, only_best=True).count() <= 2 * 300
