@@ -95,7 +95,7 @@ _LETTERS = "CASE p_partkey % 3 WHEN 0 THEN 's' WHEN 1 THEN 'i' ELSE 'd' END"
 
 def _part_columns(spark, sf_dir):
     """A catalogue with a column for each part: types, names, lengths and flags follow from its rows."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part"), "p_partkey")
     pick = lambda of, i: F.get(F.array(*[F.lit(x) for x in of]), i)
     return p.select(F.concat_ws("/", "p_type", "p_brand", "p_partkey").alias("table_name"), pick(_NAMES, F.col("p_size") % 14).alias("column_name"), pick(_TYPES, (F.col("p_partkey") % 3).cast("int")).alias("data_type"), F.when(F.col("p_size") % 2 == 0, "YES").otherwise("NO").alias("is_nullable"), F.when(F.col("p_size") % 14 == 13, F.col("p_name")).alias("column_comment"), (F.col("p_size") % 5 == 0).alias("is_unique"), F.col("p_size").alias("ordinal_position"), F.lit(None).cast("int").alias("numeric_scale"))
 
