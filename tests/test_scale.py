@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from concord.operators import pages, schema_match
-from concord.plans import result_queries
+from concord.plans import data_queries, result_queries
 
 
 def test_nodes_are_measured_before_they_are_joined(spark):
@@ -44,3 +44,9 @@ def test_columns_of_one_comment_do_not_meet_all_fields_of_it(spark):
     columns, fields = _catalogues(spark, 300)
     columns, fields = columns.withColumn("column_name", F.concat(F.lit("c"), F.translate(F.col("ordinal_position").cast("string"), "0123456789", "abcdefghij"))), fields.withColumn("name", F.concat(F.lit("f"), F.translate("name", " ", "")))
     assert schema_match.score_pairs(columns, fields, only_best=True).count() <= 2 * 300
+
+
+def test_rows_of_much_work_are_dealt_over_many_tasks(spark, sf):
+    n = 4 * spark.sparkContext.defaultParallelism
+    assert result_queries._part_columns(spark, sf).rdd.getNumPartitions() == n
+    assert data_queries.redact_keys(spark, sf).rdd.getNumPartitions() == n
