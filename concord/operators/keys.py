@@ -3,27 +3,41 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import prod
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Relative deviation of the sketches that count distinct values, and the share of all rows under which an estimate rules a key out:
-#: some ten deviations, so what is ruled out has repeated rows for all practical purposes. What is not is counted exactly.
-DEVIATION = 0.01
+#: Values of a key that are looked at, up to twice as many; the share of them under which a combination is no key, some 18 deviations;
+#: and how many of them may repeat without ruling it out, as equal hashes of different values might. What is left is counted exactly.
+SAMPLE = 1 << 15
 DOUBT = 0.9
-#: Combinations that are estimated in one pass.
-BATCH = 64
+CHANCE = 8
 
 
-def _estimates(df: DataFrame, combos: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-    """The number of different values of each combination, by sketches, so many combinations in one pass over the rows."""
-    out = {}
-    for at in range(0, len(combos), BATCH):
-        some = combos[at : at + BATCH]
-        row = df.agg(*[F.approx_count_distinct(F.xxhash64(*[F.struct(F.col(f"`{c}`")) for c in combo], *[F.col(f"`{c}`").isNull() for c in combo]), DEVIATION).alias(f"d{i}") for i, combo in enumerate(some)]).first()
-        out |= {combo: row[i] for i, combo in enumerate(some)}
-    return out
+def _ruled_out(df: DataFrame, combos: list[tuple[str, ...]], n: int) -> set[tuple[str, ...]]:
+    """Which combinations are no keys by the values whose hash ends in zeros, each with all its rows: those of a key are one row each, and their share of the rows is known."""
+    bits = max(0, (n // SAMPLE).bit_length() - 1)
+    names = list(dict.fromkeys(c for combo in combos for c in combo))
+    hashed = df.select(*[F.xxhash64(F.col(f"`{c}`"), F.col(f"`{c}`").isNull()).alias(f"h{i}") for i, c in enumerate(names)])
+    at = [[names.index(c) for c in combo] for combo in combos]
+
+    def run(batches):
+        for b in batches:
+            own = [c.to_numpy().view(np.uint64) for c in b.columns]
+            for i, places in enumerate(at):
+                h = own[places[0]]
+                for p in places[1:]:
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + own[p]
+                    h ^= h >> np.uint64(32)
+                h = h[h & np.uint64((1 << bits) - 1) == 0].view(np.int64)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int32)), pa.array(h)], ["i", "h"])
+
+    seen = hashed.mapInArrow(run, "i int, h long").groupBy("i", "h").agg(F.count("*").alias("c"))
+    found = seen.groupBy("i").agg(F.count("*").alias("d"), F.count_if(F.col("c") > 1).alias("r"))
+    return {*combos} - {combos[x.i] for x in found.collect() if x.d << bits >= DOUBT * n and x.r <= CHANCE}
 
 
 def _repeats(df: DataFrame, combo: tuple[str, ...]) -> bool:
@@ -35,9 +49,8 @@ def find_keys(df: DataFrame, columns: list[str] | None = None, max_size: int = 3
     """(key, n_columns): every minimal key of up to ``max_size`` of the ``columns`` (by default all), its columns in the table's order, comma-joined.
 
     The search goes up by size. What holds a key is no minimal key; what lies in a combination that repeats is no key at all: if
-    all columns but one repeat, that one is in every key. Combinations whose columns have too few values between them, or of which a
-    sketch counts too few, drop out without a shuffle; the few left are counted exactly. An empty table has the empty key only, and
-    gives no rows.
+    all columns but one repeat, that one is in every key. Combinations of which a sample of values repeats drop out without a
+    shuffle of the rows; the few left are counted exactly. An empty table has the empty key only, and gives no rows.
     """
     columns = [c for c in df.columns if columns is None or c in columns]
     spark, n = df.sparkSession, df.count()
@@ -45,13 +58,11 @@ def find_keys(df: DataFrame, columns: list[str] | None = None, max_size: int = 3
     if n and columns:
         whole = tuple(columns)
         without = {c: tuple(x for x in columns if x != c) for c in columns}
-        single = [(c,) for c in columns]
-        seen = _estimates(df, [*single, *[w for w in without.values() if w], whole])
-        values = {c: seen[(c,)] for c in columns}
-        needed = {c for c, w in without.items() if not w or seen[w] < DOUBT * n}
-        if seen[whole] >= DOUBT * n and not _repeats(df, whole):
+        out = _ruled_out(df, [whole, *[w for w in without.values() if w]], n)
+        needed = {c for c, w in without.items() if (not w and n > 1) or w in out}
+        if whole not in out and not _repeats(df, whole):
             for size in range(1, min(max_size, len(columns)) + 1):
-                open_ = [c for c in combinations(columns, size) if needed <= {*c} and not any({*k} <= {*c} for k in keys) and prod(min(n, int(values[x] * (1 + 10 * DEVIATION)) + 1) for x in c) >= n]
-                counted = _estimates(df, [c for c in open_ if c not in seen]) | {c: seen[c] for c in open_ if c in seen}
-                keys += [c for c in open_ if counted[c] >= DOUBT * n and not _repeats(df, c)]
+                open_ = [c for c in combinations(columns, size) if needed <= {*c} and not any({*k} <= {*c} for k in keys)]
+                out = _ruled_out(df, open_, n)
+                keys += [c for c in open_ if c not in out and not _repeats(df, c)]
     return spark.createDataFrame([(",".join(k), len(k)) for k in keys], "key string, n_columns int")

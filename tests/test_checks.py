@@ -54,6 +54,14 @@ def test_find_keys_equals_all_combinations(spark):
     assert [r.key for r in keys.find_keys(df.select("a").distinct()).collect()] == ["a"]
 
 
+def test_find_keys_by_samples_of_values(spark, monkeypatch):
+    """No sketch decides, and few of the values are looked at: keys, near keys and columns of few values."""
+    monkeypatch.setattr(keys.F, "approx_count_distinct", lambda *_: keys.F.lit(1))
+    monkeypatch.setattr(keys, "SAMPLE", 1 << 11, raising=False)
+    df = spark.range(20_000).selectExpr("id DIV 50 AS a", "id % 50 AS b", "IF(id = 7, 8, id) AS c", "id % 3 AS d", "IF(id = 0, NULL, id) AS e", "1 AS f")
+    assert sorted(r.key for r in keys.find_keys(df).collect()) == ["a,b", "b,c", "c,d", "e"]
+
+
 def test_causes_of_many_differences(spark):
     cells = [("s", "A", "1") for _ in range(30)] + [("s", "B", "B") for _ in range(30)] + [("s", "B", "2")] + [("p", str(i), str(i * 1000)) for i in range(1, 41)] + [("p", "5", "6") for _ in range(9)]
     cells += [("t", f"2024-03-01 10:{i:02}:00", f"2024-03-01 04:{i + 30:02}:00") for i in range(20)] + [("u", f"2024-03-01 10:{i:02}:00", f"2024-03-01 10:{i:02}:07") for i in range(20)] + [("q", str(i), f"z{i * i}") for i in range(30)] + [("w", None, None)] * 20
