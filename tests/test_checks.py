@@ -151,6 +151,16 @@ def test_documents_with_one_id_are_rows_of_their_own(spark):
     assert tuple(summary.first()) == (6, 6, 3, 4, diffs.count())
 
 
+def test_equal_documents_that_refer_to_different_details(spark):
+    """Each document meets the details that it refers to; whole documents and lines are dealt out once."""
+    doc = json.dumps({"no": "A", "d": [{"s": "x"}]})
+    docs = spark.createDataFrame([(1, doc, "7"), (1, doc, "9"), (1, doc, None)], "id int, doc string, ref string")
+    header, detail = spark.createDataFrame([("A", 70)], "no string, hid int"), spark.createDataFrame([(7, "x")], "fk int, s string")
+    spec = ingestion.DocumentSpec("id", "doc", (FieldRule("no", json_path="$.no"),), (), "hid", "$.d", False, "fk", (FieldRule("s", json_path="$.s"),), detail_source_fk="ref")
+    diffs = ingestion.verify_ingestion(docs, header, detail, spec).where("scope = 'detail' and diff_type <> 'ORPHAN_DETAIL'")
+    assert sorted(r.diff_type for r in diffs.collect()) == ["DETAIL_COUNT_MISMATCH"] * 2 + ["DETAIL_TARGET_MISSING"] * 2
+
+
 def test_relations_count_once(spark):
     ids = spark.createDataFrame([(1, 10), (1, 10), (2, 20), (3, 30), (3, 31)], "old_id int, new_id int")
     source = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c", 9), ("d", 1), ("e", None), ("m", 3)], "c string, p int")
