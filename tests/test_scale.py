@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from concord.operators import pages, schema_match
+from concord.operators import pages, reconcile, schema_match
 from concord.plans import data_queries, result_queries
 
 
@@ -50,3 +50,13 @@ def test_rows_of_much_work_are_dealt_over_many_tasks(spark, sf):
     n = 4 * spark.sparkContext.defaultParallelism
     assert result_queries._part_columns(spark, sf).rdd.getNumPartitions() == n
     assert data_queries.redact_keys(spark, sf).rdd.getNumPartitions() == n
+
+
+def test_candidate_keys_are_counted_without_copies_of_the_rows(spark):
+    df = spark.range(60).selectExpr("id % 7 AS a", "IF(id % 5 = 0, NULL, id % 5) AS b", "id % 3 AS c", "id")
+    candidates = [["a"], ["a", "b"], ["c"], ["c", "b", "a"], ["id"]]
+    found = reconcile.key_uniqueness(df, candidates)
+    table = df.collect()
+    assert {r.candidate: (r.n_rows, r.n_distinct, r.is_unique) for r in found.collect()} == {",".join(c): (60, n, n == 60) for c in candidates for n in [len({tuple(r[x] for x in c) for r in table})]}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.n_rows, r.n_distinct) for r in reconcile.key_uniqueness(df.limit(0), candidates).collect()} == {(0, 0)}
