@@ -228,3 +228,14 @@ def test_grouped_differences_pass_through(spark):
     assert {tuple(r) for r in reconcile.group_differences(df, ["field"], ["k"], 1).collect()} == {("f", 2, "a=>b"), ("g", 7, "x=>y")}
     totals = spark.createDataFrame([("duplicate", 4), ("field", 9)], "grp string, n long")
     assert {tuple(r) for r in reconcile.difference_summary(spark.createDataFrame([("ORDER_FIELD_MISMATCH",)], "diff_type string"), totals).collect()} == {("source_only", 0), ("target_only", 0), ("duplicate", 4), ("field", 1)}
+
+
+def test_reconcile_aggregates_keys_alone(spark):
+    a = spark.createDataFrame([(1, "N", "1.00", "H"), (None, "N", "2.00", "H"), (2, "N", "3.00", "H"), (2, "N", "3.00", "L")], "k long, status string, price string, priority string")
+    b = spark.createDataFrame([(1, "n", "1.00", "H"), (None, "N", "2.01", "H"), (2, "N", "3.00", "H"), (3, "N", "1.00", "H"), (3, "N", "1.00", "H")], a.schema)
+    out = reconcile.reconcile(a, b, ["k"], ORDER_RULES)
+    assert "SortAggregate" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.diff_type, r.business_key, r.field or "", r.n or 0) for r in out.collect()) == [
+        ("ORDER_FIELD_MISMATCH", "1", "status", 0), ("ORDER_FIELD_MISMATCH", "2", "priority", 0), ("ORDER_FIELD_MISMATCH", "<NULL>", "price", 0),
+        ("ORDER_TARGET_EXTRA", "3", "", 2), ("SOURCE_BUSINESS_KEY_DUPLICATE", "2", "", 1),
+    ]
