@@ -47,11 +47,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete the folders of tables from ``materialise`` that nothing reads any more."""
-    for df in tables:
-        if path := getattr(df, "__dict__", {}).get("_shared_path"):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete the folders of tables from ``materialise`` that nothing reads any more.
+
+    The driver's JVM is asked to collect what they leave: Spark drops the shuffles and broadcasts that made them only then, and
+    the heap of a long chain of jobs shrinks again instead of staying as large as it ever was.
+    """
+    gone = [(df, path) for df in tables if (path := getattr(df, "__dict__", {}).get("_shared_path"))]
+    for df, path in gone:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if gone:
+        gone[0][0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -179,14 +179,14 @@ def matches(texts: DataFrame, items: DataFrame, k: int, least: float, consistent
     sent = F.broadcast if small else lambda x: x
     short = [r.m for r in own.select(F.size("slots").alias("m")).where(F.col("m") < k).distinct().collect()]
     hits = materialise(document_windows(texts, k, wanted, short), "hits")
-    proposed = hits.select("key", "h").distinct().join(sent(proposing(own, least)), "h").select("key", "item_id").distinct()
+    proposed = materialise(hits.select("key", "h").distinct().join(sent(proposing(own, least)), "h").select("key", "item_id").distinct(), "proposed")
     both = proposed.join(sent(own), "item_id")
     pairs = F.filter(F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")), lambda x: x["a"] != 0)
     by = ["key", "item_id"]
     once = hits.join(proposed.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "at", "h"])
     met = once.join(both, ["key", "h"]).select(*by, "place", "n_windows", (F.col("at") - F.col("place")).alias("shift"), pairs.alias("pairs"))
     met = materialise(met.dropDuplicates([*by, "place", "shift"]), "met")
-    release(hits)
+    release(hits, proposed)
     last = Window.partitionBy(*by).orderBy("shift")
     apart = F.coalesce(F.col("shift") - F.lag("shift").over(last) > F.col("n_windows") / 2 + 1, F.lit(False))
     runs = met.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(last))

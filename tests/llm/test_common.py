@@ -1,6 +1,6 @@
 import pytest
 
-from concord.llm import common, lines, similar_texts
+from concord.llm import common, components, lines, similar_texts
 
 
 def test_settings_stay_as_they_were(spark):
@@ -29,3 +29,10 @@ def test_ids_that_are_no_whole_numbers_are_refused(spark):
     for call in (lines.drop_frequent_lines, similar_texts.keep_one):
         with pytest.raises(TypeError, match="whole numbers"):
             call(df)
+
+
+def test_rounds_of_components_read_the_edges_twice_at_most(spark):
+    edges = common.materialise(spark.createDataFrame([(b, a) for a, b in zip(range(9), range(1, 10))], "u long, v long"), "edges")
+    for half in (components._large_star, components._small_star):
+        assert half(edges)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2
+    assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in range(1, 10)} | {(0, 0)}
