@@ -1,4 +1,5 @@
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -134,6 +135,20 @@ def test_context_moves_words_inside_their_class():
     assert model.token_logs(codes, starts)[1].mean() > before + 0.3 and np.mean(gain) > 0.5
 
 
+def test_broadcast_arrays_are_added_to_on_numpys_fast_path():
+    rng, c, vocab, model = toy(4)
+    sent, weights = pickle.loads(pickle.dumps((vocab, model.weights)))
+    got = lm.Model(sent, 64, weights.copy())
+    codes, starts = rng.integers(0, len(c) + lm.HEAD, 3000).astype(np.int32), np.arange(0, 3000, 30)
+    outcome, one, two = got.contexts(codes, starts)
+    inside = np.flatnonzero(outcome > lm.REST)
+    kinds = [z.dtype for _, _, _, z, _ in got.climb(sent.leaf.take(codes[inside] - lm.HEAD), one[inside], two[inside])]
+    assert kinds and all(k is np.dtype(np.float32) for k in [*kinds, got.slots.dtype, got.top.dtype])
+    for m in (model, got):
+        lm.Trainer(m, 0.1).step(codes, starts)
+    assert (model.weights == got.weights).all() and (got.weights != weights).any()
+
+
 def test_moves_are_averaged_over_the_tasks_that_made_them():
     moves = [np.array([1, 0, 2], np.float16), np.array([3, 0, 0], np.float16)]
     t = pa.table({"chunk": pa.array([0, 0], pa.int32()), "part": pa.array([16, 17], pa.int32()), "total": pa.array([m.tobytes() for m in moves], pa.binary()), "moved": pa.nulls(2, pa.binary())})
