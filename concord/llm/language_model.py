@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,19 +63,29 @@ class Vocabulary:
 def word_counts(docs: DataFrame, parts: int, held: int, flush: int = 800_000) -> DataFrame:
     """(w, c): how often each word and the end stand in the training documents. Tasks count first, so frequent words are few rows."""
 
-    def table(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["w", "c"])
+    def of_piece(b: pa.RecordBatch) -> pa.Table:
+        text = b.column(0)
+        large = pa.types.is_large_binary(text.type) or pa.types.is_large_string(text.type)
+        # Views: the functions go by bytes, and a cast would refuse texts that are no UTF-8.
+        found = pc.ascii_split_whitespace(pc.ascii_lower(text.view(pa.large_string() if large else pa.string()))).flatten().value_counts()
+        words = pa.table({"w": found.field(0).cast(pa.binary()), "c": found.field(1)})
+        # White space at the ends of a text leaves empty words there.
+        return pa.concat_tables([words.filter(pc.not_equal(words["w"], b"")), pa.table({"w": pa.array([END], pa.binary()), "c": pa.array([b.num_rows], pa.int64())})])
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("w", use_threads=False).aggregate([("c", "sum")]).select(["w", "c_sum"]).rename_columns(["w", "c"])
 
     def run(batches):
-        counts: Counter = Counter()
+        tables, new = [], 0
         for b in pieces(batches):
-            for t in b.column(0).to_pylist():
-                counts.update(words_of(t))
-                counts[END] += 1
-                if len(counts) > flush:
-                    yield table(counts)
-                    counts = Counter()
-        yield table(counts)
+            tables.append(of_piece(b))
+            new += tables[-1].num_rows
+            if new > flush:
+                tables, new = [added(tables)], 0
+                if tables[0].num_rows > flush:
+                    yield from tables.pop().combine_chunks().to_batches()
+        if tables:
+            yield from added(tables).combine_chunks().to_batches()
 
     rows = docs.where(crc_mod("doc_id", parts) != held).select("text")
     return rows.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))

@@ -135,6 +135,18 @@ def test_context_moves_words_inside_their_class():
     assert model.token_logs(codes, starts)[1].mean() > before + 0.3 and np.mean(gain) > 0.5
 
 
+def test_word_counts_equal_split_words_whatever_the_bytes_and_the_flush(spark):
+    odd = [bytes([c]) + b" A" + bytes([c]) + b"b\xc3\x89 " + bytes([c]) * 2 for c in range(256)]
+    texts = [None, b"", b" ", b"\t\n a \x0b\x0c\r", b"\xff \xfe\xff", b"w " * 70_000, *odd, *(b"own%d all" % i for i in range(700))]
+    want = Counter(w for t in texts for w in [*lm.words_of(t), lm.END])
+    rows = spark.createDataFrame([(i, None if t is None else bytearray(t)) for i, t in enumerate(texts)], "doc_id long, text binary").coalesce(2)
+    for flush in (1, 300, 800_000):
+        assert {bytes(r.w): r.c for r in lm.word_counts(rows, 1, 2, flush).collect()} == want
+    strings = spark.createDataFrame([(1, "É x"), (2, None)], "doc_id long, text string")
+    assert {bytes(r.w): r.c for r in lm.word_counts(strings, 1, 2).collect()} == {"É".encode(): 1, b"x": 1, lm.END: 2}
+    assert lm.word_counts(rows.limit(0), 1, 2).collect() == []
+
+
 def test_broadcast_arrays_are_added_to_on_numpys_fast_path():
     rng, c, vocab, model = toy(4)
     sent, weights = pickle.loads(pickle.dumps((vocab, model.weights)))
