@@ -4,8 +4,11 @@ import itertools
 import json
 import random
 
+import duckdb
+
 from concord.functions.normalize import FieldRule
 from concord.operators import causes, chain, dedupe, digest_tree, ingestion, keys, locators, pages, profiles, reconcile, selectors
+from concord.plans import ORACLE, QUERIES
 
 
 def rows(df):
@@ -62,6 +65,32 @@ def test_find_keys_by_samples_of_values(spark, monkeypatch):
     assert sorted(r.key for r in keys.find_keys(df).collect()) == ["a,b", "b,c", "c,d", "e"]
 
 
+def test_find_keys_names_columns_as_given(spark, tmp_path):
+    """As the SQL: the order of the list, not of the table; ``ts`` alone is a key of the given events only as long as no two users share one."""
+    df = spark.createDataFrame([(1, 1, 5), (2, 1, 6), (3, 2, 5)], "event_id int, ts int, user_id int")
+    assert [r.key for r in keys.find_keys(df, ["event_id", "user_id", "ts"]).collect()] == ["event_id", "user_id,ts"]
+    spark.range(40).selectExpr("id AS event_id", "timestamp_seconds(id DIV 2) AS ts", "id % 2 AS user_id", "'x' AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(40).selectExpr("id AS o_orderkey", "id % 4 AS o_custkey", "'F' AS o_orderstatus", "id DIV 4 AS o_totalprice", "current_date AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(40).selectExpr("id % 4 AS l_shipdate", "id DIV 4 AS l_linenumber", "1 AS l_partkey", "1 AS l_suppkey", "1 AS l_quantity", "1 AS l_extendedprice", "1 AS l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    for t in ("events", "orders", "lineitem"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in QUERIES["find_keys"](spark, str(tmp_path)).collect()) == sorted(duck.execute(ORACLE["find_keys"]).fetchall())
+
+
+def test_find_keys_by_all_rows_in_one_pass(spark, monkeypatch):
+    """What the sample leaves open is decided without grouping the rows for each combination, unless a few hashes are equal; texts with a collation are grouped."""
+    grouped = []
+    monkeypatch.setattr(keys, "_repeats", lambda df, combo, old=keys._repeats: grouped.append(combo) or old(df, combo))
+    monkeypatch.setattr(keys, "SHARE", 1 << 10, raising=False)
+    monkeypatch.setattr(keys, "ROWS", 1 << 12, raising=False)
+    df = spark.range(30_000).selectExpr("id DIV 50 AS a", "id % 50 AS b", "IF(id % 500 = 7, 0, id) AS c", "IF(id = 3, 4, id) AS d", "IF(id = 0, NULL, -id) AS e")
+    assert sorted(r.key for r in keys.find_keys(df).collect()) == ["a,b", "b,d", "c,d", "e"]
+    assert sorted(grouped) == [("a", "c"), ("a", "d"), ("d",)]
+    texts = spark.range(4).selectExpr("collate(IF(id = 3, 'A', substr('abc', id + 1, 1)), 'UTF8_LCASE') AS t", "id AS u")
+    assert [r.key for r in keys.find_keys(texts).collect()] == ["u"]
+
+
 def test_causes_of_many_differences(spark):
     cells = [("s", "A", "1") for _ in range(30)] + [("s", "B", "B") for _ in range(30)] + [("s", "B", "2")] + [("p", str(i), str(i * 1000)) for i in range(1, 41)] + [("p", "5", "6") for _ in range(9)]
     cells += [("t", f"2024-03-01 10:{i:02}:00", f"2024-03-01 04:{i + 30:02}:00") for i in range(20)] + [("u", f"2024-03-01 10:{i:02}:00", f"2024-03-01 10:{i:02}:07") for i in range(20)] + [("q", str(i), f"z{i * i}") for i in range(30)] + [("w", None, None)] * 20
