@@ -123,7 +123,8 @@ def page_nodes(pages: DataFrame, need: tuple[str, ...] | None = None, tags: tupl
     collapsed. Pages are parsed in Arrow batches; columns that nobody needs are not built.
 
     Nodes are ``dealt`` out by page. Spark takes them to be as few as the bytes of their pages, and by that estimate would broadcast
-    what it joins; the shuffle lets it measure them, and joins within pages need no other. What only counts or filters can do without.
+    what it joins, at any size: once it has measured them it takes no plan with more shuffles than the first one had. So joins of
+    dealt nodes are asked to merge. What only counts or filters can do without.
     """
     kinds = dict(x.split() for x in NODES.split(", "))
     names = [n for n in kinds if need is None or n in need or n in ("page_id", "node_id")]
@@ -139,7 +140,7 @@ def page_nodes(pages: DataFrame, need: tuple[str, ...] | None = None, tags: tupl
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], _KINDS[n]) for n in names], names)
 
     nodes = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names))
-    return nodes.repartition("page_id") if dealt else nodes
+    return nodes.repartition("page_id").hint("merge") if dealt else nodes
 
 
 def page_text(nodes: DataFrame) -> DataFrame:

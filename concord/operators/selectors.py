@@ -24,12 +24,12 @@ def nearest(nodes: DataFrame, outer: DataFrame, name: str) -> DataFrame:
 
 
 def inside(nodes: DataFrame, outer: DataFrame, itself: bool = True) -> DataFrame:
-    """(page_id, node_id) of the nodes inside an element of ``outer`` (or that are one)."""
+    """(page_id, node_id) of the nodes inside an element of ``outer`` (or that are one), as much to be merged as nodes are."""
     i, o = nodes.select("page_id", "node_id").alias("i"), outer.select("page_id", "node_id", "last_id").alias("o")
     own = within("i", "o")
     if itself:
         own = (F.col("i.page_id") == F.col("o.page_id")) & F.col("i.node_id").between(F.col("o.node_id"), F.col("o.last_id"))
-    return i.join(o, own, "left_semi").select("page_id", "node_id")
+    return i.join(o, own, "left_semi").select("page_id", "node_id").hint("merge")
 
 
 def class_names(c: Column) -> Column:

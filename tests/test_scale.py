@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from concord.operators import pages, reconcile, schema_match
+from concord.operators import locators, pages, reconcile, schema_match
 from concord.plans import data_queries, result_queries
 
 
@@ -19,6 +19,23 @@ def test_nodes_are_measured_before_they_are_joined(spark):
     assert len(rows) == 200 and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
 
 
+def test_elements_are_not_broadcast_where_other_plans_need_more_shuffles(spark):
+    """Joins by page and node need a shuffle more than a broadcast by the size of the pages does, so a broadcast in the first plan would stay, however large."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20kb")
+    try:
+        html = F.concat(F.lit("<div id='box'>"), F.repeat(F.lit("<button class='main'>a longer text of a button</button>"), 40), F.lit("</div>"))
+        every = locators.page_elements(pages.page_nodes(spark.range(200).select(F.col("id").alias("page_id"), html.alias("html"))))
+        e = locators.business_elements(every)
+        found = locators.locator_candidates(e, every).where("strategy = 'xpath'").join(e.select("page_id", "node_id", "business_type"), ["page_id", "node_id"])
+        first = found._jdf.queryExecution().executedPlan().toString()
+        df = e.join(every.select("page_id", "node_id", "xpath"), ["page_id", "node_id"])
+        n = len(df.collect())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n == 8000 and "BroadcastHashJoin" not in plan.split("Initial Plan")[0] and "BroadcastHashJoin" not in first
+
+
 def test_pages_of_a_small_table_are_parsed_in_many_tasks(spark, sf):
     assert result_queries._forms(spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
 
