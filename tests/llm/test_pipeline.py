@@ -1,6 +1,8 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from concord.llm import similar_texts, toxicity
 from concord.llm.common import materialise
 
@@ -102,6 +104,22 @@ def test_near_duplicates_at_a_thousand_documents(spark):
 AWKWARD = [(1, None, "s"), (1, "", "s"), (None, "no id here at all", None), (None, "no id here at all", None), (None, "another text without id", "s"), (5, "repeated row of some words", "t"), (5, "repeated row of some words", "t"), (5, "same id and another text", "t"), (6, "long words " * 40_000, "t"), (7, " \n\t ", "s"), (8, "tie one two three", "u"), (9, "tie one two three", "u")]
 
 
+@pytest.mark.parametrize("order", ["none counted", "common first", "by chance"])
+def test_near_duplicates_under_any_order_of_shingles(spark, monkeypatch, order):
+    """What ``common_shingles`` counts, in however few texts, sorts the shingles only: no pair is lost by it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counted = similar_texts.common_shingles
+
+    def other(*args):
+        h, n = counted(*args)
+        assert len(h)
+        return {"none counted": (h[:0], n[:0]), "common first": (h, -n), "by chance": (h[::3], np.random.default_rng(1).integers(-9, 9, len(h[::3])))}[order]
+
+    monkeypatch.setattr(similar_texts, "common_shingles", other)
+    want = quick_groups(sorted((r.doc_id, r.text) for r in docs.collect()))
+    assert sorted(r.doc_id for r in similar_texts.keep_one(docs).collect()) == [min(g) for g in want]
+
+
 def test_every_stage_takes_awkward_rows(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, copies int, key string, fp long, h string, m int, u int"
     docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), 3, 8, "k", 4, "h", 1, 2) for i, t, s in AWKWARD], schema)
